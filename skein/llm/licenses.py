@@ -7,8 +7,8 @@ the automata, which start where the first word of the wording stands.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-cased.
 
-Score: 1 if a template accepts; else the share of its mandatory words that the furthest automaton has passed, halved,
-and at least 0.5 where a base phrase stands; 0 without either.
+Score: 1 if a template accepts; else half the share of its states that the furthest automaton has passed, if that is
+``LEAST`` words or more, and at least 0.5 where a base phrase stands; 0 without either.
 
 Defined results: null, empty and word-less texts have no places, no labels ('') and score 0. Repeated rows are scanned
 one by one. Extra columns are ignored.
@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import slices, words_of
 
+#: Words that an automaton must pass to count for the score.
+LEAST = 3
+
 #: Base phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -142,7 +145,7 @@ class Scanner:
                     done, far = a.run(words, at)
                     if done:
                         labels.add(a.label)
-                    score = max(score, 1.0 if done else far / len(a.words) / 2)
+                    score = max(score, 1.0 if done else far / len(a.words) / 2 if far >= LEAST else 0.0)
         if base:
             score = max(score, 0.5)
         both = lambda x: ",".join(sorted(x))
