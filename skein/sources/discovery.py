@@ -1,10 +1,12 @@
-"""Discovery of a workspace's files: a listing by Spark, or by git, and what is excluded."""
+"""Discovery of a workspace's files: a listing by walk or by git, and what is excluded."""
 
 from __future__ import annotations
 
+import os
 import subprocess
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,40 @@ EXCLUDED = (
 
 
 def listed(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """path (below the root), size, mtime, and the content if asked for; contents are pruned from the scan otherwise."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    full = F.regexp_replace("path", r"^file:/+", "/")
-    path = F.substring(full, len(root.removeprefix("file://").rstrip("/")) + 2, 1_000_000)
-    out = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    return out if content else out.drop("content")
+    """path (below the root), size, mtime, and the content if asked for.
+
+    The driver walks the tree without entering what is excluded by name and skips folders that it can't read (Spark's own
+    listing leaves out names that begin with a dot or underscore); tasks read the contents."""
+    root = root.removeprefix("file://").rstrip("/")
+    never = {p.split("/")[1] for p in EXCLUDED if p.endswith("/**")}
+    rows = []
+    for folder, folders, names in os.walk(root):
+        folders[:] = sorted(d for d in folders if d not in never)
+        for name in sorted(names):
+            full = os.path.join(folder, name)
+            if os.path.isfile(full):
+                at = os.stat(full)
+                rows.append((os.path.relpath(full, root).replace(os.sep, "/"), at.st_size, at.st_mtime * 1000))
+    files = spark.createDataFrame(rows, "path string, size long, mtime double")
+    return with_content(files, root) if content else files
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Adds the bytes of each file below ``root``, a folder that executors reach; null for one that can't be read."""
+
+    def read(path: str) -> bytes | None:
+        try:
+            with open(os.path.join(root, path), "rb") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(content=[read(p) for p in frame["path"]])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in files.dtypes)
+    return files.mapInPandas(run, f"{kinds}, content binary")
 
 
 def git_listed(spark: SparkSession, root: str) -> DataFrame:
