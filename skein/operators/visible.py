@@ -199,7 +199,7 @@ def bidirectional(edges: DataFrame) -> DataFrame:
 def fan_out(edges: DataFrame, most: float = 0.5) -> DataFrame:
     """Edges with their curvature among those of their pair: evenly from -most to most, the last one at most."""
     pair = [F.least("src", "dst"), F.greatest("src", "dst")]
-    w = Window.partitionBy(*pair).orderBy("ord")
+    w = Window.partitionBy(*pair).orderBy("ord", "id")
     every = Window.partitionBy(*pair)
     i, n = F.row_number().over(w) - 1, F.count("*").over(every)
     last = F.last("src").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))

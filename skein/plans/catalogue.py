@@ -50,12 +50,12 @@ def file_pairs(spark, d):
     return reports.edge_pairs(derived.graph(spark, d)).withColumn("kinds", _joined("kinds"))
 
 
-@query('''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM edges GROUP BY ALL) GROUP BY 1, 2''')
+@query('''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM edges GROUP BY ALL) GROUP BY 1, 2''')
 def edge_group(spark, d):
     return reports.grouped(derived.edges(spark, d)).withColumn("edge_types", _joined("edge_types"))
 
 
-_FILE_GROUP = '''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM fedges WHERE {} GROUP BY ALL) GROUP BY 1, 2'''
+_FILE_GROUP = '''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM fedges WHERE {} GROUP BY ALL) GROUP BY 1, 2'''
 
 
 @query(_FILE_GROUP.format(f"src = {_FIRST}"))
@@ -69,7 +69,7 @@ def dependents(spark, d):
     return reports.dependents(derived.graph(spark, d), part).withColumn("edge_types", _joined("edge_types"))
 
 
-@query('''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM edges WHERE kind LIKE '%import%' GROUP BY ALL) GROUP BY 1, 2''')
+@query('''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM edges WHERE kind LIKE '%import%' GROUP BY ALL) GROUP BY 1, 2''')
 def edges_filtered_includes(spark, d):
     out = reports.edges_report(derived.graph(spark, d), node_types=reports.ALL_TYPES, filters={"edgeType": {"includes": "import"}})
     return out.withColumn("edge_types", _joined("edge_types"))
@@ -521,6 +521,6 @@ def edge_kinds(spark, d):
 
 @query("""SELECT id, round(CASE WHEN n = 1 THEN 0.0 ELSE (CASE WHEN i = n - 1 THEN 0.5 ELSE -0.5 + i * 1.0 / (n - 1) END) END * CASE WHEN src = l THEN 1 ELSE -1 END, 6) + 0.0 AS curvature, ord FROM (
   SELECT id, src, ord, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY least(src, dst), greatest(src, dst)) AS n,
-   last_value(src) OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM edges WINDOW w AS (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ord))""")
+   last_value(src) OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ord, id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM edges WINDOW w AS (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ord, id))""")
 def parallel_links(spark, d):
     return visible.fan_out(derived.edges(spark, d)).select("id", (F.round("curvature", 6) + 0.0).alias("curvature"), "ord")
