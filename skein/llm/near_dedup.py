@@ -9,12 +9,12 @@ value, and two texts agree there with the probability of their similarity. Only
 for heavy texts are thrown, about k (ln k + 4) a text, however long it is; where a coordinate stays empty, the rank is
 doubled. Bands of five coordinates are joined.
 
-Groups: within a band's bucket all members are compared with a leader, never all with all. Components of the verified
-links that have no leader in a bucket yet elect theirs there, ``LEADERS`` a round, each of which is compared with all members of other
-components, until every component of every bucket has had a leader or a whole round, over all buckets, finds no further
-link. So a class is found whatever its size; of links that would join two classes, one between two texts that have led
-none of their common buckets by then goes unseen. Links are verified on the whole texts; connected components by
-star contraction give the classes.
+Groups: within a band's bucket all members are compared with its least one, the leader, and connected components by star
+contraction give the first classes. Then every bucket is finished: of the members that didn't lead, each two that are in
+different components are compared. Members go in blocks of bounded weight, so no bucket must fit in a task; blocks within
+one component aren't paired, and a pair is compared in the first band that it shares. Left out are only pairs that can't
+be similar, since one text has too few shingles for the other, or that are connected by then. So the classes are the
+components of all similar pairs that share a bucket. Links are verified on the whole texts.
 
 Defined results: null, empty and word-less texts are classes of their own; rows without doc_id have no class and are
 never dropped. A text of one to four words has a single shingle. Rows that repeat a doc_id are one document, whose class
@@ -37,8 +37,8 @@ SHINGLE = 5
 SIMILAR = 0.8
 #: 26 bands of 5: a pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 26 = 3e-5.
 BANDS, ROWS = 26, 5
-#: Leaders that a bucket elects in each further round.
-LEADERS = 3
+#: Units in a block of a bucket's members, and the least that a member counts for (so 512 members are a block at most).
+BLOCK, LEAST = 1 << 19, 1 << 10
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([(0xD6E8FEB86659FD93 * (2 * i + 1)) | 1 for i in range(1, SHINGLE + 1)], dtype=object)
@@ -206,45 +206,84 @@ def _rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     return out.withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
 
 
-def _roots(keys: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """(node, root) of the representatives that have links; ``keys`` (key, doc_id) holds each one's band keys."""
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes(200_000)
+    for batch in slices(batches, "text", 2_000_000):
+        units = [shingles([cache.of(words_of(t))])[0].tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units, pa.binary())], names=["doc_id", "units"])
+
+
+def _linked(similar: float):
+    def links(rows: pa.Table) -> pa.Table:
+        """(a, b): links between two blocks of a bucket (or within one) that connect components."""
+        key, i, j = (rows.column(c)[0].as_py() for c in ("key", "i", "j"))
+        block, root = np.array(rows.column("block").to_pylist()), rows.column("root").to_numpy().copy()
+        bands = np.array(rows.column("bands").to_pylist(), np.int64)
+        earlier = bands[:, : int((bands == key).any(axis=0).argmax())]
+        units = [np.frombuffer(u, np.uint64) for u in rows.column("units").to_pylist()]
+        size = np.array([len(u) for u in units])
+        ids = np.split(np.unique(np.concatenate(units), return_inverse=True)[1], np.cumsum(size)[:-1])
+        marked = np.zeros(size.sum(), bool)
+        right, out = np.flatnonzero(block == j), []
+        for x in np.flatnonzero(block == i):
+            at = right[right > x] if i == j else right
+            at = at[(root[at] != root[x]) & (np.minimum(size[at], size[x]) / np.maximum(size[at], size[x]) >= similar)]
+            at = at[~(earlier[at] == earlier[x]).any(axis=1)]
+            if not len(at):
+                continue
+            marked[ids[x]] = True
+            both = np.add.reduceat(marked[np.concatenate([ids[y] for y in at])], np.cumsum(size[at]) - size[at], dtype=np.int64)
+            marked[ids[x]] = False
+            for y in at[both / (size[at] + size[x] - both) >= similar]:
+                if root[y] != root[x]:
+                    out.append((root[x], root[y]))
+                    root[root == root[y]] = root[x]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else ([], []))], names=["a", "b"])
+
+    return links
+
+
+def _rest(placed: DataFrame, signed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between the components of ``placed`` (key, doc_id, root): all members of a bucket against all."""
+    open_ = placed.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m < n").select("key")
+    placed = placed.join(open_, "key")
+    some = small_side(written(placed.select("doc_id").distinct(), "open"))
+    units = texts.join(some, "doc_id", "left_semi").mapInArrow(_weigh, "doc_id long, units binary").where("octet_length(units) > 0")
+    units = written(units.join(signed.join(some, "doc_id", "left_semi").select("doc_id", "bands"), "doc_id"), "units")
+    weight = units.groupBy("doc_id").agg(F.greatest(F.sum(F.octet_length("units")) / 8, F.lit(LEAST)).alias("weight"))
+    placed = written(placed.join(weight, "doc_id"), "unfinished")
+    # a component of more than a block has blocks of its own, which aren't paired with each other; the others share blocks
+    large = placed.groupBy("key", "root").agg(F.sum("weight").alias("weight")).withColumn("own", F.expr(f"if(weight > {BLOCK}, root, null)"))
+    parts = large.groupBy("key", "own").agg(F.ceil(F.sum("weight") / BLOCK).alias("parts"))
+    parts = written(parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "blocks")
+    label = F.concat_ws(":", "own", "part")
+    blocks = parts.groupBy("key").agg(F.collect_list(F.struct("own", label.alias("block"))).alias("blocks"))
+    placed = placed.drop("weight").join(large.select("key", "root", "own"), ["key", "root"])
+    count = parts.where("part = 0").select("key", F.col("own").alias("_own"), "parts").withColumnRenamed("key", "_key")
+    placed = placed.join(count, (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("_own")))
+    salt = F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("doc_id")))
+    placed = placed.withColumn("part", F.pmod(salt, "parts")).withColumn("block", label).join(blocks, "key")
+    with_ = F.filter("blocks", lambda b: b["own"].isNull() | ~b["own"].eqNullSafe(F.col("own")))
+    placed = placed.select("key", "doc_id", "root", "block", F.explode(F.transform(with_, lambda b: b["block"])).alias("with"))
+    placed = placed.select("key", "doc_id", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    return placed.join(units, "doc_id").groupBy("key", "i", "j").applyInArrow(_linked(similar), "a long, b long")
+
+
+def _roots(signed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """(node, root) of the representatives that have links; ``signed`` (doc_id, bands) holds each one's band keys."""
+    keys = signed.select(F.explode("bands").alias("key"), "doc_id")
     firsts = keys.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1")
     placed = written(keys.join(firsts.select("key", "leader"), "key"), "buckets")
     new = placed.where("doc_id <> leader")
-    placed = placed.select("key", "doc_id", (F.col("doc_id") == F.col("leader")).alias("led"))
     # only texts that share a bucket are read again
     some = small_side(written(placed.select("doc_id").distinct(), "members"))
     texts = written(texts.join(some, "doc_id", "left_semi"), "member-texts")
-    tested = roots = None
-    while True:
-        pairs = new.select(F.least("leader", "doc_id").alias("leader"), F.greatest("leader", "doc_id").alias("member")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("leader", "member"), ["leader", "member"], "left_anti")
-        links = Observation()
-        found = compared(pairs, texts).observe(links, F.count_if(F.col("similarity") >= similar).alias("n"))
-        found = written(found, "tested")
-        good = found.where(F.col("similarity") >= similar).select(F.col("leader").alias("a"), F.col("member").alias("b"))
-        if roots is None:
-            tested, roots = found, components(good)
-        else:
-            if not links.get["n"]:
-                return roots
-            # only the roots that the new links join are contracted anew
-            tested = tested.unionByName(found)
-            joined = components(_rooted(_rooted(good, "a", roots), "b", roots))
-            roots = written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "roots")
-        # in each bucket, some of the components that have had no leader elect one; buckets without such are done
-        placed = _rooted(placed.select("key", "doc_id", F.col("doc_id").alias("root"), "led"), "root", small_side(roots))
-        groups = placed.groupBy("key", "root").agg(F.min("doc_id").alias("leader"), F.max("led").alias("led"))
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("leader"))
-        elected = groups.where("not led").withColumn("nth", nth).where(F.col("nth") <= LEADERS)
-        elected = written(elected.select("key", "leader", F.col("root").alias("own")), "elected")
-        if elected.isEmpty():
-            return roots
-        some = elected.groupBy("key").agg(F.collect_list(F.struct("leader", "own")).alias("elected"))  # LEADERS at most
-        placed = placed.join(some, "key")
-        placed = written(placed.withColumn("led", F.col("led") | F.exists("elected", lambda e: e["leader"] == F.col("doc_id"))), "placed")
-        new = placed.select("doc_id", "root", F.explode("elected").alias("e")).where("root <> e.own").select("doc_id", "e.leader")
+    found = compared(new.select("leader", F.col("doc_id").alias("member")).distinct(), texts).where(F.col("similarity") >= similar)
+    roots = components(found.select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    rest = _rooted(new.withColumn("root", F.col("doc_id")).select("key", "doc_id", "root"), "root", small_side(roots))
+    joined = components(_rest(written(rest, "placed"), signed, texts, similar))
+    # only the roots that the new links join are contracted anew
+    return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "roots")
 
 
 def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -252,9 +291,8 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     signed = written(signatures(docs).where("doc_id is not null"), "signatures")
     alone = signed.where("digest is not null").groupBy("digest")
     alone = written(alone.agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "representatives")
-    keys = alone.select(F.explode("bands").alias("key"), "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    roots = _roots(keys, texts.where("doc_id is not null"), similar)
+    roots = _roots(alone.select("doc_id", "bands"), texts.where("doc_id is not null"), similar)
     known = alone.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left")
     known = known.select("digest", F.coalesce("root", "node").alias("class_id"))
     member = signed.where("digest is not null").select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id")

@@ -95,3 +95,36 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in nd.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 61)}, 101: 100}
+
+
+def test_similar_texts_behind_many_unlike_ones(spark):
+    # a family of texts at 0.3 to 0.75 with low ids; the similar pairs have the highest ids, so they lead hardly a bucket
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(400)]
+
+    def changed(words, n, mark):
+        words = list(words)
+        for at in rng.sample(range(0, 400, 5), n):
+            words[at] = f"{mark}x{at}"
+        return words
+
+    docs = [(i, " ".join(changed(base, rng.randint(12, 20), i))) for i in range(120)]
+    for i in range(200, 240, 2):
+        first = changed(base, 16, i)
+        docs += [(i, " ".join(first)), (i + 1, " ".join(changed(first, 4, i + 1)))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    wanted = brute(docs)
+    assert sum(wanted[i + 1] == i for i in range(200, 240, 2)) > 10
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == wanted
+
+
+def test_bucket_is_finished(spark, monkeypatch):
+    # one bucket in small blocks: a large component, texts that are like no other, and pairs that never lead
+    for least in (nd.LEAST, nd.BLOCK // 3):
+        monkeypatch.setattr(nd, "LEAST", least)
+        docs = [(i, " ".join(f"u{i}x{k}" for k in range(60))) for i in range(12)]
+        docs += [(i, " ".join(["a"] * (i - 19) + [f"same{k}" for k in range(60)])) for i in range(20, 30)]
+        docs += [(i, " ".join([f"{i // 2}p{k}" for k in range(60)] + ["end"] * (i % 2))) for i in range(40, 50)]
+        signed = spark.createDataFrame([(d, [7]) for d, _ in docs], "doc_id long, bands array<long>")
+        got = {r.node: r.root for r in nd._roots(signed, spark.createDataFrame(docs, "doc_id long, text string"), 0.8).collect()}
+        assert {d: got.get(d, d) for d, _ in docs} == brute(docs)
