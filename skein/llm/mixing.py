@@ -2,68 +2,87 @@
 
 Each source's documents, in a hashed order, are cut into blocks. With weight w, a source's j-th block is released at
 slot floor(j / w) and due by slot ceil((j + 1) / w); in each slot the released block of the earliest deadline goes.
-Weights are whole multiples of 1 / ``SLOTS``, so the schedule repeats after that many slots: the pattern is computed
-once, whatever the size of the corpus, and every block finds its slot by arithmetic. Up to any slot, the blocks of a
-source differ from weight times slots by less than one, as long as no source has run out; afterwards its slots are
-left out and the others keep their proportions. No document is dropped or repeated.
+Weights are taken as given, in whole numbers without rounding. Up to any slot, the blocks of a source differ from
+weight times slots by less than one, as long as no source has run out; afterwards its slots are left out and the
+others keep their proportions. No document is dropped or repeated. One task deals the slots, block by block, and holds
+one block a source; the table of blocks is joined with the rows.
 
 Ranks within a source are counted in salted buckets and added up, so no source's rows meet in one task.
 
-Defined results: a null source is a source of its own ('' in the output of ``scheduled``). A source without a target
-weight gets the least weight, 1 / ``SLOTS``. Rows are told apart by doc_id and text; equal rows are ranked in any order,
+Defined results: a null source is a source of its own ('' in the output of ``scheduled``). Sources without a
+target weight come after all others, in equal parts; if none has a weight, all have the same. Rows are told apart by doc_id and text; equal rows are ranked in any order,
 which is the same result. Null texts count as rows. Extra columns are ignored by ``scheduled`` and kept by ``mixed``.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import written
+from skein.llm.common import small_side, written
 
-#: Documents in a block, slots in the repeating pattern, salted buckets for the ranks of a source.
+#: Documents in a block, slots of ``pattern``, salted buckets for the ranks of a source.
 BLOCK, SLOTS, BUCKETS = 16, 1024, 256
 #: Weights that are not given follow the source's rows to this power.
 POWER = 0.7
 
 
-def whole_weights(weights: dict[str, float], slots: int = SLOTS) -> dict[str, int]:
-    """Slots of each source out of ``slots``, by largest remainders, at least one each."""
-    if not weights:
-        return {}
-    if len(weights) > slots:
-        raise ValueError(f"{len(weights)} sources need a pattern of as many slots, not {slots}")
-    total = sum(max(w, 0) for w in weights.values()) or 1
-    spare = slots - len(weights)
-    parts = {s: max(w, 0) / total * spare for s, w in weights.items()}
-    got = {s: 1 + math.floor(p) for s, p in parts.items()}
-    for s in sorted(parts, key=lambda s: (math.floor(parts[s]) - parts[s], s))[: slots - sum(got.values())]:
-        got[s] += 1
-    return got
+def whole_weights(weights: dict[str, float], slots: int = SLOTS) -> dict[str, Fraction]:
+    """Each source's exact part of ``slots`` slots."""
+    parts = {s: Fraction(max(w, 0)) for s, w in weights.items()}
+    total = sum(parts.values())
+    return {s: p / total * slots if total else Fraction(slots, len(parts)) for s, p in parts.items()}
 
 
-def pattern(shares: dict[str, int], slots: int = SLOTS) -> list[tuple[str, int, int]]:
-    """(source, block, slot) for one round of ``slots`` slots: earliest deadline first among the released blocks."""
+def _dealt(shares: dict[str, Fraction], blocks: dict[str, int] | None = None) -> Iterator[tuple[str, int]]:
+    """(source, block) slot by slot: earliest deadline first among the released blocks; without end where ``blocks`` is None."""
+    shares = {s: Fraction(w) for s, w in shares.items() if w > 0 and (blocks is None or blocks[s])}
+    if sum(shares.values()) > 1:
+        raise ValueError("the shares are more than the slots")
     waiting = sorted((0, s, 0) for s in shares)  # release, source, block
-    heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    out = []
-    for slot in range(slots):
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])
         while waiting and waiting[0][0] <= slot:
             _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * slots // shares[s]), s, j))
-        if not ready:
-            continue
-        due, s, j = heapq.heappop(ready)
-        if due <= slot:
-            raise ValueError("the shares are more than the slots")
-        out.append((s, j, slot))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * slots // shares[s], s, j + 1))
-    return out
+            heapq.heappush(ready, (-(-(j + 1) * shares[s].denominator // shares[s].numerator), s, j))
+        _, s, j = heapq.heappop(ready)
+        yield s, j
+        slot += 1
+        if blocks is None or j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) * shares[s].denominator // shares[s].numerator, s, j + 1))
+
+
+def pattern(shares: dict[str, Fraction], slots: int = SLOTS) -> list[tuple[str, int, int]]:
+    """(source, block, slot) for the first ``slots`` slots, of which each source has its share."""
+    dealt = _dealt({s: Fraction(w) / slots for s, w in shares.items()})
+    return [(s, j, slot) for slot, (s, j) in enumerate(islice(dealt, slots))]
+
+
+def _plan(spark, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """source, block and slot of every block; sources without a weight come last."""
+    shares = whole_weights(weights, 1)
+    rest = [s for s, w in shares.items() if not w]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            since = 0
+            for part in (shares, whole_weights(dict.fromkeys(rest, 1), 1)):
+                dealt = _dealt(part, blocks)
+                while some := list(islice(dealt, 50_000)):
+                    source, block = zip(*some)
+                    yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(block, pa.int64()), pa.array(range(since, since + len(some)), pa.int64())], names=["source", "block", "slot"])
+                    since += len(some)
+
+    return written(spark.range(0, 1, 1, 1).mapInArrow(run, "source string, block long, slot long"), "plan")
 
 
 def _ranked(docs: DataFrame) -> DataFrame:
@@ -78,31 +97,22 @@ def _ranked(docs: DataFrame) -> DataFrame:
     counts = docs.groupBy("source", "_bucket").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    # a row for each source and bucket: as many as sources, which SLOTS bounds, times BUCKETS
-    docs = docs.join(F.broadcast(counts.drop("_rows")), ["source", "_bucket"])
+    docs = docs.join(small_side(written(counts.drop("_rows"), "counts")), ["source", "_bucket"])
     return docs.select("doc_id", "source", "_hash", (F.col("_before") + F.col("_nth") - 1).alias("rank"))
 
 
 def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
     """doc_id, source, rank (in the source), block, slot, and on_target: no source has run out before that slot.
 
-    ``weights`` are the sources' target weights; without them, rows to the power ``POWER``."""
-    spark = docs.sparkSession
-    ranked = written(_ranked(docs), "ranked")
-    # one row a source, SLOTS at most
-    rows = {r[0]: r[1] for r in ranked.groupBy("source").count().limit(slots + 1).collect()}
+    ``weights`` are the sources' target weights; without them, rows to the power ``POWER``. They hold exactly, whatever
+    ``slots`` is."""
+    ranked = written(_ranked(docs), "ranked").withColumn("block", F.floor(F.col("rank") / block))
+    rows = {r[0]: r[1] for r in ranked.groupBy("source").count().collect()}  # one row a source
     targets = {s: (weights or {}).get(s, 0.0) if weights else n**POWER for s, n in rows.items()}
-    shares = whole_weights(targets, slots)
-    plan = [(s, shares[s], j, at) for s, j, at in pattern(shares, slots)]
-    plan = spark.createDataFrame(plan, "source string, share long, turn long, at long")
+    plan = _plan(docs.sparkSession, targets, {s: -(-n // block) for s, n in rows.items()})
     # the slot of the last block of the source that is the first to run out
-    ends = [(-(-n // block) - 1, s) for s, n in rows.items()]
-    place = {(s, j): at for s, j, at in pattern(shares, slots)}
-    end = min((j // shares[s] * slots + place[s, j % shares[s]] for j, s in ends), default=0)
-    share = F.broadcast(plan.select("source", "share").distinct())
-    out = ranked.join(share, "source").withColumn("block", F.floor(F.col("rank") / block))
-    out = out.withColumn("turn", F.col("block") % F.col("share")).join(F.broadcast(plan.drop("share")), ["source", "turn"])
-    out = out.withColumn("slot", F.floor(F.col("block") / F.col("share")) * slots + F.col("at"))
+    end = plan.groupBy("source").agg(F.max("slot").alias("last")).agg(F.min("last")).first()[0] or 0
+    out = ranked.join(small_side(plan), ["source", "block"])
     return out.select("doc_id", "source", "rank", "block", "slot", (F.col("slot") <= end).alias("on_target"), "_hash")
 
 

@@ -164,6 +164,26 @@ def test_mixture(spark):
     assert mixing.scheduled(df.where("false")).count() == 0 and mixing.mixed(df.where("false")).count() == 0
 
 
+def test_mixture_keeps_the_given_weights(spark):
+    # a third in one of 20 sources, and one source of 500 with 0.7: neither is a multiple of 1 / 1024
+    for weights in ({"big": 10**0.7, **{f"s{i}": 1.0 for i in range(19)}}, {"big": 0.7, **{f"s{i}": 0.3 / 499 for i in range(499)}}):
+        total, had = sum(weights.values()), Counter()
+        for s, _, t in mixing.pattern(mixing.whole_weights(weights), mixing.SLOTS):
+            had[s] += 1
+            assert all(abs(had[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+    rows = [(i, "big") for i in range(1500)] + [(10_000 + i, f"s{i % 19}") for i in range(5700)] + [(20_000, "unweighted")]
+    weights = {"big": 10**0.7, **{f"s{i}": 1.0 for i in range(19)}}
+    total, had = sum(weights.values()), Counter()
+    df = spark.createDataFrame(rows, "doc_id long, source string").selectExpr("*", "'t' text")
+    out = mixing.scheduled(df, weights, block=1).orderBy("slot").collect()
+    assert [r.slot for r in out] == list(range(len(rows))) and out[-1].source == "unweighted"
+    on_target = [r for r in out if r.on_target]
+    assert len(on_target) > 5000
+    for t, r in enumerate(on_target):
+        had[r.source] += 1
+        assert all(abs(had[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
+
+
 def rng_source(i):
     return "a" if i % 4 else None
 
