@@ -1,7 +1,8 @@
 """HTML extraction by layout-aware rendering (operator 3).
 
 A tree is built from the tags with the end tags that HTML implies (a paragraph ends where a block begins, a list item
-where the next begins, a cell or row likewise); what CSS or HTML hides inline is left out; all other text is emitted.
+where the next begins, a cell or row likewise); what CSS or HTML hides inline is left out, and
+ends by the same rules; all other text is emitted.
 Blocks stand on lines of their own, paragraphs, headings, lists and tables with an empty line around them; list items
 get a bullet or number and are indented by level; cells of a table's column are aligned.
 
@@ -26,16 +27,26 @@ DEEPEST, WIDEST = 200, 40
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist select".split())
+FOREIGN = frozenset({"svg", "math"})
+#: What a head may hold; any other tag ends it.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+#: Tags that end an svg or math which they stand in.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav section summary caption".split())
 #: A tag, the open tags that it ends, and those behind which it doesn't look for them.
 _LISTS, _CELLS = frozenset({"ul", "ol"}), frozenset({"table"})
+#: Implied ends aren't looked for behind these; nor, in hidden elements, are inline end tags behind ``SPECIAL``.
+OPAQUE = HIDDEN - {"head"}
+SPECIAL = BLOCK | frozenset("td th tr thead tbody tfoot object select svg math html head".split())
 ENDS = {
     "li": ({"li"}, _LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "td": ({"td", "th"}, _CELLS), "th": ({"td", "th"}, _CELLS), "tr": ({"tr"}, _CELLS),
     "thead": ({"thead", "tbody", "tfoot"}, _CELLS), "tbody": ({"thead", "tbody", "tfoot"}, _CELLS), "tfoot": ({"thead", "tbody", "tfoot"}, _CELLS),
 }
+ENDS = {tag: (ended, behind | OPAQUE) for tag, (ended, behind) in ENDS.items()}
+_AROUND_P = BLOCK | OPAQUE | {"td", "th"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
@@ -43,10 +54,10 @@ _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "start", "tag")
+    __slots__ = ("children", "hidden", "start", "tag")
 
-    def __init__(self, tag: str, start: int = 1):
-        self.tag, self.children, self.start = tag, [], start
+    def __init__(self, tag: str, start: int = 1, hidden: int = 0):  # hidden: 2 in svg and math
+        self.tag, self.children, self.start, self.hidden = tag, [], start, hidden
 
 
 def _unseen(tag: str, attributes: dict[str, str]) -> bool:
@@ -59,14 +70,17 @@ def _unseen(tag: str, attributes: dict[str, str]) -> bool:
 
 
 def tree(page: str) -> Node:
-    """The visible part of the page: nodes with children that are nodes or strings."""
+    """The visible part of the page: nodes with children that are nodes or strings.
+
+    A hidden element is open like any other, so that the same end tags are implied in it, but is no child of its parent."""
     root = Node("body")
-    stack, at, skip = [root], 0, 0
-    unseen: list[str] = []  # open tags from the hidden one on
+    stack, at = [root], 0
     size = len(page)
 
     def text(raw: str) -> None:
-        if raw and not unseen:
+        if stack[-1].tag == "head" and raw.strip(" \t\n\r\f"):
+            stack.pop()
+        if raw and not stack[-1].hidden:
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     def close(tags, behind) -> None:
@@ -84,29 +98,29 @@ def tree(page: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            if unseen:
-                if tag in unseen:
-                    del unseen[len(unseen) - 1 - unseen[::-1].index(tag) :]
-                continue
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not stack[-1].hidden and not any(n.tag == "p" for n in stack):
                 stack[-1].children.append(Node("p"))
-            close({tag}, _CELLS if tag not in ("table", "body", "html") else ())
+            behind = _CELLS if tag not in ("table", "body", "html") else frozenset()
+            close({tag}, behind | SPECIAL if stack[-1].hidden and tag not in SPECIAL else behind)
             continue
         raw = found[3]
-        if unseen:
-            if tag not in VOID and not raw.endswith("/"):
-                unseen.append(tag)
-            if tag in RAW and (end := re.compile(rf"</{tag}", re.I).search(page, at)):
-                at = end.start()
-            continue
         attributes = {}
         if "=" in raw or "hidden" in raw.lower() or tag == "dialog":
             attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
+        if stack[-1].hidden == 2 and tag in BREAKOUT:
+            while stack[-1].hidden == 2:
+                stack.pop()
         if tag in BLOCK:
-            close({"p"}, BLOCK | {"td", "th"} - {"p"})
+            close({"p"}, _AROUND_P)
         if tag in ENDS:
             close(*ENDS[tag])
-        hides = _unseen(tag, attributes)
+        if tag == "body" or (stack[-1].tag == "head" and tag not in IN_HEAD):
+            close({"head"}, ())
+        hides = stack[-1].hidden or int(_unseen(tag, attributes))
+        if tag in FOREIGN or hides == 2:
+            if raw.endswith("/"):
+                continue
+            hides = 2
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             if not hides:
@@ -117,14 +131,12 @@ def tree(page: str) -> Node:
             if not hides:
                 stack[-1].children.append(Node(tag))
             continue
-        if hides:
-            unseen.append(tag)
-            continue
-        if tag in ("html", "body"):
+        if tag in ("html", "body") and not hides:
             continue
-        node = Node(tag, int(s) if tag == "ol" and (s := attributes.get("start", "")).lstrip("-").isdecimal() and len(s) < 10 else 1)
-        if len(stack) < DEEPEST:
-            stack[-1].children.append(node)
+        node = Node(tag, int(s) if tag == "ol" and (s := attributes.get("start", "")).lstrip("-").isdecimal() and len(s) < 10 else 1, 1 if tag == "foreignobject" and hides else hides)
+        if len(stack) < DEEPEST or hides:
+            if not hides:
+                stack[-1].children.append(node)
             stack.append(node)
     if at < size:
         text(page[at:])

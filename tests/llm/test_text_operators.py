@@ -146,6 +146,30 @@ def test_html(page, text):
     assert html_text.rendered(page).strip("\n") == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>t</title><body><p>text", "text"),
+        ("<head><meta charset=x><p>text", "text"),
+        ("<head><title>t</title>text", "text"),
+        ("<ul><li hidden>a<li>b</ul><p>rest</p>", "- b\n\nrest"),
+        ("<p hidden>a<p>b", "b"),
+        ("<dl><dt hidden>a<dd>b</dl>c", "b\n\nc"),
+        ("<table><tr hidden><td>a<tr><td hidden>b<td>c</table>d", "c\n\nd"),
+        ("<div><span hidden>a</div>b", "b"),
+        ("<svg class=i/>text<math/> too", "text too"),
+        ("a<svg><path d=x /><style/><g><text>x</text></g></svg>b", "ab"),
+        ("a<svg><foreignObject><div>x</div></foreignObject></svg>b", "ab"),
+        ("a<svg><g><p>b", "a\n\nb"),
+        ("<p>a<object><div>x</div></object>b", "ab"),
+        ("<span>a<div hidden>b</span>c</div>d</span>", "ad"),
+        ("<div hidden>" + "<div>" * 500 + "a" + "</div>" * 500 + "b</div>c", "c"),
+    ],
+)
+def test_html_hidden_elements_end(page, text):
+    assert html_text.rendered(page).strip("\n") == text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (None, "b", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(df).collect()) == [(0, "b"), (1, "a"), (2, "")]
