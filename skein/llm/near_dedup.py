@@ -17,8 +17,8 @@ be similar, since one text has too few shingles for the other, or that are conne
 components of all similar pairs that share a bucket. Links are verified on the whole texts.
 
 Defined results: null, empty and word-less texts are classes of their own; rows without doc_id have no class and are
-never dropped. A text of one to four words has a single shingle. Rows that repeat a doc_id are one document, whose class
-is the least of its texts' classes. Extra columns of the input are ignored.
+never dropped. A text of one to four words has a single shingle. Rows that repeat a doc_id are one document; if its texts
+differ, it joins their classes. Extra columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -296,6 +296,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     known = alone.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left")
     known = known.select("digest", F.coalesce("root", "node").alias("class_id"))
     member = signed.where("digest is not null").select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id")
+    # a document of several texts joins their classes
+    several = member.groupBy("doc_id").agg(F.min("class_id").alias("b"), F.max("class_id").alias("a")).where("a > b")
+    several = written(several.select("doc_id", "b"), "several")
+    if not several.isEmpty():
+        same = components(member.join(small_side(several), "doc_id").where("class_id > b").select(F.col("class_id").alias("a"), "b"))
+        member = _rooted(member, "class_id", small_side(same))
     empty = signed.where("digest is null").select("doc_id", F.col("doc_id").alias("class_id"))
     return member.union(empty).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 

@@ -128,3 +128,10 @@ def test_bucket_is_finished(spark, monkeypatch):
         signed = spark.createDataFrame([(d, [7]) for d, _ in docs], "doc_id long, bands array<long>")
         got = {r.node: r.root for r in nd._roots(signed, spark.createDataFrame(docs, "doc_id long, text string"), 0.8).collect()}
         assert {d: got.get(d, d) for d, _ in docs} == brute(docs)
+
+
+def test_a_document_of_two_texts_joins_their_classes(spark):
+    rows = [(3, "a b c d e f"), (10, "a b c d e f"), (10, "p q r s t u"), (12, "p q r s t u"), (12, "v w x y z"), (20, "v w x y z"), (30, "k l m n o")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {3: 3, 10: 3, 12: 3, 20: 3, 30: 30}
+    assert sorted(r.doc_id for r in nd.deduplicated(df).collect()) == [3, 30]
