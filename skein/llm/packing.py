@@ -7,7 +7,7 @@ the next longest piece, found by a segment tree over the free capacities. Packin
 
 A row holds the ids as little-endian integers (2 bytes if the vocabulary allows, else 4), padded to ``length``, the
 cumulative lengths of its segments (0 first) and, for each segment, the document, the piece's number in it and its
-first token; positions start anew at 0 in each segment.
+first token, and the position of each token (padding has none): positions start anew at 0 in each segment.
 
 Defined results: null and empty texts have no tokens, hence no segment. Rows without doc_id are packed with a null in
 doc_ids. Repeated rows are packed each. Extra columns are ignored; an empty table gives no rows.
@@ -112,7 +112,7 @@ _DDL = "shard int, row long, n_tokens int, doc_ids array<long>, pieces array<int
 
 
 def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, pad: int = PAD, pool: int = POOL) -> DataFrame:
-    """Packed rows: shard and row (their key), n_tokens, doc_ids, pieces and firsts (one for each segment), cu_seqlens, ids."""
+    """Packed rows: shard and row (their key), n_tokens, doc_ids, pieces and firsts (one for each segment), cu_seqlens, ids, position_ids."""
 
     def rows_of(held: list[tuple], shard: int, since: int, kind: type) -> Iterator[tuple]:
         bins: dict[int, list] = {}
@@ -148,7 +148,8 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
             yield from packed_up()
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.where("text is not null and text <> ''").mapInArrow(run, _DDL)
+    rows = docs.where("text is not null and text <> ''").mapInArrow(run, _DDL)
+    return rows.withColumn("position_ids", position_ids(F.col("cu_seqlens")))
 
 
 def position_ids(cu_seqlens: Column) -> Column:

@@ -252,3 +252,11 @@ def test_packing_round_trip(spark, tokens):
             assert [i for _, x in got for i in x] == wanted
     spark.createDataFrame([([0, 3, 5],)], "c array<int>").select(packing.position_ids(__import__("pyspark").sql.functions.col("c"))).first()[0] == [0, 1, 2, 0, 1]
     assert packing.packed(df.where("false")).count() == 0
+
+
+def test_packed_rows_hold_positions(spark, tokens):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "hello there"), (3, "long " * 200), (4, None)], "doc_id long, text string").coalesce(1)
+    rows = packing.packed(df, length=64).collect()
+    assert any(len(r.doc_ids) > 1 for r in rows)
+    for r in rows:
+        assert r.position_ids == [p for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for p in range(b - a)]
