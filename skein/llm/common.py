@@ -21,14 +21,25 @@ WORD_BYTES = bytes(
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or in its absence one made for this session."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. In its absence one is made for this session
+    where driver and executors are one process; on a cluster that is an error, as executors don't see each other's disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="skein-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, lengthened until no column of ``tables`` has it in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import WordHashes, mixed, slices, small_side, words_of, written
+from skein.llm.common import WordHashes, fresh, mixed, slices, small_side, words_of, written
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -129,28 +129,37 @@ def signatures(docs: DataFrame) -> DataFrame:
     )
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache, last, left = WordHashes(200_000), None, None
+def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = WordHashes(200_000)
     for batch in slices(batches, "text", 2_000_000):
+        units = [shingles([cache.of(words_of(t))])[0].tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units, pa.binary())], names=["doc_id", "units"])
+
+
+def weighed(texts: DataFrame) -> DataFrame:
+    """doc_id and the sorted unit elements of each whole text of ``texts`` (doc_id, text) that has a word."""
+    return texts.mapInArrow(_weigh, "doc_id long, units binary").where("octet_length(units) > 0")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
         scores = []
-        for leader, mine, theirs in zip(*(batch.column(c).to_pylist() for c in ("leader", "text", "leader_text"))):
-            if leader != last:
-                last, left = leader, shingles([cache.of(words_of(theirs))])[0]
-            right = shingles([cache.of(words_of(mine))])[0]
+        for mine, theirs in zip(batch.column("units").to_pylist(), batch.column("leader_units").to_pylist()):
+            left, right = np.frombuffer(theirs, np.uint64), np.frombuffer(mine, np.uint64)
             both = len(np.intersect1d(left, right, assume_unique=True))
-            scores.append(both / max(len(left) + len(right) - both, 1))
+            scores.append(both / (len(left) + len(right) - both))
         yield pa.RecordBatch.from_arrays(
             [batch.column("leader"), batch.column("member"), pa.array(scores, pa.float64())],
             names=["leader", "member", "similarity"],
         )
 
 
-def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Exact similarity of each (leader, member) on the whole texts of ``texts`` (doc_id, text)."""
-    both = pairs.join(texts.select(F.col("doc_id").alias("member"), "text"), "member").join(
-        texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("leader_text")), "leader"
+def compared(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """Exact similarity of each (leader, member) on the units of their whole texts."""
+    both = pairs.join(units.select(F.col("doc_id").alias("member"), "units"), "member").join(
+        units.select(F.col("doc_id").alias("leader"), F.col("units").alias("leader_units")), "leader"
     )
-    return both.select("leader", "member", "text", "leader_text").mapInArrow(
+    return both.select("leader", "member", "units", "leader_units").mapInArrow(
         _compare, "leader long, member long, similarity double"
     )
 
@@ -206,13 +215,6 @@ def _rooted(df: DataFrame, column: str, roots: DataFrame) -> DataFrame:
     return out.withColumn(column, F.coalesce("_root", column)).drop("_node", "_root")
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes(200_000)
-    for batch in slices(batches, "text", 2_000_000):
-        units = [shingles([cache.of(words_of(t))])[0].tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units, pa.binary())], names=["doc_id", "units"])
-
-
 def _linked(similar: float):
     def links(rows: pa.Table) -> pa.Table:
         """(a, b): links between two blocks of a bucket (or within one) that connect components."""
@@ -243,29 +245,35 @@ def _linked(similar: float):
     return links
 
 
-def _rest(placed: DataFrame, signed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+def _blocked(placed: DataFrame) -> DataFrame:
+    """``placed`` (key, doc_id, root, weight) without weight, a row for each pair of blocks, i and j, that the member is in.
+
+    Most buckets are one block, '0'. Of a bucket with more weight than a block, a component of more than a block has
+    blocks of its own, which aren't paired with each other; the other components share blocks."""
+    large = placed.groupBy("key", "root").agg(F.sum("weight").alias("weight")).withColumn("own", F.expr(f"if(weight > {BLOCK}, root, null)"))
+    parts = large.groupBy("key", "own").agg(F.ceil(F.sum("weight") / BLOCK).cast("long").alias("parts"))
+    hot = parts.groupBy("key").agg(F.collect_list(F.struct("own", "parts")).alias("hot"), F.sum("parts").alias("n")).where("n > 1").drop("n")
+    placed = placed.drop("weight").join(small_side(written(hot, "hot-buckets")), "key", "left")
+    label = lambda own, part: F.concat_ws(":", own.cast("string"), part.cast("string"))
+    parts_of = lambda own: F.get(F.filter("hot", lambda b: b["own"].eqNullSafe(own)), 0)["parts"]
+    own, shared, nobody = parts_of(F.col("root")), parts_of(F.lit(None).cast("long")), F.lit(None)
+    block = F.when(own.isNotNull(), label(F.col("root"), F.pmod(F.xxhash64("doc_id"), own))).otherwise(label(nobody, F.pmod(F.xxhash64("root"), shared)))
+    others = F.filter("hot", lambda b: ~b["own"].eqNullSafe(F.col("root")))
+    labels = F.flatten(F.transform(others, lambda b: F.transform(F.sequence(F.lit(0).cast("long"), b["parts"] - 1), lambda p: label(b["own"], p))))
+    placed = placed.withColumn("block", F.when(F.col("hot").isNull(), "0").otherwise(block))
+    placed = placed.withColumn("with", F.explode(F.when(F.col("hot").isNull(), F.array(F.lit("0"))).otherwise(labels)))
+    return placed.select("key", "doc_id", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+
+
+def _rest(placed: DataFrame, signed: DataFrame, units: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) between the components of ``placed`` (key, doc_id, root): all members of a bucket against all."""
     open_ = placed.groupBy("key").agg(F.min("root").alias("m"), F.max("root").alias("n")).where("m < n").select("key")
-    placed = placed.join(open_, "key")
+    placed = placed.join(small_side(written(open_, "open-buckets")), "key", "left_semi")
     some = small_side(written(placed.select("doc_id").distinct(), "open"))
-    units = texts.join(some, "doc_id", "left_semi").mapInArrow(_weigh, "doc_id long, units binary").where("octet_length(units) > 0")
-    units = written(units.join(signed.join(some, "doc_id", "left_semi").select("doc_id", "bands"), "doc_id"), "units")
+    units = units.join(some, "doc_id", "left_semi").join(signed.join(some, "doc_id", "left_semi").select("doc_id", "bands"), "doc_id")
+    units = written(units, "open-units")
     weight = units.groupBy("doc_id").agg(F.greatest(F.sum(F.octet_length("units")) / 8, F.lit(LEAST)).alias("weight"))
-    placed = written(placed.join(weight, "doc_id"), "unfinished")
-    # a component of more than a block has blocks of its own, which aren't paired with each other; the others share blocks
-    large = placed.groupBy("key", "root").agg(F.sum("weight").alias("weight")).withColumn("own", F.expr(f"if(weight > {BLOCK}, root, null)"))
-    parts = large.groupBy("key", "own").agg(F.ceil(F.sum("weight") / BLOCK).alias("parts"))
-    parts = written(parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "blocks")
-    label = F.concat_ws(":", "own", "part")
-    blocks = parts.groupBy("key").agg(F.collect_list(F.struct("own", label.alias("block"))).alias("blocks"))
-    placed = placed.drop("weight").join(large.select("key", "root", "own"), ["key", "root"])
-    count = parts.where("part = 0").select("key", F.col("own").alias("_own"), "parts").withColumnRenamed("key", "_key")
-    placed = placed.join(count, (F.col("key") == F.col("_key")) & F.col("own").eqNullSafe(F.col("_own")))
-    salt = F.xxhash64(F.when(F.col("own").isNull(), F.col("root")).otherwise(F.col("doc_id")))
-    placed = placed.withColumn("part", F.pmod(salt, "parts")).withColumn("block", label).join(blocks, "key")
-    with_ = F.filter("blocks", lambda b: b["own"].isNull() | ~b["own"].eqNullSafe(F.col("own")))
-    placed = placed.select("key", "doc_id", "root", "block", F.explode(F.transform(with_, lambda b: b["block"])).alias("with"))
-    placed = placed.select("key", "doc_id", "root", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    placed = _blocked(written(placed.join(weight, "doc_id"), "unfinished"))
     return placed.join(units, "doc_id").groupBy("key", "i", "j").applyInArrow(_linked(similar), "a long, b long")
 
 
@@ -277,11 +285,11 @@ def _roots(signed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     new = placed.where("doc_id <> leader")
     # only texts that share a bucket are read again
     some = small_side(written(placed.select("doc_id").distinct(), "members"))
-    texts = written(texts.join(some, "doc_id", "left_semi"), "member-texts")
-    found = compared(new.select("leader", F.col("doc_id").alias("member")).distinct(), texts).where(F.col("similarity") >= similar)
+    units = written(weighed(texts.join(some, "doc_id", "left_semi")), "units")
+    found = compared(new.select("leader", F.col("doc_id").alias("member")).distinct(), units).where(F.col("similarity") >= similar)
     roots = components(found.select(F.col("leader").alias("a"), F.col("member").alias("b")))
     rest = _rooted(new.withColumn("root", F.col("doc_id")).select("key", "doc_id", "root"), "root", small_side(roots))
-    joined = components(_rest(written(rest, "placed"), signed, texts, similar))
+    joined = components(_rest(written(rest, "placed"), signed, units, similar))
     # only the roots that the new links join are contracted anew
     return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "roots")
 
@@ -309,11 +317,12 @@ def near_duplicates(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 def deduplicated(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of ``docs`` whose document is the least of its class, one row for each, with the columns of ``docs``."""
     classes = written(near_duplicates(docs, similar), "classes")
-    gone = written(classes.where("class_id <> doc_id").select(F.col("doc_id").alias("_gone")), "gone")
-    kept = docs.join(small_side(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    dropped, nth = fresh("gone", docs), fresh("nth", docs)
+    gone = small_side(written(classes.where("class_id <> doc_id").select(F.col("doc_id").alias(dropped)), "gone"))
+    kept = docs.join(gone, docs["doc_id"].cast("long") == gone[dropped], "left_anti")
     if docs.where("doc_id is not null").count() > classes.count():
         # repeated ids are rare; only then are whole rows shuffled
         order = Window.partitionBy("doc_id").orderBy(*[c for c in ("text",) if c in docs.columns])
-        again = kept.where("doc_id is not null").withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+        again = kept.where("doc_id is not null").withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
         kept = again.unionByName(kept.where("doc_id is null"))
     return kept

@@ -135,3 +135,11 @@ def test_a_document_of_two_texts_joins_their_classes(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {3: 3, 10: 3, 12: 3, 20: 3, 30: 30}
     assert sorted(r.doc_id for r in nd.deduplicated(df).collect()) == [3, 30]
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    rows = [(1, "a b c d e f", 5, 6, 7, 8), (1, "p q r s t u", 5, 6, 7, 8), (2, "A b c d e f!", 5, 6, 7, 8), (None, None, 5, 6, 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _nth int, NTH int, gone int, _root int")
+    kept = nd.deduplicated(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None"]
+    assert {(r.doc_id, r.class_id) for r in nd.near_duplicates(df).collect()} == {(1, 1), (2, 1)}
