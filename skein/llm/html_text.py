@@ -1,21 +1,28 @@
 """HTML extraction by layout-aware rendering (operator 3).
 
 A tree is built from the tags with the end tags that HTML implies (a paragraph ends where a block begins, a list item
-where the next begins, a cell or row likewise); what CSS or HTML hides inline is left out, and
-ends by the same rules; all other text is emitted.
+where the next begins, a cell or row likewise, a head where its body begins). What HTML or inline CSS hides is left out,
+and ends by the same rules: hidden elements and those of ``display:none`` with all that is in them; ``visibility:hidden``
+up to where a descendant is made visible again; of svg all but its text elements. All other text is emitted, options of
+a select, formulas and an object's fallback among it.
+
 Blocks stand on lines of their own, paragraphs, headings, lists and tables with an empty line around them; list items
-get a bullet or number and are indented by level; cells of a table's column are aligned.
+get a bullet or number and are indented by level; cells of a table's column are aligned, with regard to cells that span
+columns or rows. A column is as wide as the widest of its cells of at most ``WIDEST`` characters; longer cells stand whole.
+
+Time and memory are in proportion to the page: tags are scanned forwards once, the open elements that a tag may end are
+looked up, not searched, and rendering keeps a stack of its own, so nesting may have any depth.
 
-Defined results: null and empty html give ''. Unclosed and stray tags are tolerated, as is nesting of any depth (below
-``DEEPEST`` levels tags no longer nest, their text stays). Cells longer than ``WIDEST`` don't widen their column.
-Repeated rows are rendered one by one; extra columns are ignored.
+Defined results: null and empty html give ''. Unclosed and stray tags are tolerated; a ``<`` that begins no tag, or a tag
+without ``>``, is text. Repeated rows are rendered one by one; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,51 +30,115 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import slices
 
-DEEPEST, WIDEST = 200, 40
+WIDEST = 40
+#: HTML's own limits for the columns and rows of a cell.
+COLUMNS, ROWS = 1_000, 65_534
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object svg math canvas audio video datalist select".split())
-FOREIGN = frozenset({"svg", "math"})
+HIDDEN = frozenset("head title script style template noscript noembed noframes iframe canvas audio video datalist".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes template xmp".split())
+#: Parts of svg and math that aren't shown.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata annotation annotation-xml".split())
 #: What a head may hold; any other tag ends it.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Tags that end an svg or math which they stand in.
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-RAW = frozenset("script style textarea title iframe noscript template".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("address article aside body center dd details dialog div dt figcaption footer form header html legend li main nav section summary caption".split())
-#: A tag, the open tags that it ends, and those behind which it doesn't look for them.
-_LISTS, _CELLS = frozenset({"ul", "ol"}), frozenset({"table"})
+#: Lines of their own that end no paragraph.
+LINES = BLOCK | {"select", "option", "optgroup", "text"}
 GROUPS = frozenset({"thead", "tbody", "tfoot"})
-#: Implied ends aren't looked for behind these; nor, in hidden elements, are inline end tags behind ``SPECIAL``.
-OPAQUE = HIDDEN - {"head"}
-SPECIAL = BLOCK | frozenset("td th tr thead tbody tfoot object select svg math html head".split())
-ENDS = {
-    "li": ({"li"}, _LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
-    "td": ({"td", "th"}, _CELLS), "th": ({"td", "th"}, _CELLS), "tr": ({"tr"}, _CELLS),
-    "thead": ({"thead", "tbody", "tfoot"}, _CELLS), "tbody": ({"thead", "tbody", "tfoot"}, _CELLS), "tfoot": ({"thead", "tbody", "tfoot"}, _CELLS),
+LISTS = frozenset({"ul", "ol"})
+
+_OPAQUE = (HIDDEN - {"head"}) | {"svg", "math", "object", "select"}
+_SPECIAL = BLOCK | frozenset("td th tr thead tbody tfoot object select svg math html head".split())
+#: Classes of tags behind which nothing is ended.
+_BEHIND = {
+    "#list": LISTS | _OPAQUE,
+    "#terms": _OPAQUE | {"dl"},
+    "#select": (_OPAQUE - {"select"}) | {"select"},
+    "#table": _OPAQUE | {"table"},
+    "#around-p": BLOCK | _OPAQUE | {"td", "th"},
+    "#cells": frozenset({"table"}),
+    "#special": _SPECIAL | {"table"},
+    "#rows": frozenset({"tr", "table"}),
+}
+#: A tag, the open tags that it ends, and the class behind which they stay.
+_ENDS = {
+    "li": (("li",), "#list"), "dt": (("dt", "dd"), "#terms"), "dd": (("dt", "dd"), "#terms"),
+    "option": (("option",), "#select"), "optgroup": (("option", "optgroup"), "#select"),
+    "td": (("td", "th"), "#table"), "th": (("td", "th"), "#table"), "tr": (("tr",), "#table"),
+    "thead": (tuple(GROUPS), "#table"), "tbody": (tuple(GROUPS), "#table"), "tfoot": (tuple(GROUPS), "#table"),
 }
-ENDS = {tag: (ended, behind | OPAQUE) for tag, (ended, behind) in ENDS.items()}
-_AROUND_P = BLOCK | OPAQUE | {"td", "th"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
+_GONE = re.compile(r"display\s*:\s*none")
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 
 
-class Node:
-    __slots__ = ("children", "hidden", "start", "tag")
+class _Classes(dict):
+    def __missing__(self, tag: str) -> tuple[str, ...]:
+        value = (tag, *(c for c, tags in _BEHIND.items() if tag in tags))
+        if len(self) < 10_000:
+            self[tag] = value
+        return value
+
+
+_CLASSES = _Classes()
 
-    def __init__(self, tag: str, start: int = 1, hidden: int = 0):  # hidden: 2 in svg and math
-        self.tag, self.children, self.start, self.hidden = tag, [], start, hidden
+
+class Node:
+    """An open or closed element. ``gone``: not shown, with all in it; ``seen``: its own text is visible; ``kind``: in svg,
+    in math or in neither; ``rows``: a row of a table is in it."""
+
+    __slots__ = ("children", "columns", "down", "gone", "kind", "rows", "seen", "start", "tag", "up")
+
+    def __init__(self, tag: str, up: Node | None = None):
+        self.tag, self.up, self.children, self.start, self.columns, self.down, self.rows = tag, up, [], 1, 1, 1, False
+        self.gone, self.seen, self.kind = (up.gone, up.seen, up.kind) if up else (False, True, "")
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, int, int]]:
+    """(name, attributes, start, end) of each tag, comment ('') or declaration (''), in order; a name begins with / at an end tag.
+
+    ``send`` a position to go on from there (behind raw text)."""
+    at, size, unpaired = 0, len(page), set()
+    while at < size and (start := page.find("<", at)) >= 0:
+        if page.startswith(("!", "?"), start + 1):
+            comment = page.startswith("<!--", start)
+            end = page.find("-->" if comment else ">", start + (4 if comment else 2))
+            name, raw, end = "", "", size if end < 0 else end + (3 if comment else 1)
+        elif found := _NAME.match(page, start + 1):
+            end = found.end()
+            while stop := _STOP.search(page, end):
+                end = stop.end()
+                if stop[0] == ">":
+                    break
+                before = end - 2  # a quote opens a value only behind =
+                while page[before].isspace():
+                    before -= 1
+                if page[before] == "=" and stop[0] not in unpaired:
+                    close = page.find(stop[0], end)
+                    if close < 0:
+                        unpaired.add(stop[0])
+                    else:
+                        end = close + 1
+            if not stop:  # no tag ends any more
+                return
+            name, raw = page[start + 1 : found.end()].lower(), page[found.end() : end - 1]
+        else:
+            at = start + 1
+            continue
+        at = (yield name, raw, start, end) or end
 
 
-def _unseen(tag: str, attributes: dict[str, str]) -> bool:
-    return (
-        tag in HIDDEN
-        or "hidden" in attributes
-        or (tag == "dialog" and "open" not in attributes)
-        or bool(_UNSEEN.search(attributes.get("style", "").lower()))
-    )
+def _number(text: str, least: int, most: int, default: int = 1) -> int:
+    text = text.strip()
+    return min(max(int(text), least), most) if text.lstrip("-").isdecimal() and len(text) < 10 else default
 
 
 def tree(page: str) -> Node:
@@ -75,100 +146,139 @@ def tree(page: str) -> Node:
 
     A hidden element is open like any other, so that the same end tags are implied in it, but is no child of its parent."""
     root = Node("body")
-    stack, at = [root], 0
-    size = len(page)
+    stack, where, at = [root], {}, 0
 
     def text(raw: str) -> None:
+        if not raw:
+            return
         if stack[-1].tag == "head" and raw.strip(" \t\n\r\f"):
-            stack.pop()
-        if raw and not stack[-1].hidden:
-            stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
-
-    def close(tags, behind) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in behind:
-                return
-
-    while at < size and (found := _TOKEN.search(page, at)):
-        text(page[at : found.start()])
-        at = found.end()
-        if not found[2]:
-            continue
-        tag = found[2].lower()
-        if found[1]:
-            if tag == "p" and not stack[-1].hidden and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p"))
-            behind = _CELLS if tag not in ("table", "body", "html") else frozenset()
-            close({tag}, behind | SPECIAL if stack[-1].hidden and tag not in SPECIAL else behind)
-            continue
-        raw = found[3]
-        attributes = {}
-        if "=" in raw or "hidden" in raw.lower() or tag == "dialog":
-            attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
-        if stack[-1].hidden == 2 and tag in BREAKOUT:
-            while stack[-1].hidden == 2:
-                stack.pop()
-        if tag in BLOCK:
-            close({"p"}, _AROUND_P)
-        if tag in ENDS:
-            if tag in GROUPS:
-                close(*ENDS["tr"])
-            close(*ENDS[tag])
-            if tag in ("td", "th") and next((n.tag for n in reversed(stack) if n.tag in ("tr", "table")), "") == "table":
-                row = Node("tr", hidden=stack[-1].hidden)
-                if len(stack) < DEEPEST or row.hidden:
-                    if not row.hidden:
-                        stack[-1].children.append(row)
-                    stack.append(row)
-        if tag == "body" or (stack[-1].tag == "head" and tag not in IN_HEAD):
-            close({"head"}, ())
-        hides = stack[-1].hidden or int(_unseen(tag, attributes))
-        if tag in FOREIGN or hides == 2:
-            if raw.endswith("/"):
-                continue
-            hides = 2
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if not hides:
-                text(page[at : end.start() if end else size])
-            at = end.end() if end else size
-            continue
-        if tag in VOID:
-            if not hides:
-                stack[-1].children.append(Node(tag))
-            continue
-        if tag in ("html", "body") and not hides:
-            continue
-        node = Node(tag, int(s) if tag == "ol" and (s := attributes.get("start", "")).lstrip("-").isdecimal() and len(s) < 10 else 1, 1 if tag == "foreignobject" and hides else hides)
-        if len(stack) < DEEPEST or hides:
-            if not hides:
-                stack[-1].children.append(node)
-            stack.append(node)
-    if at < size:
-        text(page[at:])
+            cut(len(stack) - 1)
+        top = stack[-1]
+        if not top.gone and top.seen and top.kind != "svg":
+            top.children.append(html.unescape(raw) if "&" in raw else raw)
+
+    def push(node: Node) -> None:
+        for c in _CLASSES[node.tag]:
+            where.setdefault(c, []).append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            for c in _CLASSES[stack.pop().tag]:
+                where[c].pop()
+
+    def last(names) -> int:
+        return max((w[-1] for n in names if (w := where.get(n))), default=0)
+
+    def close(tags, *behind: str) -> None:
+        i = last(tags)
+        if i and i >= last(behind):
+            cut(i)
+
+    def child(node: Node) -> None:
+        if not node.gone:
+            node.up.children.append(node)
+            if node.tag == "tr":
+                up = node.up
+                while up is not None and not up.rows and up.tag != "table":
+                    up.rows, up = True, up.up
+
+    found = tokens(page)
+    step, go = next(found, None), None
+    while step:
+        name, raw, start, end = step
+        text(page[at:start])
+        at, go = end, None
+        if name.startswith("/"):
+            tag, top = name[1:], stack[-1]
+            if tag == "p" and not top.gone and not where.get("p"):
+                child(Node("p", top))
+            behind = () if tag in ("table", "body", "html") else ("#cells",)
+            close((tag,), *behind, *(("#special",) if top.gone and tag not in _SPECIAL else ()))
+        elif name:
+            go = opened(name, raw, page, end, stack, push, cut, close, last, child, text)
+            at = go or end
+        try:
+            step = found.send(go)
+        except StopIteration:
+            step = None
+    text(page[at:])
     return root
 
 
+def opened(tag: str, raw: str, page: str, end: int, stack, push, cut, close, last, child, text) -> int | None:
+    """A start tag; the position behind its raw text, if it has such."""
+    attributes = {}
+    if "=" in raw or "hidden" in raw.lower() or tag == "dialog":
+        attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
+    if stack[-1].kind and tag in BREAKOUT:
+        cut(last(("svg", "math")))
+    if tag in BLOCK:
+        close(("p",), "#around-p")
+    if tag in _ENDS:
+        if tag in GROUPS:
+            close(("tr",), "#table")
+        close(_ENDS[tag][0], _ENDS[tag][1])
+        if tag in ("td", "th") and (i := last(("#rows",))) and stack[i].tag == "table":
+            row = Node("tr", stack[-1])
+            child(row)
+            push(row)
+    if tag == "body" or (stack[-1].tag == "head" and tag not in IN_HEAD):
+        close(("head",))
+    top = stack[-1]
+    node = Node(tag, top)
+    style = attributes.get("style", "").lower() if attributes else ""
+    if tag in HIDDEN or (top.kind and tag in UNDRAWN) or "hidden" in attributes or (tag == "dialog" and "open" not in attributes) or _GONE.search(style):
+        node.gone = True
+    if shown := _VISIBILITY.findall(style):
+        node.seen = shown[-1] == "visible"
+    if tag in ("svg", "math"):
+        node.kind = tag
+    elif top.kind == "svg" and tag in ("text", "foreignobject"):
+        node.kind = "drawn" if tag == "text" else ""
+    if (node.kind or top.kind) and raw.endswith("/"):
+        return None
+    if tag in RAW and not top.kind:
+        stop = _RAW_END[tag].search(page, end)
+        if not node.gone:
+            child(node)
+            push(node)
+            text(page[end : stop.start() if stop else len(page)])
+            cut(len(stack) - 1)
+        return stop.end() if stop else len(page)
+    if tag in VOID:
+        child(node)
+        return None
+    if tag in ("html", "body") and not node.gone and node.seen:
+        return None
+    if attributes:
+        node.start = _number(attributes.get("start", ""), -(10**9), 10**9) if tag == "ol" else 1
+        if tag in ("td", "th"):
+            node.columns = _number(attributes.get("colspan", ""), 1, COLUMNS)
+            node.down = _number(attributes.get("rowspan", ""), 0, ROWS) or ROWS
+    child(node)
+    push(node)
+    return None
+
+
 class Lines:
     """Collects lines of text with pending blanks and breaks."""
 
     def __init__(self):
         self.lines: list[str] = []
-        self.now, self.indent, self.mark, self.gap = "", "", "", False
+        self.now, self.indent, self.mark, self.gap = [], "", "", False
 
     def add(self, text: str) -> None:
         text = _BLANKS.sub(" ", text)
-        if not self.now or self.now.endswith(" "):
+        if not self.now or self.now[-1].endswith(" "):
             text = text.lstrip(" ")
-        self.now += text
+        if text:
+            self.now.append(text)
 
     def end(self, spaced: bool = False) -> None:
-        if line := self.now.rstrip(" "):
+        if line := "".join(self.now).rstrip(" "):
             self.put(line)
-        self.now = ""
+        self.now = []
         self.gap |= spaced
 
     def put(self, line: str) -> None:
@@ -179,9 +289,9 @@ class Lines:
         self.lines.append(indent + self.mark + line)
         self.mark = ""
 
-
-def _has_rows(node: Node) -> bool:
-    return any(isinstance(c, Node) and (c.tag == "tr" or (c.tag != "table" and _has_rows(c))) for c in node.children)
+    def begin(self, indent: str, mark: str) -> None:
+        self.end()
+        self.indent, self.mark = indent, mark
 
 
 def _parts(table: Node) -> Iterator[Node | str]:
@@ -189,46 +299,80 @@ def _parts(table: Node) -> Iterator[Node | str]:
     todo = list(reversed(table.children))
     while todo:
         node = todo.pop()
-        if isinstance(node, Node) and (node.tag in GROUPS or (node.tag not in ("tr", "table") and _has_rows(node))):
+        if isinstance(node, Node) and (node.tag in GROUPS or (node.tag not in ("tr", "table") and node.rows)):
             todo.extend(reversed(node.children))
         else:
             yield node
 
 
-def _table(node: Node, out: Lines) -> None:
+def _aligned(rows: list[list[tuple[int, int, Lines]]], out: Lines) -> None:
+    """Put the rows of a table; a row is a list of (column, columns that it spans, lines)."""
+    first = sorted({column for cells in rows for column, _, _ in cells})  # columns in which no cell begins take no room
+    wide = [0] * len(first)
+    placed = []
+    for cells in rows:
+        placed.append([])
+        for column, columns, own in cells:
+            i, j = bisect_left(first, column), bisect_left(first, column + columns)
+            placed[-1].append((i, j, own.lines or [""]))
+            if j - i == 1:
+                wide[i] = max([wide[i], *(len(x) for x in own.lines if len(x) <= WIDEST)])
+    before = [0]
+    for w in wide:
+        before.append(before[-1] + w + 3)
+    for cells in placed:
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            parts, at = [], 0
+            for i, j, lines in cells:
+                parts.extend(" " * w for w in wide[at:i])
+                line = lines[k] if k < len(lines) else ""
+                parts.append(line.ljust(before[j] - before[i] - 3) if j < len(first) else line)
+                at = j
+            line = " | ".join(parts)
+            if line.strip(" |"):
+                out.put(line.rstrip(" "))
+    out.end(True)
+
+
+def _table(node: Node, out: Lines, todo: list[tuple]) -> None:
+    """Work for a table, in reverse: captions and stray content, the cells into lines of their own, the alignment."""
     out.end(True)
+    work: list[tuple] = []
+    rows: list[list[tuple[int, int, Lines]]] = []
+    busy: list[tuple[int, int, int]] = []  # columns taken from above: first, behind the last, until row
     parts = list(_parts(node))
-    for part in parts:  # captions and stray content first
+    for part in parts:
+        if isinstance(part, str) or part.tag != "tr":
+            work += [(_open, part, out), (Lines.end, out)]
+    for part in parts:
         if isinstance(part, str) or part.tag != "tr":
-            _render(part, out)
-            out.end()
-    rows = []
-    for row in parts:
-        if isinstance(row, str) or row.tag != "tr":
             continue
-        cells = []
-        for cell in row.children:
-            own = Lines()
-            _render(cell, own) if isinstance(cell, Node) and cell.tag not in ("td", "th") else [_render(c, own) for c in ([cell] if isinstance(cell, str) else cell.children)]
-            own.end()
-            if own.lines or isinstance(cell, Node):
-                cells.append(own.lines or [""])
+        cells, column, down = [], 0, []
+        busy = sorted(b for b in busy if b[2] > len(rows))
+        taken = iter(busy)
+        block = next(taken, None)
+        for cell in part.children:
+            own, inner, columns = Lines(), [cell], 1
+            if isinstance(cell, Node) and cell.tag in ("td", "th"):
+                inner, columns = cell.children, cell.columns
+            elif isinstance(cell, str) and not cell.strip(" \t\n\r\f"):
+                continue
+            work += [(_open, c, own) for c in inner]
+            work.append((Lines.end, own))
+            while block and block[0] <= column:
+                column, block = max(column, block[1]), next(taken, None)
+            cells.append((column, columns, own))
+            if isinstance(cell, Node) and cell.down > 1:
+                down.append((column, column + columns, len(rows) + cell.down))
+            column += columns
+        busy += down
         rows.append(cells)
-    wide: dict[int, int] = {}
-    for cells in rows:
-        for i, lines in enumerate(cells):
-            for line in lines:
-                if len(line) <= WIDEST:
-                    wide[i] = max(wide.get(i, 0), len(line))
-    for cells in rows:
-        for k in range(max(map(len, cells), default=0)):
-            line = " | ".join((c[k] if k < len(c) else "").ljust(wide.get(i, 0)) for i, c in enumerate(cells))
-            if line.strip(" |"):
-                out.put(line.rstrip(" "))
-    out.end(True)
+    todo.append((_aligned, rows, out))
+    todo.extend(reversed(work))
 
 
-def _render(node: Node | str, out: Lines) -> None:
+def _open(node: Node | str, out: Lines, todo: list[tuple]) -> None:
+    """Render a node: what is to be done after it and for its children goes on the stack ``todo``."""
     if isinstance(node, str):
         out.add(node)
         return
@@ -237,7 +381,7 @@ def _render(node: Node | str, out: Lines) -> None:
         out.end()
         return
     if tag == "table":
-        _table(node, out)
+        _table(node, out, todo)
         return
     if tag == "pre":
         out.end(True)
@@ -245,32 +389,43 @@ def _render(node: Node | str, out: Lines) -> None:
             out.put(line.rstrip()) if line.strip() else out.lines.append("")
         out.end(True)
         return
-    spaced = tag in SPACED and not (tag in _LISTS and out.indent)  # lists in lists stand close
-    if tag in BLOCK:
+    spaced = tag in SPACED and not (tag in LISTS and out.indent)  # lists in lists stand close
+    if tag in LINES:
         out.end(spaced)
     before, number = out.indent, node.start
     if tag == "blockquote" or tag == "dd":
         out.indent += "  "
+    work: list[tuple] = []
     for child in node.children:
-        if tag in _LISTS and isinstance(child, Node) and child.tag == "li":
-            out.end()
+        if tag in LISTS and isinstance(child, Node) and child.tag == "li":
             mark = f"{number}. " if tag == "ol" else "- "
             number += 1
-            out.indent, out.mark = before + " " * len(mark), mark
-            _render(child, out)
-            out.end()
-            out.indent, out.mark = before, ""
+            work += [(Lines.begin, out, before + " " * len(mark), mark), (_open, child, out), (Lines.begin, out, before, "")]
         else:
-            _render(child, out)
+            work.append((_open, child, out))
+    work.append((_close, tag, before, spaced, out))
+    todo.extend(reversed(work))
+
+
+def _close(tag: str, before: str, spaced: bool, out: Lines) -> None:
     out.indent = before
-    if tag in BLOCK:
+    if tag in LINES:
         out.end(spaced)
     elif tag in ("td", "th"):
         out.add(" ")
 
 
 def _plain(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else _plain(c) for c in node.children)
+    todo, parts = list(reversed(node.children)), []
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str):
+            parts.append(node)
+        elif node.tag == "br":
+            parts.append("\n")
+        else:
+            todo.extend(reversed(node.children))
+    return "".join(parts)
 
 
 def rendered(page: str | None) -> str:
@@ -278,7 +433,10 @@ def rendered(page: str | None) -> str:
     if not page:
         return ""
     out = Lines()
-    _render(tree(page), out)
+    todo: list[tuple[Callable, ...]] = [(_open, tree(page), out)]
+    while todo:
+        do, *what = todo.pop()
+        do(*what, todo) if do is _open else do(*what)
     out.end()
     return "\n".join(out.lines).strip("\n")
 

@@ -158,10 +158,10 @@ def test_html(page, text):
         ("<table><tr hidden><td>a<tr><td hidden>b<td>c</table>d", "c\n\nd"),
         ("<div><span hidden>a</div>b", "b"),
         ("<svg class=i/>text<math/> too", "text too"),
-        ("a<svg><path d=x /><style/><g><text>x</text></g></svg>b", "ab"),
-        ("a<svg><foreignObject><div>x</div></foreignObject></svg>b", "ab"),
+        ("a<svg><path d=x /><style/><title>t</title><g>n<text>x</text></g></svg>b", "a\nx\nb"),
+        ("a<svg><foreignObject><div>x</div></foreignObject></svg>b", "a\nx\nb"),
         ("a<svg><g><p>b", "a\n\nb"),
-        ("<p>a<object><div>x</div></object>b", "ab"),
+        ("<p>a<object><div>x</div></object>b", "a\nx\nb"),
         ("<span>a<div hidden>b</span>c</div>d</span>", "ad"),
         ("<div hidden>" + "<div>" * 500 + "a" + "</div>" * 500 + "b</div>c", "c"),
     ],
@@ -260,3 +260,65 @@ def test_packed_rows_hold_positions(spark, tokens):
     assert any(len(r.doc_ids) > 1 for r in rows)
     for r in rows:
         assert r.position_ids == [p for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:]) for p in range(b - a)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<select><option>a<option>b</select>c", "a\nb\nc"),
+        ("let <math><mi>x</mi><annotation>no</annotation></math> be", "let x be"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>c<i>d</i></b>e</div>", "cd"),
+        ("<div style='display:none'>a<b style='visibility:visible'>c</b></div>e", "e"),
+        ("<table><tr><td colspan=2>ab<td>c<tr><td>1<td>2<td>3</table>", "ab    | c\n1 | 2 | 3"),
+        ("<table><tr><td rowspan=2>ab<td>c<tr><td>1<tr><td>x<td>y</table>", "ab | c\n   | 1\nx  | y"),
+        ("<table><tr><td colspan=1000>ab<td>c<tr><td colspan=junk>1<td>2</table>", "ab    | c\n1 | 2"),
+        ("<table><tr><td>1<td>" + "x" * 60 + "<td>b<tr><td>1<td>y<td>c</table>", "1 | " + "x" * 60 + " | b\n1 | y | c"),
+        ("a < b <c d", "a < b <c d"),
+        ("<p title=\"a>b\">x<p it's>y<p z=\"q>w", "x\n\ny\n\nw"),
+        ("<div>" * 5_000 + "x<p>y", "x\n\ny"),
+        ("<ul><li>a" * 3 + "</ul>" * 3, "- a\n  - a\n    - a"),
+    ],
+)
+def test_html_more(page, text):
+    assert html_text.rendered(page) == text
+
+
+def test_html_every_visible_word_in_order():
+    # brute force: words are shown unless an open element around them hides them; all elements are closed here
+    rng = random.Random(4)
+    inline, blocks = ["b", "i", "span", "a", "em"], ["div", "p", "ul", "section", "blockquote", "h2", "select"]
+
+    def build(depth, shown, words):
+        tag = rng.choice(inline + blocks[: 6 if depth < 4 else 0])
+        tag = tag if tag != "p" or depth > 2 else "div"
+        hides = rng.random() < 0.15
+        body = ""
+        for _ in range(rng.randint(1, 4)):
+            if depth < 6 and rng.random() < 0.6 and tag not in ("p", "h2"):
+                body += build(depth + 1, shown and not hides, words)
+            else:
+                words.append(("w%d" % len(words), shown and not hides))
+                body += f" {words[-1][0]} "
+        return f"<{tag}{rng.choice([' hidden', ' style=display:none']) if hides else ''}>{body}</{tag}>"
+
+    for _ in range(150):
+        words = []
+        page = "".join(build(0, True, words) for _ in range(3))
+        got = re.findall(r"w\d+", html_text.rendered(page))
+        assert got == [w for w, seen in words if seen], page
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<p hidden>", "<li>x", "<table><tr><td>", "<b><i></b>", "<a title='", "</p>", "<!--", "<td>", "<svg><g>", "&lt;<", "<ul><li><table><i>", "<script>x</script >"])
+def test_html_takes_time_in_proportion(piece):
+    import time
+
+    html_text.rendered(piece * 1_000)
+    since = time.process_time()
+    html_text.rendered(piece * (300_000 // len(piece)))
+    assert time.process_time() - since < 5
+
+
+def test_html_empty_table_repeats_and_clashes(spark):
+    df = spark.createDataFrame([(1, "<p>a", 1), (1, "<p>a", 1), (None, "b", 2), (2, None, 3)], "page_id long, html string, text int")
+    assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(df).collect()) == [(0, "b"), (1, "a"), (1, "a"), (2, "")]
+    assert html_text.extracted(df.where("false")).count() == 0
