@@ -2,15 +2,16 @@
 
 Statistics of every whole text are measured once; a bounded sample of labelled rows (``SAMPLE``) is fetched, and
 sequential covering learns a list of rules for the rejected class: each grows a conjunction of thresholds by FOIL gain
-on two thirds of the sample and is pruned on the last third; rules whose precision there is below ``PRECISE`` end the
-list. The list is emitted as an ordered conditional expression over the statistics, which Spark applies to all rows.
+on two thirds of the sample and is pruned on the last third; the first rule that there covers fewer rows than ``COVERED``
+or whose precision is below ``PRECISE`` ends the list. The list is emitted as an ordered conditional expression over the statistics, which Spark applies to all rows.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, case kept. A repeated word is one in a window of three words that the text has twice
 or more (each place counts once); a repeated line is one with a word that equals an earlier line.
 
 Defined results: null and empty texts have statistics of 0 and fail the base rule. Rows without label only get judged;
 rows labelled more than once count with their least label; null labels are ignored. Without labels of both kinds the
-list is empty and the base rule alone decides. Repeated rows are judged one by one. Extra columns are ignored.
+list is empty and the base rule alone decides. Repeated rows are judged one by one. Extra columns are ignored. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import slices, small_side, written
+from skein.llm.common import fresh, slices, small_side, written
 
 #: Labelled rows that the list is learned from, at most about so many.
 SAMPLE = 20_000
-#: Precision on the pruning set below which a rule isn't taken; longest conjunction; most rules; thresholds tried a feature.
-PRECISE, LONGEST, MOST, CUTS = 0.95, 4, 16, 40
+#: Precision on the pruning set below which a rule isn't taken; rows that it must cover there; longest conjunction; most
+#: rules; thresholds tried a feature.
+PRECISE, COVERED, LONGEST, MOST, CUTS = 0.95, 4, 4, 16, 40
 #: Fixed values of the base rule.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -37,15 +39,14 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), *((c, pa.int64()) for c in _COUNTS)])
 
 
-def _repeated(ids: np.ndarray, known: int) -> int:
+def _repeated(ids: np.ndarray) -> int:
     """Places in windows of three that occur twice or more."""
     n = len(ids)
     if n < 4:
         return 0
-    key = ids[:-1] * known + ids[1:]
-    if known >= 2**20:
-        key, known = np.unique(key, return_inverse=True)[1], min(known, n)
-    key = key[:-1] * known + ids[2:] if known < 2**20 else np.unique(np.stack([key[:-1], ids[2:]]), axis=1, return_inverse=True)[1].ravel()
+    ids = np.unique(ids, return_inverse=True)[1]  # numbered within the text: below n, so a pair of them fits 64 bits
+    pair = np.unique(ids[:-1] * n + ids[1:], return_inverse=True)[1]
+    key = pair[:-1] * n + ids[2:]
     order = np.argsort(key, kind="stable")
     same = key[order[1:]] == key[order[:-1]]
     if not same.any():
@@ -73,7 +74,7 @@ def _stats(text: str | None, ids: dict[bytes, int]) -> tuple[int, ...]:
         len(text or "") - blanks,
         without(b"#*$%&|<>"),
         len(lines) - len(set(lines)),
-        _repeated(np.array(known, np.int64), len(ids) + 1),
+        _repeated(np.array(known, np.int64)),
         len(lines),
         upper,
         upper + without(b"abcdefghijklmnopqrstuvwxyz"),
@@ -198,7 +199,7 @@ def learned(x: np.ndarray, bad: np.ndarray, names: list[str]) -> DecisionList:
             tests = shorter
         on = _holds(xp, tests)
         precision = yp[on].mean() if on.any() else 0.0
-        if not tests or not on.any() or precision < PRECISE:
+        if not tests or on.sum() < COVERED or precision < PRECISE:
             break
         rules.append(Rule(tuple((names[f], sign, t) for f, sign, t in tests), int(on.sum()), float(precision)))
         left &= ~_holds(x, tests)
@@ -230,6 +231,8 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def passed(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs`` that are kept, with the columns of ``docs``."""
-    gone = judged(docs, labels, sample).where(~F.col("kept")).select(F.col("row_key").alias("_gone")).distinct()
+    key, doc = fresh("key", docs), fresh("doc", docs)
+    gone = judged(docs, labels, sample).where(~F.col("kept")).select(F.col("row_key").alias(key), F.col("doc_id").alias(doc)).distinct()
     gone = small_side(written(gone, "rejected"))
-    return docs.join(gone, row_key(docs) == gone["_gone"], "left_anti")
+    # the hash of id and text tells rows of one id apart; two ids never share a verdict
+    return docs.join(gone, (row_key(docs) == gone[key]) & docs["doc_id"].cast("long").eqNullSafe(gone[doc]), "left_anti")

@@ -36,8 +36,42 @@ def test_quality_counts(spark):
 
 
 def test_repeated_with_a_large_vocabulary():
+    rng = np.random.default_rng(1)
     ids = np.array([0, 5, 2**20 + 1, 7, 0, 5, 2**20 + 1, 9])
-    assert quality._repeated(ids, 2**20 + 5) == 6 and quality._repeated(ids, 2**21 * 8) == 6
+    assert quality._repeated(ids) == 6 and quality._repeated(ids * 2**35) == 6
+    for most in (30, 2**21, 2**40):  # beyond what one task's word table held when ids were composed without renumbering
+        for part in (rng.integers(0, most, 20_000), np.tile(rng.integers(0, most, 50), 3)):
+            windows = list(zip(part, part[1:], part[2:]))
+            n = Counter(windows)
+            assert quality._repeated(part) == len({i + k for i, w in enumerate(windows) if n[w] > 1 for k in range(3)})
+
+
+def test_verdicts_equal_rules_applied_by_hand(spark):
+    rng = random.Random(8)
+    word = lambda: rng.choice(["alpha", "Beta", "###", "12", "x.", "gamma,", "DELTA"]) + rng.choice("abcdefgh") * rng.randint(0, 3)
+    docs = [(i, " ".join(word() for _ in range(rng.randint(55, 120))) + rng.choice(["", "\n" * 3, " ### ### ###" * 8])) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t.count("###") < 20)) for i, t in docs], "doc_id long, quality int")
+    rules = quality.decision_list(quality.measured(df), labels).rules
+    assert rules and all(r.covered >= quality.COVERED for r in rules)
+    for r in quality.judged(df, labels).collect():
+        words = max(r.n_words, 1)
+        has = {
+            "n_words": r.n_words, "word_length": r.word_chars / words, "symbols": r.n_symbols / words, "dup_lines": r.n_dup_lines / max(r.n_lines, 1),
+            "repeated": r.n_repeat_words / words, "upper": r.n_upper / max(r.n_letters, 1), "digits": r.n_digits / max(r.word_chars, 1),
+            "marks": r.n_marks / words, "line_words": r.n_words / max(r.n_lines, 1),
+        }
+        hit = any(all(has[f] >= t if sign == ">=" else has[f] <= t for f, sign, t in rule.tests) for rule in rules)
+        assert r.base_failed == (r.n_words < 50 or 2 * r.n_repeat_words > r.n_words) and r.kept == (not r.base_failed and not hit)
+
+
+def test_quality_clashes_repeats_and_long_text(spark):
+    long = " ".join(f"w{i % 9000}" for i in range(200_000))
+    rows = [(1, long, 1, 2), (1, long, 1, 2), (2, None, 3, 4), (None, "", 5, 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key int, doc int")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert [r.n_repeat_words for r in quality.measured(df).where("doc_id = 1").collect()] == [200_000] * 2
+    assert quality.passed(df, labels).columns == df.columns and quality.passed(df, labels).count() == 0  # every window repeats
 
 
 def test_decision_list_learns_thresholds(spark):
