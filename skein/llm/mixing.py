@@ -4,14 +4,17 @@ Each source's documents, in a hashed order, are cut into blocks. With weight w,
 slot floor(j / w) and due by slot ceil((j + 1) / w); in each slot the released block of the earliest deadline goes.
 Weights are taken as given, in whole numbers without rounding. Up to any slot, the blocks of a source differ from
 weight times slots by less than one, as long as no source has run out; afterwards its slots are left out and the
-others keep their proportions. No document is dropped or repeated. One task deals the slots, block by block, and holds
-one block a source; the table of blocks is joined with the rows.
+others keep their proportions. No document is dropped or repeated.
 
-Ranks within a source are counted in salted buckets and added up, so no source's rows meet in one task.
+Ranks within a source are counted in salted buckets, whose number follows the source's rows, and added up, so no source's
+rows meet in one task. The rule of the earliest deadline is sequential: one task deals the slots, a row a block of ``BLOCK``
+documents, and holds one block a source (about 2 microseconds a block; no document passes it). What it deals is a table
+that is joined with the rows. Up to ``MOST_SOURCES`` sources, whose names and counts the driver holds; more is an error.
 
-Defined results: a null source is a source of its own ('' in the output of ``scheduled``). Sources without a
-target weight come after all others, in equal parts; if none has a weight, all have the same. Rows are told apart by doc_id and text; equal rows are ranked in any order,
-which is the same result. Null texts count as rows. Extra columns are ignored by ``scheduled`` and kept by ``mixed``.
+Defined results: a null source is a source of its own ('' in the output of ``scheduled``). Sources without a target weight
+come after all others, in equal parts; if none has a weight, all have the same. Null texts and ids count as rows.
+Repeated rows have ranks and slots of their own, in any order. Extra columns are ignored by ``scheduled`` and kept by
+``mixed``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import small_side, written
+from skein.llm.common import fresh, small_side, written
 
-#: Documents in a block, slots of ``pattern``, salted buckets for the ranks of a source.
-BLOCK, SLOTS, BUCKETS = 16, 1024, 256
+#: Documents in a block; rows of a source in a salted bucket in the mean, and the least buckets of a source.
+BLOCK, ROWS, LEAST_BUCKETS = 64, 4096, 16
+#: Slots of ``pattern``; sources at most.
+SLOTS, MOST_SOURCES = 1024, 1_000_000
 #: Weights that are not given follow the source's rows to this power.
 POWER = 0.7
 
@@ -85,41 +90,47 @@ def _plan(spark, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame
     return written(spark.range(0, 1, 1, 1).mapInArrow(run, "source string, block long, slot long"), "plan")
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the row's rank from 0 in its source, in an order of hashes."""
-    docs = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.xxhash64(F.lit("mix"), "doc_id", F.col("text").cast("string")).alias("_hash"),
-    ).withColumn("_bucket", F.shiftrightunsigned("_hash", 56).cast("int"))  # 256 ranges of the hash
-    docs = docs.withColumn("_nth", F.row_number().over(Window.partitionBy("source", "_bucket").orderBy("_hash", "doc_id")))
-    docs = written(docs, "ranked")
-    counts = docs.groupBy("source", "_bucket").agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    docs = docs.join(small_side(written(counts.drop("_rows"), "counts")), ["source", "_bucket"])
-    return docs.select("doc_id", "source", "_hash", (F.col("_before") + F.col("_nth") - 1).alias("rank"))
+def _placed(docs: DataFrame, weights: dict[str, float] | None, block: int) -> tuple[DataFrame, dict[str, str], int]:
+    """``docs`` with rank, block and slot in columns whose names, given by the dict, clash with none of its own; and the
+    last slot before which no source has run out."""
+    name = {n: fresh(n, docs) for n in ("mix_source", "mix_hash", "mix_bucket", "mix_buckets", "mix_before", "rank", "block", "slot")}
+    source, hash_, bucket, buckets, before = (name[n] for n in ("mix_source", "mix_hash", "mix_bucket", "mix_buckets", "mix_before"))
+    docs = docs.withColumn(source, F.coalesce(docs["source"].cast("string"), F.lit("")))
+    docs = docs.withColumn(hash_, F.xxhash64(F.lit("mix"), docs["doc_id"].cast("long"), docs["text"].cast("string")))
+    rows = docs.groupBy(source).count().limit(MOST_SOURCES + 1).collect()  # one row a source
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    rows = {r[0]: r[1] for r in rows}
+    spark = docs.sparkSession
+    cuts = spark.createDataFrame([(s, max(LEAST_BUCKETS, -(-n // ROWS))) for s, n in rows.items()], f"`{source}` string, `{buckets}` long")
+    docs = docs.join(F.broadcast(cuts), source).withColumn(bucket, F.pmod(hash_, buckets)).drop(buckets)
+    # sums by bucket, a few rows in thousands of documents; in each, rows are ranked by their hash
+    counts = docs.groupBy(source, bucket).agg(F.count("*").alias(before))
+    up_to = Window.partitionBy(source).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    counts = written(counts.withColumn(before, F.coalesce(F.sum(before).over(up_to), F.lit(0))), "counts")
+    docs = docs.withColumn(name["rank"], F.row_number().over(Window.partitionBy(source, bucket).orderBy(hash_, docs["doc_id"])))
+    docs = docs.join(small_side(counts), [source, bucket])
+    docs = docs.withColumn(name["rank"], (F.col(before) + F.col(name["rank"]) - 1).cast("long"))
+    docs = docs.withColumn(name["block"], F.floor(F.col(name["rank"]) / block).cast("long"))
 
-
-def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
-    """doc_id, source, rank (in the source), block, slot, and on_target: no source has run out before that slot.
-
-    ``weights`` are the sources' target weights; without them, rows to the power ``POWER``. They hold exactly, whatever
-    ``slots`` is."""
-    ranked = written(_ranked(docs), "ranked").withColumn("block", F.floor(F.col("rank") / block))
-    rows = {r[0]: r[1] for r in ranked.groupBy("source").count().collect()}  # one row a source
     targets = {s: (weights or {}).get(s, 0.0) if weights else n**POWER for s, n in rows.items()}
-    plan = _plan(docs.sparkSession, targets, {s: -(-n // block) for s, n in rows.items()})
+    plan = _plan(spark, targets, {s: -(-n // block) for s, n in rows.items()})
     # the slot of the last block of the source that is the first to run out
     end = plan.groupBy("source").agg(F.max("slot").alias("last")).agg(F.min("last")).first()[0] or 0
-    out = ranked.join(small_side(plan), ["source", "block"])
-    return out.select("doc_id", "source", "rank", "block", "slot", (F.col("slot") <= end).alias("on_target"), "_hash")
+    plan = plan.select(F.col("source").alias(source), F.col("block").alias(name["block"]), F.col("slot").alias(name["slot"]))
+    return docs.join(small_side(plan), [source, name["block"]]).drop(hash_, bucket, before), name, end
+
+
+def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, rank (in the source), block, slot, and on_target: no source has run out before that slot.
+
+    ``weights`` are the sources' target weights; without them, rows to the power ``POWER``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(F.col("text").cast("string")).alias("text"))
+    placed, name, end = _placed(docs, weights, block)
+    return placed.select("doc_id", F.col(name["mix_source"]).alias("source"), name["rank"], name["block"], name["slot"], (F.col(name["slot"]) <= end).alias("on_target"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, slots: int = SLOTS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, sorted by slot and by rank within the block: read in order, they are the mixture."""
-    plan = scheduled(docs, weights, block, slots)
-    plan = plan.groupBy(F.col("doc_id").alias("_id"), "_hash").agg(F.min("slot").alias("_slot"), F.min("rank").alias("_rank"))
-    key = F.xxhash64(F.lit("mix"), docs["doc_id"].cast("long"), F.col("text").cast("string"))
-    both = docs.withColumn("_key", key).join(plan, (F.col("_key") == F.col("_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    return both.orderBy("_slot", "_rank").drop("_key", "_id", "_hash", "_slot", "_rank")
+    placed, name, _ = _placed(docs, weights, block)
+    return placed.orderBy(name["slot"], name["rank"]).select(*[placed[f"`{c}`"] for c in docs.columns])

@@ -147,7 +147,7 @@ def test_pattern_is_pfair():
 def test_mixture(spark):
     rows = [(i, "big" if i % 2 else rng_source(i), "t" if i % 5 else None, 1) for i in range(900)] + [(3, "big", "t", 1), (None, "big", "t", 1)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, rank int")
-    out = mixing.scheduled(df, {"big": 3, "a": 1, "": 1}, block=4, slots=50).collect()
+    out = mixing.scheduled(df, {"big": 3, "a": 1, "": 1}, block=4).collect()
     assert len(out) == len(rows)
     for s in ("big", "a", ""):
         assert sorted(r["rank"] for r in out if r.source == s) == list(range(sum((x[1] or "") == s for x in rows)))
@@ -159,7 +159,7 @@ def test_mixture(spark):
     for t in range(max(r.slot for r in out if r.on_target) + 1):
         had[slots[t][0]] += 1
         assert all(abs(had[x] - share[x] / 50 * (t + 1)) < 1 for x in share)
-    mixed = mixing.mixed(df, {"big": 3, "a": 1, "": 1}, block=4, slots=50)
+    mixed = mixing.mixed(df, {"big": 3, "a": 1, "": 1}, block=4)
     assert mixed.columns == df.columns and Counter(map(tuple, mixed.collect())) == Counter(rows)
     assert mixing.scheduled(df.where("false")).count() == 0 and mixing.mixed(df.where("false")).count() == 0
 
@@ -184,6 +184,25 @@ def test_mixture_keeps_the_given_weights(spark):
         assert all(abs(had[x] - w / total * (t + 1)) < 1 + 1e-9 for x, w in weights.items())
 
 
+def test_any_weights_any_sources_any_columns(spark):
+    # 9999 : 1, against the weights as given
+    had = Counter()
+    for t, (s, _) in zip(range(30_000), mixing._dealt({"a": mixing.Fraction(9999, 10_000), "b": mixing.Fraction(1, 10_000)})):
+        had[s] += 1
+        assert abs(had["b"] - (t + 1) / 10_000) < 1 and abs(had["a"] - (t + 1) * 0.9999) < 1
+    rows = [(i, f"s{i % 1100}", "t", 1, 2, 3) for i in range(3300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, _rank int, slot int, Rank int")
+    out = mixing.scheduled(df, block=1).collect()
+    assert sorted(r.slot for r in out) == list(range(3300))
+    assert mixing.mixed(df).columns == df.columns and Counter(map(tuple, mixing.mixed(df).collect())) == Counter(rows)
+
+
+def test_repeated_rows_are_mixed_like_others(spark):
+    df = spark.createDataFrame([(1, "a", "same")] * 1000 + [(i, "b", "t") for i in range(1000)], "doc_id long, source string, text string")
+    got = [r.source for r in mixing.mixed(df, {"a": 1, "b": 1}, block=1).collect()]
+    assert len(got) == 2000 and all(abs(got[:n].count("a") - n / 2) < 1 for n in range(1, 2001))
+
+
 def rng_source(i):
     return "a" if i % 4 else None
 
