@@ -35,6 +35,9 @@ from skein.llm.common import shared_folder, slices, written
 
 #: Smallest payload that is revisited; bytes of a file before the next begins; bytes of a range that a task reads.
 LEAST, FILE_BYTES, SPLIT_BYTES = 0, 256 << 20, 4 << 20
+#: Repeated payloads (28 bytes each) that may be broadcast; parts of the rows of one payload, where they may not; ranges
+#: that a task reads in the mean.
+FIRSTS, SALTS, RANGES = 500_000, 16, 2
 DATE = "2024-01-01T00:00:00Z"
 MAGIC = b"\x1f\x8b\x08"
 
@@ -73,10 +76,16 @@ def write(pages: DataFrame, folder: str | None = None, least: int = LEAST, file_
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
-    pages = pages.withColumn("key", F.sha1(F.encode("html", "UTF-8")))
-    # only payloads that more than one row has
+    pages = pages.withColumn("key", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
+    # only payloads that more than one row has; where these are too many to be broadcast, the rows of each are dealt over
+    # SALTS tasks, so that pages of one common payload don't meet
     firsts = pages.where(F.octet_length("html") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    pages = pages.join(firsts.where("n > 1").select("key", "first"), "key", "left")
+    firsts = written(firsts.where("n > 1").select("key", "first"), "firsts")
+    if firsts.limit(FIRSTS + 1).count() <= FIRSTS:
+        pages = pages.join(F.broadcast(firsts), "key", "left")
+    else:
+        firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pages = pages.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(firsts, ["key", "salt"], "left")
     first = F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,8 +217,11 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True
                     if rows:
                         yield batch_of(rows)
 
-    files = files.where("length > 0").select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"))
-    return files.repartition(F.col("path"), F.col("start")).mapInArrow(
+    files = files.where("length > 0")
+    # one number from the driver's side: how many ranges there are. A given number of partitions isn't merged by Spark.
+    ranges = files.agg(F.sum(F.ceil(F.col("length") / split_bytes))).first()[0] or 1
+    files = files.select("path", "length", F.explode(F.expr(f"sequence(0L, length - 1, {split_bytes}L)")).alias("start"))
+    return files.repartition(max(1, int(ranges) // RANGES), F.col("path"), F.col("start")).mapInArrow(
         run, "record_id string, record_type string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
     )
 

@@ -65,6 +65,26 @@ def test_archive_round_trip(spark, split):
         assert warc.read(warc.listed(spark, folder)).count() == len(rows)
 
 
+def test_ranges_are_read_by_many_tasks_and_payloads_split(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "u", "".join(rng.choice("abcdefgh") for _ in range(4_000)) if i % 3 else "same") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    out = warc.read(warc.write(df), split_bytes=20_000).withColumn("task", F.spark_partition_id())
+    assert out.count() == 300 and out.select("task").distinct().count() > 5
+    wanted = sorted((r.record_id, r.record_type, r.refers_to) for r in out.collect())
+    monkeypatch.setattr(warc, "FIRSTS", 0)
+    monkeypatch.setattr(warc, "SALTS", 3)
+    assert sorted((r.record_id, r.record_type, r.refers_to) for r in warc.read(warc.write(df)).collect()) == wanted
+
+
+def test_a_very_long_payload(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(100_000)) * 30
+    df = spark.createDataFrame([(1, "u", long), (2, "u", long), (3, "u", "x")], "page_id long, url string, html string")
+    out = {warc._id(r.record_id): r for r in warc.read(warc.write(df), split_bytes=1_000).collect()}
+    assert bytes(out[1].payload).decode() == long and out[2].record_type == "revisit" and out[2].payload_bytes == 3_000_000
+
+
 def test_least_size_and_empty(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcd"), (4, "u", "abcd")], "page_id long, url string, html string")
     kinds = lambda x: sorted((warc._id(r.record_id), r.record_type) for r in warc.read(x).collect())
