@@ -5,18 +5,23 @@ ids, and the pieces are packed into rows of ``length`` by best-fit decreasing: t
 the next longest piece, found by a segment tree over the free capacities. Packing runs within pools of bounded size
 (``POOL`` ids), cut from each input partition in order, so memory is bounded and a lost executor's rows come out equal.
 
+The order of the documents is kept: each pool holds documents of consecutive positions, ``since`` is its least position
+and its rows are counted by their first document, so rows in the order of (since, row) follow the input pool by pool. With
+``in_files`` positions are those in the Parquet files that the documents are read from, file by file in the order of
+their part numbers, however Spark deals the files to tasks; otherwise they are those in the partitions.
+
 A row holds the ids as little-endian integers (2 bytes if the vocabulary allows, else 4), padded to ``length``, the
 cumulative lengths of its segments (0 first) and, for each segment, the document, the piece's number in it and its
 first token, and the position of each token (padding has none): positions start anew at 0 in each segment.
 
 Defined results: null and empty texts have no tokens, hence no segment. Rows without doc_id are packed with a null in
-doc_ids. Repeated rows are packed each. Extra columns are ignored; an empty table gives no rows.
+doc_ids. Repeated rows are packed each. Extra columns are ignored; an empty table gives no rows. The vocabulary is read
+by the driver and broadcast (``MOST_BYTES`` at most); a missing one is an error.
 """
 
 from __future__ import annotations
 
 import base64
-import importlib.util
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import slices
 
-LENGTH, POOL = 2048, 2_000_000
+LENGTH, POOL, MOST_BYTES = 2048, 2_000_000, 64 << 20
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary cuts texts before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,10 +47,11 @@ class Tokens:
     A blank between two signs that aren't blanks always begins a new piece of ``PATTERN``, so ids may be looked up from
     blank to blank; a text with other runs of white space around blanks is encoded in one go."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, most: int = 200_000):
+    def __init__(self, vocabulary: str | bytes = VOCABULARY, most: int = 200_000):
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(vocabulary).read_bytes().splitlines())}
+        lines = (vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.size, self._most = max(ranks.values()) + 1, most
 
@@ -107,47 +113,61 @@ def best_fit(sizes: list[int], length: int) -> list[int]:
     return bins
 
 
-_ROW = pa.schema([("shard", pa.int32()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary())])
-_DDL = "shard int, row long, n_tokens int, doc_ids array<long>, pieces array<int>, firsts array<long>, cu_seqlens array<int>, ids binary"
+_ROW = pa.schema([("shard", pa.int32()), ("since", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary())])
+_DDL = "shard int, since long, row long, n_tokens int, doc_ids array<long>, pieces array<int>, firsts array<long>, cu_seqlens array<int>, ids binary"
+
 
+def file_position() -> Column:
+    """A row's position in the Parquet files that a table is read from: part number, number of the part's file, row."""
+    number = lambda pattern: F.coalesce(F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"), F.lit(0))
+    return F.shiftleft(number(r"^part-(\d+)"), 40) + F.shiftleft(number(r"-c(\d+)"), 30) + F.col("_metadata.row_index")
 
-def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, pad: int = PAD, pool: int = POOL) -> DataFrame:
-    """Packed rows: shard and row (their key), n_tokens, doc_ids, pieces and firsts (one for each segment), cu_seqlens, ids, position_ids."""
 
-    def rows_of(held: list[tuple], shard: int, since: int, kind: type) -> Iterator[tuple]:
+def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, pad: int = PAD, pool: int = POOL, in_files: bool = False) -> DataFrame:
+    """Packed rows: shard, since and row (their key), n_tokens, doc_ids, pieces and firsts (one for each segment),
+    cu_seqlens, ids, position_ids."""
+    raw = Path(vocabulary).read_bytes()
+    if len(raw) > MOST_BYTES:
+        raise ValueError(f"the vocabulary has more than {MOST_BYTES} bytes")
+    shared = docs.sparkSession.sparkContext.broadcast(raw)
+
+    def rows_of(held: list[tuple], shard: int, before: int, kind: type) -> Iterator[tuple]:
         bins: dict[int, list] = {}
-        for item, b in zip(held, best_fit([len(x[3]) for x in held], length)):
+        for item, b in zip(held, best_fit([len(x[3]) for x in held], length)):  # in the order of their positions
             bins.setdefault(b, []).append(item)
-        for b, items in bins.items():
+        for row, items in enumerate(bins.values(), before):
             ids = np.full(length, pad, kind)
             ends = np.cumsum([0, *(len(x[3]) for x in items)])
             ids[: ends[-1]] = np.concatenate([x[3] for x in items])
-            yield shard, since + b, int(ends[-1]), [x[0] for x in items], [x[1] for x in items], [x[2] for x in items], ends, ids.tobytes()
+            yield shard, held[0][4], row, int(ends[-1]), [x[0] for x in items], [x[1] for x in items], [x[2] for x in items], ends, ids.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, shard = Tokens(vocabulary), TaskContext.get().partitionId()
+        tokens, shard = Tokens(shared.value), TaskContext.get().partitionId()
         kind = "<u2" if max(tokens.size - 1, pad) < 65_536 else "<u4"
-        held, n, since = [], 0, 0
+        held, n, last, count = [], 0, -1, 0
 
         def packed_up() -> Iterator[pa.RecordBatch]:
-            nonlocal held, n, since
-            rows = list(rows_of(held, shard, since, kind))
-            held, n, since = [], 0, since + len(rows)
+            nonlocal held, n, count
+            rows = list(rows_of(held, shard, count, kind))
+            held, n, count = [], 0, count + len(rows)
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i : i + 500]), _ROW)], schema=_ROW)
 
         for batch in slices(batches, "text"):
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = tokens.of(text).astype(kind)
-                for piece, at in enumerate(range(0, len(ids), length)):
-                    held.append((doc, piece, at, ids[at : at + length]))
+            for doc, text, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "at"))):
+                if held and (at < last or at >> 30 != last >> 30):  # another file begins
+                    yield from packed_up()
+                ids, last = tokens.of(text).astype(kind), at
+                for piece, begin in enumerate(range(0, len(ids), length)):
+                    held.append((doc, piece, begin, ids[begin : begin + length], at))
                     n += len(held[-1][3])
                     if n >= pool:
                         yield from packed_up()
         if held:
             yield from packed_up()
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    at = file_position() if in_files else F.monotonically_increasing_id()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), at.alias("at"))
     rows = docs.where("text is not null and text <> ''").mapInArrow(run, _DDL)
     return rows.withColumn("position_ids", position_ids(F.col("cu_seqlens")))
 
@@ -156,12 +176,3 @@ def position_ids(cu_seqlens: Column) -> Column:
     """Positions of a row's tokens from its cumulative lengths: from 0 anew in each segment."""
     ends = F.slice(cu_seqlens, F.lit(2), F.size(cu_seqlens) - 1)
     return F.flatten(F.transform(ends, lambda e, i: F.sequence(F.lit(0), e - F.get(cu_seqlens, i) - 1)))
-
-
-def written_matrix(rows: DataFrame, path: str) -> None:
-    """Write packed rows as Parquet, a file a shard: the id matrix is the binary column, row by row of equal length."""
-    rows.write.parquet(path)
-
-
-def available(vocabulary: str = VOCABULARY) -> bool:
-    return Path(vocabulary).exists() and importlib.util.find_spec("tiktoken") is not None

@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from skein.llm import mixing, queries, url_filter, warc
+from skein.llm import mixing, packing, queries, url_filter, warc
 
 import corpus_pipeline
 
@@ -227,6 +227,32 @@ def rng_source(i):
     return "a" if i % 4 else None
 
 
+def test_packed_rows_follow_the_mixture(spark, tmp_path):
+    # the order survives Parquet files that Spark deals to tasks by their size
+    rng = random.Random(2)
+    rows = [(i, "big" if i % 4 else "small", " ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(5, 400)))) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    source = {r[0]: r[1] for r in rows}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40k")
+    try:
+        mixing.mixed(docs, {"big": 1, "small": 1}, block=4).write.option("maxRecordsPerFile", 170).parquet(f"{tmp_path}/mixed")
+        read = spark.read.parquet(f"{tmp_path}/mixed")
+        rows = packing.packed(read, pool=6_000, in_files=True).orderBy("since", "row").collect()
+        order = [r.doc_id for r in read.select("doc_id", packing.file_position().alias("at")).orderBy("at").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r.since for r in rows}) > 20
+    seen, done = [], set()
+    for k, r in enumerate(rows):
+        seen += [d for d, piece in zip(r.doc_ids, r.pieces) if not piece]
+        if k + 1 == len(rows) or rows[k + 1].since != r.since:  # a pool ends: all documents up to here, and no other
+            assert set(seen) - {order[len(seen) - 1], order[min(len(seen), len(order) - 1)]} <= set(order[: len(seen)])
+            if len(seen) < 550:  # small has 300 documents, so it lasts for 600
+                assert abs(sum(source[d] == "small" for d in seen) - len(seen) / 2) <= 4
+            done.add(len(seen))
+    assert sorted(seen) == list(range(1200)) and len(done) > 20
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
