@@ -2,6 +2,11 @@
 
 ``STAGES`` are (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of ``documents``.
+
+Defined results: null and empty texts fail the base quality rule, so the first stage drops them; later stages on their own
+keep them, but they have no tokens. Rows without doc_id pass all stages if their quality does. Of rows that repeat a
+doc_id the near-duplicate stage keeps one. A null source is a source of its own. Empty tables give an empty corpus, and
+without labels the base rule alone decides. Extra columns are carried along to the last stage.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
-    return packing.packed(docs)
+    """Packed rows of token ids; read in the order of (since, row) they follow the mixture, pool by pool."""
+    return packing.packed(docs, in_files=True)
 
 
 STAGES = [
