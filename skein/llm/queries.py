@@ -67,13 +67,13 @@ def _fold(doc_id: str) -> Column:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of each document, learned from the rows that aren't held out."""
+    """Score of each document, learned from the rows that aren't held out; rows without doc_id are neither."""
     docs = _table(spark, sf_dir, "documents")
     weights = toxicity.model(docs, _table(spark, sf_dir, "labels"), _fold("doc_id") != 0)
     out = toxicity.scored(docs, weights)
     return out.select(
         "doc_id",
-        (_fold("doc_id") == 0).alias("held_out"),
+        F.coalesce(_fold("doc_id") == 0, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
         "worst_at",

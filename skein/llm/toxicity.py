@@ -5,12 +5,14 @@ the noisy-or of its sentences' (one minus the product of one minus each). Weight
 alone, so the model itself finds which sentences carry the label, and ``scored`` names the worst sentence.
 
 A word's weight is the sum of the hashed weights of the word and of its first three to six letters, so inflected forms
-share evidence; a penalty on absolute weights (``SPARSE``) keeps only words that many documents bear out. Training uses a bounded sample: up to about ``POSITIVE`` and ``NEGATIVE`` labelled documents, weighted
-back to the share of each label. All documents are scored on their whole texts.
+share evidence; a penalty on absolute weights (``SPARSE``) keeps only words that many documents bear out. Training uses a
+bounded sample: up to about ``POSITIVE`` and ``NEGATIVE`` labelled documents, weighted back to the share of each label, and
+of these, in hashed order, as many as fit in ``MOST_IDS`` features. All documents are scored on their whole texts.
 
 Defined results: null, empty and word-less texts score 0. Labels that are null are ignored; a document with several
 labels counts as toxic if one says so. Without labels of both kinds every score is 0. Labels, lang, source
-and doc_id never reach a score. Repeated rows are scored one by one; extra columns are ignored.
+and doc_id never reach a score. Rows without doc_id are scored but never learned from. Repeated rows are scored one by
+one; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.common import slices, written
 
-POSITIVE, NEGATIVE = 2_500, 5_000
+POSITIVE, NEGATIVE, MOST_IDS = 2_500, 5_000, 16_000_000
 BITS, EPOCHS, RATE, SPARSE = 18, 50, 0.3, 1e-4
 
 #: Enders of sentences become line breaks, other ASCII signs blanks.
@@ -53,8 +55,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [pa.array([len(x) for x in bags], pa.int32()), batch.column("toxic"),
              pa.array([[len(s) for s in x] for x in bags], pa.list_(pa.int32())),
-             pa.array([[i for s in x for i in s] for x in bags], pa.list_(pa.int32()))],
-            names=["n", "toxic", "sizes", "ids"],
+             pa.array([[i for s in x for i in s] for x in bags], pa.list_(pa.int32())), batch.column("at")],
+            names=["n", "toxic", "sizes", "ids", "at"],
         )
 
 
@@ -82,6 +84,16 @@ def train(toxic: np.ndarray, counts: np.ndarray, sizes: np.ndarray, ids: np.ndar
     return w
 
 
+def _that_fit(rows: DataFrame) -> DataFrame:
+    """``at`` of the rows that are taken in its order, as long as they have ``MOST_IDS`` features together."""
+    total, taken = 0, []
+    for at, size in sorted(tuple(r) for r in rows.groupBy("at").agg(F.sum(F.size("ids"))).collect()):  # a row a sampled document
+        if total + size <= MOST_IDS:
+            total += size
+            taken.append((at,))
+    return rows.sparkSession.createDataFrame(taken, "at long")
+
+
 def model(docs: DataFrame, labels: DataFrame, learn_from: Column, positive: int = POSITIVE, negative: int = NEGATIVE) -> np.ndarray | None:
     """Weights trained on the documents that ``labels`` (doc_id, toxic) mark and ``learn_from`` (a condition) allows."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -94,9 +106,11 @@ def model(docs: DataFrame, labels: DataFrame, learn_from: Column, positive: int
     least = F.when(F.col("toxic") == 1, F.lit(int(part[1] * 1e6))).otherwise(F.lit(int(part[0] * 1e6)))
     some = labels.where(F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000)) < least)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(some.limit(2 * (positive + negative))), "doc_id").select("text", "toxic")
-    rows = rows.mapInArrow(_bags, "n int, toxic int, sizes array<int>, ids array<int>").where("n > 0")
-    rows = rows.limit(4 * (positive + negative)).toArrow()
+    at = F.xxhash64(F.lit("order"), "doc_id", "text").alias("at")
+    rows = rows.join(F.broadcast(some.limit(2 * (positive + negative))), "doc_id").select("text", "toxic", at)
+    rows = rows.mapInArrow(_bags, "n int, toxic int, sizes array<int>, ids array<int>, at long").where("n > 0")
+    rows = written(rows, "bags")
+    rows = rows.join(F.broadcast(_that_fit(rows)), "at").toArrow()
     toxic = rows["toxic"].to_numpy() == 1
     if not toxic.any() or toxic.all():
         return None

@@ -351,3 +351,68 @@ def test_html_empty_table_repeats_and_clashes(spark):
     df = spark.createDataFrame([(1, "<p>a", 1), (1, "<p>a", 1), (None, "b", 2), (2, None, 3)], "page_id long, html string, text int")
     assert sorted((r.page_id or 0, r.text) for r in html_text.extracted(df).collect()) == [(0, "b"), (1, "a"), (1, "a"), (2, "")]
     assert html_text.extracted(df.where("false")).count() == 0
+
+
+def test_scores_equal_a_plain_noisy_or(spark):
+    rng = np.random.default_rng(3)
+    weights = np.append(rng.normal(0, 1.5, 2**toxicity.BITS), -2.0).astype(np.float32)
+    texts = ["One two three. Two two one! né?", "", None, "a" * 50_000 + ". b. " * 20_000, "solo", "... !"] + [" ".join(f"w{rng.integers(90)}" + "." * int(rng.integers(2)) for _ in range(60)) for _ in range(20)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(0, texts[0], 1)], "doc_id long, text string, score int")
+    out = toxicity.scored(df, weights).collect()
+    assert len(out) == len(texts) + 1 and toxicity.scored(df.where("false"), weights).count() == 0
+    for r in out:
+        miss = 1.0
+        for s in re.split(r"[.!?\n]", (texts[r.doc_id] or "").lower()):
+            if words := set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", s)):
+                z = weights[-1] + sum(float(weights[i]) for w in words for i in toxicity._ids(w.encode()))
+                miss *= 1 - 1 / (1 + np.exp(-z))
+        assert abs(r.score - (1 - miss)) < 1e-4, r.doc_id
+
+
+def test_training_fits_in_its_bound(spark, monkeypatch):
+    docs = [(i, "bad scum words here." if i % 2 else "fine clean words here.") for i in range(200)] + [(999, "huge text " * 5_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(999, 0)], "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(toxicity, "MOST_IDS", 1_500)
+    rows = df.join(labels, "doc_id").select("text", "toxic", F.xxhash64("doc_id").alias("at"))
+    rows = rows.mapInArrow(toxicity._bags, "n int, toxic int, sizes array<int>, ids array<int>, at long")
+    taken = rows.join(toxicity._that_fit(rows), "at").agg(F.sum(F.size("ids")), F.count("*")).first()
+    assert 1_000 < taken[0] <= 1_500 and taken[1] > 50
+    assert toxicity.model(df, labels, F.lit(True)) is not None
+
+
+def test_template_labels_equal_expressions(spark):
+    rng = random.Random(12)
+    made = {}
+    for label, markup in licenses.TEMPLATES.items():
+        out = ""
+        for part in re.split(r"(\{\{.*?\}\})", markup):
+            inner = "".join(
+                rf"(?:\S+ ){{0,{p[2:-2]}}}" if p.startswith("<<") else "".join(re.escape(w.decode()) + " " for w in licenses.words_of(p))
+                for p in re.split(r"(<<\d+>>)", part.strip("{}"))
+            )
+            out += f"(?:{inner})?" if part.startswith("{{") else inner
+        made[label] = re.compile(rf"(?<!\S){out}")
+    vocabulary = sorted({w.decode() for t in licenses.TEMPLATES.values() for w in licenses.words_of(re.sub(r"<<\d+>>", "", t))})
+    texts = [None, "", "licensed " * 30_000]
+    for _ in range(400):
+        text = [rng.choice(vocabulary) for _ in range(rng.randint(0, 20))]
+        markup = rng.choice(list(licenses.TEMPLATES.values()))
+        said = re.sub(r"\{\{(.*?)\}\}", lambda m: m[1] if rng.random() < 0.5 else "", markup)
+        said = re.sub(r"<<(\d+)>>", lambda m: " ".join("any" for _ in range(rng.randint(0, int(m[1]) + (rng.random() < 0.2)))), said).split()
+        if rng.random() < 0.3:
+            said[rng.randrange(len(said))] = rng.choice(vocabulary)
+        texts.append(" ".join(text + said + text[:5]))
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x")], "doc_id long, text string, labels string")
+    out = licenses.scanned(df).collect()
+    assert len(out) == len(texts) + 1 and licenses.scanned(df.where("false")).count() == 0
+    found = 0
+    for r in out:
+        flat = "".join(w.decode() + " " for w in licenses.words_of(texts[r.doc_id]))
+        wanted = {label for label, e in made.items() if e.search(flat)}
+        found += len(wanted)
+        assert set(filter(None, r.labels.split(","))) == wanted | set(filter(None, r.base_labels.split(","))), texts[r.doc_id]
+        assert (r.score == 1) == bool(wanted) and (r.score >= 0.5 or not r.base_labels) and 0 <= r.score <= 1
+    assert found > 200
