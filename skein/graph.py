@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,6 +13,32 @@ from pyspark.sql import functions as F
 from skein.schema import edge_id
 
 
+#: Rows of a few strings that may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a table in the folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a new folder serves if driver and executors are one process; on a cluster that is an error, as
+    executors don't see each other's disks. Tables are left to whoever clears that folder: a lazy plan may still read them."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="skein-")
+        spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of ``df`` if it is counted to have no more than ``bound`` rows; else leave the join to shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame

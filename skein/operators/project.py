@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.graph import Graph
-from skein.operators.traverse import written
+from skein.graph import Graph, written
 from skein.operators.visible import _node_rows, merge_edges
 from skein.schema import EDGE, NODE, edge_id, package_id
 
@@ -103,25 +102,30 @@ def unique_targets(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     return r.join(one.withColumnRenamed("file_path", "to_file"), ["to_file", "name"]).select("ord", "target_symbol")
 
 
-def through_reexports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame, most: int = 50) -> DataFrame:
-    """ord and symbol for each wanted (ord, file, name), following ``exports`` (file, name, to_file, to_name).
+def through_reexports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ord and symbol for each wanted (ord, file, name), following ``exports`` (file, name, to_file, to_name) to the end.
 
-    A null name in exports passes every name on. Each branch keeps the files it has seen; only a single result counts."""
+    A null name in exports passes every name on. What has been seen for an ord is kept in one table, so cycles end and
+    branches that meet go on as one; only a single result counts."""
     own = symbols.select(F.col("file_path").alias("file"), "name", F.col("id").alias("symbol"))
-    front = wanted.select("ord", "file", "name", F.array(F.concat_ws("\x00", "file", "name")).alias("seen"))
-    found = None
-    for _ in range(most):
+    declared = own.select("file", "name").distinct()
+    front = seen = written(wanted.select("ord", "file", "name").distinct(), "reexports")
+    found, step = None, 0
+    named = exports.where("name is not null").select("file", "name", "to_file", "to_name")
+    passing = exports.where("name is null").select("file", "to_file")
+    while not front.isEmpty():
+        step += 1
         hit = front.join(own, ["file", "name"]).select("ord", "symbol")
         found = hit if found is None else found.union(hit)
-        step = front.join(own.select("file", "name").distinct(), ["file", "name"], "left_anti")
-        e = exports.toDF("_f", "_n", "to_file", "to_name")
-        step = step.join(e, (F.col("file") == F.col("_f")) & (F.col("_n").isNull() | (F.col("_n") == F.col("name"))))
-        step = step.select("ord", F.col("to_file").alias("file"), F.coalesce("to_name", "name").alias("name"), "seen")
-        key = F.concat_ws("\x00", "file", "name")
-        step = step.where(~F.array_contains("seen", key)).withColumn("seen", F.array_append("seen", key))
-        front = written(step, "reexports")
-        if front.isEmpty():
-            break
+        on = front.join(declared, ["file", "name"], "left_anti")
+        by_name = on.join(named, ["file", "name"]).select("ord", F.col("to_file").alias("file"), F.coalesce("to_name", "name").alias("name"))
+        by_file = on.join(passing, "file").select("ord", F.col("to_file").alias("file"), "name")
+        front = written(by_name.union(by_file).distinct().join(seen, ["ord", "file", "name"], "left_anti"), "reexports")
+        seen = seen.union(front)
+        if step % 4 == 0:
+            seen, found = written(seen, "reexports-seen"), written(found, "reexports-found")
+    if found is None:
+        return wanted.select("ord", F.lit(None).cast("string").alias("symbol")).where("false")
     return found.groupBy("ord").agg(F.min("symbol").alias("symbol"), F.count_distinct("symbol").alias("n")).where("n = 1").drop("n")
 
 

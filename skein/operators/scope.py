@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.glob import matches
-from skein.graph import Graph, closed, with_files
+from skein.graph import Graph, written
 from skein.schema import SYMBOL_TYPES
 
 
@@ -103,44 +103,73 @@ def in_scope(scope: Scope) -> Column:
     return shown
 
 
-def projected(edges: DataFrame, nodes: DataFrame, visible: DataFrame) -> DataFrame:
-    """Edges between visible nodes: a hidden symbol gives way to its file if that is visible, else the edge goes.
-
-    ``contains`` edges pass; loops that arise go, loops that were stay. The id keeps what follows its last ``#``."""
-    seen = visible.select(F.col("id").alias("_id"))
-    place = nodes.select(F.col("id").alias("_n"), F.col("symbol_file").alias("_f"))
-    place = place.join(seen.withColumn("_self", F.lit(True)), F.col("_n") == F.col("_id"), "left").drop("_id")
-    place = place.join(seen.withColumn("_file", F.lit(True)), F.col("_f") == F.col("_id"), "left").drop("_id")
-    place = place.select("_n", F.when(F.col("_self"), F.col("_n")).when(F.col("_file"), F.col("_f")).alias("_to")).where("_to is not null")
-    a, b = place.toDF("_a", "_a_to"), place.toDF("_b", "_b_to")
-    pass_on = edges.where("kind = 'contains'")
-    out = edges.where("kind <> 'contains'").join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b"))
-    same = (F.col("src") == F.col("_a_to")) & (F.col("dst") == F.col("_b_to"))
-    out = out.where(same | (F.col("_a_to") != F.col("_b_to")))
+def places(nodes: DataFrame, shown: Column) -> DataFrame:
+    """id of each node, and where the scope shows it: to (itself, the file of a hidden symbol if that is shown, else null),
+    file (that contains ``to``) and symbol (1 if ``to`` is one). One table, so that edges meet it once at each end."""
+    each = nodes.select("id", "symbol_file", F.coalesce(shown, F.lit(False)).alias("shown"))
+    seen = each.where("shown").select(F.col("id").alias("_f"), F.col("symbol_file").alias("_of"))
+    out = each.join(seen, ~F.col("shown") & (F.col("symbol_file") == F.col("_f")), "left")
+    return out.select(
+        "id",
+        F.when(F.col("shown"), F.col("id")).otherwise(F.col("_f")).alias("to"),
+        F.when(F.col("shown"), F.coalesce("symbol_file", "id")).otherwise(F.coalesce("_of", "_f")).alias("file"),
+        F.when(F.col("shown"), F.col("symbol_file").isNotNull()).otherwise(F.col("_of").isNotNull()).cast("int").alias("symbol"),
+    )
+
+
+def _at_places(edges: DataFrame, where: DataFrame) -> DataFrame:
+    """Edges with the places of their ends: a_to, a_file, a_symbol and b_to, b_file, b_symbol."""
+    for end, side in (("src", "a"), ("dst", "b")):
+        names = {c: f"{side}_{c}" for c in ("id", "to", "file", "symbol")}
+        edges = edges.join(where.select(*[F.col(c).alias(n) for c, n in names.items()]), F.col(end) == F.col(names["id"]), "left").drop(names["id"])
+    return edges
+
+
+def _moved(edges: DataFrame) -> DataFrame:
+    """Ends put to their places; loops that arise go, loops that were stay. The id keeps what follows its last ``#``."""
+    same = (F.col("src") == F.col("a_to")) & (F.col("dst") == F.col("b_to"))
+    edges = edges.where((F.col("kind") == "contains") | same | (F.col("a_to") != F.col("b_to")))
     suffix = F.when(F.instr("id", "#") > 0, F.concat(F.lit("#"), F.substring_index("id", "#", -1))).otherwise(F.concat(F.lit("#"), F.col("kind")))
-    out = out.withColumn("id", F.when(same, F.col("id")).otherwise(F.concat("_a_to", F.lit("->"), "_b_to", suffix)))
-    out = out.withColumn("src", F.col("_a_to")).withColumn("dst", F.col("_b_to"))
-    return out.select(*edges.columns).unionByName(pass_on)
+    goes = (F.col("kind") != "contains") & ~same
+    edges = edges.withColumn("id", F.when(goes, F.concat("a_to", F.lit("->"), "b_to", suffix)).otherwise(F.col("id")))
+    return edges.withColumn("src", F.when(goes, F.col("a_to")).otherwise(F.col("src"))).withColumn("dst", F.when(goes, F.col("b_to")).otherwise(F.col("dst")))
 
 
-def most_specific(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def projected(edges: DataFrame, nodes: DataFrame, shown: Column) -> DataFrame:
+    """Edges between nodes for which ``shown`` holds: a hidden symbol gives way to its file if that is visible, else the
+    edge goes. ``contains`` edges pass."""
+    out = _at_places(edges, places(nodes, shown))
+    return _moved(out.where("kind = 'contains' or (a_to is not null and b_to is not null)")).select(*edges.columns)
+
+
+def _specific(edges: DataFrame, columns: list[str]) -> DataFrame:
     """Of the edges of a kind between two files those with most symbol ends (fewest for type-import); first of each id."""
-    is_symbol = nodes.where("symbol_file is not null").select(F.col("id").alias("_id"), F.lit(1).alias("_s"))
-    out = with_files(edges, nodes)
-    out = out.join(is_symbol.toDF("_i", "_sa"), F.col("src") == F.col("_i"), "left").drop("_i")
-    out = out.join(is_symbol.toDF("_i", "_sb"), F.col("dst") == F.col("_i"), "left").drop("_i")
-    ends = F.coalesce("_sa", F.lit(0)) + F.coalesce("_sb", F.lit(0))
-    out = out.withColumn("_rank", F.when(F.col("kind") == "type-import", -ends).otherwise(ends))
-    # an aggregate and a join rather than a window: the best rank of a pair is combined before the shuffle
-    best = out.where("kind <> 'contains'").groupBy("kind", "src_file", "dst_file").agg(F.max("_rank").alias("_best"))
-    out = out.join(best, ["kind", "src_file", "dst_file"], "left").where("_best is null or _rank = _best")
-    first = Window.partitionBy("id").orderBy("ord")
-    return out.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*edges.columns)
+    ends = F.coalesce("a_symbol", F.lit(0)) + F.coalesce("b_symbol", F.lit(0))
+    out = edges.withColumn("_rank", F.when(F.col("kind") == "type-import", -ends).otherwise(ends))
+    # written once, as it is read twice. An aggregate and a join rather than a window: the best rank of a hot pair is
+    # combined before the shuffle, and Spark splits the join
+    out = written(out, "ranked-edges")
+    pair = ["kind", "a_file", "b_file"]
+    best = out.where("kind <> 'contains'").groupBy(*pair).agg(F.max("_rank").alias("_best"), F.min("_rank").alias("_least"))
+    best = best.where("_best > _least").drop("_least")  # most pairs have edges of one rank
+    out = out.join(best, pair, "left").where("_best is null or _rank = _best")
+    rest = [c for c in columns if c not in ("id", "ord")]
+    first = out.groupBy("id").agg(F.min_by(F.struct(*rest), "ord").alias("_e"), F.min("ord").alias("ord"))
+    return first.select(*[F.col(c) if c in ("id", "ord") else F.col(f"_e.{c}") for c in columns])
+
+
+def most_specific(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``_specific`` for edges as they are; ends that are no nodes count as files."""
+    out = _at_places(edges, places(nodes, F.lit(True)))
+    out = out.withColumn("a_file", F.coalesce("a_file", "src")).withColumn("b_file", F.coalesce("b_file", "dst"))
+    return _specific(out, edges.columns)
 
 
 def apply_scope(graph: Graph, scope: Scope) -> Graph:
-    nodes = graph.nodes.where(in_scope(scope))
+    shown = in_scope(scope)
     off = [k for k, on in scope.edges.items() if not on]
     edges = graph.edges.where(~F.col("kind").isin(*off)) if off else graph.edges
-    edges = most_specific(projected(edges, graph.nodes, nodes), nodes)
-    return Graph(nodes, closed(edges, nodes))
+    out = _at_places(edges, places(graph.nodes, shown)).where("a_to is not null and b_to is not null")
+    # what contains and what is contained must be shown themselves
+    out = _moved(out.where("kind <> 'contains' or (a_to = src and b_to = dst)"))
+    return Graph(graph.nodes.where(shown), _specific(out, edges.columns))

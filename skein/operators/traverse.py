@@ -2,26 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
-from skein.graph import Graph, closed
+from skein.graph import Graph, closed, written
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a table in the folder that ``spark.checkpoint.dir`` names (a new one where it is unset)."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Steps after which the tables of the steps are folded into one.
+FOLD = 4
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -39,6 +28,8 @@ def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
         if front.isEmpty():
             break
         seen = seen.union(front)
+        if step % FOLD == 0:
+            seen = written(seen, "reached")
     return seen
 
 

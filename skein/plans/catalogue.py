@@ -125,7 +125,7 @@ def scope_nodes(spark, d):
 @query(_PROJECTED + "SELECT id, src, dst, kind, ord FROM proj")
 def scope_edge_projection(spark, d):
     g = derived.graph(spark, d)
-    return projected(g.edges, g.nodes, g.nodes.where(in_scope(_SCOPE))).select("id", "src", "dst", "kind", "ord")
+    return projected(g.edges, g.nodes, in_scope(_SCOPE)).select("id", "src", "dst", "kind", "ord")
 
 
 @query(_SPECIFIC.format(edges="edges", nodes="nodes") + "SELECT id, src, dst, kind, ord FROM spec")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.glob import matches
 from skein.functions.ordering import collated, sort_by
-from skein.graph import Graph, closed, file_edges, with_files
+from skein.graph import Graph, closed, file_edges, small, with_files
 from skein.operators.scope import node_type
 from skein.operators.visible import search, without_orphans
 
@@ -91,7 +91,7 @@ def _ends(edges: DataFrame, graph: Graph, src: str | None, dst: str | None, kind
         if value is not None:
             # a file stands for itself and its symbols
             of = graph.nodes.where((F.col("symbol_file") == value) | (F.col("id") == value)).select(F.col("id").alias("_end"))
-            edges = edges.join(of, F.col(column) == F.col("_end"), "left_semi")
+            edges = edges.join(small(of), F.col(column) == F.col("_end"), "left_semi")
     return edges
 
 
@@ -99,9 +99,12 @@ def edges_report(
     graph: Graph, src=None, dst=None, edge_type=None, node_types=None, edge_types=None, expand=False, project=False,
     filters=None, query="", sort=(), show_orphans=True,
 ) -> DataFrame:
-    """Pairs and their kinds. ``expand``: a file selector means its symbols too; ``project``: report files only."""
-    graph = scoped(graph, node_types, edge_types)
-    edges = _ends(graph.edges, graph, src, dst, edge_type, expand)
+    """Pairs and their kinds. ``expand``: a file selector means its symbols too; ``project``: report files only.
+
+    The selectors come first, so the edges whose other ends are looked up are few."""
+    edges = graph.edges.where(F.col("kind").isin(*edge_types)) if edge_types is not None else graph.edges
+    graph = scoped(Graph(graph.nodes, _ends(edges, graph, src, dst, edge_type, expand)), node_types)
+    edges = graph.edges
     items = edges.select("*", F.col("src").alias("from"), F.col("dst").alias("to"), F.col("kind").alias("edgeType"))
     edges = items.where(filter_test(items, filters or {})).select(*edges.columns)
     graph = _looked(Graph(graph.nodes, edges), query, show_orphans)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
 from skein.functions.text import TASK_STOP, has_term, normalized, query_tokens
-from skein.graph import Graph, with_files
-from skein.operators.traverse import pagerank, written
+from skein.graph import Graph, with_files, written
+from skein.operators.traverse import pagerank
 
 MOST_TERMS, MOST_FILES, MOST_SYMBOLS, MOST_RELATIONS = 16, 20, 3, 12
 TEST_FILE = r"(?i)(?:^|/)(?:__tests__|tests?)(?:/|\.)|\.(?:spec|test)\.[^/]+\z"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from skein.analyze.languages import builtin, javascript_candidates, python_candidates
 from skein.analyze.registry import Registry, relations, resolved, symbols
 from skein.functions.glob import matches_any
-from skein.graph import Graph, closed
+from skein.graph import Graph, closed, written
 from skein.operators import project, traverse
 from skein.operators.scope import Scope
 from skein.plans import reports, search, task_map
@@ -77,7 +77,7 @@ class Workspace:
 
     def facts(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Symbols, and relations with resolved paths, of the files' texts."""
-        found = traverse.written(self.registry.facts(discovery.texts(files), self.settings.plugins), "facts")
+        found = written(self.registry.facts(discovery.texts(files), self.settings.plugins), "facts")
         links, paths = relations(found), files.select("path")
         rules = {"core:python": python_candidates, "core:javascript": javascript_candidates}
         parts = [resolved(links.where(F.col("plugin_id") == p), paths, c) for p, c in rules.items()]
@@ -98,8 +98,8 @@ class Workspace:
     def graph_of(self, files: DataFrame) -> tuple[Graph, DataFrame]:
         declared, links = self.facts(files)
         links = links.withColumns({c: F.lit(None).cast("string") for c in ("to_file", "to_symbol", "variant")})
-        links = traverse.written(links, "relations")
-        declared = traverse.written(reports.occurrence_ids(declared), "symbols")
+        links = written(links, "relations")
+        declared = written(reports.occurrence_ids(declared), "symbols")
         sizes = discovery.with_hashes(files).select("path", "size")
         base = project.graph_of(links, sizes)
         names = {
@@ -121,11 +121,11 @@ class Workspace:
         A changed file's links may start from any file that depends on it, so these are analysed anew too."""
         files = self.files()
         state = self.cache.load()
-        moved = traverse.written(cache.changed(state["files"], self._fingerprints(files)), "changes")
+        moved = written(cache.changed(state["files"], self._fingerprints(files)), "changes")
         if moved.isEmpty():
             return None
         touched = traverse.dependents(reports.file_edges(Graph(state["nodes"], state["edges"])), moved.select(F.col("path").alias("id"))).withColumnRenamed("id", "path")
-        touched = traverse.written(touched.union(moved.select("path")).distinct(), "touched")
+        touched = written(touched.union(moved.select("path")).distinct(), "touched")
         graph, declared = self.graph_of(files)
         own = F.coalesce("symbol_file", "id")
         pick = lambda df, key: df.withColumn("path", key).join(touched, "path", "left_semi").drop("path")
