@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_LIMIT = 500
+# Limits of a command line.
+COMMAND_LIMITS = {"nodes": 100, "edges": 100, "relationships": 100, "symbols": 100, "search": 20, "task-map": 8, "path_depth": 6, "paths": 5}
 
 
 def collated(column: Column | str) -> Column:
@@ -41,3 +43,17 @@ def page_info(total: int, offset=0, limit=DEFAULT_LIMIT) -> dict:
     returned = max(0, min(limit, total - offset))
     more = returned > 0 and offset + returned < total
     return {"offset": offset, "limit": limit, "returned": returned, "total": total, "nextOffset": offset + returned if more else None}
+
+
+def page_row(df: DataFrame, offset=0, limit=DEFAULT_LIMIT) -> DataFrame:
+    """The page's metadata as one row: offset, limit, returned, total, next_offset."""
+    offset, limit = whole(offset, 0), whole(limit, DEFAULT_LIMIT)
+    out = df.agg(F.count("*").alias("total")).select(F.lit(offset).cast("long").alias("offset"), F.lit(limit).cast("long").alias("limit"), "total")
+    out = out.withColumn("returned", F.greatest(F.lit(0), F.least("limit", F.col("total") - F.col("offset"))))
+    end = F.col("offset") + F.col("returned")
+    return out.withColumn("next_offset", F.when((F.col("returned") > 0) & (end < F.col("total")), end))
+
+
+def paged(df: DataFrame, offset=0, limit=DEFAULT_LIMIT) -> tuple[DataFrame, dict]:
+    """A page of an ordered report, and its metadata."""
+    return page(df, offset, limit), page_info(df.count(), offset, limit)

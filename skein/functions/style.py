@@ -68,11 +68,18 @@ def extension_color(colors: dict[str, str], default: str) -> Column:
     return out
 
 
-def hex_color(value: Column) -> Column:
-    """``#abc`` and ``ABCDEF`` as ``#aabbcc`` and ``#abcdef``; null for anything else."""
-    low = F.lower(F.regexp_replace(F.trim(value), "^#", ""))
-    long = F.when(low.rlike(r"^[0-9a-f]{3}\z"), F.regexp_replace(low, "(.)", "$1$1")).when(low.rlike(r"^[0-9a-f]{6}\z"), low)
-    return F.concat(F.lit("#"), long)
+def hex_color(value: Column, default: str) -> Column:
+    """``#`` and six hexadecimal digits in upper case; the default for anything else."""
+    trimmed = F.trim(value)
+    return F.when(trimmed.rlike(r"\A#[0-9A-Fa-f]{6}\z"), F.upper(trimmed)).otherwise(F.lit(default))
+
+
+def type_color(colors: dict[str, str], own: Column, folder: str, package: str, default: str) -> Column:
+    """A node's colour by its type: as set for the type, else the node's own, else the default of folders, packages, all."""
+    kind = node_type()
+    rest = F.when(kind == "folder", folder).when(kind == "package", package).otherwise(default)
+    set_ = F.coalesce(*[F.when(kind == t, c) for t, c in colors.items()], F.lit(None).cast("string"))
+    return F.coalesce(set_, F.nullif(own, F.lit("")), rest)
 
 
 def merged(decorations: DataFrame, properties: list[str]) -> DataFrame:

@@ -51,6 +51,10 @@ class Graph:
         """Without edges that lack an end among the nodes."""
         return Graph(self.nodes, closed(self.edges, self.nodes))
 
+    def settled(self, name: str = "graph") -> Graph:
+        """Both tables written once, so that steps which read them several times don't repeat the work before."""
+        return Graph(written(self.nodes, f"{name}-nodes"), written(self.edges, f"{name}-edges"))
+
     def persist(self) -> Graph:
         return Graph(self.nodes.persist(), self.edges.persist())
 

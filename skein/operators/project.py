@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skein.functions.ordering import collated
 from skein.graph import Graph, written
 from skein.operators.visible import _node_rows, merge_edges
 from skein.schema import EDGE, NODE, edge_id, package_id
@@ -84,14 +85,20 @@ def symbol_edges(relations: DataFrame, canonical: DataFrame) -> DataFrame:
     return merge_edges(e)
 
 
+def incoming_includes(relations: DataFrame) -> DataFrame:
+    """path and n: the ``include`` relations that lead to each file."""
+    path = F.coalesce("to_file", "resolved_path").alias("path")
+    return relations.where("kind = 'include'").groupBy(path).agg(F.count("*").alias("n")).where("path is not null")
+
+
 def canonical_namespaces(symbols: DataFrame, incoming: DataFrame) -> DataFrame:
     """Of each namespace's declarations the one that stands for it: headers first, then most included, then shortest path.
 
-    ``incoming`` has path and n."""
-    header = F.col("file_path").rlike(r"(?i)\.(?:h|hh|hpp|hxx)\z")
+    ``incoming`` has path and n; ties go by collation."""
+    header = F.col("file_path").rlike(r"[^/]\.(?:h|hh|hpp|hxx)\z")
     out = symbols.where("kind = 'namespace'").join(incoming.select(F.col("path").alias("file_path"), "n"), "file_path", "left")
     score = F.when(header, 10_000).otherwise(0) + F.coalesce("n", F.lit(0))
-    best = Window.partitionBy("name").orderBy(score.desc(), F.length("file_path"), "file_path")
+    best = Window.partitionBy("name").orderBy(score.desc(), F.length("file_path"), collated("file_path"))
     return out.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "n")
 
 
@@ -107,7 +114,8 @@ def through_reexports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame)
 
     A null name in exports passes every name on. What has been seen for an ord is kept in one table, so cycles end and
     branches that meet go on as one; only a single result counts."""
-    own = symbols.select(F.col("file_path").alias("file"), "name", F.col("id").alias("symbol"))
+    own = written(symbols.select(F.col("file_path").alias("file"), "name", F.col("id").alias("symbol")), "reexports-own")
+    exports = written(exports.select("file", "name", "to_file", "to_name"), "exports")
     declared = own.select("file", "name").distinct()
     front = seen = written(wanted.select("ord", "file", "name").distinct(), "reexports")
     found, step = None, 0

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.glob import matches
 from skein.graph import Graph, written
-from skein.schema import SYMBOL_TYPES
+from skein.schema import EDGE_KINDS, SYMBOL_TYPES, VISIBLE_EDGES
 
 
 @dataclass(frozen=True)
@@ -33,6 +33,10 @@ class NodeType:
     def specificity(self) -> float:
         return sum(bool(x) for x in (self.plugin_kind, self.source, self.language, self.file_path)) + (1 / len(self.symbol_kinds) if self.symbol_kinds else 0)
 
+    @property
+    def has_matcher(self) -> bool:
+        return bool(self.kinds or self.plugin_kind or self.source or self.language or self.file_path)
+
     def fits(self) -> Column:
         tests = [F.col("symbol_file").isNotNull()]
         if self.kinds:
@@ -71,6 +75,44 @@ def _up(types: dict[str, NodeType], id_: str | None) -> list[str]:
     return out
 
 
+def expanded(wanted: list[str], types: tuple[NodeType, ...] = ()) -> list[str]:
+    """The types a question about ``wanted`` types covers: these, those at or below them, those of the same symbol kinds
+    (types of plugins aside), and the parents of all."""
+    every = Scope(types=types).definitions()
+    own = {t: d for t, d in every.items() if not t.startswith("plugin:")}
+    kinds = {k for t in wanted if t in own for k in own[t].kinds or ()}
+    out = dict.fromkeys(wanted)
+    for t in every:
+        below = any(w in _up(every, t) for w in wanted) or ("symbol" in wanted and (t.startswith("symbol:") or ":symbol" in t))
+        if below or (t in own and kinds & set(own[t].kinds or ())):
+            out[t] = None
+    for t in list(out):
+        out.update(dict.fromkeys(_up(every, t)))
+    return list(out)
+
+
+def saved_scope(
+    nodes: dict[str, bool], edges: dict[str, bool], seen_types: list[str] = (), seen_kinds: list[str] = (),
+    declared_types: dict[str, bool] | None = None, declared_kinds: dict[str, bool] | None = None, types: tuple[NodeType, ...] = (),
+) -> Scope:
+    """The scope that settings stand for: files alone by default, edges by ``VISIBLE_EDGES``.
+
+    What plugins declare takes their default, but what is scoped to a plugin (``plugin:`` types, kinds with a colon) is
+    off; kinds that are merely seen in the graph are on, types are off. Settings come last. A type that isn't set itself
+    is shown if a type of the same symbol kinds is, or one below it."""
+    core = {t.id: t for t in CORE_TYPES}
+    on = {t: t == "file" for t in core}
+    on |= {t: v and not t.startswith("plugin:") for t, v in (declared_types or {}).items()}
+    shown = {k: k in VISIBLE_EDGES for k in EDGE_KINDS} | {k: v and ":" not in k for k, v in (declared_kinds or {}).items()}
+    on = {**{t: False for t in seen_types}, **on, **nodes}
+    shown = {**{k: ":" not in k for k in seen_kinds}, **shown, **edges}
+    kinds = {k for t, d in core.items() if on.get(t) for k in d.kinds or ()}
+    on |= {t: True for t, d in core.items() if t not in nodes and kinds & set(d.kinds or ())}
+    for t in [t for t, v in on.items() if v]:
+        on |= {up: True for up in _up(core, t)[1:] if up not in nodes}
+    return Scope(on, shown, types)
+
+
 def hidden_kinds(scope: Scope) -> set[str]:
     """Symbol kinds whose most specific, else latest, named type is off."""
     types, state = scope.definitions(), {}

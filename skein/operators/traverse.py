@@ -57,28 +57,32 @@ def dependents(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return distances(back, changed, 10_000).select("id")
 
 
-def paths(edges: DataFrame, src: str, dst: str, max_depth: int = 10, max_paths: int = 3) -> tuple[DataFrame, bool]:
+def paths(edges: DataFrame, src: str | DataFrame, dst: str | DataFrame, max_depth: int = 10, max_paths: int = 3) -> tuple[DataFrame, bool]:
     """Simple directed paths, shortest first, then by collation of their nodes; and whether the list is complete.
 
-    Nodes from which the target isn't reached in time never enter a frontier."""
+    ``src`` and ``dst`` are a node, or a table of nodes (id). Nodes from which no target is reached in time never enter a
+    frontier."""
     spark = edges.sparkSession
     max_depth, max_paths = max(1, max_depth), max(1, max_paths)
     edges = edges.select("src", "dst").distinct()
-    if src == dst:
+    if isinstance(src, str) and src == dst:
         return spark.createDataFrame([([src],)], "path array<string>"), True
-    to_end = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), spark.createDataFrame([(dst,)], "id string"), max_depth)
+    table = lambda x: spark.createDataFrame([(x,)], "id string") if isinstance(x, str) else x.select("id").distinct()
+    start, goal = table(src), written(table(dst).withColumnRenamed("id", "_goal"), "goal")
+    to_end = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goal.toDF("id"), max_depth)
     to_end = written(to_end.toDF("_id", "_left"), "to-end")
-    live = spark.createDataFrame([([src],)], "path array<string>")
+    live = start.select(F.array("id").alias("path"))
     found, n, cut = None, 0, False
     for step in range(1, max_depth + 1):
         last = F.element_at("path", -1)
         live = live.join(edges, last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
         live = live.select(F.array_append("path", F.col("dst")).alias("path"))
-        live = written(live.join(to_end, F.element_at("path", -1) == F.col("_id")).where(F.col("_left") <= max_depth - step).select("path"), "paths")
-        done = live.where(F.element_at("path", -1) == dst)
+        live = live.join(to_end, last == F.col("_id")).where(F.col("_left") <= max_depth - step)
+        live = written(live.select("path", (F.col("_left") == 0).alias("done")), "paths")
+        done = live.where("done").select("path")
         found = done if found is None else found.union(done)
         n += done.count()
-        live = live.where(F.element_at("path", -1) != dst)
+        live = live.where("not done").select("path")
         if live.isEmpty():
             break
         if n >= max_paths:
@@ -87,12 +91,50 @@ def paths(edges: DataFrame, src: str, dst: str, max_depth: int = 10, max_paths:
     found = found.orderBy(F.size("path"), collated(F.array_join("path", "\n"))).limit(max_paths)
     if not cut and n <= max_paths:
         # a walk of more steps than allowed may exist although it was pruned
-        reach = distances(edges, spark.createDataFrame([(src,)], "id string"), max_depth)
-        end = reach.where(F.col("depth") == max_depth).join(edges, F.col("id") == F.col("src"))
+        end = distances(edges, start, max_depth).where(F.col("depth") == max_depth).join(edges, F.col("id") == F.col("src"))
         cut = not end.isEmpty()
     return found, not (cut or n > max_paths)
 
 
+# Raw paths looked at for each path between files, and at most.
+RAW_PATHS, MOST_RAW_PATHS = 20, 1000
+
+
+def path_report(graph: Graph, src: str, dst: str, max_depth: int = 10, max_paths: int = 3, expand: bool = False, project: bool = False) -> tuple[DataFrame, bool]:
+    """Paths between two nodes of the graph, none if one of them isn't there; and whether the list is complete.
+
+    Paths between the nodes themselves come first. If there is none, ``expand`` lets a file stand for its symbols too, and
+    ``project`` reports the files that such paths lead through, each path of files once and none that stays in one file."""
+    both = closed(graph.edges, graph.nodes)
+    own = graph.nodes.where(F.col("id").isin(src, dst)).select("id", F.col("symbol_file").isNull().alias("file")).collect()  # two rows at most
+    there = {r["id"]: r["file"] for r in own}
+    exact, complete = None, True
+    if src in there and dst in there:
+        exact, complete = paths(both, src, dst, max_depth, max_paths)
+    if not (expand or project) or src == dst:
+        return (exact, complete) if exact is not None else (graph.edges.sparkSession.createDataFrame([], "path array<string>"), True)
+    files = project and there.get(src, True) and there.get(dst, True)
+    if exact is not None:
+        exact = written(exact.withColumn("ord", F.monotonically_increasing_id()), "exact")
+        if not exact.isEmpty():
+            return (_through_files(exact, graph) if files else exact.orderBy("ord").select("path")), complete
+    ends = [graph.nodes.where((F.col("id") == x) | (F.col("symbol_file") == x)).select("id") for x in (src, dst)]
+    if not files:
+        return paths(both, *ends, max_depth, max_paths)
+    raw, complete = paths(both, *ends, max_depth, min(MOST_RAW_PATHS, RAW_PATHS * max_paths))
+    found = _through_files(written(raw.withColumn("ord", F.monotonically_increasing_id()), "raw"), graph).where(F.size("path") > 1)
+    found = written(found.withColumn("ord", F.monotonically_increasing_id()).groupBy("path").agg(F.min("ord").alias("ord")), "found")
+    return found.orderBy("ord").limit(max_paths).select("path"), complete and found.count() <= max_paths
+
+
+def _through_files(found: DataFrame, graph: Graph) -> DataFrame:
+    """Paths (path, ord) of nodes as paths of files in the same order; a file that follows itself counts once."""
+    steps = found.select("ord", F.posexplode("path").alias("at", "id"))
+    of = graph.nodes.select("id", F.coalesce("symbol_file", "id").alias("file"))
+    steps = steps.join(of, "id").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x.file).alias("files"))
+    return steps.orderBy("ord").select(F.filter("files", lambda f, i: (i == 0) | (f != F.get("files", i - 1))).alias("path"))
+
+
 def shortest_path(edges: DataFrame, src: str, dst: str, most: int = 100) -> list[str]:
     """A shortest directed path, by least node at each step back; empty if there is none."""
     spark = edges.sparkSession

@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.glob import matches, matches_any
@@ -91,17 +92,24 @@ def filter_patterns(graph: Graph, patterns: list[str], dialect: str = "classes")
 _FIELDS = ("label", "id", "symbol_name", "symbol_kind", "plugin_kind", "signature", "symbol_file", "language", "source")
 
 
+def _error(pattern: str) -> str | None:
+    """What is wrong with an expression, by the engine that will run it."""
+    spark = SparkSession.getActiveSession()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Py4JJavaError as e:
+        return str(e.java_exception.getMessage())
+    return None
+
+
 def search_test(query: str, match_case: bool = False, whole_word: bool = False, regex: bool = False) -> tuple[Column, str | None]:
     """A condition on nodes, and the error of an expression that isn't valid (nothing matches then)."""
     text = F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in _FIELDS])
     if regex or whole_word:
-        if regex:
-            try:
-                re.compile(query)
-            except re.error as e:
-                return F.lit(False), str(e)
         pattern = query if regex else r"\b" + re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", query) + r"\b"
-        return text.rlike(("" if match_case else "(?i)") + pattern), None
+        pattern = ("" if match_case else "(?iu)") + pattern
+        error = _error(pattern)
+        return (F.lit(False), error) if error else (text.rlike(pattern), None)
     return (text.contains(query) if match_case else F.lower(text).contains(query.lower())), None
 
 
@@ -169,12 +177,16 @@ class View:
 
 
 def visible(graph: Graph, view: View) -> tuple[Graph, str | None]:
-    """The visible graph, and the error of a search expression."""
-    out = structural(apply_scope(graph, view.scope), view.scope, graph)
-    out = filter_patterns(out, list(view.patterns))
-    out, error = search(out, view.query, match_case=view.match_case, whole_word=view.whole_word, regex=view.regex)
+    """The visible graph, and the error of a search expression.
+
+    Each step reads nodes and edges several times, so what a step leaves is written before the next."""
+    out, error = structural(apply_scope(graph, view.scope), view.scope, graph).settled("shown"), None
+    if view.patterns or view.query.strip():
+        out, error = search(filter_patterns(out, list(view.patterns)), view.query, match_case=view.match_case, whole_word=view.whole_word, regex=view.regex)
+        out = out.settled("found")
     if not view.show_orphans:
         out = without_orphans(out)
+        out = out.settled("linked") if view.collapsed else out
     return collapse(out, list(view.collapsed)), error
 
 

@@ -229,11 +229,14 @@ def merge_edges_sources(spark, d):
     return out.select("id", "ord", "n_edges", F.array_join(F.array_sort(F.transform("sources", lambda s: s.plugin_id)), ",").alias("plugins"))
 
 
-@query("SELECT id, label, symbol_kind, symbol_file, file_size FROM nodes")
+@query("""SELECT id, CASE WHEN ord % 2 = 0 AND (ord % 3 = 0 OR symbol_file IS NULL) THEN 'first ' || label ELSE label END AS label, CASE WHEN ord % 3 > 0 THEN symbol_kind END AS symbol_kind,
+ CASE WHEN ord % 3 > 0 THEN symbol_file END AS symbol_file, CASE WHEN ord % 3 > 0 THEN file_size END AS file_size FROM nodes WHERE ord % 2 = 0 OR ord % 3 > 0""")
 def merge_nodes(spark, d):
+    # a first layer of every other node, bare of symbol fields and sizes, and a second one of two thirds of all
     n = derived.nodes(spark, d)
-    bare = n.withColumn("symbol_kind", F.lit(None).cast("string")).withColumn("symbol_file", F.lit(None).cast("string"))
-    return visible.merge_nodes(bare, n).select("id", "label", "symbol_kind", "symbol_file", "file_size")
+    bare = n.where("ord % 2 = 0").withColumn("label", F.concat(F.lit("first "), "label"))
+    bare = bare.withColumns({c: F.lit(None).cast(t) for c, t in n.dtypes if c in ("symbol_kind", "symbol_file", "symbol_name", "file_size")})
+    return visible.merge_nodes(bare, n.where("ord % 3 > 0")).select("id", "label", "symbol_kind", "symbol_file", "file_size")
 
 
 # ------------------------------------------------------------------ traversals
@@ -281,14 +284,6 @@ def neighbours(spark, d):
     return reports.neighbours(derived.edges(spark, d), derived.parts(spark, d).agg(F.min("id")).first()[0])
 
 
-@query()
-def pagerank_20(spark, d):
-    g = derived.graph(spark, d)
-    files = g.nodes.where("symbol_file is null").select(F.col("id").alias("path"), "file_size")
-    links = task_map.file_links(g, files)
-    return traverse.pagerank(links, files.select(F.col("path").alias("id"), F.col("file_size").cast("double").alias("weight")))
-
-
 # ------------------------------------------------------------------ relationships, symbols, overview
 
 
@@ -324,9 +319,13 @@ def overview_edges(spark, d):
 
 
 @query("""SELECT id, CASE WHEN n > 1 THEN base || ':' || n ELSE base END AS canonical_id FROM (
-  SELECT id, file || '#' || kind || ':' || kind AS base, row_number() OVER (PARTITION BY file, kind ORDER BY o_orderkey) AS n FROM ordr)""")
+  SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY o_orderkey) AS n FROM (SELECT id, o_orderkey, file || '#' || kind || ':' || kind ||
+   CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ':f(a%2C%20b)' ELSE ':g!%C3%A9~' || o_orderkey % 5 END AS base FROM ordr))""")
 def canonical_symbol_ids(spark, d):
-    s = reports.symbols_of(derived.nodes(spark, d)).withColumn("name", F.col("kind"))
+    # two thirds have a signature, which tells overloads apart
+    n = F.regexp_extract("name", r"(\d+)", 1).cast("long")
+    signature = F.when(n % 3 == 1, "f(a, b)").when(n % 3 == 2, F.concat(F.lit("g!é~"), n % 5))
+    s = reports.symbols_of(derived.nodes(spark, d)).withColumn("signature", signature).withColumn("name", F.col("kind"))
     return reports.occurrence_ids(s).select("id", "canonical_id")
 
 
@@ -336,21 +335,27 @@ def canonical_namespace(spark, d):
     ps = derived.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     ps = ps.join(derived.parts(spark, d), F.col("l_partkey") == F.col("p_partkey"))
     s = ps.select(F.concat(F.lit("ns"), (F.col("l_suppkey") % 50)).alias("name"), F.col("id").alias("file_path"), F.lit("namespace").alias("kind"))
-    n = derived.lines(spark, d).where("kind = 'import'").groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"))
-    return project.canonical_namespaces(s, n).select("name", "file_path")
+    r = derived.relations(spark, d).withColumn("kind", F.when(F.col("kind") == "import", "include").otherwise(F.col("kind"))).withColumn("resolved_path", F.lit(None).cast("string"))
+    return project.canonical_namespaces(s, project.incoming_includes(r)).select("name", "file_path")
 
 
-@query("""SELECT DISTINCT l_partkey * 10 + l_suppkey % 7 AS ord, supp.id AS symbol FROM lineitem JOIN prt ON p_partkey = l_partkey JOIN
-  (SELECT l_partkey AS pk, l_suppkey % 7 AS nm, min(l_suppkey) AS sk FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_suppkey) = 1) u ON pk = l_partkey AND nm = l_suppkey % 7 JOIN supp ON s_suppkey = sk""")
+@query("""WITH RECURSIVE chain AS (SELECT c_custkey AS ord, c_custkey AS f, 0 AS hops FROM customer WHERE c_custkey > 0 UNION ALL SELECT ord, f // 2, hops + 1 FROM chain WHERE f > 1)
+ SELECT ord, 'f1#n' || max(hops) AS symbol FROM chain GROUP BY ord HAVING count(*) FILTER (WHERE f % 7 = 0) = 0""", graph=False)
 def reexport_resolution(spark, d):
-    li = derived.table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    p, s = derived.parts(spark, d).select(F.col("id").alias("p"), "p_partkey"), derived.suppliers(spark, d).select(F.col("id").alias("s"), "s_suppkey")
-    li = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    name = F.concat(F.lit("n"), F.col("l_suppkey") % 7)
-    wanted = li.select((F.col("l_partkey") * 10 + F.col("l_suppkey") % 7).alias("ord"), F.col("p").alias("file"), name.alias("name")).distinct()
-    exports = li.select(F.col("p").alias("file"), F.lit(None).cast("string").alias("name"), F.col("s").alias("to_file"), F.lit(None).cast("string").alias("to_name")).distinct()
-    symbols = s.select(F.col("s").alias("file_path"), F.concat(F.lit("n"), F.col("s_suppkey") % 7).alias("name"), F.col("s").alias("id"))
-    return project.through_reexports(wanted, exports, symbols)
+    # file k takes name n<i> from file k // 2 under the name n<i + 1>, down to file 1, which declares all; every fifth file
+    # is also in a cycle that passes all names on; every seventh passes them to a file that declares all names as well
+    c = derived.table(spark, d, "customer").where("c_custkey > 0").select(F.col("c_custkey").alias("k"))
+    f = lambda x: F.concat(F.lit("f"), x.cast("long").cast("string"))
+    k, i, null = F.col("k"), F.col("i"), F.lit(None).cast("string")
+    steps = c.where("k > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(40))))
+    exports = steps.select(f(k).alias("file"), F.concat(F.lit("n"), "i").alias("name"), f(F.floor(k / 2)).alias("to_file"), F.concat(F.lit("n"), i + 1).alias("to_name"))
+    loops = c.where("k > 1 and k % 5 = 0")
+    g = F.concat(F.lit("g"), "k")
+    exports = exports.union(loops.select(f(k), null, g, null)).union(loops.select(g, null, f(k), null))
+    exports = exports.union(c.where("k % 7 = 0").select(f(k), null, F.lit("other"), null))
+    every = spark.range(42).select(F.concat(F.lit("n"), "id").alias("name"))
+    symbols = every.select(F.lit("f1").alias("file_path"), "name", F.concat(F.lit("f1#"), "name").alias("id")).union(every.select(F.lit("other"), "name", F.concat(F.lit("other#"), "name")))
+    return project.through_reexports(c.select(k.alias("ord"), f(k).alias("file"), F.lit("n0").alias("name")), exports, symbols)
 
 
 @query("""SELECT l.ord, o.sym AS target_symbol FROM line l JOIN (SELECT file, kind, min(id) AS sym FROM ordr GROUP BY 1, 2 HAVING count(*) = 1) o ON o.file = l.src_file AND o.kind = 'class'""")
@@ -360,12 +365,14 @@ def unique_target_symbol(spark, d):
     return project.unique_targets(r, s)
 
 
-@query("""SELECT page_id, CASE WHEN spec LIKE '/%' THEN NULL ELSE 'pkg:' || split_part(spec, '/', 1) END AS package FROM (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS spec FROM pages) WHERE spec <> ''""", graph=False)
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'site/' || page_id WHEN spec LIKE '/%' THEN NULL ELSE 'pkg:' || split_part(spec, '/', 1) END AS target
+ FROM (SELECT page_id, regexp_extract(url, '://([^?#]*)', 1) AS spec FROM pages) WHERE CASE WHEN page_id % 3 = 0 THEN page_id % 2 = 0 ELSE spec <> '' END""", graph=False)
 def connection_targets(spark, d):
-    p = derived.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("specifier"))
-    p = p.withColumn("resolved_path", F.lit(None).cast("string")).withColumn("to_file", F.lit(None).cast("string"))
-    files = spark.createDataFrame([], "path string")
-    return project.with_targets(p, files).select("page_id", F.col("target").alias("package"))
+    # a third of the links is resolved, to a file that is known for even ids; the others name a package
+    pages = derived.table(spark, d, "pages")
+    path = F.concat(F.lit("site/"), "page_id")
+    p = pages.select("page_id", F.regexp_extract("url", "://([^?#]*)", 1).alias("specifier"), F.when(F.col("page_id") % 3 == 0, path).alias("resolved_path"), F.lit(None).cast("string").alias("to_file"))
+    return project.with_targets(p, pages.where("page_id % 2 = 0").select(path.alias("path"))).select("page_id", "target")
 
 
 @query("SELECT src || '->' || dst || '#' || kind AS id, src, dst, kind, ord FROM fedges")
@@ -421,9 +428,12 @@ def phrase_rank(spark, d):
 
 
 @query(_PATHS + r""", l AS (SELECT path, unnest(range(0, len(string_split(content, chr(10))))) AS n, unnest(string_split(content, chr(10))) AS said FROM t)
- SELECT path, CAST(n + 1 AS BIGINT) AS line, CAST(instr(lower(said), 'license') AS BIGINT) AS "column" FROM l WHERE contains(lower(said), 'license')""", graph=False)
+ SELECT path, CAST(n + 1 AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS "column", CASE WHEN length(said) <= 240 THEN said ELSE (CASE WHEN s > 0 THEN '…' ELSE '' END)
+   || substr(said, CAST(s + 1 AS BIGINT), CAST(least(length(said), s + CASE WHEN s > 0 THEN 238 ELSE 239 END) - s AS BIGINT)) || (CASE WHEN s + CASE WHEN s > 0 THEN 238 ELSE 239 END < length(said) THEN '…' ELSE '' END) END AS excerpt,
+   CAST(CASE WHEN regexp_matches(lower(path), '(^|[^\p{L}\p{N}_])license([^\p{L}\p{N}_]|$)') THEN 3 WHEN contains(lower(path), 'license') THEN 4 ELSE 6 END AS INT) AS "rank"
+  FROM (SELECT *, greatest(0, least(a - 80, length(said) - 240)) AS s FROM (SELECT path, n, said, instr(lower(said), 'license') - 1 AS a FROM l WHERE contains(lower(said), 'license')))""", graph=False)
 def text_search_lines(spark, d):
-    return search.text_matches(derived.source_text(spark, d), "license").select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"))
+    return search.text_matches(derived.source_text(spark, d), "license").select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"), "excerpt", "rank")
 
 
 @query("SELECT id, file_path, nth FROM (SELECT id, file AS file_path, row_number() OVER (PARTITION BY file ORDER BY 'o' || o_orderkey, id) AS nth FROM ordr) WHERE nth <= 3")
@@ -442,26 +452,6 @@ def _documents(spark, d) -> tuple[Graph, DataFrame]:
     return Graph(f, e), t
 
 
-@query()
-def lexical_score(spark, d):
-    g, t = _documents(spark, d)
-    out, _ = task_map.lexical(task_map.documents(g, t), "thing ention license during shining token")
-    return out.select("path", F.round("score", 9).alias("score"), _joined("matched"))
-
-
-@query()
-def task_map_report(spark, d):
-    g, t = _documents(spark, d)
-    out, _ = task_map.task_map(g, t, "apache license thing ention", 20)
-    return out.select("path", F.round("score", 6).alias("score"), _joined("matched"))
-
-
-@query()
-def search_report(spark, d):
-    g = derived.graph(spark, d)
-    return search.search_report(g.nodes, reports.symbols_of(g.nodes), derived.source_text(spark, d), "license").select("type", "id", "line", "column", "excerpt", "rank")
-
-
 # ------------------------------------------------------------------ cache, changes, style
 
 
@@ -470,11 +460,12 @@ def content_hashes(spark, d):
     return cache.fingerprints(derived.source_text(spark, d))
 
 
-@query("SELECT 'src/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, CASE WHEN doc_id % 7 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 7 = 0 OR (doc_id % 5 = 0 AND doc_id % 7 <> 0)", graph=False)
+@query("""SELECT 'src/' || source || '/' || lang || '/doc_' || doc_id || '.txt' AS path, CASE WHEN doc_id % 11 = 0 THEN 'removed' WHEN doc_id % 7 = 0 THEN 'added' ELSE 'changed' END AS change
+ FROM documents WHERE CASE WHEN doc_id % 11 = 0 THEN doc_id % 7 <> 0 ELSE doc_id % 7 = 0 OR doc_id % 5 = 0 END""", graph=False)
 def content_hash_changes(spark, d):
-    now = cache.fingerprints(derived.source_text(spark, d)).withColumn("n", F.regexp_extract("path", r"doc_(\d+)", 1).cast("long"))
-    before = now.where("n % 7 <> 0").withColumn("content_hash", F.when(F.col("n") % 5 == 0, "old").otherwise(F.col("content_hash")))
-    return cache.changed(before.drop("n"), now.drop("n"))
+    every = cache.fingerprints(derived.source_text(spark, d)).withColumn("n", F.regexp_extract("path", r"doc_(\d+)", 1).cast("long"))
+    before = every.where("n % 7 <> 0").withColumn("content_hash", F.when(F.col("n") % 5 == 0, "old").otherwise(F.col("content_hash")))
+    return cache.changed(before.drop("n"), every.where("n % 11 <> 0").drop("n"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE kind = 'import') AS imports FROM edges WHERE NOT starts_with(src, 'cust/r1/') ")
@@ -508,15 +499,16 @@ def decorations_merge(spark, d):
     return style.merged(e, ["color"]).select("id", "color", F.size("tooltip").cast("long").alias("sections"))
 
 
-@query("SELECT 'edge_source' AS constraint_, count(*) AS violations FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE symbol_file IS NULL) UNION ALL SELECT 'edge_target', count(*) FROM edges WHERE dst NOT IN (SELECT id FROM nodes WHERE symbol_file IS NULL) UNION ALL SELECT 'node_key', 0")
+@query("SELECT 'edge_source' AS constraint_, count(*) AS violations FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE symbol_file IS NULL) UNION ALL SELECT 'edge_target', count(*) FROM edges WHERE dst NOT IN (SELECT id FROM nodes WHERE symbol_file IS NULL) UNION ALL SELECT 'node_key', count(*) FROM (SELECT id FROM (SELECT id FROM nodes WHERE symbol_file IS NULL UNION ALL SELECT id FROM nodes WHERE symbol_file IS NULL AND ord % 4 = 0) GROUP BY id HAVING count(*) > 1)")
 def fk_check(spark, d):
     g = derived.graph(spark, d)
-    return cache.violations(Graph(g.nodes.where("symbol_file is null"), g.edges)).withColumnRenamed("check", "constraint_")
+    files = g.nodes.where("symbol_file is null")
+    return cache.violations(Graph(files.unionByName(files.where("ord % 4 = 0")), g.edges)).withColumnRenamed("check", "constraint_")
 
 
-@query("SELECT kind, count(*) AS n, count(DISTINCT src) AS sources FROM edges GROUP BY 1")
-def edge_kinds(spark, d):
-    return derived.edges(spark, d).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("src").alias("sources"))
+@query("SELECT 'edge' AS \"of\", kind AS type, count(*) AS n FROM edges GROUP BY ALL UNION ALL SELECT 'node', coalesce(node_type, 'file'), count(*) FROM nodes GROUP BY ALL")
+def observed_types(spark, d):
+    return reports.observed(derived.graph(spark, d))
 
 
 @query("""SELECT id, round(CASE WHEN n = 1 THEN 0.0 ELSE (CASE WHEN i = n - 1 THEN 0.5 ELSE -0.5 + i * 1.0 / (n - 1) END) END * CASE WHEN src = l THEN 1 ELSE -1 END, 6) + 0.0 AS curvature, ord FROM (

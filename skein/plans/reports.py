@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from skein.functions.glob import matches
 from skein.functions.ordering import collated, sort_by
 from skein.graph import Graph, closed, file_edges, small, with_files
-from skein.operators.scope import node_type
+from skein.operators.scope import NodeType, Scope, _up, node_type
 from skein.operators.visible import search, without_orphans
+from skein.schema import uri_component
 
 
 def _text(value) -> str:
@@ -41,19 +42,28 @@ def filter_test(df: DataFrame, filters: dict[str, dict]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def scoped(graph: Graph, node_types: list[str] | None = None, edge_types: list[str] | None = None) -> Graph:
-    """Only the named node types (by default files) and edge types (by default all); 'symbol' means every symbol."""
+def scoped(graph: Graph, node_types: list[str] | None = None, edge_types: list[str] | None = None, types: tuple[NodeType, ...] = ()) -> Graph:
+    """Only the named node types (by default files) and edge types (by default all). 'symbol' means every symbol, any other
+    type also the symbols that a definition at or below it matches; ``types`` adds definitions to the core's."""
     wanted = node_types or ["file"]
     shown = node_type().isin(*wanted)
     if "symbol" in wanted:
         shown = shown | F.col("symbol_file").isNotNull()
-    if kinds := [t[7:] for t in wanted if t.startswith("symbol:")]:
-        shown = shown | F.coalesce(F.col("symbol_kind").isin(*kinds), F.lit(False))
+    every = Scope(types=types).definitions()
+    for t in every.values():
+        if t.has_matcher and set(wanted) & set(_up(every, t.id)):
+            shown = shown | t.fits()
     nodes = graph.nodes.where(shown)
     edges = graph.edges.where(F.col("kind").isin(*edge_types)) if edge_types is not None else graph.edges
     return Graph(nodes, closed(edges, nodes))
 
 
+def observed(graph: Graph) -> DataFrame:
+    """of ('node' or 'edge'), type and n of the types in use."""
+    n = graph.nodes.groupBy(node_type().alias("type")).agg(F.count("*").alias("n")).select(F.lit("node").alias("of"), "type", "n")
+    return n.union(graph.edges.groupBy(F.col("kind").alias("type")).agg(F.count("*").alias("n")).select(F.lit("edge").alias("of"), "type", "n"))
+
+
 def _looked(graph: Graph, query: str, show_orphans: bool) -> Graph:
     graph, _ = search(graph, query)
     return graph if show_orphans else without_orphans(graph)
@@ -127,7 +137,7 @@ def relationships_report(graph: Graph, relations: DataFrame, symbols: DataFrame,
     """from, to and relationships (kind, plugin, source, symbols) for relations whose file-level edge is visible."""
     graph = scoped(graph, node_types, edge_types)
     keys = graph.edges.select("src", "dst", "kind").distinct()
-    r = relations.select(F.coalesce("from_node", "from_file").alias("src"), F.coalesce("to_node", "to_file").alias("dst"), "kind", "plugin_id", "source_id", F.coalesce("to_symbol", "from_symbol").alias("_symbol"), "ord")
+    r = relations.select(F.coalesce("from_node", "from_file").alias("src"), F.coalesce("to_node", "to_file").alias("dst"), "kind", "plugin_id", F.when(F.col("plugin_id").isNotNull(), F.col("source_id")).alias("source_id"), F.coalesce("to_symbol", "from_symbol").alias("_symbol"), "ord")
     r = r.where("dst is not null").join(keys, ["src", "dst", "kind"], "left_semi")
     s = symbols.select(F.col("id").alias("_symbol"), "name", F.col("kind").alias("_kind"), "start_line", "end_line")
     r = r.join(s, "_symbol", "left").withColumn("_kind", F.when((F.col("kind") != "type-import") & (F.col("_kind") != ""), F.col("_kind")))
@@ -143,6 +153,10 @@ def relationships_report(graph: Graph, relations: DataFrame, symbols: DataFrame,
     return sort_by(out.where(filter_test(out, filters or {})), [], ["from", "to"])
 
 
+#: Columns of a symbol that come from its metadata, and their keys there.
+METADATA = {"language": "language", "source": "source", "plugin_kind": "pluginKind"}
+
+
 def symbols_report(graph: Graph, symbols: DataFrame, relations: DataFrame | None = None, file_path=None, related_from=None, related_to=None, edge_type=None, filters=None, query="") -> DataFrame:
     """Declarations, or with a relation filter the symbols that such relations name."""
     out = symbols
@@ -155,10 +169,13 @@ def symbols_report(graph: Graph, symbols: DataFrame, relations: DataFrame | None
         out = out.join(ids, "id", "left_semi").withColumn("kind", F.when(F.col("kind") != "type", F.col("kind")))
     if file_path:
         out = out.where(F.col("file_path") == file_path)
-    out = out.select("id", "name", "kind", "file_path", "signature", "start_line", "end_line")
+    has = "metadata" in out.columns
+    extra = [(F.col("metadata")[key] if has else F.lit(None).cast("string")).alias(c) for c, key in METADATA.items()]
+    out = out.select("id", "name", "kind", "file_path", "signature", "start_line", "end_line", *extra)
     out = out.where(filter_test(out, filters or {}))
-    if query:
-        fields = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("id", "name", "kind", "file_path", "signature")])
+    if query.strip():
+        # eight fields between single blanks; a missing one leaves its place empty
+        fields = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("id", "file_path", "name", "kind", "signature", *METADATA)])
         out = out.where(F.lower(fields).contains(query.lower()))
     return sort_by(out, [], ["file_path", "name", "kind", "id"])
 
@@ -186,7 +203,8 @@ def symbols_of(nodes: DataFrame) -> DataFrame:
     """Symbol facts from a graph's symbol nodes."""
     return nodes.where("symbol_file is not null").select(
         "id", F.col("symbol_name").alias("name"), F.col("symbol_kind").alias("kind"), F.col("symbol_file").alias("file_path"), "signature",
-        F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"), "ord",
+        F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"),
+        F.create_map(*[x for c, key in METADATA.items() for x in (F.lit(key), F.col(c))]).alias("metadata"), "ord",
     )
 
 
@@ -196,6 +214,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
 
 
+def link_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Ends of edges at each visible node, both ends visible; every edge counts, a loop twice."""
+    both = closed(edges, nodes)
+    ends = both.select(F.col("src").alias("id")).union(both.select("dst"))
+    return nodes.select("id").join(ends.groupBy("id").agg(F.count("*").alias("links")), "id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+
+
 def node_sizes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Size by degree: three times the root of degree plus one, from 8 to 30."""
     out = nodes.select("id").join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
@@ -223,15 +248,6 @@ def neighbours(edges: DataFrame, node: str) -> DataFrame:
     return out.union(edges.where(F.col("dst") == node).select("src")).distinct()
 
 
-def files_of_path(path: DataFrame, graph: Graph) -> DataFrame:
-    """Paths of nodes as paths of files, each file once in a row: needs path and ord columns."""
-    steps = path.select("ord", F.posexplode("path").alias("at", "id"))
-    of = graph.nodes.select("id", F.coalesce("symbol_file", "id").alias("file"))
-    steps = steps.join(of, "id").groupBy("ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "file"))), lambda x: x.file).alias("files"))
-    once = F.filter("files", lambda f, i: (i == 0) | (f != F.get("files", i - 1)))
-    return steps.select("ord", once.alias("path"))
-
-
 def edge_pairs(graph: Graph) -> DataFrame:
     """Pairs of files and the sorted kinds between them."""
     pairs = with_files(graph.edges, graph.nodes).where("src_file <> dst_file")
@@ -239,8 +255,9 @@ def edge_pairs(graph: Graph) -> DataFrame:
 
 
 def occurrence_ids(symbols: DataFrame) -> DataFrame:
-    """Canonical ids: the base, and from the second of the same base on its number."""
-    base = F.concat("file_path", F.lit("#"), "name", F.lit(":"), F.lower(F.trim("kind")))
+    """Canonical ids: the base (file, name, kind, encoded signature), and from the second of the same base on its number."""
+    signature = F.when(F.col("signature") != "", F.concat(F.lit(":"), uri_component(F.col("signature"))))
+    base = F.concat("file_path", F.lit("#"), "name", F.lit(":"), F.lower(F.trim("kind")), F.coalesce(signature, F.lit("")))
     nth = F.row_number().over(Window.partitionBy("base").orderBy("ord"))
     out = symbols.withColumn("base", base).withColumn("nth", nth)
     return out.withColumn("canonical_id", F.when(F.col("nth") > 1, F.concat("base", F.lit(":"), "nth")).otherwise(F.col("base")))

@@ -42,24 +42,21 @@ VISIBLE_EDGES = frozenset({"include", "import", "using", "nests"})
 VARIABLE_KINDS = ("constant", "field", "global", "local", "parameter", "variable")
 ROOT = "(root)"
 
-#: Node types of symbols: id, parent, symbol kinds that it matches.
+#: Fixed values. Node types of symbols: id, parent, symbol kinds that it matches.
 SYMBOL_TYPES = (
     ("symbol", None, None),
     ("symbol:function", "symbol", ("function", "method")),
+    ("symbol:namespace", "symbol", ("namespace",)),
     ("symbol:callable", "symbol", ("function",)),
     ("symbol:method", "symbol", ("method",)),
-    ("symbol:class", "symbol", ("class",)),
-    ("symbol:interface", "symbol", ("interface",)),
-    ("symbol:type", "symbol", ("type",)),
-    ("symbol:enum", "symbol", ("enum",)),
-    ("symbol:struct", "symbol", ("struct",)),
-    ("symbol:namespace", "symbol", ("namespace",)),
-    ("symbol:module", "symbol", ("module",)),
-    ("symbol:trait", "symbol", ("trait",)),
-    ("symbol:alias", "symbol", ("alias",)),
+    *((f"symbol:{k}", "symbol", (k,)) for k in (
+        "constructor", "prototype", "class", "mixin", "extension", "interface", "record", "delegate", "property", "event",
+        "type", "struct", "union", "enum", "typedef", "alias", "template", "module", "trait",
+    )),
     ("variable", "symbol", None),
+    ("variable:plain", "variable", ("variable",)),
     *((f"symbol:{k}", "variable", (k,)) for k in VARIABLE_KINDS),
-)
+)
 
 
 def package_id(specifier: Column) -> Column:

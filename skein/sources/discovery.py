@@ -15,10 +15,10 @@ from skein.functions.ordering import collated
 from skein.functions.paths import ancestors, extension
 
 MOST_FILES, MOST_BYTES = 1_000, 1 << 20
-# Fixed value: what is left out by default.
+# What is left out by default, with this package's own folder.
 EXCLUDED = (
-    "**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/.git/**", "**/coverage/**", "**/.cache/**", "**/vendor/**",
-    "**/__pycache__/**", "**/.venv/**", "**/target/**", "**/*.min.js", "**/*.bundle.js", "**/*.map", "**/.DS_Store",
+    "**/node_modules/**", "**/dist/**", "**/build/**", "**/out/**", "**/.git/**", "**/.skein/**", "**/.turbo", "**/.turbo/**",
+    "**/.worktrees", "**/.worktrees/**", "**/coverage/**", "**/.DS_Store", "**/*.min.js", "**/*.bundle.js", "**/*.map",
 )
 
 

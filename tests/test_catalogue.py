@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from skein.plans import catalogue
+from skein.plans import catalogue, catalogue_facts  # noqa: F401: adds its queries
 
 
 def norm(v):
