@@ -1,17 +1,20 @@
-"""The graph cache: four Parquet tables in a versioned folder, and a pointer to the version in force."""
+"""The graph cache: Parquet tables in buckets of files, and numbered states that name the buckets in force."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.functions.paths import ancestors
 from skein.graph import Graph
-from skein.schema import EDGE, FILE, NODE, SCHEMA_VERSION, SYMBOL
+from skein.schema import EDGE, FILE, NODE, RELATION, SCHEMA_VERSION, SYMBOL
+from skein.sources.discovery import included_by_default
 
-TABLES = {"files": FILE, "nodes": NODE, "symbols": SYMBOL, "edges": EDGE}
+TABLES = {"files": FILE, "nodes": NODE, "symbols": SYMBOL, "edges": EDGE, "relations": RELATION}
 
 
 def fingerprints(text: DataFrame) -> DataFrame:
@@ -45,72 +48,152 @@ def violations(graph: Graph) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2])
 
 
+def below(paths: DataFrame, gone: DataFrame) -> DataFrame:
+    """Paths that are in ``gone`` (path) or lie below one of its folders."""
+    up = paths.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_up"))
+    return up.join(gone.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
+
+
+def pending(changes: DataFrame, indexed_at: float | None) -> DataFrame:
+    """Of changed files (path, mtime in milliseconds; null where unknown) those that the last index doesn't cover."""
+    out = changes.where(included_by_default(F.col("path")))
+    return out if indexed_at is None else out.where(F.col("mtime").isNull() | (F.col("mtime") > indexed_at))
+
+
+#: Buckets of files; a patch writes those anew that hold a file of the patch, the others stay as they are.
+BUCKETS = 64
+
+
 class GraphCache:
-    """Tables under ``folder``; a save writes a new version and then moves the pointer, so readers see one or the other."""
+    """Five tables under ``folder``, in buckets by the file that a row belongs to.
+
+    A save or patch writes buckets under a new name, then a state file with the next number, which must not exist yet:
+    that is the moment from which readers see them, and of two writers the later one fails. State files and buckets are
+    never changed or deleted by it, so a reader keeps what it has begun with (``vacuum`` deletes old ones)."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    @staticmethod
+    def key(table: str) -> Column:
+        """The file that a row belongs to."""
+        return {
+            "files": F.col("path"), "nodes": F.coalesce("symbol_file", "id"), "symbols": F.col("file_path"),
+            "edges": F.substring_index("src", "#", 1), "relations": F.col("from_file"),
+        }[table]
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
     def _files(self):
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        path = jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._files()
+        return [x.getPath().getName() for x in fs.listStatus(path(folder))] if fs.exists(path(folder)) else []
 
     def state(self) -> dict | None:
-        jvm, fs = self._files()
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/CURRENT")
-        if not fs.exists(at):
-            return None
-        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/CURRENT").collect()))
+        """The state of the highest number that is written to its end."""
+        numbers = sorted((int(n.removeprefix("state-")) for n in self._names(self.folder) if n.startswith("state-")), reverse=True)
+        for n in numbers:
+            said = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/state-{n}").collect())
+            try:
+                return {**json.loads(said), "number": n}
+            except ValueError:  # another writer is about to end it
+                continue
+        return None
 
     def load(self) -> dict[str, DataFrame]:
-        """The four tables; empty ones where nothing is saved or the schema version is another."""
+        """The tables; empty ones where nothing is saved or the schema version is another."""
         state = self.state()
         if state is None or state["schema"] != SCHEMA_VERSION:
             return {t: self.spark.createDataFrame([], s) for t, s in TABLES.items()}
-        return {t: self.spark.read.schema(s).parquet(f"{self.folder}/{state['version']}/{t}") for t, s in TABLES.items()}
+        return {t: self._read(state, t) for t in TABLES}
+
+    def _read(self, state: dict, table: str, buckets: set[int] | None = None) -> DataFrame:
+        at = state["tables"].get(table, {})
+        paths = [f"{self.folder}/{version}/{table}/bucket={b}" for b, version in at.items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(TABLES[table]).parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
+
+    def _write(self, table: str, df: DataFrame, version: str) -> dict[str, str]:
+        fields = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
+        out = df.select(*fields).withColumn("bucket", self._bucket(self.key(table)))
+        out.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}/{table}")
+        return {n.removeprefix("bucket="): version for n in self._names(f"{self.folder}/{version}/{table}") if n.startswith("bucket=")}
+
+    def _commit(self, before: dict | None, version: str, tables: dict, meta: dict) -> str:
+        path, fs = self._files()
+        number = (before or {}).get("number", 0) + 1
+        said = {"schema": SCHEMA_VERSION, "version": version, "tables": tables, "meta": meta}
+        try:
+            out = fs.create(path(f"{self.folder}/state-{number}"), False)  # fails if there is one
+        except Py4JJavaError as e:
+            raise RuntimeError("the cache has changed") from e
+        out.write(bytearray(json.dumps(said).encode()))
+        out.close()
+        return version
 
-    def save(self, expect: str | None = None, **tables: DataFrame) -> str:
+    def save(self, expect: str | None = None, meta: dict | None = None, **tables: DataFrame) -> str:
         """Replace the tables given, keep the others; ``expect``: the version that must still be in force."""
         state, version = self.state(), uuid.uuid4().hex
         if expect is not None and (state or {}).get("version") != expect:
             raise RuntimeError("the cache has changed")
-        for name, df in {**self.load(), **tables}.items():
-            fields = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[name].fields]
-            df.select(*fields).write.parquet(f"{self.folder}/{version}/{name}")
-        if expect is not None and (self.state() or {}).get("version") != expect:
-            raise RuntimeError("the cache has changed")
-        jvm, fs = self._files()
-        path = jvm.org.apache.hadoop.fs.Path
-        out = fs.create(path(f"{self.folder}/CURRENT.{version}"))
-        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "version": version}).encode()))
-        out.close()
-        fs.delete(path(f"{self.folder}/CURRENT"), False)
-        fs.rename(path(f"{self.folder}/CURRENT.{version}"), path(f"{self.folder}/CURRENT"))
-        return version
-
-    def patch(self, gone: DataFrame, **new: DataFrame) -> str:
-        """Drop what belongs to the files of ``gone`` (path) and add rows: one new version."""
-        old = self.load()
-        keys = {"files": F.col("path"), "nodes": F.coalesce("symbol_file", "id"), "symbols": F.col("file_path"), "edges": F.substring_index("src", "#", 1)}
-        out = {}
-        for name, df in old.items():
-            rest = df.withColumn("_key", keys[name]).join(gone.select(F.col("path").alias("_key")).distinct(), "_key", "left_anti").drop("_key")
-            out[name] = rest.unionByName(new[name], allowMissingColumns=True) if name in new else rest
-        return self.save(expect=(self.state() or {}).get("version"), **out)
+        same = state is not None and state["schema"] == SCHEMA_VERSION
+        now = dict(state["tables"]) if same else {}
+        for name, df in tables.items():
+            now[name] = self._write(name, df, version)
+        return self._commit(state, version, now, {**(state["meta"] if same else {}), **(meta or {})})
+
+    def patch(self, gone: DataFrame, meta: dict | None = None, **new: DataFrame) -> str:
+        """Drop what belongs to the files of ``gone`` (path) and add rows; only the buckets that these are in are written."""
+        state, version = self.state(), uuid.uuid4().hex
+        if state is None or state["schema"] != SCHEMA_VERSION:
+            return self.save(meta=meta, **new)
+        now = {t: dict(v) for t, v in state["tables"].items()}
+        files = gone.select(F.col("path").alias("_key")).distinct()
+        touched = {r[0] for r in files.select(self._bucket(F.col("_key"))).distinct().collect()}  # at most ``buckets`` numbers
+        for name in TABLES:
+            more = new.get(name)
+            own = touched | ({r[0] for r in more.select(self._bucket(self.key(name))).distinct().collect()} if more is not None else set())
+            rest = self._read(state, name, own).withColumn("_key", self.key(name)).join(files, "_key", "left_anti").drop("_key")
+            rest = rest if more is None else rest.unionByName(more, allowMissingColumns=True).select(*rest.columns)
+            written_ = self._write(name, rest, version)
+            now[name] = {**{b: v for b, v in now.get(name, {}).items() if int(b) not in own}, **written_}
+        return self._commit(state, version, now, {**state["meta"], **(meta or {})})
+
+    def vacuum(self, keep: int = 2) -> list[str]:
+        """Delete states but the last ``keep``, and the versions that none of these names; returns the versions deleted."""
+        path, fs = self._files()
+        names = self._names(self.folder)
+        numbers = sorted(int(n.removeprefix("state-")) for n in names if n.startswith("state-"))
+        live = set()
+        for n in numbers[-keep:]:
+            state = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/state-{n}").collect()))
+            live |= {v for t in state["tables"].values() for v in t.values()} | {state["version"]}
+        gone = [n for n in names if len(n) == 32 and n not in live]
+        for n in numbers[:-keep]:
+            fs.delete(path(f"{self.folder}/state-{n}"), False)
+        for n in gone:
+            fs.delete(path(f"{self.folder}/{n}"), True)
+        return gone
 
     def counts(self) -> dict[str, int]:
         return {name: df.count() for name, df in self.load().items()}
 
-    def status(self, now: DataFrame | None = None) -> tuple[str, list[str]]:
-        """'missing', 'stale' with reasons, or 'fresh'; ``now`` are the fingerprints of the files as they are."""
+    def status(self, now: DataFrame | None = None, **signatures: str) -> tuple[str, list[str]]:
+        """'missing', 'stale' or 'fresh', and why; ``now`` are the fingerprints of the files as they are, ``signatures`` those
+        of the plugins and settings, held against what the last index noted."""
         state = self.state()
         if state is None:
-            return "missing", ["no cache"]
+            return "missing", ["never-indexed"]
+        if not any(state["tables"].values()) or not set(self._names(self.folder)) & {v for t in state["tables"].values() for v in t.values()}:
+            return "missing", ["graph-cache-missing"]
+        reasons = []
+        if state["schema"] == SCHEMA_VERSION and now is not None and not changed(self.load()["files"], now).isEmpty():
+            reasons.append("pending-changed-files")
+        reasons += [f"{name}-signature-changed" for name, value in signatures.items() if state["meta"].get(name) != value]
         if state["schema"] != SCHEMA_VERSION:
-            return "stale", ["schema version"]
-        if now is not None:
-            kinds = [r[0] for r in changed(self.load()["files"], now).select("change").distinct().collect()]
-            if kinds:
-                return "stale", [f"files {k}" for k in sorted(kinds)]
-        return "fresh", []
+            reasons.append("analysis-version-changed")
+        return ("stale", reasons) if reasons else ("fresh", [])

@@ -72,6 +72,10 @@ def git_ignored(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFra
     return spark.createDataFrame([(p,) for p in said.stdout.decode().split("\0") if p], "path string")
 
 
+def included_by_default(path: Column) -> Column:
+    return ~matches_any(path, list(EXCLUDED), "full")
+
+
 def included(include: Sequence[str] = (), exclude: Sequence[str] = (), extensions: Sequence[str] = ()) -> Column:
     path = F.col("path")
     keep = ~matches_any(path, [*EXCLUDED, *exclude], "full")

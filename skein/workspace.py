@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+import time
 from dataclasses import asdict, dataclass, field, fields
 from functools import reduce
 
@@ -14,8 +16,9 @@ from skein.analyze.languages import builtin, javascript_candidates, python_candi
 from skein.analyze.registry import Registry, relations, resolved, symbols
 from skein.functions.glob import matches_any
 from skein.graph import Graph, closed, written
-from skein.operators import project, traverse
-from skein.operators.scope import Scope
+from skein.functions.ordering import page
+from skein.operators import facts, project, traverse
+from skein.operators.scope import Scope, apply_scope, saved_scope
 from skein.plans import reports, search, task_map
 from skein.schema import EDGE, NODE, VISIBLE_EDGES
 from skein.sources import cache, discovery
@@ -62,23 +65,43 @@ class Workspace:
 
     # ------------------------------------------------------------------ index
 
-    def files(self) -> DataFrame:
-        """Eligible files with their bytes."""
+    def eligible(self) -> DataFrame:
+        """path, size and mtime of the files that count."""
         files = discovery.listed(self.spark, self.root).where(~F.col("path").startswith(".skein/"))
         ignored = None
         if self.settings.respect_gitignore and os.path.isdir(f"{self.root}/.git"):
             known = discovery.git_listed(self.spark, self.root)
             ignored = files.select("path").join(known, "path", "left_anti")
-        kept, _ = discovery.discovered(files, self.settings.include, self.settings.filter_patterns, ignored=ignored, most=self.settings.max_files)
-        return discovery.with_content(kept, self.root)
-
-    def _fingerprints(self, files: DataFrame) -> DataFrame:
-        return discovery.with_hashes(files).join(files.select("path", "mtime"), "path")
+        return discovery.discovered(files, self.settings.include, self.settings.filter_patterns, ignored=ignored, most=self.settings.max_files)[0]
 
-    def facts(self, files: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Symbols, and relations with resolved paths, of the files' texts."""
+    def files(self) -> DataFrame:
+        """Eligible files with their bytes."""
+        return discovery.with_content(self.eligible(), self.root)
+
+    def fingerprints(self, files: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        """path, content_hash, size, mtime of files (path, size, mtime); of those whose size and mtime are as ``before`` the
+        hash is taken over, only the others are read."""
+        if before is None:
+            same = files.select("path", "size", "mtime", F.lit(None).cast("string").alias("content_hash")).where("false")
+        else:
+            old = before.select("path", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "content_hash")
+            same = files.join(old, "path").where("size = _size and mtime = _mtime").select("path", "size", "mtime", "content_hash")
+        read = discovery.with_content(files.join(same, "path", "left_anti"), self.root)
+        return same.unionByName(discovery.with_hashes(read).join(files.select("path", "mtime"), "path"))
+
+    def signatures(self) -> dict[str, str]:
+        """Of the active plugins and of the settings: what an index depends on besides the files."""
+        plugins = json.dumps([p.id for p in self.registry.active(self.settings.plugins)])
+        settings = json.dumps(asdict(self.settings), sort_keys=True)
+        return {n: hashlib.sha256(x.encode()).hexdigest() for n, x in (("plugin", plugins), ("settings", settings))}
+
+    def _meta(self) -> dict:
+        return {**self.signatures(), "indexed_at": time.time() * 1000}
+
+    def facts(self, files: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Symbols, and relations with paths resolved among ``paths``, of the files' texts."""
         found = written(self.registry.facts(discovery.texts(files), self.settings.plugins), "facts")
-        links, paths = relations(found), files.select("path")
+        links = relations(found)
         rules = {"core:python": python_candidates, "core:javascript": javascript_candidates}
         parts = [resolved(links.where(F.col("plugin_id") == p), paths, c) for p, c in rules.items()]
         rest = links.where(~F.col("plugin_id").isin(*rules))
@@ -91,55 +114,73 @@ class Workspace:
 
     def index(self) -> str:
         """Analyse all files and replace the cache; returns its version."""
-        files = self.files()
-        graph, declared = self.graph_of(files)
-        return self.cache.save(files=self._fingerprints(files), nodes=graph.nodes, symbols=declared, edges=graph.edges)
-
-    def graph_of(self, files: DataFrame) -> tuple[Graph, DataFrame]:
-        declared, links = self.facts(files)
-        links = links.withColumns({c: F.lit(None).cast("string") for c in ("to_file", "to_symbol", "variant")})
-        links = written(links, "relations")
+        files = written(self.eligible(), "eligible")
+        graph, declared, links = self.graph_of(files)
+        return self.cache.save(meta=self._meta(), files=self.fingerprints(files), nodes=graph.nodes, symbols=declared, edges=graph.edges, relations=links)
+
+    def graph_of(self, files: DataFrame, only: DataFrame | None = None) -> tuple[Graph, DataFrame, DataFrame]:
+        """Graph, symbols and relations of the files (path, size), or of those in ``only`` (path); links lead to any file."""
+        read = files if only is None else files.join(only, "path", "left_semi")
+        declared, links = self.facts(discovery.with_content(read, self.root), files.select("path"))
+        links = written(links.withColumns({c: F.lit(None).cast("string") for c in ("to_file", "to_symbol", "from_node", "to_node", "variant")}), "relations")
         declared = written(reports.occurrence_ids(declared), "symbols")
-        sizes = discovery.with_hashes(files).select("path", "size")
-        base = project.graph_of(links, sizes)
+        base = project.graph_of(links, files.select("path", "size"))
         names = {
             "id": F.col("canonical_id"), "label": F.col("name"), "symbol_name": F.col("name"), "symbol_kind": F.col("kind"), "symbol_file": F.col("file_path"),
             "node_type": F.when(F.col("kind").isin("constant", "variable", "field", "global", "local", "parameter"), "variable").otherwise("symbol"), "signature": F.col("signature"), "ord": F.col("ord"),
         }
         nodes = declared.select(*[names.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
         inside = project.containment(declared.withColumn("id", F.col("canonical_id")), links)
-        targets = project.with_targets(links.where("from_symbol is not null"), sizes).withColumn("to_file", F.col("target"))
+        targets = project.with_targets(links.where("from_symbol is not null"), files.select("path", "size")).withColumn("to_file", F.col("target"))
         calls = project.symbol_edges(targets, declared)
         edges = base.edges.unionByName(inside.withColumn("sources", F.lit(None).cast(EDGE["sources"].dataType))).unionByName(calls)
         nodes = base.nodes.unionByName(nodes)
+        # relations name symbols and files as the graph does
+        own = declared.select(F.col("id").alias("_id"), "canonical_id")
+        links = project.with_targets(project.connections(links), files.select("path")).withColumn("to_file", F.col("target")).drop("target")
+        links = links.join(own, F.col("from_symbol") == F.col("_id"), "left").withColumn("from_symbol", F.col("canonical_id")).drop("_id", "canonical_id")
         declared = declared.withColumn("id", F.col("canonical_id")).drop("canonical_id", "base", "nth")
-        return Graph(nodes, closed(edges, nodes)), declared
+        return Graph(nodes, closed(edges, nodes)), declared, links
 
     def update(self) -> str | None:
         """Bring the cache up to date with the files as they are: None if nothing has changed.
 
-        A changed file's links may start from any file that depends on it, so these are analysed anew too."""
-        files = self.files()
+        Read are only files of another size or time than before, analysed those that changed and the files that depend on
+        them. Where the set of files, the plugins or the settings have changed, links may resolve otherwise anywhere: then
+        all is analysed anew."""
         state = self.cache.load()
-        moved = written(cache.changed(state["files"], self._fingerprints(files)), "changes")
+        if any(r != "pending-changed-files" for r in self.status()[1]):
+            return self.index()
+        files = written(self.eligible(), "eligible")
+        now = written(self.fingerprints(files, state["files"]), "fingerprints")
+        moved = written(cache.changed(state["files"], now), "changes")
         if moved.isEmpty():
             return None
+        if not moved.where("change <> 'changed'").isEmpty():
+            return self.index()
         touched = traverse.dependents(reports.file_edges(Graph(state["nodes"], state["edges"])), moved.select(F.col("path").alias("id"))).withColumnRenamed("id", "path")
-        touched = written(touched.union(moved.select("path")).distinct(), "touched")
-        graph, declared = self.graph_of(files)
-        own = F.coalesce("symbol_file", "id")
+        touched = written(touched.join(files, "path", "left_semi"), "touched")
+        graph, declared, links = self.graph_of(files, touched)
         pick = lambda df, key: df.withColumn("path", key).join(touched, "path", "left_semi").drop("path")
         packages = graph.nodes.where(F.col("id").startswith("pkg:")).join(state["nodes"].select("id"), "id", "left_anti")
         return self.cache.patch(
             touched,
-            files=self._fingerprints(files).join(touched, "path", "left_semi"),
-            nodes=pick(graph.nodes, own).unionByName(packages),
-            symbols=declared.join(touched, declared["file_path"] == touched["path"], "left_semi"),
+            meta=self._meta(),
+            files=now.join(touched, "path", "left_semi"),
+            nodes=pick(graph.nodes, F.coalesce("symbol_file", "id")).unionByName(packages),
+            symbols=declared,
             edges=pick(graph.edges, F.substring_index("src", "#", 1)),
+            relations=links,
         )
 
     # ------------------------------------------------------------------ questions
 
+    def scope(self) -> Scope:
+        """The saved scope, with defaults for what the cached graph holds."""
+        seen = [tuple(r) for r in reports.observed(self.graph()).select("of", "type").collect()]  # types, a few dozen
+        types, kinds = ([t for of, t in seen if of == side] for side in ("node", "edge"))
+        return saved_scope(self.settings.node_visibility, self.settings.edge_visibility, types, kinds)
+
     def graph(self, patterns: list[str] = ()) -> Graph:
         """The cached graph without the nodes that a path pattern excludes."""
         state = self.cache.load()
@@ -148,27 +189,41 @@ class Workspace:
             nodes = nodes.where(~matches_any(F.coalesce("symbol_file", "id"), list(patterns), "full"))
         return Graph(nodes, closed(state["edges"], nodes))
 
-    def query(self, report: str, patterns: list[str] = (), **arguments):
-        """One of nodes, edges, relationships, symbols, paths, search, task-map, overview, dependencies, dependents."""
+    def facts_for(self, graph: Graph) -> tuple[DataFrame, DataFrame]:
+        """Cached symbols and relations of active plugins, restricted to the graph's files."""
+        state = self.cache.load()
+        active = [p.id for p in self.registry.active(self.settings.plugins)]
+        files = graph.nodes.where("symbol_file is null").select(F.col("id").alias("path"))
+        return facts.of_files(state["symbols"], facts.of_active_plugins(state["relations"], active), files)
+
+    def query(self, report: str, patterns: list[str] = (), saved: bool = False, offset: int = 0, limit: int | None = None, **arguments):
+        """One of nodes, edges, relationships, symbols, paths, search, task-map, overview, dependencies, dependents.
+
+        ``saved``: only what the saved scope shows, instead of the complete graph; ``limit``: a page of that many rows."""
         if self.cache.state() is None:
             raise LookupError("graph_cache_not_found")
         g = self.graph(patterns)
-        declared = self.cache.load()["symbols"]
+        if saved:
+            g = apply_scope(g, self.scope())
+        declared, links = self.facts_for(self.graph(patterns))
         text = lambda: discovery.texts(self.files())
-        return {
+        out = {
             "nodes": lambda: reports.nodes_report(g, **arguments),
             "edges": lambda: reports.edges_report(g, **arguments),
-            "symbols": lambda: reports.symbols_report(g, declared, **arguments),
-            "paths": lambda: traverse.paths(g.edges, **arguments),
+            "relationships": lambda: reports.relationships_report(g, links, declared, **arguments),
+            "symbols": lambda: reports.symbols_report(g, declared, links, **arguments),
+            "paths": lambda: traverse.path_report(g, **arguments),
             "search": lambda: search.search_report(g.nodes, declared, text(), **arguments),
             "task-map": lambda: task_map.task_map(g, text(), **arguments),
             "overview": lambda: reports.overview_report(g, declared, **arguments),
             "dependencies": lambda: reports.dependencies(g, **arguments),
             "dependents": lambda: reports.dependents(g, **arguments),
         }[report]()
+        return page(out, offset, limit) if limit is not None and isinstance(out, DataFrame) else out
 
     def status(self) -> tuple[str, list[str]]:
-        return self.cache.status(self._fingerprints(self.files()))
+        before = self.cache.load()["files"]
+        return self.cache.status(self.fingerprints(self.eligible(), before), **self.signatures())
 
     def doctor(self) -> dict:
         """State of the cache, counts of its tables, and broken references."""

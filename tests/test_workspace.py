@@ -1,5 +1,6 @@
 import tempfile
 
+from skein.operators.scope import saved_scope
 from skein.workspace import Settings, Workspace
 
 
@@ -24,17 +25,36 @@ def test_index_query_update(spark, tmp_path):
     pairs = {(r["from"], r["to"]): r.edge_types for r in w.query("edges", node_types=["file", "package", "symbol"]).collect()}
     assert pairs["main.py", "lib/util.py"] == ["import", "call"] or set(pairs["main.py", "lib/util.py"]) == {"import", "call"}
     assert pairs["c/a.c", "c/b.h"] == ["include"] and pairs["notes.md", "lib/util.py"] == ["reference"]
-    assert ("main.py#main:function", "lib/util.py") in pairs and ("main.py", "main.py#main:function") in pairs
+    assert ("main.py#main:function:()", "lib/util.py") in pairs and ("main.py", "main.py#main:function:()") in pairs
     assert pairs["lib/util.py", "pkg:os"] == ["import"]
     assert {(r["from"], r["to"]) for r in w.query("dependents", path="lib/util.py").collect()} == {("main.py", "lib/util.py"), ("notes.md", "lib/util.py")}
-    assert [r.id for r in w.query("symbols", file_path="lib/util.py").collect()] == ["lib/util.py#helper:function"]
+    assert [r.id for r in w.query("symbols", file_path="lib/util.py").collect()] == ["lib/util.py#helper:function:()"]
+    links = {(r["from"], r["to"]): r for r in w.query("relationships", node_types=["file", "package"]).collect()}
+    assert {x.edge_type for x in links["main.py", "lib/util.py"].relationships} >= {"import"} and links["c/a.c", "c/b.h"].edge_types == ["include"]
+    related = w.query("symbols", related_to="lib/util.py", edge_type="call")
+    assert [r.id for r in related.collect()] == ["main.py#main:function:()"]
+    found, complete = w.query("paths", src="main.py", dst="lib/util.py", expand=True, project=True)
+    assert {tuple(r.path) for r in found.collect()} == {("main.py", "lib/util.py")}
+    assert {r.path for r in w.query("nodes", saved=True, limit=3).collect()} < set(files)
+    assert {r.edge_types[0] for r in w.query("edges", saved=True, node_types=["file", "symbol"]).collect()} == {"import", "include"}
     assert w.doctor()["violations"] == {"edge_source": 0, "edge_target": 0, "node_key": 0}
     (tmp_path / "lib/util.py").write_text("def other():\n    return 2\n")
-    assert w.status()[0] == "stale"
+    assert w.status() == ("stale", ["pending-changed-files"])
+    before = w.cache.state()
     w.update()
+    after = w.cache.state()
+    kept = {(t, b) for t, v in before["tables"].items() for b in v if after["tables"][t].get(b) == v[b]}
+    assert kept and any(v != before["version"] for v in after["tables"]["symbols"].values())
     assert w.status()[0] == "fresh" and w.update() is None
-    assert [r.id for r in w.query("symbols", file_path="lib/util.py").collect()] == ["lib/util.py#other:function"]
+    assert [r.id for r in w.query("symbols", file_path="lib/util.py").collect()] == ["lib/util.py#other:function:()"]
     assert {(r["from"], r["to"]) for r in w.query("dependents", path="lib/util.py").collect()} == {("main.py", "lib/util.py"), ("notes.md", "lib/util.py")}
+    w.settings.plugins = {"core:markdown": False}
+    assert w.status() == ("stale", ["plugin-signature-changed", "settings-signature-changed"])
+    assert "call" not in {x for r in w.query("relationships", node_types=["file"]).collect() for x in r.edge_types if r["from"] == "notes.md"}
+    (tmp_path / "new.py").write_text("import lib.util\n")
+    w.update()
+    assert w.status() == ("fresh", []) and "new.py" in {r.path for r in w.query("nodes").collect()}
+    assert w.cache.vacuum(1) and w.status()[0] == "fresh"
 
 
 def test_settings(tmp_path):
@@ -42,3 +62,10 @@ def test_settings(tmp_path):
     s.save(f"{tmp_path}/x/settings.json")
     assert Settings.load(f"{tmp_path}/x/settings.json") == s and Settings.load(f"{tmp_path}/none") == Settings()
     assert s.scope(["call", "import", "reference"]).edges == {"call": True, "import": True, "reference": False}
+
+
+def test_saved_scope():
+    out = saved_scope({"symbol:method": True}, {"call": True}, ["route", "symbol"], ["odd", "x:y"], {"plugin:a": True, "made": True}, {"x:z": True, "w": False})
+    on = {t for t, v in out.nodes.items() if v}
+    assert on == {"file", "made", "symbol:method", "symbol:function", "symbol"}
+    assert {k for k, v in out.edges.items() if v} == {"include", "import", "using", "nests", "call", "odd"}
