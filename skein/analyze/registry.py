@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.paths import extension
@@ -24,6 +24,11 @@ FACT = (
 _COLUMNS = [c.split()[0] for c in FACT.split(", ")]
 
 
+HOOKS = ("initialize", "pre_analyze", "files_changed", "post_analyze", "graph_rebuild", "workspace_ready", "unload")
+#: From the least to the most work.
+IMPACTS = ("settings-only", "projection-only", "reanalyze-plugin-files", "requires-full-index")
+
+
 @dataclass(frozen=True)
 class Plugin:
     """An analyzer of the extensions it names ('*' for all); a later one overrides an earlier one's fact of equal key."""
@@ -32,9 +37,18 @@ class Plugin:
     extensions: tuple[str, ...]
     analyze: Analyze
     enabled: bool = True
-    node_types: tuple = ()
-    edge_types: tuple = ()
+    #: (id, shown by default) of the types that it contributes.
+    node_types: tuple[tuple[str, bool], ...] = ()
+    edge_types: tuple[tuple[str, bool], ...] = ()
     default_filters: tuple[str, ...] = ()
+    #: Callbacks on the driver, by one of ``HOOKS``; they take tables and may return one.
+    hooks: dict[str, Callable] = field(default_factory=dict)
+    #: What a change asks for, one of ``IMPACTS``: of the switch ('toggle'), of a setting, else of any ('default').
+    impact: dict[str, str] = field(default_factory=dict)
+
+    def analyzes(self, path: Column) -> Column:
+        """Whether a path has one of the plugin's extensions."""
+        return F.lit(True) if "*" in self.extensions else extension(path).isin(*self.extensions)
 
 
 @dataclass
@@ -50,10 +64,35 @@ class Registry:
     def active(self, switches: dict[str, bool] | None = None) -> list[Plugin]:
         return [p for p in self.plugins if (switches or {}).get(p.id, p.enabled)]
 
+    def notify(self, hook: str, *tables, switches: dict[str, bool] | None = None, restrict: bool = False) -> list[DataFrame]:
+        """Call a hook of the active plugins in order and return the tables that they give; a plugin that fails is logged and
+        skipped. ``restrict``: each gets the rows (path) of its own extensions only."""
+        if hook not in HOOKS:
+            raise ValueError(f"no hook {hook}")
+        out = []
+        for plugin in self.active(switches):
+            if call := plugin.hooks.get(hook):
+                own = [t.where(plugin.analyzes(F.col("path"))) for t in tables] if restrict else tables
+                try:
+                    out.append(call(*own))
+                except Exception:
+                    log.exception("hook %s of plugin %s failed", hook, plugin.id)
+        return [t for t in out if t is not None]
+
+    def types(self, of: str, switches: dict[str, bool] | None = None) -> dict[str, bool]:
+        """Contributed 'node' or 'edge' types and whether they are shown by default; the last plugin's word counts."""
+        return {t: on for p in self.active(switches) for t, on in (p.node_types if of == "node" else p.edge_types)}
+
+    def impact(self, plugin: str, setting: str | None = None) -> str:
+        """What a change of the plugin's switch, or of one of its settings, asks for; a full index where it doesn't say."""
+        policy = next(p.impact for p in self.plugins if p.id == plugin)
+        said = policy.get("toggle") if setting is None else policy.get(setting, policy.get("default"))
+        return said if said in IMPACTS else IMPACTS[-1]
+
     def facts(self, texts: DataFrame, switches: dict[str, bool] | None = None) -> DataFrame:
         """Facts of ``texts`` (path, content); a plugin that fails on a file is logged and skipped."""
-        plugins = self.active(switches)
-        wanted = {e for p in plugins for e in p.extensions}
+        plugins = [(p.id, p.extensions, p.analyze) for p in self.active(switches)]  # hooks stay on the driver
+        wanted = {e for _, extensions, _ in plugins for e in extensions}
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -61,14 +100,14 @@ class Registry:
                 for path, content in zip(frame["path"], frame["content"]):
                     ext = "." + path.rpartition(".")[2].lower() if "." in path.rpartition("/")[2] else ""
                     # the first plugin's facts are the top layer, as it would merge last
-                    for layer, plugin in enumerate(reversed(plugins)):
-                        if ext in plugin.extensions or "*" in plugin.extensions:
+                    for layer, (id_, extensions, analyze) in enumerate(reversed(plugins)):
+                        if ext in extensions or "*" in extensions:
                             try:
-                                found = list(plugin.analyze(path, content))
+                                found = list(analyze(path, content))
                             except Exception:
-                                log.exception("plugin %s failed on %s", plugin.id, path)
+                                log.exception("plugin %s failed on %s", id_, path)
                                 continue
-                            rows += [{"file": path, "layer": layer, "ord": i, "plugin_id": plugin.id, **f} for i, f in enumerate(found)]
+                            rows += [{"file": path, "layer": layer, "ord": i, "plugin_id": id_, **f} for i, f in enumerate(found)]
                 yield pd.DataFrame(rows, columns=_COLUMNS).astype(object).where(lambda d: d.notna(), None)
 
         texts = texts.where("content is not null")

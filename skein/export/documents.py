@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
+from skein.functions.style import legend_ids
 from skein.graph import Graph
 from skein.operators.scope import node_type
 from skein.plans.reports import grouped
 
 
+def edge_rows(graph: Graph, legend: dict[str, str]) -> DataFrame:
+    """A JSON line an edge in order, with the ids of the legend's rules (id to pattern) that fit and its sources by id."""
+    sources = F.array_sort("sources")
+    return graph.edges.orderBy(collated("id")).select(F.to_json(F.struct("id", F.col("src").alias("from"), F.col("dst").alias("to"), "kind", legend_ids(legend).alias("legendIds"), sources.alias("sources"))).alias("value"))
+
+
 def json_rows(graph: Graph) -> DataFrame:
     """A JSON line a node, then one a pair of nodes, each in order."""
     n = graph.nodes.orderBy(collated("id")).select(F.lit("node").alias("part"), F.to_json(F.struct("id", "label", node_type().alias("nodeType"), F.col("file_size").alias("fileSize"))).alias("value"))

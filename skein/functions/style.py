@@ -53,6 +53,14 @@ def shape(rules: list[Rule], default: str = "circle") -> Column:
     return _first(rules, "shape", F.lit(default))
 
 
+def legend_ids(rules: dict[str, str]) -> Column:
+    """Ids of the rules (id to pattern) that fit an edge: its id, kind, or its ends with or without the kind."""
+    plain = F.concat("src", F.lit("->"), "dst")
+    forms = (F.col("id"), F.col("kind"), plain, F.concat(plain, F.lit("#"), F.col("kind")))
+    fits = [reduce(lambda a, b: a | b, [matches(f, pattern, "classes") for f in forms]) for pattern in rules.values()]
+    return F.array_compact(F.array(*[F.when(f, F.lit(i)) for i, f in zip(rules, fits)]))
+
+
 def edge_color(rules: dict[str, str], default: str) -> Column:
     """By kind or pattern on the id, first rule first."""
     out = F.lit(default)

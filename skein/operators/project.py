@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
+from skein.functions.paths import ancestors, basename
 from skein.graph import Graph, written
 from skein.operators.visible import _node_rows, merge_edges
 from skein.schema import EDGE, NODE, edge_id, package_id
@@ -55,12 +56,15 @@ def file_nodes(files: DataFrame, edges: DataFrame) -> DataFrame:
     return out.unionByName(pkg)
 
 
-def folder_nodes(folders: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes of listed folders (path) that no file implies."""
-    from skein.functions.paths import ancestors
-
+def folder_nodes(folders: DataFrame, nodes: DataFrame, ignored: DataFrame) -> DataFrame:
+    """id, label and ignored of listed folders (path) that no node's path implies, and of those that are in ``ignored``
+    (path) or below one of its folders, implied or not."""
+    paths = folders.where("path <> ''").select("path").distinct()
+    up = paths.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_up"))
+    out = up.join(ignored.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct().withColumn("ignored", F.lit(True))
     implied = nodes.select(F.explode(ancestors(F.col("id"))).alias("path")).distinct()
-    return _node_rows(folders.join(implied, "path", "left_anti").select(F.col("path").alias("id")).distinct(), "folder", nodes)
+    rest = paths.join(out, "path", "left_anti").join(implied, "path", "left_anti").withColumn("ignored", F.lit(False))
+    return out.unionByName(rest).select(F.col("path").alias("id"), basename(F.col("path")).alias("label"), "ignored")
 
 
 def graph_of(relations: DataFrame, files: DataFrame) -> Graph:
@@ -135,10 +139,3 @@ def through_reexports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame)
     if found is None:
         return wanted.select("ord", F.lit(None).cast("string").alias("symbol")).where("false")
     return found.groupBy("ord").agg(F.min("symbol").alias("symbol"), F.count_distinct("symbol").alias("n")).where("n = 1").drop("n")
-
-
-def merged_results(layers: DataFrame, key: str) -> DataFrame:
-    """Of each key the row of the highest layer, at the place of its first arrival (layer, ord)."""
-    out = layers.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("layer"), F.desc("ord"))))
-    first = layers.groupBy(key).agg(F.min(F.struct("layer", "ord")).alias("place"))
-    return out.where("_nth = 1").drop("_nth").join(first, key)

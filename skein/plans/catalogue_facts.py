@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skein.export import documents
 from skein.functions import style
 from skein.functions.ordering import page_row
 from skein.functions.text import TASK_STOP, query_tokens, variants
 from skein.graph import Graph
-from skein.operators import facts, traverse, visible
+from skein.operators import facts, project, traverse, visible
 from skein.operators.scope import NodeType, Scope, expanded
 from skein.operators.visible import View
 from skein.plans import reports, search, task_map
@@ -182,6 +183,46 @@ def page_metadata(spark, d):
     return page_row(reports.nodes_report(derived.graph(spark, d)), 100, 50)
 
 
+@query("SELECT DISTINCT src || '->' || dst || '#' || kind AS id, concat_ws(',', CASE WHEN kind = 'call' THEN 'calls' END, CASE WHEN regexp_matches(dst, '^part/Brand1[0-9]/p[^/]*5$') AND kind = 'call' THEN 'some' END) AS legends FROM edges")
+def edge_legends(spark, d):
+    e = derived.edges(spark, d).select("id", "src", "dst", "kind")
+    return e.select("id", F.array_join(style.legend_ids({"calls": "call", "some": "**->part/Brand1[0-9]/p*5#call"}), ",").alias("legends")).distinct()
+
+
+@query("SELECT kind, count(*) AS n, CASE kind WHEN 'call' THEN '#111111' WHEN 'import' THEN '#222222' ELSE '#999999' END AS color FROM edges GROUP BY ALL")
+def edge_colors(spark, d):
+    e = derived.edges(spark, d).select("kind", style.edge_color({"call": "#111111", "import": "#222222", "c*l": "#333333"}, "#999999").alias("color"))
+    return e.groupBy("kind", "color").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '[^./]\\.html$') THEN '#E34C26' ELSE '#A1A1AA' END AS color FROM pages", graph=False)
+def file_colors(spark, d):
+    p = derived.table(spark, d, "pages").withColumn("id", F.upper("url"))
+    return p.select("page_id", style.extension_color({".html": "#E34C26", ".js": "#F1E05A"}, "#A1A1AA").alias("color"))
+
+
+@query(""", und AS (SELECT src AS id, dst AS o FROM edges UNION SELECT dst, src FROM edges), dg AS (SELECT id, count(*) AS degree FROM und GROUP BY 1)
+ SELECT id, CAST(floor(least(8 + 3 * sqrt(degree), 30.0) * 10 + 0.5) AS BIGINT) AS diameter FROM dg""")
+def canvas_diameters(spark, d):
+    return reports.degrees(derived.edges(spark, d)).select("id", style.canvas_diameter(F.col("degree")).cast("long").alias("diameter"))
+
+
+@query(""", parts_ AS (SELECT DISTINCT regexp_replace(id, '/[^/]*$', '') AS id FROM cust), listed AS (SELECT id FROM parts_ UNION SELECT id || '/empty' FROM parts_ UNION SELECT 'new' )
+ SELECT id, starts_with(id, 'cust/r2/n') AS ignored FROM listed WHERE NOT (id IN (SELECT id FROM parts_) AND NOT starts_with(id, 'cust/r2/n'))""")
+def folder_nodes(spark, d):
+    # folders of customers, each with an empty one below, and one more; those of a region are ignored
+    own = derived.customers(spark, d).select(F.substring_index("id", "/", 3).alias("path")).distinct()
+    listed = own.union(own.select(F.concat("path", F.lit("/empty")))).union(own.select(F.lit("new")))
+    out = project.folder_nodes(listed, derived.nodes(spark, d), own.where(F.col("path").startswith("cust/r2/")))
+    return out.select("id", "ignored")
+
+
+@query("SELECT f.id AS path, coalesce(s.n, 0) AS symbols, coalesce(r.n, 0) AS relations FROM nodes f LEFT JOIN (SELECT file, count(*) AS n FROM ordr GROUP BY 1) s ON s.file = f.id LEFT JOIN (SELECT path, count(*) AS n FROM (SELECT src_file AS path FROM line UNION ALL SELECT dst FROM line) GROUP BY 1) r ON r.path = f.id WHERE symbol_file IS NULL")
+def symbol_export(spark, d):
+    n = derived.nodes(spark, d)
+    return documents.symbol_export(n, reports.symbols_of(n), derived.relations(spark, d))
+
+
 # ------------------------------------------------------------------ paths with expansion and projection
 
 @query(f""", h1 AS (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE symbol_file = {_FIRST})), goal AS (SELECT min(dst) AS id FROM h1)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skein.analyze.languages import builtin, javascript_candidates, python_candidates
 from skein.analyze.registry import Registry, relations, resolved, symbols
+from skein.export.documents import envelope
 from skein.functions.glob import matches_any
 from skein.graph import Graph, closed, written
 from skein.functions.ordering import page
@@ -115,7 +116,9 @@ class Workspace:
     def index(self) -> str:
         """Analyse all files and replace the cache; returns its version."""
         files = written(self.eligible(), "eligible")
+        self.registry.notify("pre_analyze", files, switches=self.settings.plugins)
         graph, declared, links = self.graph_of(files)
+        self.registry.notify("post_analyze", graph, switches=self.settings.plugins)
         return self.cache.save(meta=self._meta(), files=self.fingerprints(files), nodes=graph.nodes, symbols=declared, edges=graph.edges, relations=links)
 
     def graph_of(self, files: DataFrame, only: DataFrame | None = None) -> tuple[Graph, DataFrame, DataFrame]:
@@ -159,8 +162,28 @@ class Workspace:
         if not moved.where("change <> 'changed'").isEmpty():
             return self.index()
         touched = traverse.dependents(reports.file_edges(Graph(state["nodes"], state["edges"])), moved.select(F.col("path").alias("id"))).withColumnRenamed("id", "path")
+        for more in self.registry.notify("files_changed", moved.select("path"), switches=self.settings.plugins, restrict=True):
+            touched = touched.union(more.select("path"))
+        return self._patch(touched.distinct(), files, now)
+
+    def switch(self, plugin: str, on: bool) -> str | None:
+        """Turn a plugin on or off, and do what it says that this asks for."""
+        impact = self.registry.impact(plugin)
+        self.settings.plugins = {**self.settings.plugins, plugin: on}
+        if self.cache.state() is None or impact == "requires-full-index":
+            return self.index()
+        if impact != "reanalyze-plugin-files":
+            return self.cache.save(meta=self._meta())
+        state, files = self.cache.load(), written(self.eligible(), "eligible")
+        own = next(p for p in self.registry.plugins if p.id == plugin)
+        return self._patch(files.where(own.analyzes(F.col("path"))).select("path"), files, self.fingerprints(files, state["files"]))
+
+    def _patch(self, touched: DataFrame, files: DataFrame, now: DataFrame) -> str:
+        """Analyse the touched files (path) anew and patch the cache."""
+        state = self.cache.load()
         touched = written(touched.join(files, "path", "left_semi"), "touched")
         graph, declared, links = self.graph_of(files, touched)
+        self.registry.notify("graph_rebuild", graph, switches=self.settings.plugins)
         pick = lambda df, key: df.withColumn("path", key).join(touched, "path", "left_semi").drop("path")
         packages = graph.nodes.where(F.col("id").startswith("pkg:")).join(state["nodes"].select("id"), "id", "left_anti")
         return self.cache.patch(
@@ -179,7 +202,8 @@ class Workspace:
         """The saved scope, with defaults for what the cached graph holds."""
         seen = [tuple(r) for r in reports.observed(self.graph()).select("of", "type").collect()]  # types, a few dozen
         types, kinds = ([t for of, t in seen if of == side] for side in ("node", "edge"))
-        return saved_scope(self.settings.node_visibility, self.settings.edge_visibility, types, kinds)
+        declared = [self.registry.types(side, self.settings.plugins) for side in ("node", "edge")]
+        return saved_scope(self.settings.node_visibility, self.settings.edge_visibility, types, kinds, *declared)
 
     def graph(self, patterns: list[str] = ()) -> Graph:
         """The cached graph without the nodes that a path pattern excludes."""
@@ -196,10 +220,11 @@ class Workspace:
         files = graph.nodes.where("symbol_file is null").select(F.col("id").alias("path"))
         return facts.of_files(state["symbols"], facts.of_active_plugins(state["relations"], active), files)
 
-    def query(self, report: str, patterns: list[str] = (), saved: bool = False, offset: int = 0, limit: int | None = None, **arguments):
+    def query(self, report: str, patterns: list[str] = (), saved: bool = False, offset: int = 0, limit: int | None = None, as_json: bool = False, **arguments):
         """One of nodes, edges, relationships, symbols, paths, search, task-map, overview, dependencies, dependents.
 
-        ``saved``: only what the saved scope shows, instead of the complete graph; ``limit``: a page of that many rows."""
+        ``saved``: only what the saved scope shows, instead of the complete graph; ``limit``: a page of that many rows;
+        ``as_json``: a JSON text a row, with the report's name."""
         if self.cache.state() is None:
             raise LookupError("graph_cache_not_found")
         g = self.graph(patterns)
@@ -219,7 +244,10 @@ class Workspace:
             "dependencies": lambda: reports.dependencies(g, **arguments),
             "dependents": lambda: reports.dependents(g, **arguments),
         }[report]()
-        return page(out, offset, limit) if limit is not None and isinstance(out, DataFrame) else out
+        if not isinstance(out, DataFrame):
+            return out
+        out = page(out, offset, limit) if limit is not None else out
+        return envelope(report, out) if as_json else out
 
     def status(self) -> tuple[str, list[str]]:
         before = self.cache.load()["files"]

@@ -1,5 +1,10 @@
+import json
 import tempfile
 
+import pytest
+
+from skein.analyze.languages import builtin
+from skein.analyze.registry import Plugin, Registry
 from skein.operators.scope import saved_scope
 from skein.workspace import Settings, Workspace
 
@@ -37,6 +42,8 @@ def test_index_query_update(spark, tmp_path):
     assert {tuple(r.path) for r in found.collect()} == {("main.py", "lib/util.py")}
     assert {r.path for r in w.query("nodes", saved=True, limit=3).collect()} < set(files)
     assert {r.edge_types[0] for r in w.query("edges", saved=True, node_types=["file", "symbol"]).collect()} == {"import", "include"}
+    said = [json.loads(r.value) for r in w.query("nodes", limit=2, as_json=True).collect()]
+    assert [x["command"] for x in said] == ["nodes", "nodes"] and said[0]["data"]["node_type"] == "file"
     assert w.doctor()["violations"] == {"edge_source": 0, "edge_target": 0, "node_key": 0}
     (tmp_path / "lib/util.py").write_text("def other():\n    return 2\n")
     assert w.status() == ("stale", ["pending-changed-files"])
@@ -69,3 +76,39 @@ def test_saved_scope():
     on = {t for t, v in out.nodes.items() if v}
     assert on == {"file", "made", "symbol:method", "symbol:function", "symbol"}
     assert {k for k, v in out.edges.items() if v} == {"include", "import", "using", "nests", "call", "odd"}
+
+
+def test_plugins_are_told_and_switched(spark, tmp_path):
+    (tmp_path / "a.py").write_text("import b\n")
+    (tmp_path / "b.py").write_text("")
+    (tmp_path / "c.note").write_text("see b")
+    heard = []
+
+    def note(path, content):
+        return [{"fact": "relation", "kind": "notes", "source_id": "note", "specifier": "b.py"}]
+
+    def changed(files):
+        heard.append(("changed", [r.path for r in files.collect()]))
+        return spark.createDataFrame([("c.note",)], "path string")
+
+    def fails(*_):
+        raise ValueError("no")
+
+    hooks = {"pre_analyze": lambda files: heard.append(("pre", files.count())), "files_changed": changed, "post_analyze": fails}
+    impact = {"toggle": "reanalyze-plugin-files", "depth": "projection-only", "odd": "nonsense"}
+    plugin = Plugin("note", (".note",), note, node_types=(("plugin:note", True), ("made", True)), edge_types=(("notes", True),), hooks=hooks, impact=impact)
+    r = Registry([*builtin(), plugin])
+    assert [r.impact("note"), r.impact("note", "depth"), r.impact("note", "odd"), r.impact("note", "other")] == ["reanalyze-plugin-files", "projection-only", "requires-full-index", "requires-full-index"]
+    with pytest.raises(ValueError):
+        r.notify("other")
+    w = Workspace(spark, str(tmp_path), tempfile.mkdtemp(prefix="skein-home-"), r)
+    w.index()
+    assert heard == [("pre", 3)]
+    pairs = lambda: {(x["from"], x["to"]): x.edge_types for x in w.query("edges").collect()}
+    assert pairs() == {("a.py", "b.py"): ["import"], ("c.note", "b.py"): ["notes"]}
+    assert w.scope().edges["notes"] and w.scope().nodes["made"] and not w.scope().nodes["plugin:note"]
+    (tmp_path / "b.py").write_text("x = 1\n")
+    w.update()
+    assert heard[-1] == ("changed", []) and w.status() == ("fresh", [])
+    w.switch("note", False)
+    assert pairs() == {("a.py", "b.py"): ["import"]} and w.status() == ("fresh", [])
