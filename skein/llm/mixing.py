@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from skein.llm.common import fresh, small_side, written
 
 #: Documents in a block; rows of a source in a salted bucket in the mean, and the least buckets of a source.
-BLOCK, ROWS, LEAST_BUCKETS = 64, 4096, 16
+BLOCK, ROWS, LEAST_BUCKETS = 64, 1024, 64
 #: Slots of ``pattern``; sources at most.
 SLOTS, MOST_SOURCES = 1024, 1_000_000
 #: Weights that are not given follow the source's rows to this power.
