@@ -22,8 +22,8 @@ by the driver and broadcast (``MOST_BYTES`` at most); a missing one is an error.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,39 +41,34 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 PAD = 50_256
 
 
-class Tokens:
-    """Ids of whole texts; those of a blank and the signs up to the next blank are kept from text to text.
+#: White space as the pattern has it, in a run so long that the library's expression would fail on it.
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
 
-    A blank between two signs that aren't blanks always begins a new piece of ``PATTERN``, so ids may be looked up from
-    blank to blank; a text with other runs of white space around blanks is encoded in one go."""
+class Tokens:
+    """Ids of whole texts. A very long run of white space is a piece of its own, but for its last sign before other text."""
 
-    def __init__(self, vocabulary: str | bytes = VOCABULARY, most: int = 200_000):
+    def __init__(self, vocabulary: str | bytes = VOCABULARY):
         import tiktoken
 
         lines = (vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()).splitlines()
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self._encode = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.size, self._most = max(ranks.values()) + 1, most
-
-        class Known(dict):
-            def __missing__(known, word: str):
-                odd = not word or word[0].isspace() or word[-1].isspace()
-                value = known[word] = None if odd else tuple(self._encode(" " + word))
-                return value
-
-        self._known = Known()
+        self.coding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.size = max(ranks.values()) + 1
 
     def of(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if len(self._known) > self._most:
-            self._known.clear()
-        words = text.split(" ")
-        head = words[0]
-        ids = list(map(self._known.__getitem__, words[1:]))
-        if not head or head[0].isspace() or head[-1].isspace() or None in ids:
-            return np.array(self._encode(text), np.uint32)
-        return np.fromiter(chain(self._encode(head), chain.from_iterable(ids)), np.uint32)
+        parts, since = [], 0
+        for gap in _GAP.finditer(text):
+            end = gap.end() - (gap.end() < len(text))
+            parts += [self._plain(text[since : gap.start()]), np.array(self.coding._encode_single_piece(text[gap.start() : end]), np.uint32)]
+            since = end
+        parts.append(self._plain(text[since:]))
+        return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+    def _plain(self, text: str) -> np.ndarray:
+        return self.coding.encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
 
 
 def best_fit(sizes: list[int], length: int) -> list[int]:

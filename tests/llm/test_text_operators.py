@@ -240,7 +240,16 @@ def test_tokens_equal_the_library(tokens):
     texts = ["", " a", "a ", "a  b", "a   b", "a \nb", "a\n b", "a\n \nb", "it's  x", "'s it 's", "日本 語 é", "\u00a0 a\u00a0b", "x" * 500]
     texts += ["".join(rng.choice("ab1 \n\t'é.") for _ in range(rng.randint(0, 60))) for _ in range(500)]
     for t in texts:
-        assert tokens.of(t).tolist() == tokens._encode(t), repr(t)
+        assert tokens.of(t).tolist() == tokens.coding.encode_ordinary(t), repr(t)
+
+
+def test_long_runs_of_white_space(tokens):
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice(["ab", " ", "\n", "\x1c", "\u3000", "7"]) * rng.choice([1, 1, 2, 999, 1000, 1001, 1500]) for _ in range(rng.randint(1, 8)))
+        assert tokens.of(text).tolist() == tokens.coding.encode_ordinary(text), repr(text)
+    long = "a" + " " * 2_000_000 + "b" + "\n" * 1_000_000
+    assert b"".join(map(tokens.coding.decode_single_token_bytes, tokens.of(long).tolist())).decode() == long
 
 
 def test_best_fit_equals_a_plain_search():
@@ -274,7 +283,7 @@ def test_packing_round_trip(spark, tokens):
             pieces.setdefault(d, []).append((r.firsts[k], ids[r.cu_seqlens[k] : r.cu_seqlens[k + 1]].tolist()))
     assert len({(r.shard, r.since, r.row) for r in rows}) == len(rows)
     for d, t in texts.items():
-        wanted = tokens._encode(t or "")
+        wanted = tokens.coding.encode_ordinary(t or "")
         got = sorted(pieces.get(d, []))
         if d == 5:
             assert [x for _, x in got] == [wanted, wanted]
