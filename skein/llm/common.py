@@ -84,7 +84,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(batches: Iterator, column: str, most: int = 4_000_000) -> Iterator:
+def slices(batches: Iterator, column: str, most: int = 1_000_000) -> Iterator:
     """Arrow batches cut so that each has at most about ``most`` bytes of ``column``; a longer text stands alone."""
     import pyarrow.compute as pc
 

@@ -113,8 +113,8 @@ _SIGNED = pa.schema([("doc_id", pa.int64()), ("digest", pa.string()), ("bands",
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes(200_000)
-    for batch in slices(batches, "text", 2_000_000):
+    cache = WordHashes(100_000)
+    for batch in slices(batches, "text", 500_000):
         hashes = [cache.of(words_of(t)) for t in batch.column("text").to_pylist()]
         keys = _bands(darts(*shingles(hashes)))
         digest = [xxhash.xxh3_128_hexdigest(h.tobytes()) if len(h) else None for h in hashes]
@@ -130,8 +130,8 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes(200_000)
-    for batch in slices(batches, "text", 2_000_000):
+    cache = WordHashes(100_000)
+    for batch in slices(batches, "text", 500_000):
         units = [shingles([cache.of(words_of(t))])[0].tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(units, pa.binary())], names=["doc_id", "units"])
 
@@ -141,13 +141,19 @@ def weighed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(_weigh, "doc_id long, units binary").where("octet_length(units) > 0")
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The unit arrays of a binary column, as views of its buffer."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return [data[a:b].view(np.uint64) for a, b in zip(ends, ends[1:])]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         scores = []
-        for mine, theirs in zip(batch.column("units").to_pylist(), batch.column("leader_units").to_pylist()):
-            left, right = np.frombuffer(theirs, np.uint64), np.frombuffer(mine, np.uint64)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            scores.append(both / (len(left) + len(right) - both))
+        for mine, theirs in zip(_arrays(batch.column("units")), _arrays(batch.column("leader_units"))):
+            both = len(np.intersect1d(mine, theirs, assume_unique=True))
+            scores.append(both / (len(mine) + len(theirs) - both))
         yield pa.RecordBatch.from_arrays(
             [batch.column("leader"), batch.column("member"), pa.array(scores, pa.float64())],
             names=["leader", "member", "similarity"],
@@ -287,9 +293,10 @@ def _roots(signed: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     some = small_side(written(placed.select("doc_id").distinct(), "members"))
     units = written(weighed(texts.join(some, "doc_id", "left_semi")), "units")
     found = compared(new.select("leader", F.col("doc_id").alias("member")).distinct(), units).where(F.col("similarity") >= similar)
-    roots = components(found.select(F.col("leader").alias("a"), F.col("member").alias("b")))
+    # links are written before they are contracted, so that a task has one Python worker at a time
+    roots = components(written(found.select(F.col("leader").alias("a"), F.col("member").alias("b")), "links"))
     rest = _rooted(new.withColumn("root", F.col("doc_id")).select("key", "doc_id", "root"), "root", small_side(roots))
-    joined = components(_rest(written(rest, "placed"), signed, units, similar))
+    joined = components(written(_rest(written(rest, "placed"), signed, units, similar), "links"))
     # only the roots that the new links join are contracted anew
     return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "roots")
 
