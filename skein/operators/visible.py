@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -97,8 +98,8 @@ def _error(pattern: str) -> str | None:
     spark = SparkSession.getActiveSession()
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Py4JJavaError as e:
-        return str(e.java_exception.getMessage())
+    except (IllegalArgumentException, Py4JJavaError) as e:
+        return str(e)
     return None
 
 
