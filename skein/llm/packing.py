@@ -108,8 +108,8 @@ def best_fit(sizes: list[int], length: int) -> list[int]:
     return bins
 
 
-_ROW = pa.schema([("shard", pa.int32()), ("since", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary())])
-_DDL = "shard int, since long, row long, n_tokens int, doc_ids array<long>, pieces array<int>, firsts array<long>, cu_seqlens array<int>, ids binary"
+_ROW = pa.schema([("shard", pa.int32()), ("since", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("firsts", pa.list_(pa.int64())), ("cu_seqlens", pa.list_(pa.int32())), ("ids", pa.binary()), ("position_ids", pa.list_(pa.int32()))])
+_DDL = "shard int, since long, row long, n_tokens int, doc_ids array<long>, pieces array<int>, firsts array<long>, cu_seqlens array<int>, ids binary, position_ids array<int>"
 
 
 def file_position() -> Column:
@@ -126,6 +126,8 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
         raise ValueError(f"the vocabulary has more than {MOST_BYTES} bytes")
     shared = docs.sparkSession.sparkContext.broadcast(raw)
 
+    places = np.arange(length, dtype=np.int32)
+
     def rows_of(held: list[tuple], shard: int, before: int, kind: type) -> Iterator[tuple]:
         bins: dict[int, list] = {}
         for item, b in zip(held, best_fit([len(x[3]) for x in held], length)):  # in the order of their positions
@@ -134,7 +136,7 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
             ids = np.full(length, pad, kind)
             ends = np.cumsum([0, *(len(x[3]) for x in items)])
             ids[: ends[-1]] = np.concatenate([x[3] for x in items])
-            yield shard, held[0][4], row, int(ends[-1]), [x[0] for x in items], [x[1] for x in items], [x[2] for x in items], ends, ids.tobytes()
+            yield shard, held[0][4], row, int(ends[-1]), [x[0] for x in items], [x[1] for x in items], [x[2] for x in items], ends, ids.tobytes(), np.concatenate([places[: len(x[3])] for x in items])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, shard = Tokens(shared.value), TaskContext.get().partitionId()
@@ -163,11 +165,4 @@ def packed(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY,
 
     at = file_position() if in_files else F.monotonically_increasing_id()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), at.alias("at"))
-    rows = docs.where("text is not null and text <> ''").mapInArrow(run, _DDL)
-    return rows.withColumn("position_ids", position_ids(F.col("cu_seqlens")))
-
-
-def position_ids(cu_seqlens: Column) -> Column:
-    """Positions of a row's tokens from its cumulative lengths: from 0 anew in each segment."""
-    ends = F.slice(cu_seqlens, F.lit(2), F.size(cu_seqlens) - 1)
-    return F.flatten(F.transform(ends, lambda e, i: F.sequence(F.lit(0), e - F.get(cu_seqlens, i) - 1)))
+    return docs.where("text is not null and text <> ''").mapInArrow(run, _DDL)
