@@ -55,6 +55,15 @@ TEMPLATES = {
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license {{,}} v 2.0",
     "all-rights-reserved": "copyright {{c}} <<8>> all rights reserved",
+    "gpl-terms": "free software {{:}} you can redistribute it and or modify it under the terms of the gnu {{lesser}} {{affero}} general public license as published by the free software foundation {{either}} version <<1>> {{of the license}} {{or}} {{at your option}} {{any later version}}",
+    "agpl-3.0": "licensed under {{the terms of}} the gnu affero general public license {{as published by the free software foundation}} {{either}} version 3",
+    "mit-warranty": "software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "bsd-3-clause": "neither the name of <<8>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsl-1.0": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    "zlib": "software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software",
+    "unlicense": "free and unencumbered software released into the public domain",
+    "epl-2.0": "eclipse public license {{,}} {{v}} {{version}} 2.0",
+    "cc0-1.0": "cc0 1.0 {{universal}}",
 }
 
 
