@@ -13,10 +13,6 @@ from pyspark.sql import functions as F
 from skein.schema import edge_id
 
 
-#: Rows of a few strings that may be broadcast.
-BROADCAST_ROWS = 100_000
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table in the folder that ``spark.checkpoint.dir`` names.
 
@@ -34,11 +30,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of ``df`` if it is counted to have no more than ``bound`` rows; else leave the join to shuffle."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame

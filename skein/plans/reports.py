@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.glob import matches
 from skein.functions.ordering import collated, sort_by
-from skein.graph import Graph, closed, file_edges, small, with_files
+from skein.graph import Graph, closed, file_edges, with_files
 from skein.operators.scope import NodeType, Scope, _up, node_type
 from skein.operators.visible import search, without_orphans
 from skein.schema import uri_component
@@ -89,6 +89,10 @@ def grouped(edges: DataFrame) -> DataFrame:
     return kinds.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.transform("k", lambda k: k.kind).alias("edge_types"))
 
 
+#: Ids of a file and its symbols that a filter may list; more are joined.
+FEW = 1_000
+
+
 def _ends(edges: DataFrame, graph: Graph, src: str | None, dst: str | None, kind: str | None, expand: bool) -> DataFrame:
     if kind:
         edges = edges.where(F.col("kind") == kind)
@@ -101,7 +105,11 @@ def _ends(edges: DataFrame, graph: Graph, src: str | None, dst: str | None, kind
         if value is not None:
             # a file stands for itself and its symbols
             of = graph.nodes.where((F.col("symbol_file") == value) | (F.col("id") == value)).select(F.col("id").alias("_end"))
-            edges = edges.join(small(of), F.col(column) == F.col("_end"), "left_semi")
+            few = [r[0] for r in of.limit(FEW + 1).collect()]
+            if len(few) <= FEW:
+                edges = edges.where(F.col(column).isin(few))
+            else:
+                edges = edges.join(of, F.col(column) == F.col("_end"), "left_semi")
     return edges
 
 
