@@ -5,7 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, html_text, licenses, mixing, near_dedup, packing, quality, toxicity, url_filter, warc
+from skein.llm import (
+    decontaminate,
+    html_text,
+    jaccard_join,
+    licenses,
+    mixing,
+    near_dedup,
+    packing,
+    prefix_trie,
+    quality,
+    sql,
+    toxicity,
+    url_filter,
+    vector_codes,
+    warc,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +107,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product code of each vector and its error."""
+    return vector_codes.compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of each document under links of similar shingle sets."""
+    return jaccard_join.joined(_table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations with subtree totals."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -103,9 +133,13 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_toxicity": op9_toxicity,
     "op10_url_filter": op10_url_filter,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_jaccard_join": op12_jaccard_join,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    **sql.SQL,
     "op2_warc": """
 WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, sha1(coalesce(html, '')) AS hex,
                   octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages),
