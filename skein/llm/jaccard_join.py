@@ -7,12 +7,13 @@ have last: tasks count the shingles that repeat among the texts they read, and u
 to all tasks. The order changes the work, never the result.
 
 Equal sets are one representative. The sets under a shingle are a bucket. Sets of a bucket and a size band (sizes within a
-fifth) are compared with the least of them, and the links give first components. Buckets that still hold several
+fifth) are compared with the least of them and of the band below, and the links give first components. Buckets that still hold several
 components are cut into tiles: members go into blocks by size band and hash, and blocks of equal or neighbouring bands are
 paired. In a tile every two members of different components and near sizes meet by their bitmaps of 1,024 bits: each bit in
-which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap from above. What passes
-for a member in no tile needs no shingles; of the others, the whole sorted arrays are intersected tile by tile, unless the
-two have been connected meanwhile. A tile holds a bounded weight, so no bucket must fit in a task.
+which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap from above. Pairs that
+pass are listed once for all tiles, and the whole sorted arrays are intersected. Where more than FEW pairs a member pass,
+they aren't listed: members go into tiles again with their arrays, and pairs that have been connected meanwhile are left
+out. A tile holds a bounded weight, so no bucket must fit in a task.
 
 Shingles are known by 64-bit hashes. Defined results: null, empty and word-less texts have no shingles and are components
 of their own; a text of one to four words is one shingle. Rows that repeat a doc_id are one document: if its texts differ
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import WordHashes, mixed, slices, small_side, written
+from skein.llm.common import mixed, slices, small_side, written
 from skein.llm.near_dedup import _rooted, components
 
 SHINGLE = 5
@@ -39,26 +40,84 @@ PERCENT = 80
 BITS = 1024
 #: Shingles that a task counts at once; the most that are sent to all tasks (8 MB); the least count of one that is.
 SLAB, FREQUENT, OFTEN = 2_000_000, 1 << 20, 16
+#: Members of a tile up to which it is compared row by row; pairs for each member up to which they are listed.
+SMALL, FEW = 16, 4
 #: Members of a block of bitmaps; shingles of a block of sets, and the least that a set counts for.
 MEMBERS, WEIGHT, LEAST = 4096, 1 << 19, 256
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(SHINGLE)], np.uint64)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a text whose A-Z are lower-cased, as UTF-8."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a sequence of word hashes."""
-    if not len(words):
-        return np.zeros(0, np.uint64)
-    row = np.concatenate([words, np.zeros(max(0, SHINGLE - len(words)), np.uint64)])
-    out = np.zeros(len(row) - SHINGLE + 1, np.uint64)
+_GOLD = 0x9E3779B97F4A7C15
+#: Bytes hashed at once.
+BYTES = 1 << 22
+
+_SEPARATES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)])
+_VALUES = mixed(_LOWER.astype(np.uint64) * np.uint64(_GOLD) + np.uint64(_GOLD))
+_BASE = 0xD6E8FEB86659FD93
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """Powers of an odd ``base`` modulo 2**64, ``n`` at least; kept for the next call."""
+    if len(_powers.get(base, ())) < n:
+        out = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+        out[0] = 1
+        _powers[base] = np.cumprod(out)
+    return _powers[base]
+
+
+def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of texts whose A-Z are lower-cased, and how many words each text has.
+
+    ``data`` are the texts' UTF-8 bytes end to end, ``ends`` where they end. A word's hash is a polynomial of its bytes'
+    values, taken from the sums up to its ends, so all words of a block are hashed in a few operations on whole arrays."""
+    out, starts = [], []
+    bounds = np.concatenate([[0], ends])
+    at = 0
+    while at < len(data):
+        to = min(at + BYTES, len(data))
+        while to < len(data) and not _SEPARATES[data[to]]:  # never within a word
+            after = np.flatnonzero(_SEPARATES[data[to : to + BYTES]])
+            to += int(after[0]) if len(after) else min(BYTES, len(data) - to)
+        block = data[at:to]
+        cut = np.zeros(len(block) + 1, bool)
+        cut[bounds[(bounds >= at) & (bounds <= to)] - at] = True
+        word = ~_SEPARATES[block]
+        begins, ends_ = word.copy(), word.copy()
+        begins[1:] &= ~word[:-1] | cut[1:-1]
+        ends_[:-1] &= ~word[1:] | cut[1:-1]
+        s, e = np.flatnonzero(begins), np.flatnonzero(ends_) + 1
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(_VALUES[block] * _power(_BASE, len(block))[: len(block)], out=sums[1:])
+        out.append(mixed((sums[e] - sums[s]) * _power(_INVERSE, len(block))[s] + (e - s).astype(np.uint64) * np.uint64(_GOLD)))
+        starts.append(s + at)
+        at = to
+    if not out:
+        return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
+    of = np.searchsorted(bounds, np.concatenate(starts), "right") - 1
+    return np.concatenate(out), np.bincount(of, minlength=len(ends))
+
+
+def shingle_sets(words: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Sorted distinct hashes of the shingles of texts: ``words`` are their words' hashes end to end, ``counts`` how many each has."""
+    room = np.maximum(counts, SHINGLE) * (counts > 0)  # a short text is filled up with zeros to one shingle
+    first, own = np.cumsum(room) - room, np.cumsum(counts) - counts
+    row = np.zeros(room.sum() + SHINGLE, np.uint64)
+    row[np.repeat(first - own, counts) + np.arange(len(words))] = words
+    n = np.maximum(room - SHINGLE + 1, 0)
+    ends = np.cumsum(n)
+    window = np.zeros(room.sum(), np.uint64)
     for i, factor in enumerate(_FACTORS):
-        out += row[i : len(out) + i] * factor
-    return np.unique(mixed(out))
+        window += row[i : i + len(window)] * factor
+    units = mixed(window[np.repeat(first - (ends - n), n) + np.arange(n.sum())])
+    for a, b in zip(ends - n, ends):
+        units[a:b].sort()
+    new = np.ones(len(units), bool)
+    new[1:] = units[1:] != units[:-1]
+    new[(ends - n)[n > 0]] = True
+    kept = np.concatenate([[0], np.cumsum(new)])
+    return np.split(units[new], kept[ends])[: len(counts)]
 
 
 def required(n: int) -> int:
@@ -77,9 +136,11 @@ def bitmap(units: np.ndarray) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    cache = WordHashes(100_000)
     for batch in slices(batches, "text", 500_000):
-        yield batch, [shingles(cache.of(words_of(t))) for t in batch.column("text").to_pylist()]
+        column = batch.column("text")
+        ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+        yield batch, shingle_sets(*word_hashes(data, (ends[1:] - ends[0]).astype(np.int64)))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,25 +207,30 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "units"])
 
 
-def _grouped(keys: list[str], fn: Callable[[pa.Table], pa.RecordBatch]):
-    """``fn`` for each run of rows with equal keys in a sorted partition."""
+def _grouped(keys: list[str], fn: Callable[[pa.Table, np.ndarray], pa.RecordBatch]):
+    """``fn`` for stretches of a sorted partition that end where the keys change, with the places where they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        last = None
+        cuts, size, last = [0], 0, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
-            cuts = [0, *(i for i in range(1, len(rows)) if rows[i] != rows[i - 1]), len(rows)]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and rows[a] != last:
-                    yield fn(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = rows[a]
+            here = [i for i in range(len(rows)) if rows[i] != (rows[i - 1] if i else last)]
+            if here and size:
+                at = here[-1]
+                cuts += [size + i for i in here]
+                held.append(batch.slice(0, at))
+                yield fn(pa.Table.from_batches(held), np.array(cuts))
+                held, cuts, size = [batch.slice(at)], [0], batch.num_rows - at
+            else:
+                cuts += [size + i for i in here if size + i]
+                held.append(batch)
+                size += batch.num_rows
+            last = rows[-1]
         if held:
-            yield fn(pa.Table.from_batches(held))
+            yield fn(pa.Table.from_batches(held), np.array([*cuts, size]))
 
     return run
 
@@ -191,9 +257,9 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
 
 
-def _bound(x: np.ndarray, others: np.ndarray, m: int, n: np.ndarray) -> np.ndarray:
+def _bound(x: np.ndarray, others: np.ndarray, m, n: np.ndarray) -> np.ndarray:
     """Whether sets may be similar, by sizes and by the bits in which their bitmaps differ."""
-    differ = np.bitwise_count(others ^ x).sum(1, dtype=np.int64)
+    differ = np.bitwise_count(others ^ x).sum(-1, dtype=np.int64)
     return similar((m + n - differ) // 2, m, n) & (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n))
 
 
@@ -205,19 +271,24 @@ def _linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_LINKS)
 
 
-def _with_leader(rows: pa.Table) -> pa.RecordBatch:
-    """Links of a chunk's members with their leader, whose row is marked."""
-    ids, lead = rows.column("doc_id").to_pylist(), rows.column("lead").to_pylist()
-    units, bits = _arrays(rows.column("units")), _arrays(rows.column("bits"))
-    out = []
-    for i in (i for i, x in enumerate(lead) if x):
-        for j in (j for j, x in enumerate(lead) if not x):
-            m, n = len(units[i]), len(units[j])
-            if _bound(bits[i], bits[j][None], m, np.array([n]))[0] and similar(_overlap(units[i], units[j]), m, n):
-                out.append((ids[i], ids[j]))
+def _with_leader(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """Links of each chunk's members with their leader, whose row is marked."""
+    ids, lead = rows.column("doc_id").to_pylist(), rows.column("lead").to_numpy()
+    units, bits = _arrays(rows.column("units")), _bits(rows)
+    n, out = np.array([len(u) for u in units]), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = np.arange(a, b)
+        for i in at[lead[a:b]]:
+            others = at[~lead[a:b]]
+            others = others[_bound(bits[i], bits[others], n[i], n[others])]
+            out += [(ids[i], ids[j]) for j in others if similar(_overlap(units[i], units[j]), n[i], n[j])]
     return _linked(out)
 
 
+def _bits(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+
+
 def with_leaders(pairs: DataFrame, units: DataFrame) -> DataFrame:
     """Links (a, b) among the distinct (leader, member, weight) of ``pairs``; ``units`` has doc_id, units, bits.
 
@@ -255,61 +326,101 @@ def _tiled(placed: DataFrame, block: int, weight: str) -> DataFrame:
     return few.unionByName(many.withColumns({"tile": tile, "side": side}).drop("others", "mine", "theirs"))
 
 
-def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of a tile's two sides, the same ones if it is one block."""
-    side = rows.column("side").to_numpy()
     whole = np.arange(len(side))
     return (whole, whole) if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
 
 
-def _possible(rows: pa.Table) -> pa.RecordBatch:
-    """Members of a tile that its bitmaps don't clear of all others."""
-    root, n = rows.column("root").to_numpy(), rows.column("n").to_numpy()
-    left, right = _sides(rows)
-    marked = np.zeros(len(n), bool)
-    if len(n) > 1 and (root != root[0]).any():
-        bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+_POSSIBLE = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("other", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("band", pa.int32())])
+
+
+def _possible(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """What the bitmaps of each tile don't clear: pairs where they are few, else the members (without other).
+
+    Members of small tiles are compared with those that stand one, two, ... rows below, for all tiles at once."""
+    root, n, side, token, ids, band = (rows.column(c).to_numpy() for c in ("root", "n", "side", "token", "doc_id", "band"))
+    bits, size = _bits(rows), np.diff(cuts)
+    tile = np.repeat(np.arange(len(size)), size)
+    small = size[tile] <= SMALL
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for step in range(1, min(SMALL, int(size.max(initial=0)))):
+        i = np.flatnonzero(small[:-step] & (tile[:-step] == tile[step:]) & (root[:-step] != root[step:]))
+        i = i[(side[i] == 0) | (side[i] != side[i + step])]
+        for part in np.array_split(i, len(i) // 20_000 + 1):
+            hit = part[_bound(bits[part], bits[part + step], n[part], n[part + step])]
+            found.append((hit, hit + step))
+    for t in np.flatnonzero(size > SMALL):
+        a, b = cuts[t], cuts[t + 1]
+        if (root[a:b] == root[a]).all():
+            continue
+        left, right = (x + a for x in _sides(side[a:b]))
         order = right[np.argsort(n[right], kind="stable")]
-        size = n[order]
+        sizes = n[order]
         for x in left:
             # only the stretch of near sizes
-            a, b = np.searchsorted(size, -(-PERCENT * n[x] // 100)), np.searchsorted(size, n[x] * 100 // PERCENT, "right")
-            at = order[a:b]
+            at = order[np.searchsorted(sizes, -(-PERCENT * n[x] // 100)) : np.searchsorted(sizes, n[x] * 100 // PERCENT, "right")]
             at = at[root[at] != root[x]]
-            at = at[_bound(bits[x], bits[at], n[x], n[at])] if len(at) else at
-            if len(at):
-                marked[x] = marked[at] = True
-    kept = rows.filter(pa.array(marked)).select(["token", "doc_id", "root", "n", "band"]).combine_chunks()
-    return kept.to_batches()[0] if kept.num_rows else pa.RecordBatch.from_pylist([], schema=kept.schema)
-
-
-def _certain(rows: pa.Table) -> pa.RecordBatch:
-    """Links of a tile that connect components, by exact intersection."""
-    root, ids = rows.column("root").to_numpy().copy(), rows.column("root").to_numpy()
-    left, right = _sides(rows)
-    units = _arrays(rows.column("units"))
+            hit = at[_bound(bits[x], bits[at], n[x], n[at])] if len(at) else at
+            if len(hit):
+                found.append((np.full(len(hit), x), hit))
+    x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+    many = np.bincount(tile[x], minlength=len(size)) > FEW * size
+    listed = ~many[tile[x]]
+    marked = np.zeros(len(n), bool)
+    marked[x[~listed]] = marked[y[~listed]] = True
+    x, y = x[listed], y[listed]
+    a, b, m = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.maximum(n[x], n[y])
+    if len(a):
+        a, b, m = np.unique(np.stack([a, b, m]), axis=1)
+    pairs, rest = len(a), int(marked.sum())
+    joined = lambda of, listed, own: pa.concat_arrays([pa.nulls(pairs, of) if listed is None else pa.array(listed, of), pa.nulls(rest, of) if own is None else pa.array(own[marked], of)])
+    columns = [(None, token), (a, ids), (b, None), (None, root), (m, n), (None, band)]
+    return pa.RecordBatch.from_arrays([joined(f.type, *c) for f, c in zip(_POSSIBLE, columns)], schema=_POSSIBLE)
+
+
+def _certain(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """Links of each tile that connect components, by exact intersection."""
+    roots, sides, units, bits, out = rows.column("root").to_numpy(), rows.column("side").to_numpy(), _arrays(rows.column("units")), _bits(rows), []
     n = np.array([len(u) for u in units])
-    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
-    out = []
-    for x in left:
-        at = right[(root[right] != root[x])]
-        at = at[_bound(bits[x], bits[at], n[x], n[at])] if len(at) else at
-        for y in at:
-            if root[y] != root[x] and similar(_overlap(units[x], units[y]), n[x], n[y]):
-                out.append((ids[x], ids[y]))
-                root[root == root[y]] = root[x]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        root, ids = roots[a:b].copy(), roots[a:b]
+        left, right = _sides(sides[a:b])
+        for x in left:
+            at = right[root[right] != root[x]]
+            at = at[_bound(bits[a + x], bits[a + at], n[a + x], n[a + at])] if len(at) else at
+            for y in at:
+                if root[y] != root[x] and similar(_overlap(units[a + x], units[a + y]), n[a + x], n[a + y]):
+                    out.append((ids[x], ids[y]))
+                    root[root == root[y]] = root[x]
     return _linked(out)
 
 
-def _finished(placed: DataFrame, bits: DataFrame, units: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket of ``placed`` (token, doc_id, root, n, band)."""
+def _several(placed: DataFrame) -> DataFrame:
+    """Members (token, doc_id, root, n, band) of the buckets that hold several components."""
     several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
-    placed = written(placed.join(small_side(written(several, "open-buckets")), "token", "left_semi"), "open-members")
-    tiles = _dealt(_tiled(placed.join(bits, ["doc_id", "n"]), MEMBERS, "1"), "token", "tile")
-    kept = "token long, doc_id long, root long, n long, band int"
+    return written(placed.join(small_side(written(several, "open-buckets")), "token", "left_semi"), "open-members")
+
+
+def _finished(placed: DataFrame, bits: DataFrame, units: DataFrame) -> DataFrame:
+    """(node, root) for the components that share a bucket of ``placed`` (token, doc_id, root, n, band) and have a link."""
+    tiles = _dealt(_tiled(_several(placed).join(bits, ["doc_id", "n"]), MEMBERS, "1"), "token", "tile")
+    kept = "token long, doc_id long, other long, root long, n long, band int"
     left = written(tiles.mapInArrow(_grouped(["token", "tile"], _possible), kept).distinct(), "possible")
-    tiles = _tiled(left, WEIGHT, f"greatest(n, {LEAST})").join(units, "doc_id").select("token", "tile", "side", "doc_id", "root", "units", "bits")
-    return _dealt(tiles, "token", "tile").mapInArrow(_grouped(["token", "tile"], _certain), "a long, b long")
+    pairs = left.where("other is not null").groupBy(F.col("doc_id").alias("leader"), F.col("other").alias("member")).agg(F.max("n").alias("weight"))
+    found = written(with_leaders(written(pairs, "possible-pairs"), units), "jaccard-links")
+    names = placed.select("doc_id", "root").distinct()
+    named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    roots = components(written(named, "jaccard-links"))
+    # buckets in which too many pairs are possible to list them
+    many = left.where("other is null").select("token", "doc_id", "root", "n", "band")
+    if many.isEmpty():
+        return roots
+    many = _several(_rooted(many, "root", small_side(roots)).select("token", "doc_id", "root", "n", "band"))
+    tiles = _tiled(many, WEIGHT, f"greatest(n, {LEAST})").join(units, "doc_id").select("token", "tile", "side", "doc_id", "root", "units", "bits")
+    more = _dealt(tiles, "token", "tile").mapInArrow(_grouped(["token", "tile"], _certain), "a long, b long")
+    more = components(written(more, "jaccard-links"))
+    return _rooted(roots, "root", more).union(more.join(roots, "node", "left_anti"))
 
 
 def _roots(reps: DataFrame, texts: DataFrame) -> DataFrame:
@@ -317,19 +428,21 @@ def _roots(reps: DataFrame, texts: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int").alias("band")
     keys = reps.select(F.explode("prefix").alias("token"), "doc_id", "n", band)
     several = keys.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-    placed = written(keys.join(several, "token"), "jaccard-buckets")
+    placed = written(keys.join(small_side(written(several, "shared-shingles")), "token"), "jaccard-buckets")
     # only texts that share a bucket are read again
     some = small_side(written(placed.select("doc_id").distinct(), "jaccard-members"))
     bits = reps.join(some, "doc_id", "left_semi").select("doc_id", "n", "bits")
     sets = texts.join(some, "doc_id", "left_semi").mapInArrow(_units, "doc_id long, units binary").where("octet_length(units) > 0")
     sets = written(sets.join(bits, (sets["doc_id"] == bits["doc_id"]) & (F.octet_length("units") / 8 == bits["n"])).select(sets["doc_id"], "units", "bits"), "sets")
+    # with the leaders of the member's own band and of the one below
     first = placed.groupBy("token", "band").agg(F.min("doc_id").alias("leader"))
-    pairs = placed.join(first, ["token", "band"]).where("doc_id <> leader")
+    near = placed.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
+    pairs = near.join(first, ["token", "band"]).where("doc_id <> leader")
     pairs = written(pairs.groupBy("leader", F.col("doc_id").alias("member")).agg(F.max("n").alias("weight")), "leader-pairs")
     roots = components(written(with_leaders(pairs, sets), "jaccard-links"))
     rest = _rooted(placed.withColumn("root", F.col("doc_id")), "root", small_side(roots))
     rest = rest.select("token", "doc_id", "root", "n", "band")
-    joined = components(written(_finished(rest, bits, sets), "jaccard-links"))
+    joined = written(_finished(rest, bits, sets), "jaccard-roots")
     return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "jaccard-roots")
 
 

@@ -66,9 +66,10 @@ def test_equals_all_pairs(spark, monkeypatch, often):
     assert got(jj.joined(df)) == brute(rows)
 
 
-def test_texts_behind_many_unlike_ones_in_small_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 4])
+def test_texts_behind_many_unlike_ones_in_small_tiles(spark, monkeypatch, few):
     # a family in which the least member is similar to few, and pairs of the highest ids
-    for name, value in (("MEMBERS", 16), ("WEIGHT", 4000)):
+    for name, value in (("MEMBERS", 16), ("WEIGHT", 4000), ("SMALL", 4), ("FEW", few)):
         monkeypatch.setattr(jj, name, value)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(300)]
@@ -117,3 +118,20 @@ def test_a_very_long_text(spark):
         near[i] = "changed"
     rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "v1 v2")]
     assert got(jj.joined(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_words_over_blocks(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abCÄ\t \n\x1fz") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["x" * 500, "", "ends "]
+    data = [t.encode() for t in texts]
+    ends = np.cumsum([len(d) for d in data])
+    whole, counts = jj.word_hashes(np.frombuffer(b"".join(data), np.uint8), ends)
+    plain = [[w for w in d.lower().replace(b"\t", b" ").replace(b"\n", b" ").split(b" ") if w] for d in data]
+    assert counts.tolist() == [len(p) for p in plain]
+    names = {}
+    assert all(names.setdefault(w, h) == h for w, h in zip((w for p in plain for w in p), whole.tolist())) and len(set(names.values())) == len(names)
+    monkeypatch.setattr(jj, "BYTES", 7)
+    again, counts_ = jj.word_hashes(np.frombuffer(b"".join(data), np.uint8), ends)
+    assert (again == whole).all() and (counts_ == counts).all()
+    sets = jj.shingle_sets(whole, counts)
+    assert [len(s) for s in sets] == [len(sets_of(t)) for t in texts]
