@@ -271,26 +271,32 @@ def _linked(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_LINKS)
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (leader, member) that sizes and bitmaps don't clear, with the member's size."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        m, n = batch.column("m").to_numpy(), batch.column("n").to_numpy()
+        kept = pa.array(_bound(_bits(batch, "x"), _bits(batch, "y"), m, n))
+        yield batch.select(["leader", "member", "n"]).filter(kept).rename_columns(["leader", "member", "weight"])
+
+
 def _with_leader(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
     """Links of each chunk's members with their leader, whose row is marked."""
-    ids, lead = rows.column("doc_id").to_pylist(), rows.column("lead").to_numpy()
-    units, bits = _arrays(rows.column("units")), _bits(rows)
-    n, out = np.array([len(u) for u in units]), []
+    ids, lead, units, out = rows.column("doc_id").to_pylist(), rows.column("lead").to_numpy(), _arrays(rows.column("units")), []
     for a, b in zip(cuts[:-1], cuts[1:]):
         at = np.arange(a, b)
         for i in at[lead[a:b]]:
-            others = at[~lead[a:b]]
-            others = others[_bound(bits[i], bits[others], n[i], n[others])]
-            out += [(ids[i], ids[j]) for j in others if similar(_overlap(units[i], units[j]), n[i], n[j])]
+            out += [(ids[i], ids[j]) for j in at[~lead[a:b]] if similar(_overlap(units[i], units[j]), len(units[i]), len(units[j]))]
     return _linked(out)
 
 
-def _bits(rows: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
+def _bits(rows: pa.Table | pa.RecordBatch, column: str = "bits") -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(column).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
 
 
 def with_leaders(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct (leader, member, weight) of ``pairs``; ``units`` has doc_id, units, bits.
+    """Links (a, b) among the distinct (leader, member, weight) of ``pairs``; ``units`` has doc_id and units.
 
     Members go in chunks of bounded weight, and a leader's shingles are sent once for each chunk."""
     of = F.greatest(F.ceil(F.sum(F.greatest("weight", F.lit(LEAST))) / WEIGHT), F.lit(1)).cast("int")
@@ -299,10 +305,26 @@ def with_leaders(pairs: DataFrame, units: DataFrame) -> DataFrame:
     chunk = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))).alias("chunk")
     placed = placed.select("leader", chunk, F.col("member").alias("doc_id"), F.lit(False).alias("lead"))
     leaders = placed.select("leader", "chunk", F.col("leader").alias("doc_id"), F.lit(True).alias("lead")).distinct()
-    rows = placed.unionByName(leaders).join(units, "doc_id").select("leader", "chunk", "doc_id", "lead", "units", "bits")
+    rows = placed.unionByName(leaders).join(units, "doc_id").select("leader", "chunk", "doc_id", "lead", "units")
     return _dealt(rows, "leader", "chunk").mapInArrow(_grouped(["leader", "chunk"], _with_leader), "a long, b long")
 
 
+def _units_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id and shingles of the texts of some documents (doc_id)."""
+    some = small_side(written(ids.distinct(), "compared"))
+    return texts.join(some, "doc_id", "left_semi").mapInArrow(_units, "doc_id long, units binary").where("octet_length(units) > 0")
+
+
+def links(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the distinct (leader, member): bitmaps first, and only of what they don't clear the whole sets.
+
+    ``bits`` has doc_id, n and bits; ``texts`` doc_id and text."""
+    both = pairs.join(bits.toDF("leader", "m", "x"), "leader").join(bits.toDF("member", "n", "y"), "member")
+    near = written(both.select("leader", "member", "m", "n", "x", "y").mapInArrow(_near, "leader long, member long, weight long"), "near-pairs")
+    ids = near.select(F.col("leader").alias("doc_id")).union(near.select("member"))
+    return written(with_leaders(near.groupBy("leader", "member").agg(F.max("weight").alias("weight")), _units_of(ids, texts)), "jaccard-links")
+
+
 def _tiled(placed: DataFrame, block: int, weight: str) -> DataFrame:
     """``placed`` (token, doc_id, root, n, ...) with a row for each tile that a member is in: tile, side.
 
@@ -381,8 +403,8 @@ def _possible(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
 
 def _certain(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
     """Links of each tile that connect components, by exact intersection."""
-    roots, sides, units, bits, out = rows.column("root").to_numpy(), rows.column("side").to_numpy(), _arrays(rows.column("units")), _bits(rows), []
-    n = np.array([len(u) for u in units])
+    roots, sides, units, out = rows.column("root").to_numpy(), rows.column("side").to_numpy(), _arrays(rows.column("units")), []
+    n, bits = np.array([len(u) for u in units]), np.stack([np.frombuffer(bitmap(u), np.uint64) for u in units])
     for a, b in zip(cuts[:-1], cuts[1:]):
         root, ids = roots[a:b].copy(), roots[a:b]
         left, right = _sides(sides[a:b])
@@ -402,13 +424,13 @@ def _several(placed: DataFrame) -> DataFrame:
     return written(placed.join(small_side(written(several, "open-buckets")), "token", "left_semi"), "open-members")
 
 
-def _finished(placed: DataFrame, bits: DataFrame, units: DataFrame) -> DataFrame:
+def _finished(placed: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) for the components that share a bucket of ``placed`` (token, doc_id, root, n, band) and have a link."""
     tiles = _dealt(_tiled(_several(placed).join(bits, ["doc_id", "n"]), MEMBERS, "1"), "token", "tile")
     kept = "token long, doc_id long, other long, root long, n long, band int"
     left = written(tiles.mapInArrow(_grouped(["token", "tile"], _possible), kept).distinct(), "possible")
-    pairs = left.where("other is not null").groupBy(F.col("doc_id").alias("leader"), F.col("other").alias("member")).agg(F.max("n").alias("weight"))
-    found = written(with_leaders(written(pairs, "possible-pairs"), units), "jaccard-links")
+    pairs = left.where("other is not null").select(F.col("doc_id").alias("leader"), F.col("other").alias("member")).distinct()
+    found = links(pairs, bits, texts)
     names = placed.select("doc_id", "root").distinct()
     named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(written(named, "jaccard-links"))
@@ -417,7 +439,8 @@ def _finished(placed: DataFrame, bits: DataFrame, units: DataFrame) -> DataFrame
     if many.isEmpty():
         return roots
     many = _several(_rooted(many, "root", small_side(roots)).select("token", "doc_id", "root", "n", "band"))
-    tiles = _tiled(many, WEIGHT, f"greatest(n, {LEAST})").join(units, "doc_id").select("token", "tile", "side", "doc_id", "root", "units", "bits")
+    units = written(_units_of(many.select("doc_id"), texts), "open-sets")
+    tiles = _tiled(many, WEIGHT, f"greatest(n, {LEAST})").join(units, "doc_id").select("token", "tile", "side", "doc_id", "root", "units")
     more = _dealt(tiles, "token", "tile").mapInArrow(_grouped(["token", "tile"], _certain), "a long, b long")
     more = components(written(more, "jaccard-links"))
     return _rooted(roots, "root", more).union(more.join(roots, "node", "left_anti"))
@@ -429,20 +452,14 @@ def _roots(reps: DataFrame, texts: DataFrame) -> DataFrame:
     keys = reps.select(F.explode("prefix").alias("token"), "doc_id", "n", band)
     several = keys.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     placed = written(keys.join(small_side(written(several, "shared-shingles")), "token"), "jaccard-buckets")
-    # only texts that share a bucket are read again
-    some = small_side(written(placed.select("doc_id").distinct(), "jaccard-members"))
-    bits = reps.join(some, "doc_id", "left_semi").select("doc_id", "n", "bits")
-    sets = texts.join(some, "doc_id", "left_semi").mapInArrow(_units, "doc_id long, units binary").where("octet_length(units) > 0")
-    sets = written(sets.join(bits, (sets["doc_id"] == bits["doc_id"]) & (F.octet_length("units") / 8 == bits["n"])).select(sets["doc_id"], "units", "bits"), "sets")
+    bits = reps.join(small_side(written(placed.select("doc_id").distinct(), "jaccard-members")), "doc_id", "left_semi").select("doc_id", "n", "bits")
     # with the leaders of the member's own band and of the one below
     first = placed.groupBy("token", "band").agg(F.min("doc_id").alias("leader"))
     near = placed.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    pairs = near.join(first, ["token", "band"]).where("doc_id <> leader")
-    pairs = written(pairs.groupBy("leader", F.col("doc_id").alias("member")).agg(F.max("n").alias("weight")), "leader-pairs")
-    roots = components(written(with_leaders(pairs, sets), "jaccard-links"))
+    pairs = near.join(first, ["token", "band"]).where("doc_id <> leader").select("leader", F.col("doc_id").alias("member")).distinct()
+    roots = components(links(pairs, bits, texts))
     rest = _rooted(placed.withColumn("root", F.col("doc_id")), "root", small_side(roots))
-    rest = rest.select("token", "doc_id", "root", "n", "band")
-    joined = written(_finished(rest, bits, sets), "jaccard-roots")
+    joined = written(_finished(rest.select("token", "doc_id", "root", "n", "band"), bits, texts), "jaccard-roots")
     return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "jaccard-roots")
 
 
@@ -452,11 +469,12 @@ def joined(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     often = spark.sparkContext.broadcast(frequent(texts))
     signed = written(texts.mapInArrow(_signing(often), _SIGNED), "shingle-sets")
-    reps = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "bits", "prefix")])
-    reps = written(reps, "shingle-reps")
-    roots = _roots(reps.drop("digest"), texts)
-    known = reps.select("digest", F.col("doc_id").alias("node")).join(roots, "node", "left")
-    known = known.select("digest", F.coalesce("root", "node").alias("component_id"))
+    # of equal sets the least document stands for all
+    reps = written(signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node")), "shingle-reps")
+    copies = signed.where("n > 0").select("doc_id", "digest").join(reps, "digest").where("doc_id <> node").select("doc_id", "digest")
+    copies = small_side(written(copies.distinct(), "copies"))
+    roots = _roots(signed.where("n > 0").join(copies, ["doc_id", "digest"], "left_anti").drop("digest"), texts)
+    known = reps.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     found = signed.where("n > 0").select("doc_id", "n", "digest").join(known, "digest").select("doc_id", "n", "component_id")
     # a document of several texts joins their components
     split = found.groupBy("doc_id").agg(F.min("component_id").alias("b"), F.max("component_id").alias("c")).where("b < c")
