@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.paths import extension
+from skein.operators.scope import NodeType
 
 Fact = dict
 Analyze = Callable[[str, str], Iterable[Fact]]
@@ -41,6 +42,8 @@ class Plugin:
     node_types: tuple[tuple[str, bool], ...] = ()
     edge_types: tuple[tuple[str, bool], ...] = ()
     default_filters: tuple[str, ...] = ()
+    #: Node types with what they match, for the symbols that the plugin declares.
+    types: tuple[NodeType, ...] = ()
     #: Callbacks on the driver, by one of ``HOOKS``; they take tables and may return one.
     hooks: dict[str, Callable] = field(default_factory=dict)
     #: What a change asks for, one of ``IMPACTS``: of the switch ('toggle'), of a setting, else of any ('default').
@@ -119,7 +122,7 @@ class Registry:
 def symbols(facts: DataFrame) -> DataFrame:
     """Of each file and id the top layer's symbol."""
     s = facts.where("fact = 'symbol'").groupBy("file", "id").agg(F.max_by(F.struct("name", "kind", "signature", "start_line", "end_line", "plugin_id"), F.struct("layer", "ord")).alias("s"), F.min("ord").alias("ord"))
-    return s.select("id", "s.name", "s.kind", F.col("file").alias("file_path"), "s.signature", "s.start_line", "s.end_line", "ord")
+    return s.select("id", "s.name", "s.kind", F.col("file").alias("file_path"), "s.signature", "s.start_line", "s.end_line", "ord", "s.plugin_id")
 
 
 def relations(facts: DataFrame) -> DataFrame:

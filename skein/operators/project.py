@@ -67,8 +67,9 @@ def folder_nodes(folders: DataFrame, nodes: DataFrame, ignored: DataFrame) -> Da
     return out.unionByName(rest).select(F.col("path").alias("id"), basename(F.col("path")).alias("label"), "ignored")
 
 
-def graph_of(relations: DataFrame, files: DataFrame) -> Graph:
-    edges = connection_edges(with_targets(connections(relations), files))
+def graph_of(relations: DataFrame, files: DataFrame, paths: DataFrame | None = None) -> Graph:
+    """File and package nodes of the files (path, size) and the edges of the relations, which lead to any of ``paths``."""
+    edges = connection_edges(with_targets(connections(relations), files if paths is None else paths))
     return Graph(file_nodes(files, edges), edges)
 
 
@@ -106,10 +107,18 @@ def canonical_namespaces(symbols: DataFrame, incoming: DataFrame) -> DataFrame:
     return out.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "n")
 
 
+def target_name():
+    """The name that a relation (metadata, specifier) asks its target file for: a member, what was imported by name, else
+    the specifier."""
+    said = lambda key: F.nullif(F.col("metadata")[key], F.lit(""))
+    imported = said("importedName")
+    return F.coalesce(said("memberName"), F.when(~imported.isin("*", "default"), imported), F.nullif(F.col("specifier"), F.lit("")))
+
+
 def unique_targets(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     """relations (ord) and the one symbol of the named name in the target file, where there is just one."""
     one = symbols.groupBy("file_path", "name").agg(F.min("id").alias("target_symbol"), F.count("*").alias("n")).where("n = 1").drop("n")
-    r = relations.where("to_symbol is null and to_file is not null").withColumn("name", F.coalesce(F.col("metadata")["memberName"], F.col("metadata")["importedName"]))
+    r = relations.where("to_symbol is null and to_file is not null").withColumn("name", target_name())
     return r.join(one.withColumnRenamed("file_path", "to_file"), ["to_file", "name"]).select("ord", "target_symbol")
 
 
@@ -139,3 +148,23 @@ def through_reexports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame)
     if found is None:
         return wanted.select("ord", F.lit(None).cast("string").alias("symbol")).where("false")
     return found.groupBy("ord").agg(F.min("symbol").alias("symbol"), F.count_distinct("symbol").alias("n")).where("n = 1").drop("n")
+
+
+def with_target_symbols(relations: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:
+    """``relations`` with to_symbol, and to_file moved to the file that declares it, where a relation names just one symbol:
+    in the file that it leads to, or for ``FOLLOWS`` behind what that file re-exports (``exports``: relations of this kind).
+
+    A file that declares the name hides what it re-exports."""
+    rows = written(relations.withColumn("_row", F.monotonically_increasing_id()), "named-relations")
+    asking = rows.where("to_symbol is null and to_file is not null")
+    own = asking.withColumn("ord", F.col("_row"))
+    direct = unique_targets(own, symbols).select(F.col("ord").alias("_row"), F.col("target_symbol").alias("_symbol"))
+    wanted = own.where(F.col("kind").isin(*FOLLOWS)).select("ord", F.col("to_file").alias("file"), target_name().alias("name")).where("name is not null")
+    hidden = symbols.select(F.col("file_path").alias("file"), "name").distinct()
+    passed = exports.where("kind = 'reexport' and resolved_path is not null")
+    passed = passed.select(F.col("from_file").alias("file"), F.col("metadata")["localName"].alias("name"), F.col("resolved_path").alias("to_file"), F.col("metadata")["importedName"].alias("to_name"))
+    wanted = wanted.join(hidden, ["file", "name"], "left_anti").join(passed.select("file").distinct(), "file", "left_semi")
+    found = direct.union(through_reexports(wanted, passed, symbols).select(F.col("ord").alias("_row"), F.col("symbol").alias("_symbol")))
+    found = found.join(symbols.select(F.col("id").alias("_symbol"), F.col("file_path").alias("_file")).distinct(), "_symbol")
+    out = rows.join(found, "_row", "left").withColumn("to_symbol", F.coalesce("to_symbol", "_symbol")).withColumn("to_file", F.coalesce("_file", "to_file"))
+    return out.select(*relations.columns)

@@ -361,7 +361,7 @@ def reexport_resolution(spark, d):
 @query("""SELECT l.ord, o.sym AS target_symbol FROM line l JOIN (SELECT file, kind, min(id) AS sym FROM ordr GROUP BY 1, 2 HAVING count(*) = 1) o ON o.file = l.src_file AND o.kind = 'class'""")
 def unique_target_symbol(spark, d):
     s = reports.symbols_of(derived.nodes(spark, d)).withColumn("name", F.col("kind"))
-    r = derived.lines(spark, d).select("ord", F.col("src_file").alias("to_file"), F.lit(None).cast("string").alias("to_symbol"), F.create_map(F.lit("memberName"), F.lit("class")).alias("metadata"))
+    r = derived.lines(spark, d).select("ord", F.col("src_file").alias("to_file"), F.lit(None).cast("string").alias("to_symbol"), F.create_map(F.lit("memberName"), F.lit("class")).alias("metadata"), F.lit("other").alias("specifier"))
     return project.unique_targets(r, s)
 
 

@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from skein.functions.paths import ancestors
 from skein.graph import Graph
-from skein.schema import EDGE, FILE, NODE, RELATION, SCHEMA_VERSION, SYMBOL
+from skein.schema import CANDIDATE, EDGE, FILE, NODE, RELATION, SCHEMA_VERSION, SYMBOL
 from skein.sources.discovery import included_by_default
 
-TABLES = {"files": FILE, "nodes": NODE, "symbols": SYMBOL, "edges": EDGE, "relations": RELATION}
+#: ``open`` holds the relations that lead to no known file or package, ``candidates`` what each relation would resolve to.
+TABLES = {"files": FILE, "nodes": NODE, "symbols": SYMBOL, "edges": EDGE, "relations": RELATION, "open": RELATION, "candidates": CANDIDATE}
 
 
 def fingerprints(text: DataFrame) -> DataFrame:
@@ -64,12 +65,17 @@ def pending(changes: DataFrame, indexed_at: float | None) -> DataFrame:
 BUCKETS = 64
 
 
+class Overtaken(RuntimeError):
+    """Another writer has committed since this one read the cache."""
+
+
 class GraphCache:
-    """Five tables under ``folder``, in buckets by the file that a row belongs to.
+    """Tables under ``folder``, in buckets by the file that a row belongs to (candidates by the path that would be tried).
 
-    A save or patch writes buckets under a new name, then a state file with the next number, which must not exist yet:
-    that is the moment from which readers see them, and of two writers the later one fails. State files and buckets are
-    never changed or deleted by it, so a reader keeps what it has begun with (``vacuum`` deletes old ones)."""
+    A save or patch writes buckets under a new name, then its state aside, and renames that to the next number, which
+    must not exist yet: that is the moment from which readers see them, and of two writers the later one fails. A writer
+    that dies leaves buckets and a state that no one reads. State files and buckets are never changed or deleted by it, so
+    a reader keeps what it has begun with (``vacuum`` deletes old ones)."""
 
     def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
@@ -79,9 +85,14 @@ class GraphCache:
         """The file that a row belongs to."""
         return {
             "files": F.col("path"), "nodes": F.coalesce("symbol_file", "id"), "symbols": F.col("file_path"),
-            "edges": F.substring_index("src", "#", 1), "relations": F.col("from_file"),
+            "edges": F.substring_index("src", "#", 1), "relations": F.col("from_file"), "open": F.col("from_file"), "candidates": F.col("from_file"),
         }[table]
 
+    @staticmethod
+    def place(table: str) -> Column:
+        """What a row's bucket goes by."""
+        return F.col("path") if table == "candidates" else GraphCache.key(table)
+
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
@@ -96,15 +107,17 @@ class GraphCache:
 
     def state(self) -> dict | None:
         """The state of the highest number that is written to its end."""
-        numbers = sorted((int(n.removeprefix("state-")) for n in self._names(self.folder) if n.startswith("state-")), reverse=True)
-        for n in numbers:
+        for n in sorted(self._numbers(), reverse=True):
             said = "".join(r[0] for r in self.spark.read.text(f"{self.folder}/state-{n}").collect())
             try:
                 return {**json.loads(said), "number": n}
-            except ValueError:  # another writer is about to end it
+            except ValueError:  # written in place by a writer that died
                 continue
         return None
 
+    def _numbers(self) -> list[int]:
+        return [int(n.removeprefix("state-")) for n in self._names(self.folder) if n.startswith("state-")]
+
     def load(self) -> dict[str, DataFrame]:
         """The tables; empty ones where nothing is saved or the schema version is another."""
         state = self.state()
@@ -119,59 +132,91 @@ class GraphCache:
 
     def _write(self, table: str, df: DataFrame, version: str) -> dict[str, str]:
         fields = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
-        out = df.select(*fields).withColumn("bucket", self._bucket(self.key(table)))
+        out = df.select(*fields).withColumn("bucket", self._bucket(self.place(table)))
         out.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}/{table}")
         return {n.removeprefix("bucket="): version for n in self._names(f"{self.folder}/{version}/{table}") if n.startswith("bucket=")}
 
     def _commit(self, before: dict | None, version: str, tables: dict, meta: dict) -> str:
+        """Make a state the one in force, unless another than ``before`` is by now. Its number is past all names, those of
+        unfinished states too; the rename fails if another writer has taken it."""
         path, fs = self._files()
-        number = (before or {}).get("number", 0) + 1
-        said = {"schema": SCHEMA_VERSION, "version": version, "tables": tables, "meta": meta}
+        if (self.state() or {}).get("version") != (before or {}).get("version"):
+            raise Overtaken("the cache has changed")
+        number = max(self._numbers(), default=0) + 1
+        aside = path(f"{self.folder}/.state-{version}")
+        out = fs.create(aside, True)
+        out.write(bytearray(json.dumps({"schema": SCHEMA_VERSION, "version": version, "tables": tables, "meta": meta}).encode()))
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        never = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)  # without overwriting
         try:
-            out = fs.create(path(f"{self.folder}/state-{number}"), False)  # fails if there is one
+            context.rename(aside, path(f"{self.folder}/state-{number}"), never)
         except Py4JJavaError as e:
-            raise RuntimeError("the cache has changed") from e
-        out.write(bytearray(json.dumps(said).encode()))
-        out.close()
+            fs.delete(aside, False)
+            raise Overtaken("the cache has changed") from e
         return version
 
     def save(self, expect: str | None = None, meta: dict | None = None, **tables: DataFrame) -> str:
         """Replace the tables given, keep the others; ``expect``: the version that must still be in force."""
         state, version = self.state(), uuid.uuid4().hex
         if expect is not None and (state or {}).get("version") != expect:
-            raise RuntimeError("the cache has changed")
+            raise Overtaken("the cache has changed")
         same = state is not None and state["schema"] == SCHEMA_VERSION
         now = dict(state["tables"]) if same else {}
         for name, df in tables.items():
             now[name] = self._write(name, df, version)
         return self._commit(state, version, now, {**(state["meta"] if same else {}), **(meta or {})})
 
-    def patch(self, gone: DataFrame, meta: dict | None = None, **new: DataFrame) -> str:
-        """Drop what belongs to the files of ``gone`` (path) and add rows; only the buckets that these are in are written."""
+    def patch(self, gone: DataFrame, meta: dict | None = None, stale: DataFrame | None = None, gone_files: DataFrame | None = None, only: set[str] = frozenset(TABLES), expect: str | None = None, **new: DataFrame) -> str:
+        """Drop what belongs to the files of ``gone`` (path) and add rows; only the buckets that these are in are written.
+
+        ``stale`` are the candidates (path) that the files had, as their buckets go by other paths; ``gone_files``: what
+        the table of files drops, if that is more; ``only``: the tables to patch, the others stay as they are; ``expect``: the
+        version that must still be in force."""
         state, version = self.state(), uuid.uuid4().hex
+        if expect is not None and (state or {}).get("version") != expect:
+            raise Overtaken("the cache has changed")
         if state is None or state["schema"] != SCHEMA_VERSION:
             return self.save(meta=meta, **new)
         now = {t: dict(v) for t, v in state["tables"].items()}
-        files = gone.select(F.col("path").alias("_key")).distinct()
-        touched = {r[0] for r in files.select(self._bucket(F.col("_key"))).distinct().collect()}  # at most ``buckets`` numbers
-        for name in TABLES:
+        for name in (t for t in TABLES if t in only):
             more = new.get(name)
-            own = touched | ({r[0] for r in more.select(self._bucket(self.key(name))).distinct().collect()} if more is not None else set())
-            rest = self._read(state, name, own).withColumn("_key", self.key(name)).join(files, "_key", "left_anti").drop("_key")
+            files = (gone_files if name == "files" and gone_files is not None else gone).select("path").distinct()
+            own = self.buckets_of(files) if name != "candidates" else self.buckets_of(stale) if stale is not None else set()
+            own = own | (self.buckets_of(more.select(self.place(name).alias("path"))) if more is not None else set())
+            rest = patched(self._read(state, name, own).withColumn("_key", self.key(name)), files.withColumnRenamed("path", "_key"), None, "_key").drop("_key")
             rest = rest if more is None else rest.unionByName(more, allowMissingColumns=True).select(*rest.columns)
             written_ = self._write(name, rest, version)
             now[name] = {**{b: v for b, v in now.get(name, {}).items() if int(b) not in own}, **written_}
         return self._commit(state, version, now, {**state["meta"], **(meta or {})})
 
+    def buckets_of(self, paths: DataFrame) -> set[int]:
+        """The buckets of paths (path), at most ``buckets`` numbers."""
+        return {r[0] for r in paths.select(self._bucket(F.col("path"))).distinct().collect()}
+
+    def at(self, table: str, paths: DataFrame) -> DataFrame:
+        """Rows of a table whose place is one of ``paths`` (path); only their buckets are read."""
+        state = self.state()
+        if state is None or state["schema"] != SCHEMA_VERSION:
+            return self.spark.createDataFrame([], TABLES[table])
+        wanted = paths.select(F.col("path").alias("_place")).distinct()
+        return self._read(state, table, self.buckets_of(paths)).withColumn("_place", self.place(table)).join(wanted, "_place", "left_semi").drop("_place")
+
     def vacuum(self, keep: int = 2) -> list[str]:
         """Delete states but the last ``keep``, and the versions that none of these names; returns the versions deleted."""
         path, fs = self._files()
         names = self._names(self.folder)
-        numbers = sorted(int(n.removeprefix("state-")) for n in names if n.startswith("state-"))
+        numbers = sorted(self._numbers())
         live = set()
         for n in numbers[-keep:]:
-            state = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/state-{n}").collect()))
+            try:
+                state = json.loads("".join(r[0] for r in self.spark.read.text(f"{self.folder}/state-{n}").collect()))
+            except ValueError:
+                continue
             live |= {v for t in state["tables"].values() for v in t.values()} | {state["version"]}
+        if not live:
+            return []
         gone = [n for n in names if len(n) == 32 and n not in live]
         for n in numbers[:-keep]:
             fs.delete(path(f"{self.folder}/state-{n}"), False)

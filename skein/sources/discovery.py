@@ -1,4 +1,4 @@
-"""Discovery of a workspace's files: a listing by walk or by git, and what is excluded."""
+"""Discovery of a workspace's files: a listing in tasks, level by level, or by git; what is excluded; texts and their counts."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import subprocess
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from skein.graph import written
 from skein.functions.glob import matches_any
 from skein.functions.ordering import collated
 from skein.functions.paths import ancestors, extension
@@ -22,22 +23,56 @@ EXCLUDED = (
 )
 
 
-def listed(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
-    """path (below the root), size, mtime, and the content if asked for.
-
-    The driver walks the tree without entering what is excluded by name and skips folders that it can't read (Spark's own
-    listing leaves out names that begin with a dot or underscore); tasks read the contents."""
+_LISTED = "path string, folder boolean, size long, mtime double"
+#: Names of folders that are never entered.
+NEVER = frozenset(p.split("/")[1] for p in EXCLUDED if p.endswith("/**"))
+
+
+def entries(root: str, folder: str) -> list[tuple[str, bool, int | None, float]]:
+    """What is in a folder below ``root``: path, whether it is a folder, size, mtime in milliseconds; nothing if it can't be
+    read. Links to folders aren't followed, folders that are never entered aren't listed."""
+    out = []
+    try:
+        with os.scandir(os.path.join(root, folder)) as found:
+            for x in found:
+                path = f"{folder}/{x.name}" if folder else x.name
+                try:
+                    if x.is_dir(follow_symlinks=False):
+                        if x.name not in NEVER:
+                            out.append((path, True, None, x.stat().st_mtime * 1000))
+                    elif x.is_file():
+                        out.append((path, False, x.stat().st_size, x.stat().st_mtime * 1000))
+                except OSError:  # gone meanwhile
+                    continue
+    except OSError:
+        return out
+    return out
+
+
+def walked(spark: SparkSession, root: str) -> DataFrame:
+    """path (below the root), folder, size and mtime of all below a folder that executors reach.
+
+    A level of the tree is a table of folders that tasks list; what they find is written and the folders in it are the next
+    level, so no list of paths passes through the driver and a level is as wide as the cluster. (Spark's own listing leaves
+    out names that begin with a dot or an underscore, and folders without files.)"""
     root = root.removeprefix("file://").rstrip("/")
-    never = {p.split("/")[1] for p in EXCLUDED if p.endswith("/**")}
-    rows = []
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(d for d in folders if d not in never)
-        for name in sorted(names):
-            full = os.path.join(folder, name)
-            if os.path.isfile(full):
-                at = os.stat(full)
-                rows.append((os.path.relpath(full, root).replace(os.sep, "/"), at.st_size, at.st_mtime * 1000))
-    files = spark.createDataFrame(rows, "path string, size long, mtime double")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [row for folder in frame["path"] for row in entries(root, folder)]
+            yield pd.DataFrame(rows, columns=["path", "folder", "size", "mtime"]).astype(object).where(lambda d: d.notna(), None)
+
+    level, out = spark.createDataFrame([("",)], "path string"), None
+    while out is None or not level.isEmpty():
+        found = written(level.mapInPandas(run, _LISTED), "listed")
+        out = found if out is None else out.union(found)
+        level = found.where("folder").select("path").repartition(spark.sparkContext.defaultParallelism)
+    return out
+
+
+def listed(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """path, size and mtime of the files, and the content if asked for."""
+    files = walked(spark, root).where("not folder").select("path", "size", "mtime")
     return with_content(files, root) if content else files
 
 
@@ -72,6 +107,13 @@ def git_ignored(spark: SparkSession, root: str, paths: Sequence[str]) -> DataFra
     return spark.createDataFrame([(p,) for p in said.stdout.decode().split("\0") if p], "path string")
 
 
+def git_ignored_folders(spark: SparkSession, root: str) -> DataFrame:
+    """The topmost folders that git ignores, one row for each however much is in it."""
+    said = subprocess.run(["git", "-C", root, "ls-files", "-z", "--others", "--ignored", "--exclude-standard", "--directory"], capture_output=True, check=True)
+    paths = sorted(p[:-1] for p in said.stdout.decode("utf-8", "surrogateescape").split("\0") if p.endswith("/"))
+    return spark.createDataFrame([(p,) for p in paths], "path string")
+
+
 def included_by_default(path: Column) -> Column:
     return ~matches_any(path, list(EXCLUDED), "full")
 
@@ -108,6 +150,14 @@ def folders(files: DataFrame) -> DataFrame:
     return files.select(F.explode(ancestors(F.col("path"))).alias("path")).distinct()
 
 
+def eligible_folders(listing: DataFrame, eligible: DataFrame, candidates: DataFrame) -> DataFrame:
+    """path of the listed folders that have an eligible file somewhere below, or no candidate file at all: a folder of which
+    every candidate was left out is left out too."""
+    every = listing.where("folder").select("path")
+    full, fit = (folders(df.select("path")) for df in (candidates, eligible))
+    return every.join(full, "path", "left_anti").unionByName(every.join(fit, "path", "left_semi"))
+
+
 def texts(files: DataFrame) -> DataFrame:
     """path and content of the files (path, content as bytes) that are texts of at most 1 MiB, without NUL."""
     text = F.decode("content", "UTF-8")
@@ -115,5 +165,22 @@ def texts(files: DataFrame) -> DataFrame:
     return out.where(~F.col("content").contains("\x00"))
 
 
+def scanned(files: DataFrame, hashes: DataFrame) -> tuple[DataFrame, Observation]:
+    """path, content, content_hash and changed of the texts among ``files`` (path, content as bytes), and the counts scanned,
+    skipped and changed, which are known once the texts have been read.
+
+    Skipped is what can't be read, is longer than 1 MiB or holds a NUL; changed is what has another hash than in ``hashes``
+    (path, content_hash), or none there."""
+    text = F.decode("content", "UTF-8")
+    fit = F.coalesce((F.octet_length("content") <= MOST_BYTES) & ~text.contains("\x00"), F.lit(False))
+    old = hashes.select("path", F.col("content_hash").alias("_before"))
+    out = files.withColumns({"_fit": fit, "content_hash": F.sha2("content", 256)}).join(old, "path", "left")
+    out = out.withColumn("changed", ~F.col("content_hash").eqNullSafe(F.col("_before")))
+    seen = Observation()
+    counts = [F.count_if("_fit").alias("scanned"), F.count_if(~F.col("_fit")).alias("skipped"), F.count_if(F.col("_fit") & F.col("changed")).alias("changed")]
+    out = out.observe(seen, *counts)
+    return out.where("_fit").select("path", text.alias("content"), "content_hash", "changed"), seen
+
+
 def with_hashes(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("content_hash"), F.octet_length("content").cast("long").alias("size"))

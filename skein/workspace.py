@@ -7,23 +7,39 @@ import json
 import os
 import time
 from dataclasses import asdict, dataclass, field, fields
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skein.analyze.languages import builtin, javascript_candidates, python_candidates
-from skein.analyze.registry import Registry, relations, resolved, symbols
+from skein.analyze.registry import Registry, relations, symbols
 from skein.export.documents import envelope
 from skein.functions.glob import matches_any
 from skein.graph import Graph, closed, written
 from skein.functions.ordering import page
-from skein.operators import facts, project, traverse
+from skein.operators import facts, project, refresh, traverse
 from skein.operators.scope import Scope, apply_scope, saved_scope
 from skein.plans import reports, search, task_map
-from skein.schema import EDGE, NODE, VISIBLE_EDGES
+from skein.schema import EDGE, NODE, RELATION, SCHEMA_VERSION, SYMBOL, VISIBLE_EDGES
 from skein.sources import cache, discovery
 
+#: How the relations of a plugin are resolved; others name a file by its end.
+RULES = {"core:python": python_candidates, "core:javascript": javascript_candidates}
+#: Times that an index or update begins again because files, settings or the cache have changed meanwhile.
+ATTEMPTS = 3
+AGAIN = object()
+
+
+@dataclass
+class Analysis:
+    """Symbols, resolved relations, what these would try, and the digest of each file's facts; ``paths``: all files there are."""
+
+    symbols: DataFrame
+    links: DataFrame
+    tried: DataFrame
+    digests: DataFrame | None = None
+    paths: DataFrame | None = None
+
 
 @dataclass
 class Settings:
@@ -37,6 +53,8 @@ class Settings:
     node_visibility: dict[str, bool] = field(default_factory=dict)
     edge_visibility: dict[str, bool] = field(default_factory=dict)
     plugins: dict[str, bool] = field(default_factory=dict)
+    #: Without them the cache has files, their links, and no symbols.
+    keep_symbols: bool = True
 
     @classmethod
     def load(cls, path: str) -> Settings:
@@ -66,19 +84,40 @@ class Workspace:
 
     # ------------------------------------------------------------------ index
 
-    def eligible(self) -> DataFrame:
+    def listing(self) -> DataFrame:
+        """path, folder, size and mtime of all below the root but this package's own folder."""
+        return written(discovery.walked(self.spark, self.root).where("path <> '.skein' and not startswith(path, '.skein/')"), "listing")
+
+    def eligible(self, listing: DataFrame | None = None) -> DataFrame:
         """path, size and mtime of the files that count."""
-        files = discovery.listed(self.spark, self.root).where(~F.col("path").startswith(".skein/"))
-        ignored = None
-        if self.settings.respect_gitignore and os.path.isdir(f"{self.root}/.git"):
+        listing = self.listing() if listing is None else listing
+        files, ignored = listing.where("not folder").select("path", "size", "mtime"), None
+        if self._by_git():
             known = discovery.git_listed(self.spark, self.root)
             ignored = files.select("path").join(known, "path", "left_anti")
         return discovery.discovered(files, self.settings.include, self.settings.filter_patterns, ignored=ignored, most=self.settings.max_files)[0]
 
+    def _by_git(self) -> bool:
+        return self.settings.respect_gitignore and os.path.isdir(f"{self.root}/.git")
+
+    def folders(self, listing: DataFrame, files: DataFrame) -> DataFrame:
+        """Nodes of listed folders that no file implies, and of ignored ones."""
+        fit = discovery.eligible_folders(listing, files, listing.where("not folder").where(discovery.included_by_default(F.col("path"))))
+        none = self.spark.createDataFrame([], "path string")
+        ignored = discovery.git_ignored_folders(self.spark, self.root) if self._by_git() else none
+        shown = fit.unionByName(discovery.below(listing.where("folder").select("path"), ignored)).distinct()
+        out = project.folder_nodes(shown, files.select(F.col("path").alias("id")), ignored)
+        known = {"id": F.col("id"), "label": F.col("label"), "node_type": F.lit("folder"), "source": F.when(F.col("ignored"), "ignored"), "ord": F.xxhash64("id")}
+        return out.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
+
     def files(self) -> DataFrame:
         """Eligible files with their bytes."""
         return discovery.with_content(self.eligible(), self.root)
 
+    def scan(self) -> tuple[DataFrame, Observation]:
+        """Texts of the eligible files as they are, and how many were scanned, skipped and changed since the index."""
+        return discovery.scanned(self.files(), self.cache.load()["files"])
+
     def fingerprints(self, files: DataFrame, before: DataFrame | None = None) -> DataFrame:
         """path, content_hash, size, mtime of files (path, size, mtime); of those whose size and mtime are as ``before`` the
         hash is taken over, only the others are read."""
@@ -99,102 +138,232 @@ class Workspace:
     def _meta(self) -> dict:
         return {**self.signatures(), "indexed_at": time.time() * 1000}
 
-    def facts(self, files: DataFrame, paths: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Symbols, and relations with paths resolved among ``paths``, of the files' texts."""
-        found = written(self.registry.facts(discovery.texts(files), self.settings.plugins), "facts")
-        links = relations(found)
-        rules = {"core:python": python_candidates, "core:javascript": javascript_candidates}
-        parts = [resolved(links.where(F.col("plugin_id") == p), paths, c) for p, c in rules.items()]
-        rest = links.where(~F.col("plugin_id").isin(*rules))
-        # others name a file by its path, by its end, or by its name without extension
-        ends = paths.select("path", F.explode(suffixes(F.col("path"))).alias("_end"))
-        best = ends.groupBy("_end").agg(F.min("path").alias("resolved_path"))
-        wanted = F.regexp_replace(F.regexp_replace("specifier", r"^res://", ""), r"^\./", "")
-        parts.append(rest.withColumn("_end", wanted).join(best, "_end", "left").drop("_end"))
-        return symbols(found), reduce(lambda a, b: a.unionByName(b), parts)
+    def analysed(self, files: DataFrame, paths: DataFrame) -> Analysis:
+        """What the texts of ``files`` (path, size) say; links are resolved among ``paths`` (path)."""
+        texts = discovery.texts(discovery.with_content(files, self.root))
+        for more in self.registry.notify("pre_analyze", files, switches=self.settings.plugins):
+            # a plugin may give other texts (path, content) for files that are analysed
+            if {"path", "content"} <= set(more.columns):
+                texts = texts.join(more.select("path"), "path", "left_anti").unionByName(more.select("path", "content").join(files.select("path"), "path", "left_semi"))
+        found = written(self.registry.facts(texts, self.settings.plugins), "facts")
+        declared = written(reports.occurrence_ids(symbols(found)), "symbols")
+        canonical = declared.select(F.col("id").alias("_id"), "canonical_id")
+        links = relations(found).withColumns({c: F.lit(None).cast("string") for c in ("to_file", "to_symbol", "from_node", "to_node", "variant")})
+        # a symbol that no file declares is named after the file that speaks of it
+        bare = F.when(F.col("from_symbol").startswith(F.concat("from_file", F.lit(":"))), F.expr("substr(from_symbol, length(from_file) + 2)")).otherwise(F.col("from_symbol"))
+        links = links.join(canonical, F.col("from_symbol") == F.col("_id"), "left")
+        links = links.withColumn("from_symbol", F.coalesce("canonical_id", F.concat("from_file", F.lit("#"), bare))).drop("_id", "canonical_id")
+        tried = written(refresh.candidates(links, RULES), "candidates")
+        links = written(refresh.resolved(links, tried, paths), "relations")
+        declared = declared.withColumn("id", F.col("canonical_id")).drop("canonical_id", "base", "nth")
+        return Analysis(declared, links, tried, refresh.fact_digests(found))
 
     def index(self) -> str:
-        """Analyse all files and replace the cache; returns its version."""
-        files = written(self.eligible(), "eligible")
-        self.registry.notify("pre_analyze", files, switches=self.settings.plugins)
-        graph, declared, links = self.graph_of(files)
-        self.registry.notify("post_analyze", graph, switches=self.settings.plugins)
-        return self.cache.save(meta=self._meta(), files=self.fingerprints(files), nodes=graph.nodes, symbols=declared, edges=graph.edges, relations=links)
-
-    def graph_of(self, files: DataFrame, only: DataFrame | None = None) -> tuple[Graph, DataFrame, DataFrame]:
-        """Graph, symbols and relations of the files (path, size), or of those in ``only`` (path); links lead to any file."""
-        read = files if only is None else files.join(only, "path", "left_semi")
-        declared, links = self.facts(discovery.with_content(read, self.root), files.select("path"))
-        links = written(links.withColumns({c: F.lit(None).cast("string") for c in ("to_file", "to_symbol", "from_node", "to_node", "variant")}), "relations")
-        declared = written(reports.occurrence_ids(declared), "symbols")
-        base = project.graph_of(links, files.select("path", "size"))
+        """Analyse all files and replace the cache; returns its version.
+
+        If another writer or a change of the files comes in between, it is done again, ``ATTEMPTS`` times at most."""
+        for _ in range(ATTEMPTS):
+            state, listing = self.cache.state(), self.listing()
+            files = written(self.eligible(listing), "eligible")
+            meta = self._meta()
+            own = self.analysed(files, files.select("path"))
+            tables = self.derived(own, files, own.symbols, own.links)
+            self.registry.notify("post_analyze", Graph(tables["nodes"], closed(tables["edges"], tables["nodes"])), switches=self.settings.plugins)
+            tables["nodes"] = tables["nodes"].unionByName(self.folders(listing, files))
+            now = written(self.fingerprints(files), "fingerprints")
+            prints = now.join(own.digests.withColumnRenamed("digest", "fact_digest"), F.col("path") == F.col("file"), "left").drop("file")
+            if not self._as_seen(files, meta):
+                continue
+            try:
+                return self.cache.save(expect=(state or {}).get("version"), meta=meta, files=prints, **tables)
+            except cache.Overtaken:
+                continue
+        raise cache.Overtaken("files, settings or the cache kept changing")
+
+    def _as_seen(self, files: DataFrame, meta: dict) -> bool:
+        """Whether files and settings are still as they were when the work began."""
+        same = facts.difference(files.select("path", "size", "mtime"), self.eligible().select("path", "size", "mtime")).isEmpty()
+        return same and all(meta[k] == v for k, v in self.signatures().items())
+
+    def derived(self, own: Analysis, files: DataFrame, every: DataFrame, exports: DataFrame) -> dict[str, DataFrame]:
+        """Rows of the cache's tables that follow from an analysis: of the files (path, size) that it covers.
+
+        ``every``: the symbols of all files; ``exports``: the relations of all files, of which those that re-export count."""
+        paths = own.paths if own.paths is not None else files.select("path")
+        links = own.links
+        for c in ("resolved_path", "from_symbol"):
+            links = links.withColumn(c, facts.relative(F.col(c), self.root))
+        # kept under the kinds that they have; only edges count a re-export as an import
+        links = project.connections(links.withColumn("_kind", F.col("kind"))).withColumn("kind", F.col("_kind")).drop("_kind")
+        links = project.with_targets(links, paths).withColumn("to_file", F.col("target")).drop("target")
+        links = written(project.with_target_symbols(links, every, exports), "links")
+        lost = own.links.join(links.select("from_file", "ord", "plugin_id"), ["from_file", "ord", "plugin_id"], "left_anti")
+
+        final = F.when(~F.col("to_file").startswith("pkg:"), F.col("to_file"))
+        final = links.withColumns({"resolved_path": final, "to_file": final})
+        base = project.graph_of(final, files.select("path", "size"), paths)
+        # of the namespaces of a name one stands for all
+        spaces = every.where("kind = 'namespace'").select("id", "kind", "name", "file_path")
+        shown = own.symbols
+        if not spaces.isEmpty():
+            first = project.canonical_namespaces(spaces, project.incoming_includes(exports.unionByName(links, allowMissingColumns=True).dropDuplicates(["from_file", "ord", "plugin_id"])))
+            shown = shown.where("kind <> 'namespace'").unionByName(shown.where("kind = 'namespace'").join(first.select("id"), "id", "left_semi").select(*shown.columns))
+        types = tuple(t for p in self.registry.active(self.settings.plugins) for t in p.types)
+        variable = F.col("kind").isin("constant", "variable", "field", "global", "local", "parameter")
+        fallback = F.when(variable, "variable").otherwise("symbol")
+        typed = shown.withColumns({c: F.lit(None).cast("string") for c in ("language", "plugin_kind", "plugin_id") if c not in shown.columns})
+        kept_type = facts.stored_type(fallback, types) if types else fallback
         names = {
-            "id": F.col("canonical_id"), "label": F.col("name"), "symbol_name": F.col("name"), "symbol_kind": F.col("kind"), "symbol_file": F.col("file_path"),
-            "node_type": F.when(F.col("kind").isin("constant", "variable", "field", "global", "local", "parameter"), "variable").otherwise("symbol"), "signature": F.col("signature"), "ord": F.col("ord"),
+            "id": F.col("id"), "label": F.col("name"), "symbol_name": F.col("name"), "symbol_kind": F.col("kind"), "symbol_file": F.col("file_path"),
+            "node_type": kept_type, "signature": F.col("signature"), "ord": F.col("ord"),
         }
-        nodes = declared.select(*[names.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
-        inside = project.containment(declared.withColumn("id", F.col("canonical_id")), links)
-        targets = project.with_targets(links.where("from_symbol is not null"), files.select("path", "size")).withColumn("to_file", F.col("target"))
-        calls = project.symbol_edges(targets, declared)
-        edges = base.edges.unionByName(inside.withColumn("sources", F.lit(None).cast(EDGE["sources"].dataType))).unionByName(calls)
+        nodes = typed.select(*[names.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
+        inside = project.containment(shown, links)
+        # a symbol that relations name but no file declares is an end of its own
+        known = every.select("id").unionByName(links.where("from_symbol is not null").select(F.col("from_symbol").alias("id"))).distinct()
+        named = project.symbol_edges(links, known.withColumn("canonical_id", F.col("id")))
+        edges = base.edges.unionByName(inside.withColumn("sources", F.lit(None).cast(EDGE["sources"].dataType))).unionByName(named)
         nodes = base.nodes.unionByName(nodes)
-        # relations name symbols and files as the graph does
-        own = declared.select(F.col("id").alias("_id"), "canonical_id")
-        links = project.with_targets(project.connections(links), files.select("path")).withColumn("to_file", F.col("target")).drop("target")
-        links = links.join(own, F.col("from_symbol") == F.col("_id"), "left").withColumn("from_symbol", F.col("canonical_id")).drop("_id", "canonical_id")
-        declared = declared.withColumn("id", F.col("canonical_id")).drop("canonical_id", "base", "nth")
-        return Graph(nodes, closed(edges, nodes)), declared, links
+        told = written(links.where("from_symbol is not null").join(every.select("id"), F.col("from_symbol") == F.col("id"), "left_anti").groupBy("from_symbol").agg(F.min("from_file").alias("symbol_file")), "undeclared")
+        if not told.isEmpty():
+            ends = facts.endpoint_nodes(told.select(F.col("from_symbol").alias("src"), F.col("symbol_file").alias("dst")), nodes, paths)
+            ends = ends.join(told, F.col("id") == F.col("from_symbol")).withColumn("symbol_name", F.regexp_extract("id", r"([^/#:]*)\z", 1)).withColumn("ord", F.xxhash64("id"))
+            nodes = nodes.unionByName(ends.select(*[(F.col(f.name) if f.name in ends.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields]))
+        declared = own.symbols
+        if not self.settings.keep_symbols:
+            links, declared = facts.without_symbols(links), declared.where("false")
+            edges, nodes = edges.where("instr(src, '#') = 0 and instr(dst, '#') = 0"), nodes.where("symbol_file is null")
+        return {"nodes": written(nodes, "nodes"), "symbols": declared, "edges": written(edges, "edges"), "relations": links, "open": lost, "candidates": own.tried}
 
     def update(self) -> str | None:
         """Bring the cache up to date with the files as they are: None if nothing has changed.
 
-        Read are only files of another size or time than before, analysed those that changed and the files that depend on
-        them. Where the set of files, the plugins or the settings have changed, links may resolve otherwise anywhere: then
-        all is analysed anew."""
-        state = self.cache.load()
-        if any(r != "pending-changed-files" for r in self.status()[1]):
-            return self.index()
-        files = written(self.eligible(), "eligible")
-        now = written(self.fingerprints(files, state["files"]), "fingerprints")
-        moved = written(cache.changed(state["files"], now), "changes")
-        if moved.isEmpty():
+        Read and analysed are only files that are new or of another content. Where their facts are the same as before, only
+        their metrics are written. Else links are resolved again that would try an added or removed path, and derived again is
+        what may name a symbol of a changed file. All is analysed anew only if plugins, settings or the format have changed,
+        or if a plugin asks for it. What another writer commits meanwhile, or a change of the files, begins it again."""
+        for _ in range(ATTEMPTS):
+            state = self.cache.state()
+            if state is None or state["schema"] != SCHEMA_VERSION or any(state["meta"].get(k) != v for k, v in self.signatures().items()):
+                return self.index()
+            try:
+                done = self._updated(state)
+            except cache.Overtaken:
+                continue
+            if done is not AGAIN:
+                return done
+        return self.index()
+
+    def _updated(self, state: dict) -> str | None | object:
+        before, listing, meta = self.cache.load(), self.listing(), self._meta()
+        files = written(self.eligible(listing), "eligible")
+        now = written(self.fingerprints(files, before["files"]), "fingerprints")
+        moved = written(cache.changed(before["files"], now), "changes")
+        folders = self.folders(listing, files)
+        old_folders = before["nodes"].where("node_type = 'folder'")
+        turned = written(facts.difference(old_folders.select("id", "source"), folders.select("id", "source")), "folder-changes")
+        if moved.isEmpty() and turned.isEmpty():
             return None
-        if not moved.where("change <> 'changed'").isEmpty():
+        extra = self.registry.notify("files_changed", moved.where("change <> 'removed'").select("path"), switches=self.settings.plugins, restrict=True)
+        if any("full_refresh" in t.columns for t in extra):
             return self.index()
-        touched = traverse.dependents(reports.file_edges(Graph(state["nodes"], state["edges"])), moved.select(F.col("path").alias("id"))).withColumnRenamed("id", "path")
-        for more in self.registry.notify("files_changed", moved.select("path"), switches=self.settings.plugins, restrict=True):
-            touched = touched.union(more.select("path"))
-        return self._patch(touched.distinct(), files, now)
+        fresh = moved.where("change <> 'removed'").select("path")
+        for more in extra:
+            fresh = fresh.union(more.select("path"))
+        fresh = written(files.join(fresh.distinct(), "path", "left_semi"), "fresh")
+        own = self.analysed(fresh, files.select("path"))
+        digests = written(fresh.select("path").join(own.digests, F.col("path") == F.col("file"), "left").select("path", F.col("digest").alias("fact_digest")), "digests")
+        prints = now.join(digests, "path")
+        same = written(refresh.with_same_facts(before["files"], digests), "same-facts")
+        others = written(fresh.join(same, "path", "left_anti").select("path"), "other-facts")
+        came = moved.where("change <> 'changed'").select("path")
+        if others.isEmpty() and came.isEmpty() and turned.isEmpty():
+            if not self._as_seen(files, meta):
+                return AGAIN
+            return self.cache.patch(same, meta=meta, only={"files"}, expect=state["version"], files=prints.join(same, "path", "left_semi"))
+        return self._patched(state, before, files, now, own, others, digests, moved, meta, folders, turned)
+
+    def _patched(self, state, before, files, now, own, others, digests, moved, meta, folders, turned) -> str | object:
+        """Replace what belongs to ``others`` (path) by ``own``, and what depends on files that came, went or have other facts."""
+        stored = before["relations"].unionByName(before["open"])
+        gone = moved.where("change = 'removed'").select("path")
+        came = moved.where("change <> 'changed'").select("path")
+        # relations that would try a path that came or went, and those that may name a symbol of a file with other facts
+        asking = refresh.asked_again(self.cache.at("candidates", refresh.names(came).select(F.col("name").alias("path"))), came)
+        asking = written(asking.select(F.col("from_file").alias("path")).distinct(), "asking")
+        passing = stored.where("kind = 'reexport'").join(asking, F.col("from_file") == F.col("path"), "left_semi").select(F.col("from_file").alias("path"))
+        linked = refresh.reaches(stored, others.union(gone).union(passing).distinct())
+        spaces = before["symbols"].where("kind = 'namespace'").select("file_path").distinct()
+        touched = asking.union(linked)
+        if not spaces.isEmpty() or not own.symbols.where("kind = 'namespace'").isEmpty():
+            touched = touched.union(spaces.select(F.col("file_path").alias("path")))
+        touched = touched.distinct().join(others, "path", "left_anti").join(files, "path", "left_semi")
+        touched = written(touched.select("path"), "touched")
+        again = stored.join(touched, F.col("from_file") == F.col("path"), "left_semi").withColumn("to_file", F.lit(None).cast("string")).withColumn("to_symbol", F.lit(None).cast("string"))
+        tried = refresh.candidates(again, RULES)
+        again = refresh.resolved(again, tried, files.select("path")).select(*again.columns)
+        kept = before["symbols"].join(touched, F.col("file_path") == F.col("path"), "left_semi")
+        theirs = others.withColumnRenamed("path", "_path")
+        mine = lambda df, of: df.join(theirs, F.col(of) == F.col("_path"), "left_semi")
+        align = lambda df, schema: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+        whole = Analysis(
+            written(align(mine(own.symbols, "file_path"), SYMBOL).unionByName(kept), "symbols"),
+            written(align(mine(own.links, "from_file"), RELATION).unionByName(align(again, RELATION)), "relations"),
+            written(mine(own.tried, "from_file").unionByName(tried), "candidates"),
+            paths=files.select("path"),
+        )
+        anew = written(others.union(touched).union(gone).distinct(), "anew")
+        rest = lambda df, of: df.join(anew, F.col(of) == F.col("path"), "left_anti")
+        every = rest(before["symbols"], "file_path").unionByName(whole.symbols)
+        exports = rest(before["relations"], "from_file").unionByName(whole.links)
+        scope = files.join(anew, "path", "left_semi")
+        tables = self.derived(whole, scope, every, exports)
+        self.registry.notify("graph_rebuild", Graph(tables["nodes"], closed(tables["edges"], tables["nodes"])), switches=self.settings.plugins)
+        # packages come and go with the last edge that leads to them
+        packages = lambda df: df.where(F.col("dst").startswith("pkg:")).select(F.col("dst").alias("path")).distinct()
+        others_edges = before["edges"].withColumn("path", self.cache.key("edges")).join(anew, "path", "left_anti")
+        lost = before["nodes"].where("node_type = 'package'").select(F.col("id").alias("path")).join(packages(others_edges), "path", "left_anti")
+        dropped = anew.union(lost).union(turned.select(F.col("id").alias("path"))).distinct()
+        held = before["nodes"].where("node_type = 'package'").select("id").join(lost, F.col("id") == F.col("path"), "left_anti")
+        nodes = tables.pop("nodes").join(held, "id", "left_anti")
+        nodes = nodes.unionByName(folders.join(turned.where("side = 'now'").select("id"), "id", "left_semi"))
+        prints = now.join(anew.unionByName(digests.select("path")).distinct(), "path", "left_semi")
+        known = before["files"].select("path", "fact_digest").join(digests, "path", "left_anti").unionByName(digests)
+        prints = prints.join(known, "path", "left")
+        if not self._as_seen(files, meta):
+            return AGAIN
+        stale = refresh.candidates(stored.join(anew, F.col("from_file") == F.col("path"), "left_semi"), RULES)
+        # files whose facts are the same have new metrics only
+        metrics = written(dropped.unionByName(digests.select("path")).distinct(), "metrics")
+        return self.cache.patch(dropped, meta=meta, stale=stale, gone_files=metrics, expect=state["version"], files=prints, nodes=nodes, **tables)
 
     def switch(self, plugin: str, on: bool) -> str | None:
         """Turn a plugin on or off, and do what it says that this asks for."""
         impact = self.registry.impact(plugin)
         self.settings.plugins = {**self.settings.plugins, plugin: on}
-        if self.cache.state() is None or impact == "requires-full-index":
+        state = self.cache.state()
+        if state is None or impact == "requires-full-index":
             return self.index()
         if impact != "reanalyze-plugin-files":
             return self.cache.save(meta=self._meta())
-        state, files = self.cache.load(), written(self.eligible(), "eligible")
-        own = next(p for p in self.registry.plugins if p.id == plugin)
-        return self._patch(files.where(own.analyzes(F.col("path"))).select("path"), files, self.fingerprints(files, state["files"]))
-
-    def _patch(self, touched: DataFrame, files: DataFrame, now: DataFrame) -> str:
-        """Analyse the touched files (path) anew and patch the cache."""
-        state = self.cache.load()
-        touched = written(touched.join(files, "path", "left_semi"), "touched")
-        graph, declared, links = self.graph_of(files, touched)
-        self.registry.notify("graph_rebuild", graph, switches=self.settings.plugins)
-        pick = lambda df, key: df.withColumn("path", key).join(touched, "path", "left_semi").drop("path")
-        packages = graph.nodes.where(F.col("id").startswith("pkg:")).join(state["nodes"].select("id"), "id", "left_anti")
-        return self.cache.patch(
-            touched,
-            meta=self._meta(),
-            files=now.join(touched, "path", "left_semi"),
-            nodes=pick(graph.nodes, F.coalesce("symbol_file", "id")).unionByName(packages),
-            symbols=declared,
-            edges=pick(graph.edges, F.substring_index("src", "#", 1)),
-            relations=links,
-        )
+        before, listing = self.cache.load(), self.listing()
+        files = written(self.eligible(listing), "eligible")
+        plugin_ = next(p for p in self.registry.plugins if p.id == plugin)
+        return self.refresh(files.where(plugin_.analyzes(F.col("path"))).select("path"), state, before, listing, files)
+
+    def refresh(self, paths: DataFrame, state=None, before=None, listing=None, files=None) -> str:
+        """Analyse some files (path) anew, whether or not they have changed: those of a plugin, or of a part of the tree."""
+        state = state or self.cache.state()
+        before, listing = before or self.cache.load(), listing if listing is not None else self.listing()
+        files = files if files is not None else written(self.eligible(listing), "eligible")
+        now, folders = written(self.fingerprints(files, before["files"]), "fingerprints"), self.folders(listing, files)
+        moved = written(cache.changed(before["files"], now), "changes")
+        turned = written(facts.difference(before["nodes"].where("node_type = 'folder'").select("id", "source"), folders.select("id", "source")), "folder-changes")
+        others = written(files.join(paths.union(moved.where("change <> 'removed'").select("path")).distinct(), "path", "left_semi"), "refreshed")
+        own = self.analysed(others, files.select("path"))
+        digests = written(others.select("path").join(own.digests, F.col("path") == F.col("file"), "left").select("path", F.col("digest").alias("fact_digest")), "digests")
+        out = self._patched(state, before, files, now, own, others.select("path"), digests, moved, self._meta(), folders, turned)
+        return self.index() if out is AGAIN else out
 
     # ------------------------------------------------------------------ questions
 
@@ -208,7 +377,9 @@ class Workspace:
     def graph(self, patterns: list[str] = ()) -> Graph:
         """The cached graph without the nodes that a path pattern excludes."""
         state = self.cache.load()
-        nodes = state["nodes"]
+        # sizes are metrics of the files, which are patched alone
+        sizes = state["files"].select(F.col("path").alias("id"), F.col("size").alias("_size"))
+        nodes = state["nodes"].join(sizes, "id", "left").withColumn("file_size", F.coalesce("_size", "file_size")).select(*state["nodes"].columns)
         if patterns:
             nodes = nodes.where(~matches_any(F.coalesce("symbol_file", "id"), list(patterns), "full"))
         return Graph(nodes, closed(state["edges"], nodes))
@@ -257,11 +428,3 @@ class Workspace:
         """State of the cache, counts of its tables, and broken references."""
         broken = {r["check"]: r["violations"] for r in cache.violations(self.graph()).collect()}
         return {"state": self.status()[0], "counts": self.cache.counts(), "violations": broken}
-
-
-def suffixes(path):
-    """A path's ends at its slashes, each also without extension."""
-    parts = F.split(path, "/")
-    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    bare = F.transform(ends, lambda e: F.regexp_replace(e, r"(?<=[^/])\.[^./]*\z", ""))
-    return F.array_distinct(F.concat(ends, bare))

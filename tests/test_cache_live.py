@@ -2,23 +2,23 @@ import tempfile
 
 import pytest
 
-from skein.sources.cache import GraphCache, below, changed, fingerprints, pending
+from skein.sources.cache import TABLES, GraphCache, below, changed, fingerprints, pending
 from skein.streaming import live
 from tests.test_graph import graph_of
 
 
 def test_cache_versions(spark):
     cache = GraphCache(spark, "file://" + tempfile.mkdtemp(prefix="skein-cache-"))
-    assert cache.status()[0] == "missing" and cache.counts() == dict.fromkeys(("files", "nodes", "symbols", "edges", "relations"), 0)
+    assert cache.status()[0] == "missing" and cache.counts() == dict.fromkeys(TABLES, 0)
     g = graph_of(spark, ["a", "b"], [("a", "b", "import")])
     text = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
     cache.save(files=fingerprints(text), nodes=g.nodes, edges=g.edges)
-    assert cache.counts() == {"files": 2, "nodes": 2, "symbols": 0, "edges": 1, "relations": 0} and cache.status(fingerprints(text))[0] == "fresh"
+    assert cache.counts() == {**dict.fromkeys(TABLES, 0), "files": 2, "nodes": 2, "edges": 1} and cache.status(fingerprints(text))[0] == "fresh"
     now = fingerprints(spark.createDataFrame([("a", "9"), ("c", "2")], "path string, content string"))
     assert cache.status(now)[0] == "stale"
     assert {(r.path, r.change) for r in changed(cache.load()["files"], now).collect()} == {("a", "changed"), ("b", "removed"), ("c", "added")}
     cache.patch(spark.createDataFrame([("a",)], "path string"))
-    assert cache.counts() == {"files": 1, "nodes": 1, "symbols": 0, "edges": 0, "relations": 0}
+    assert cache.counts() == {**dict.fromkeys(TABLES, 0), "files": 1, "nodes": 1}
     state = cache.state()
     with pytest.raises(RuntimeError):  # a second writer that began from the same state
         cache._commit({**state, "number": state["number"] - 1}, "x" * 32, {}, {})

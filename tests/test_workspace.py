@@ -30,7 +30,7 @@ def test_index_query_update(spark, tmp_path):
     pairs = {(r["from"], r["to"]): r.edge_types for r in w.query("edges", node_types=["file", "package", "symbol"]).collect()}
     assert pairs["main.py", "lib/util.py"] == ["import", "call"] or set(pairs["main.py", "lib/util.py"]) == {"import", "call"}
     assert pairs["c/a.c", "c/b.h"] == ["include"] and pairs["notes.md", "lib/util.py"] == ["reference"]
-    assert ("main.py#main:function:()", "lib/util.py") in pairs and ("main.py", "main.py#main:function:()") in pairs
+    assert pairs["main.py#main:function:()", "lib/util.py#helper:function:()"] == ["call"] and ("main.py", "main.py#main:function:()") in pairs
     assert pairs["lib/util.py", "pkg:os"] == ["import"]
     assert {(r["from"], r["to"]) for r in w.query("dependents", path="lib/util.py").collect()} == {("main.py", "lib/util.py"), ("notes.md", "lib/util.py")}
     assert [r.id for r in w.query("symbols", file_path="lib/util.py").collect()] == ["lib/util.py#helper:function:()"]
