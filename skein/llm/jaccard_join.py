@@ -6,14 +6,16 @@ any common order, so each set is entered under those alone, and the join is exac
 have last: tasks count the shingles that repeat among the texts they read, and up to 2**20 of the most frequent are sent
 to all tasks. The order changes the work, never the result.
 
-Equal sets are one representative. The sets under a shingle are a bucket. Sets of a bucket and a size band (sizes within a
-fifth) are compared with the least of them and of the band below, and the links give first components. Buckets that still hold several
-components are cut into tiles: members go into blocks by size band and hash, and blocks of equal or neighbouring bands are
-paired. In a tile every two members of different components and near sizes meet by their bitmaps of 1,024 bits: each bit in
-which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap from above. Pairs that
-pass are listed once for all tiles, and the whole sorted arrays are intersected. Where more than FEW pairs a member pass,
-they aren't listed: members go into tiles again with their arrays, and pairs that have been connected meanwhile are left
-out. A tile holds a bounded weight, so no bucket must fit in a task.
+Equal sets are one representative. The sets under a shingle are a bucket; sets without one of near size in it leave it.
+A bucket is a tile, or if it is large is cut into tiles: members go into blocks by size band (sizes within a fifth) and
+hash, and blocks of equal or neighbouring bands are paired. In a tile every two members of near sizes meet by their bitmaps
+of 1,024 bits: each bit in which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap
+from above. Pairs that pass are listed once for all tiles, and their whole sorted arrays are intersected. Where more than
+FEW pairs a member pass, at first only those with a band's least member are listed, which connects most of a group of
+copies. Then these buckets go into tiles again, members of one component don't meet any more, and if still too many pairs
+pass, members go into tiles with their arrays and pairs that have been connected meanwhile are left out. So nothing is
+listed that grows with the square of a bucket, no pair of different components stays uncompared, and a tile's weight is
+bounded, so no bucket must fit in a task.
 
 Shingles are known by 64-bit hashes. Defined results: null, empty and word-less texts have no shingles and are components
 of their own; a text of one to four words is one shingle. Rows that repeat a doc_id are one document: if its texts differ
@@ -43,7 +45,7 @@ SLAB, FREQUENT, OFTEN = 2_000_000, 1 << 20, 16
 #: Members of a tile up to which it is compared row by row; pairs for each member up to which they are listed.
 SMALL, FEW = 16, 4
 #: Members of a block of bitmaps; shingles of a block of sets, and the least that a set counts for.
-MEMBERS, WEIGHT, LEAST = 4096, 1 << 19, 256
+MEMBERS, WEIGHT, LEAST = 2048, 1 << 19, 256
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(SHINGLE)], np.uint64)
 _GOLD = 0x9E3779B97F4A7C15
@@ -357,48 +359,65 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _POSSIBLE = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("other", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("band", pa.int32())])
 
 
-def _possible(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
-    """What the bitmaps of each tile don't clear: pairs where they are few, else the members (without other).
-
-    Members of small tiles are compared with those that stand one, two, ... rows below, for all tiles at once."""
-    root, n, side, token, ids, band = (rows.column(c).to_numpy() for c in ("root", "n", "side", "token", "doc_id", "band"))
-    bits, size = _bits(rows), np.diff(cuts)
-    tile = np.repeat(np.arange(len(size)), size)
-    small = size[tile] <= SMALL
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    for step in range(1, min(SMALL, int(size.max(initial=0)))):
-        i = np.flatnonzero(small[:-step] & (tile[:-step] == tile[step:]) & (root[:-step] != root[step:]))
-        i = i[(side[i] == 0) | (side[i] != side[i + step])]
-        for part in np.array_split(i, len(i) // 20_000 + 1):
-            hit = part[_bound(bits[part], bits[part + step], n[part], n[part + step])]
-            found.append((hit, hit + step))
-    for t in np.flatnonzero(size > SMALL):
-        a, b = cuts[t], cuts[t + 1]
-        if (root[a:b] == root[a]).all():
-            continue
-        left, right = (x + a for x in _sides(side[a:b]))
-        order = right[np.argsort(n[right], kind="stable")]
-        sizes = n[order]
-        for x in left:
-            # only the stretch of near sizes
-            at = order[np.searchsorted(sizes, -(-PERCENT * n[x] // 100)) : np.searchsorted(sizes, n[x] * 100 // PERCENT, "right")]
-            at = at[root[at] != root[x]]
-            hit = at[_bound(bits[x], bits[at], n[x], n[at])] if len(at) else at
-            if len(hit):
-                found.append((np.full(len(hit), x), hit))
-    x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
-    many = np.bincount(tile[x], minlength=len(size)) > FEW * size
-    listed = ~many[tile[x]]
-    marked = np.zeros(len(n), bool)
-    marked[x[~listed]] = marked[y[~listed]] = True
-    x, y = x[listed], y[listed]
-    a, b, m = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.maximum(n[x], n[y])
-    if len(a):
-        a, b, m = np.unique(np.stack([a, b, m]), axis=1)
-    pairs, rest = len(a), int(marked.sum())
-    joined = lambda of, listed, own: pa.concat_arrays([pa.nulls(pairs, of) if listed is None else pa.array(listed, of), pa.nulls(rest, of) if own is None else pa.array(own[marked], of)])
-    columns = [(None, token), (a, ids), (b, None), (None, root), (m, n), (None, band)]
-    return pa.RecordBatch.from_arrays([joined(f.type, *c) for f, c in zip(_POSSIBLE, columns)], schema=_POSSIBLE)
+def _possible(first: bool):
+    def possible(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+        """Pairs (doc_id, other) that the bitmaps of a tile don't clear, where they are few. Where they are many: at first the
+        pairs with the least member of a band, and the token; later the members.
+
+        Members of small tiles are compared with those that stand one, two, ... rows below, for all tiles at once."""
+        root, n, side, token, ids, band = (rows.column(c).to_numpy() for c in ("root", "n", "side", "token", "doc_id", "band"))
+        bits, size = _bits(rows), np.diff(cuts)
+        tile = np.repeat(np.arange(len(size)), size)
+        lead = np.zeros(len(n), bool)
+        lead[np.lexsort((ids, band, tile))[np.concatenate([[True], np.diff(np.sort(tile * 1000 + band)) > 0])] if len(n) else []] = True
+        small = size[tile] <= SMALL
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for step in range(1, min(SMALL, int(size.max(initial=0)))):
+            i = np.flatnonzero(small[:-step] & (tile[:-step] == tile[step:]) & (root[:-step] != root[step:]))
+            i = i[(side[i] == 0) | (side[i] != side[i + step])]
+            for part in np.array_split(i, len(i) // 20_000 + 1):
+                hit = part[_bound(bits[part], bits[part + step], n[part], n[part + step])]
+                found.append((hit, hit + step))
+        marked, many = np.zeros(len(n), bool), np.zeros(len(size), bool)
+        for t in np.flatnonzero(size > SMALL):
+            a, b = cuts[t], cuts[t + 1]
+            if (root[a:b] == root[a]).all():
+                continue
+            left, right = (x + a for x in _sides(side[a:b]))
+            order = right[np.argsort(n[right], kind="stable")]
+            sizes, own, total = n[order], [], 0
+            for x in left:
+                # only the stretch of near sizes
+                at = order[np.searchsorted(sizes, -(-PERCENT * n[x] // 100)) : np.searchsorted(sizes, n[x] * 100 // PERCENT, "right")]
+                at = at[root[at] != root[x]]
+                hit = at[_bound(bits[x], bits[at], n[x], n[at])] if len(at) else at
+                total += len(hit)
+                if total > FEW * size[t]:
+                    if not many[t]:
+                        for u, v in own:
+                            marked[u] = marked[v] = True
+                        own = [(u[k], v[k]) for u, v in own for k in (lead[u] | lead[v],)]
+                    many[t] = True
+                    marked[x] |= len(hit) > 0
+                    marked[hit] = True
+                    hit = hit[lead[hit] | lead[x]]
+                if len(hit):
+                    own.append((np.full(len(hit), x), hit))
+            if first or not many[t]:
+                found += own
+        x, y = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
+        a, b, m = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), np.maximum(n[x], n[y])
+        if len(a):
+            a, b, m = np.unique(np.stack([a, b, m]), axis=1)
+        if first:
+            marked[:] = False
+            marked[cuts[:-1][many]] = True  # a row for each token
+        pairs, rest = len(a), int(marked.sum())
+        joined = lambda of, listed, own: pa.concat_arrays([pa.nulls(pairs, of) if listed is None else pa.array(listed, of), pa.nulls(rest, of) if own is None else pa.array(own[marked], of)])
+        columns = [(None, token), (a, ids), (b, None), (None, root), (m, n), (None, band)]
+        return pa.RecordBatch.from_arrays([joined(f.type, *c) for f, c in zip(_POSSIBLE, columns)], schema=_POSSIBLE)
+
+    return possible
 
 
 def _certain(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
@@ -424,13 +443,21 @@ def _several(placed: DataFrame) -> DataFrame:
     return written(placed.join(small_side(written(several, "open-buckets")), "token", "left_semi"), "open-members")
 
 
+def _met(placed: DataFrame, bits: DataFrame, first: bool) -> DataFrame:
+    """What the tiles of ``placed`` (token, doc_id, root, n, band) leave; see ``_possible``."""
+    tiles = _dealt(_tiled(placed.join(bits, ["doc_id", "n"]), MEMBERS, "1"), "token", "tile")
+    kept = "token long, doc_id long, other long, root long, n long, band int"
+    return written(tiles.mapInArrow(_grouped(["token", "tile"], _possible(first)), kept).distinct(), "possible")
+
+
+def _listed(met: DataFrame) -> DataFrame:
+    return met.where("other is not null").select(F.col("doc_id").alias("leader"), F.col("other").alias("member")).distinct()
+
+
 def _finished(placed: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) for the components that share a bucket of ``placed`` (token, doc_id, root, n, band) and have a link."""
-    tiles = _dealt(_tiled(_several(placed).join(bits, ["doc_id", "n"]), MEMBERS, "1"), "token", "tile")
-    kept = "token long, doc_id long, other long, root long, n long, band int"
-    left = written(tiles.mapInArrow(_grouped(["token", "tile"], _possible), kept).distinct(), "possible")
-    pairs = left.where("other is not null").select(F.col("doc_id").alias("leader"), F.col("other").alias("member")).distinct()
-    found = links(pairs, bits, texts)
+    left = _met(_several(placed), bits, False)
+    found = links(_listed(left), bits, texts)
     names = placed.select("doc_id", "root").distinct()
     named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     roots = components(written(named, "jaccard-links"))
@@ -452,13 +479,19 @@ def _roots(reps: DataFrame, texts: DataFrame) -> DataFrame:
     keys = reps.select(F.explode("prefix").alias("token"), "doc_id", "n", band)
     several = keys.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     placed = written(keys.join(small_side(written(several, "shared-shingles")), "token"), "jaccard-buckets")
+    # those that share a shingle with a set of their own band or of one beside it
+    around = placed.groupBy("token", "band").agg(F.count("*").alias("k"))
+    around = around.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "k")
+    around = around.groupBy("token", "band").agg(F.sum("k").alias("k")).where("k > 1").select("token", "band")
+    placed = written(placed.join(around, ["token", "band"], "left_semi").withColumn("root", F.col("doc_id")), "jaccard-near")
     bits = reps.join(small_side(written(placed.select("doc_id").distinct(), "jaccard-members")), "doc_id", "left_semi").select("doc_id", "n", "bits")
-    # with the leaders of the member's own band and of the one below
-    first = placed.groupBy("token", "band").agg(F.min("doc_id").alias("leader"))
-    near = placed.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-    pairs = near.join(first, ["token", "band"]).where("doc_id <> leader").select("leader", F.col("doc_id").alias("member")).distinct()
-    roots = components(links(pairs, bits, texts))
-    rest = _rooted(placed.withColumn("root", F.col("doc_id")), "root", small_side(roots))
+    met = _met(placed.select("token", "doc_id", "root", "n", "band"), bits, True)
+    roots = components(links(_listed(met), bits, texts))
+    open_ = met.where("other is null").select("token").distinct()
+    if open_.isEmpty():
+        return roots
+    # buckets of which only the pairs with a band's least member have been compared
+    rest = _rooted(placed.join(small_side(open_), "token", "left_semi"), "root", small_side(roots))
     joined = written(_finished(rest.select("token", "doc_id", "root", "n", "band"), bits, texts), "jaccard-roots")
     return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "jaccard-roots")
 
