@@ -6,10 +6,12 @@ import hashlib
 import json
 import os
 import time
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from skein.analyze.languages import builtin, javascript_candidates, python_candidates
 from skein.analyze.registry import Registry, relations, symbols
@@ -22,6 +24,7 @@ from skein.operators.scope import Scope, apply_scope, saved_scope
 from skein.plans import reports, search, task_map
 from skein.schema import EDGE, NODE, RELATION, SCHEMA_VERSION, SYMBOL, VISIBLE_EDGES
 from skein.sources import cache, discovery
+from skein.streaming import watch
 
 #: How the relations of a plugin are resolved; others name a file by its end.
 RULES = {"core:python": python_candidates, "core:javascript": javascript_candidates}
@@ -365,6 +368,10 @@ class Workspace:
         out = self._patched(state, before, files, now, own, others.select("path"), digests, moved, self._meta(), folders, turned)
         return self.index() if out is AGAIN else out
 
+    def watch(self, emit: Callable[[dict], None], checkpoint: str | None = None) -> StreamingQuery:
+        """Follow the changes of the files until the returned query is stopped; ``emit`` gets the events."""
+        return watch.watch(self, emit, checkpoint or f"file://{self.home}/watch")
+
     # ------------------------------------------------------------------ questions
 
     def scope(self) -> Scope:

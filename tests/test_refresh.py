@@ -240,3 +240,34 @@ def test_without_symbols(spark, tmp_path):
     assert w.cache.counts()["symbols"] == 0 and {r.id for r in w.graph().nodes.collect()} == {"a.py", "b.py"}
     assert {r.kind for r in w.graph().edges.collect()} == {"import", "call"}
     assert {(r.from_symbol, r.to_symbol) for r in w.cache.load()["relations"].collect()} == {(None, None)}
+
+
+def test_watch(spark, tmp_path):
+    import time
+
+    put(tmp_path, **{"a.py": "import b\n", "b.py": ""})
+    w, said = workspace(spark, tmp_path), []
+    query = w.watch(said.append, "file://" + tempfile.mkdtemp(prefix="skein-watch-"))
+    try:
+        assert said[0]["event"] == "ready" and said[0]["indexedFiles"] == 2
+
+        def until(test):
+            end = time.time() + 90
+            while not test() and time.time() < end:
+                time.sleep(0.2)
+            assert test(), said
+
+        time.sleep(1.5)
+        put(tmp_path, **{f"c{i:02d}.py": "import a\n" for i in range(25)})
+        until(lambda: any(e["event"] == "updated" and e["changed"] for e in said))
+        told = next(e for e in said if e["event"] == "updating")
+        assert len(told["filePaths"]) <= 20 and told["complete"] == (told["totalFiles"] <= 20)
+        until(lambda: sum(e["event"] == "updated" for e in said) == sum(e["event"] == "updating" for e in said))
+        assert "c24.py" in {r.id for r in w.graph().nodes.collect()}
+        w.update, kept = lambda: 1 / 0, w.update
+        put(tmp_path, **{"d.py": ""})
+        until(lambda: any(e["event"] == "error" for e in said))
+        w.update = kept
+    finally:
+        query.stop()
+    until(lambda: said[-1]["event"] == "stopped")
