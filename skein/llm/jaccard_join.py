@@ -10,7 +10,8 @@ Equal sets are one representative. The sets under a shingle are a bucket; sets w
 A bucket is a tile, or if it is large is cut into tiles: members go into blocks by size band (sizes within a fifth) and
 hash, and blocks of equal or neighbouring bands are paired. In a tile every two members of near sizes meet by their bitmaps
 of 1,024 bits: each bit in which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap
-from above. Pairs that pass are listed once for all tiles, and their whole sorted arrays are intersected. Where more than
+from above. Pairs that pass are listed once for all tiles, and their whole sorted arrays are intersected, turn by turn, so
+that most pairs of a group of copies are connected before their turn comes. Where more than
 FEW pairs a member pass, at first only those with a band's least member are listed, which connects most of a group of
 copies. Then these buckets go into tiles again, members of one component don't meet any more, and if still too many pairs
 pass, members go into tiles with their arrays and pairs that have been connected meanwhile are left out. So nothing is
@@ -44,6 +45,8 @@ BITS = 1024
 SLAB, FREQUENT, OFTEN = 2_000_000, 1 << 20, 16
 #: Members of a tile up to which it is compared row by row; pairs for each member up to which they are listed.
 SMALL, FEW = 16, 4
+#: Turns in which each set is compared with one partner, before all that are left are.
+TURNS = 3
 #: Members of a block of bitmaps; shingles of a block of sets, and the least that a set counts for.
 MEMBERS, WEIGHT, LEAST = 2048, 1 << 19, 256
 
@@ -297,17 +300,26 @@ def _bits(rows: pa.Table | pa.RecordBatch, column: str = "bits") -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(column).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
 
 
-def with_leaders(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct (leader, member, weight) of ``pairs``; ``units`` has doc_id and units.
+def _chunk_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, sets in _sets(batches):
+        kept = [batch.column(c) for c in ("leader", "chunk", "doc_id", "lead")]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in sets], pa.binary())], names=["leader", "chunk", "doc_id", "lead", "units"])
+
+
+def with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the distinct (leader, member, weight) of ``pairs``; ``texts`` has doc_id and text.
 
-    Members go in chunks of bounded weight, and a leader's shingles are sent once for each chunk."""
+    Members go in chunks of bounded weight, and a leader's shingles are sent once for each chunk. Sets are made where the
+    texts are read, and only then shuffled, to their chunk."""
     of = F.greatest(F.ceil(F.sum(F.greatest("weight", F.lit(LEAST))) / WEIGHT), F.lit(1)).cast("int")
     parts = pairs.groupBy("leader").agg(of.alias("parts")).where("parts > 1")
     placed = pairs.join(small_side(written(parts, "great-leaders")), "leader", "left")
     chunk = F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))).alias("chunk")
     placed = placed.select("leader", chunk, F.col("member").alias("doc_id"), F.lit(False).alias("lead"))
     leaders = placed.select("leader", "chunk", F.col("leader").alias("doc_id"), F.lit(True).alias("lead")).distinct()
-    rows = placed.unionByName(leaders).join(units, "doc_id").select("leader", "chunk", "doc_id", "lead", "units")
+    placed = small_side(written(placed.unionByName(leaders), "chunks"))
+    rows = texts.join(placed, "doc_id").select("leader", "chunk", "doc_id", "lead", "text")
+    rows = rows.mapInArrow(_chunk_units, "leader long, chunk long, doc_id long, lead boolean, units binary").where("octet_length(units) > 0")
     return _dealt(rows, "leader", "chunk").mapInArrow(_grouped(["leader", "chunk"], _with_leader), "a long, b long")
 
 
@@ -318,13 +330,31 @@ def _units_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def links(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct (leader, member): bitmaps first, and only of what they don't clear the whole sets.
+    """Links (a, b) that connect what the distinct (leader, member) of ``pairs``, leader < member, connect.
 
-    ``bits`` has doc_id, n and bits; ``texts`` doc_id and text."""
+    Bitmaps first; of the pairs that they don't clear, each member's with its least partner; then those between components
+    that are still apart, in the same way, and after ``TURNS`` turns all of them. ``bits`` has doc_id, n and bits."""
     both = pairs.join(bits.toDF("leader", "m", "x"), "leader").join(bits.toDF("member", "n", "y"), "member")
-    near = written(both.select("leader", "member", "m", "n", "x", "y").mapInArrow(_near, "leader long, member long, weight long"), "near-pairs")
-    ids = near.select(F.col("leader").alias("doc_id")).union(near.select("member"))
-    return written(with_leaders(near.groupBy("leader", "member").agg(F.max("weight").alias("weight")), _units_of(ids, texts)), "jaccard-links")
+    near = both.select("leader", "member", "m", "n", "x", "y").mapInArrow(_near, "leader long, member long, weight long")
+    near = written(near.groupBy("leader", "member").agg(F.max("weight").alias("weight")), "near-pairs")
+    found = None
+    for turn in range(TURNS + 1):
+        now = near
+        if turn < TURNS:
+            least = F.min(F.struct("leader", "weight")).alias("p")
+            now = written(near.groupBy("member").agg(least).select("p.leader", "member", "p.weight"), "picked")
+        got = written(with_leaders(now, texts), "jaccard-links")
+        found = got if found is None else found.union(got)
+        if turn == TURNS:
+            break
+        roots = small_side(components(found))
+        rest = near.join(small_side(now.select("leader", "member")), ["leader", "member"], "left_anti")
+        a, b = roots.toDF("leader", "_a"), roots.toDF("member", "_b")
+        rest = rest.join(a, "leader", "left").join(b, "member", "left")
+        near = written(rest.where("coalesce(_a, leader) <> coalesce(_b, member)").select("leader", "member", "weight"), "near-pairs")
+        if near.isEmpty():
+            break
+    return written(found, "jaccard-links")
 
 
 def _tiled(placed: DataFrame, block: int, weight: str) -> DataFrame:
