@@ -57,43 +57,73 @@ def dependents(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return distances(back, changed, 10_000).select("id")
 
 
+#: Paths of one length that are gone on with together, at least.
+BATCH = 16
+
+
+def _nodewise():
+    """Order of paths: by the collation of their nodes, one after the other."""
+    return F.transform("path", lambda x: F.struct(collated(x), x)).asc()
+
+
 def paths(edges: DataFrame, src: str | DataFrame, dst: str | DataFrame, max_depth: int = 10, max_paths: int = 3) -> tuple[DataFrame, bool]:
     """Simple directed paths, shortest first, then by collation of their nodes; and whether the list is complete.
 
-    ``src`` and ``dst`` are a node, or a table of nodes (id). Nodes from which no target is reached in time never enter a
-    frontier."""
+    ``src`` and ``dst`` are a node, or a table of nodes (id). Lengths are taken in turn. For each, the nodes are known from
+    which a walk of just so many steps leads to a target. Paths begun go on best first: of those of equal length a batch of
+    the first in order is extended by a step, the rest waits, and what has been extended goes before what waits. So the work
+    follows the number of paths that are asked for, not of those that there are; a batch whose walks all meet themselves
+    again lets the next one be twice as large."""
     spark = edges.sparkSession
     max_depth, max_paths = max(1, max_depth), max(1, max_paths)
-    edges = edges.select("src", "dst").distinct()
+    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
     if isinstance(src, str) and src == dst:
         return spark.createDataFrame([([src],)], "path array<string>"), True
     table = lambda x: spark.createDataFrame([(x,)], "id string") if isinstance(x, str) else x.select("id").distinct()
-    start, goal = table(src), written(table(dst).withColumnRenamed("id", "_goal"), "goal")
-    to_end = distances(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), goal.toDF("id"), max_depth)
-    to_end = written(to_end.toDF("_id", "_left"), "to-end")
-    live = start.select(F.array("id").alias("path"))
-    found, n, cut = None, 0, False
-    for step in range(1, max_depth + 1):
-        last = F.element_at("path", -1)
-        live = live.join(edges, last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        live = live.select(F.array_append("path", F.col("dst")).alias("path"))
-        live = live.join(to_end, last == F.col("_id")).where(F.col("_left") <= max_depth - step)
-        live = written(live.select("path", (F.col("_left") == 0).alias("done")), "paths")
-        done = live.where("done").select("path")
-        found = done if found is None else found.union(done)
-        n += done.count()
-        live = live.where("not done").select("path")
-        if live.isEmpty():
+    goal = written(table(dst), "goal")
+    begin = written(table(src).select(F.array("id").alias("path")), "begin")
+    back = [goal.toDF("_id")]  # nodes that are so many steps before a target, without passing one
+    found, n, complete = [], 0, True
+    for length in range(1, max_depth + 1):
+        before = edges.join(back[-1], F.col("dst") == F.col("_id"), "left_semi").select(F.col("src").alias("_id")).distinct()
+        back.append(written(before.join(back[0], "_id", "left_anti"), "steps-before"))
+        if back[-1].isEmpty():
             break
-        if n >= max_paths:
-            cut = True
+        stack, size = [(begin.join(back[-1], F.element_at("path", -1) == F.col("_id"), "left_semi"), 0)], max(BATCH, max_paths)
+        while stack and n <= max_paths:
+            some, step = stack.pop()
+            if step == length:
+                found.append(some)
+                n += some.count()
+                continue
+            head = written(some.orderBy(_nodewise()).limit(size), "paths")
+            taken = head.count()
+            if not taken:
+                size *= 2
+                continue
+            if taken == size:
+                stack.append((some.join(head, "path", "left_anti"), step))
+            last = F.element_at("path", -1)
+            on = head.join(edges, last == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+            on = on.join(back[length - step - 1], F.col("dst") == F.col("_id"), "left_semi")
+            stack.append((written(on.select(F.array_append("path", F.col("dst")).alias("path")), "paths"), step + 1))
+        if n > max_paths:
+            complete = False
             break
-    found = found.orderBy(F.size("path"), collated(F.array_join("path", "\n"))).limit(max_paths)
-    if not cut and n <= max_paths:
-        # a walk of more steps than allowed may exist although it was pruned
-        end = distances(edges, start, max_depth).where(F.col("depth") == max_depth).join(edges, F.col("id") == F.col("src"))
-        cut = not end.isEmpty()
-    return found, not (cut or n > max_paths)
+    else:
+        # a longer walk may exist
+        more = edges.join(back[-1], F.col("dst") == F.col("_id"), "left_semi").select(F.col("src").alias("_id")).join(back[0], "_id", "left_anti")
+        complete = more.join(_reached(edges, begin, back), "_id", "left_semi").isEmpty()
+    out = spark.createDataFrame([], "path array<string>")
+    for some in found:
+        out = out.union(some)
+    return out.orderBy(F.size("path"), _nodewise()).limit(max_paths), complete
+
+
+def _reached(edges: DataFrame, begin: DataFrame, back: list[DataFrame]) -> DataFrame:
+    """_id of all that is reached from where paths begin, in fewer steps than lengths were tried, or none."""
+    near = distances(edges, begin.select(F.element_at("path", -1).alias("id")), len(back))
+    return near.select(F.col("id").alias("_id"))
 
 
 # Raw paths looked at for each path between files, and at most.

@@ -150,19 +150,18 @@ def collapse(graph: Graph, folders: list[str]) -> Graph:
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
-    """One edge for each id: the first one's fields, and the sources of all, each source id once, in order of arrival."""
-    one = F.transform(F.coalesce("sources", F.array()), lambda s, i: F.struct(F.col("_ord").alias("o"), i.alias("i"), s.alias("s")))
-    first = edges.withColumnRenamed("ord", "_ord").groupBy("id").agg(
-        F.min_by(F.struct("src", "dst", "kind"), "_ord").alias("_e"),
-        F.min("_ord").alias("ord"),
-        F.array_sort(F.flatten(F.collect_list(one))).alias("_s"),
-    )
-    sources = F.aggregate(
-        F.transform("_s", lambda x: x.s),
-        F.array().cast(dict(edges.dtypes)["sources"]),
-        lambda got, s: F.when(F.exists(got, lambda g: g.id == s.id), got).otherwise(F.array_append(got, s)),
-    )
-    return first.select("id", "_e.src", "_e.dst", "_e.kind", sources.alias("sources"), "ord")
+    """One edge for each id: the first one's fields, and the sources of all, each source id once, in order of arrival.
+
+    Sources are reduced to one row for each edge and source id before those of an edge meet, so an edge that is said very
+    often costs no more than it has different sources."""
+    each = edges.select("id", F.struct("src", "dst", "kind").alias("_e"), "ord", F.posexplode_outer("sources").alias("_i", "_s"))
+    at = F.struct("ord", "_i")
+    one = each.groupBy("id", F.col("_s.id").alias("_source")).agg(
+        F.min_by("_e", "ord").alias("_e"), F.min("ord").alias("ord"), F.min(F.when(F.col("_s").isNotNull(), at)).alias("_at"), F.min_by("_s", F.when(F.col("_s").isNotNull(), at)).alias("_s")
+    )
+    found = F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_at").alias("a"), F.col("_s").alias("s")))))
+    whole = one.groupBy("id").agg(F.min_by("_e", "ord").alias("_e"), F.min("ord").alias("ord"), found.alias("_f"))
+    return whole.select("id", "_e.src", "_e.dst", "_e.kind", F.transform("_f", lambda x: x.s).alias("sources"), "ord")
 
 
 @dataclass(frozen=True)

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 from skein.export import documents
 from skein.functions import style
 from skein.functions.ordering import page_row
-from skein.functions.text import TASK_STOP, query_tokens, variants
+from skein.functions.text import TASK_STOP, query_tokens, roots
 from skein.graph import Graph
-from skein.operators import facts, project, traverse, visible
+from skein.operators import facts, project, refresh, traverse, visible
 from skein.operators.scope import NodeType, Scope, expanded
 from skein.operators.visible import View
 from skein.plans import reports, search, task_map
 from skein.plans.catalogue import _FIRST, _FOLDERS, _NESTS, _PATHS, _PROJECTED, _SPECIFIC, _documents, _first_file, _joined, query
 from skein.sources import derived
+from skein.streaming import live
 
 # ------------------------------------------------------------------ the visible graph as a whole
 
@@ -65,12 +66,13 @@ def projected_types(spark, d):
     return reports.scoped(derived.graph(spark, d), ["symbol:function"], types=_TYPES).nodes.select("id")
 
 
-@query("SELECT type, n FROM (VALUES ('symbol:field', 0), ('symbol:method', 1), ('symbol:function', 1), ('plugin:shop:big', 0), ('symbol', 1), ('symbol:callable', 0)) t(type, shown) JOIN (SELECT count(*) AS n FROM region) ON shown = 1", graph=False)
+@query("SELECT id, coalesce(node_type, 'file') AS type FROM nodes WHERE symbol_kind IN ('function', 'method') OR symbol_kind IS NULL")
 def expanded_types(spark, d):
-    # what a question about methods covers, for each region
-    names = expanded(["symbol:method"])
-    n = derived.table(spark, d, "region").agg(F.count("*").alias("n"))
-    return n.select(F.explode(F.array(*[F.lit(t) for t in names])).alias("type"), "n")
+    # files, and the symbols that a question about methods covers
+    names = expanded(["file", "symbol:method"])
+    kinds = [t.removeprefix("symbol:") for t in names if t.startswith("symbol:")]
+    n = derived.nodes(spark, d).where(F.col("symbol_kind").isNull() | F.col("symbol_kind").isin(kinds))
+    return n.select("id", F.coalesce("node_type", F.lit("file")).alias("type"))
 
 
 # ------------------------------------------------------------------ facts
@@ -238,6 +240,73 @@ def projected_paths(spark, d):
     return out.where(F.size("path") == 2).select(F.array_join("path", ">").alias("path"))
 
 
+@query(f""", h1 AS (SELECT DISTINCT dst AS id FROM edges WHERE src = {_FIRST}), goal AS (SELECT DISTINCT dst AS id FROM edges WHERE dst LIKE 'supp/%'), e AS (SELECT DISTINCT src, dst FROM edges)
+ SELECT {_FIRST} || '>' || e1.dst || '>' || e2.dst || '>' || e3.dst AS path FROM e e1, e e2, e e3 WHERE e1.src = {_FIRST} AND e2.src = e1.dst AND e3.src = e2.dst AND e3.dst IN (SELECT id FROM goal)
+ ORDER BY e1.dst, e2.dst, e3.dst LIMIT 40""")
+def paths_within_budget(spark, d):
+    # from a file to any supplier there are more paths than are asked for
+    g = derived.graph(spark, d)
+    goal = derived.suppliers(spark, d).select("id").join(g.edges.select(F.col("dst").alias("id")), "id", "left_semi")
+    found, complete = traverse.paths(g.edges, _first_file(spark, d), goal, 3, 40)
+    return found.where(F.lit(not complete)).select(F.array_join("path", ">").alias("path"))
+
+
+# ------------------------------------------------------------------ changes of files
+
+
+_BATCHES = """WITH RECURSIVE e AS (SELECT 'f' || user_id AS root, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'update' END AS path, ts, event_id,
+   row_number() OVER (PARTITION BY user_id ORDER BY date_trunc('millisecond', ts), event_id) AS i FROM (SELECT user_id, event_type, date_trunc('millisecond', ts) AS ts, event_id FROM events)),
+ b AS (SELECT root, path, root AS type, ts, event_id, i, ts AS first, 1 AS k FROM e WHERE i = 1
+   UNION ALL SELECT e.root, e.path, e.root, e.ts, e.event_id, e.i, CASE WHEN e.ts < least(b.ts + INTERVAL 6 HOUR, b.first + INTERVAL 24 HOUR) THEN b.first ELSE e.ts END,
+     CASE WHEN e.ts < least(b.ts + INTERVAL 6 HOUR, b.first + INTERVAL 24 HOUR) THEN b.k ELSE b.k + 1 END FROM b JOIN e ON e.root = b.root AND e.i = b.i + 1) """
+
+
+@query(_BATCHES + """SELECT root, epoch_ms(start) AS start, epoch_ms(flush) AS flush, path, arg_max(type, (ts, event_id)) AS type, count(*) AS events FROM (
+ SELECT root, path, type, ts, event_id, first AS start, flush FROM b JOIN (SELECT root AS r, k AS kk, max(least(b.ts + INTERVAL 6 HOUR, b.first + INTERVAL 24 HOUR)) AS flush FROM b GROUP BY 1, 2) f ON f.r = b.root AND f.kk = b.k) t GROUP BY root, t.start, t.flush, path""",
+ graph=False)
+def debounced_batches(spark, d):
+    # six hours of quiet, a day at most
+    e = derived.changes(spark, d).select(F.col("path").alias("root"), F.col("type").alias("path"), F.col("path").alias("type"), "ts", "event_id")
+    return live.batches(e, 6 * 3_600_000, 24 * 3_600_000).withColumns({c: F.unix_millis(c) for c in ("start", "flush")})
+
+
+_ARRIVALS = """, asks AS (SELECT o_orderkey AS k, file AS f, 'f' || o_orderkey % 97 AS spec FROM ordr),
+ tried AS (SELECT k, f, spec, i AS nth, 'part/x' || (o % 40) || '/' || spec AS path FROM (SELECT k, f, spec, unnest(range(0, 3)) AS i, k + 13 * unnest(range(0, 3)) AS o FROM asks)),
+ every AS (SELECT DISTINCT path FROM tried), old AS (SELECT path FROM every WHERE ascii(right(path, 1)) % 3 <> 0), new AS (SELECT path FROM every WHERE ascii(right(path, 1)) % 4 <> 1),
+ a AS (SELECT k, arg_min(path, nth) AS target FROM tried JOIN old USING (path) GROUP BY k), b AS (SELECT k, arg_min(path, nth) AS target FROM tried JOIN new USING (path) GROUP BY k)
+ SELECT k, a.target AS before, b.target AS now FROM asks LEFT JOIN a USING (k) LEFT JOIN b USING (k) WHERE a.target IS DISTINCT FROM b.target"""
+
+
+@query(_ARRIVALS)
+def arrivals_and_departures(spark, d):
+    # orders import by three paths in turn; some paths go, others come: only what would try them is resolved again
+    o = derived.orders(spark, d).select(F.col("o_orderkey").alias("ord"), F.col("file").alias("from_file"), F.concat(F.lit("f"), F.col("o_orderkey") % 97).alias("specifier"))
+    links = o.select("ord", F.lit("shop").alias("plugin_id"), F.concat("from_file", F.lit("/"), "ord").alias("from_file"), "specifier", F.create_map(F.lit("importedName"), F.col("ord").cast("string")).alias("metadata"))
+    at = lambda i: F.concat(F.lit("part/x"), (F.col("metadata")["importedName"].cast("long") + 13 * i) % 40, F.lit("/"), F.col("specifier"))
+    rules = {"shop": lambda: F.array(*[at(i) for i in range(3)])}
+    tried = refresh.candidates(links, rules)
+    every = tried.select("path").distinct()
+    last = F.ascii(F.substring("path", -1, 1))
+    old, new = every.where(last % 3 != 0), every.where(last % 4 != 1)
+    before = refresh.resolved(links, tried, old)
+    moved = facts.difference(old, new).select("path")
+    asked = refresh.asked_again(tried, moved)
+    again = links.join(asked.select("from_file").distinct(), "from_file", "left_semi")
+    now = refresh.resolved(again, refresh.candidates(again, rules), new).select("ord", F.col("resolved_path").alias("now"))
+    out = before.select("ord", F.col("resolved_path").alias("before")).join(now, "ord")
+    return out.where(~F.col("before").eqNullSafe(F.col("now"))).withColumnRenamed("ord", "k")
+
+
+@query("""SELECT id AS path FROM prt WHERE id NOT IN (SELECT dst FROM line WHERE ord % 1000 = 7)""")
+def files_of_equal_facts(spark, d):
+    # each part's facts are the line items that lead to it; some have another kind now, all come in another order
+    lines = derived.lines(spark, d).select(F.col("dst").alias("file"), "src", "kind", "ord")
+    changed = lines.withColumn("kind", F.when(F.col("ord") % 1000 == 7, "other").otherwise(F.col("kind"))).repartition(7, "ord")
+    parts = derived.parts(spark, d).select(F.col("id").alias("path"))
+    digest = lambda df: parts.join(refresh.fact_digests(df), F.col("path") == F.col("file"), "left").select("path", F.col("digest").alias("fact_digest"))
+    return refresh.with_same_facts(digest(lines), digest(changed))
+
+
 # ------------------------------------------------------------------ iterations: PageRank, task map
 
 
@@ -264,11 +333,20 @@ def pagerank_20(spark, d):
     return out.select("id", F.round("rank", 9).alias("rank"))
 
 
+def _forms(term: str) -> str:
+    """A pattern of the words that are forms of a term's roots."""
+    each = []
+    for r in roots(term):
+        verb = f"{r}d|{r[:-1]}ing" if r[-1] == "e" else f"{r}(?:ed|ing)" if r[-1] in "aiou" else f"{r}{r[-1]}?(?:ed|ing)"
+        each.append(f"{r}s?|{verb}")
+    return "|".join(each)
+
+
 def _lexical_sql(question: str) -> str:
     """Common table expressions up to ``lex`` (path, score, matched), for questions of at most 16 terms."""
     terms = query_tokens(question, 3, TASK_STOP)
     plain = lambda c: rf"' ' || regexp_replace(lower(regexp_replace({c}, '([\p{{Ll}}\d])(\p{{Lu}})', '\1 \2', 'g')), '[^\p{{L}}\d]+', ' ', 'g') || ' '"
-    hit = ", ".join(f"CASE WHEN regexp_matches(p, ' ({'|'.join(variants(t))}) ') THEN 4 WHEN regexp_matches(t, ' ({'|'.join(variants(t))}) ') THEN 1 ELSE 0 END AS h{i}" for i, t in enumerate(terms))
+    hit = ", ".join(f"CASE WHEN regexp_matches(p, ' ({_forms(t)}) ') THEN 4 WHEN regexp_matches(t, ' ({_forms(t)}) ') THEN 1 ELSE 0 END AS h{i}" for i, t in enumerate(terms))
     used = ", ".join(f"count(*) FILTER (WHERE h{i} > 0) AS d{i}" for i in range(len(terms)))
     score = " + ".join(f"CASE WHEN d{i} > 0 THEN h{i} * (ln((n + 1.0) / (d{i} + 1)) + 1) ELSE 0 END" for i in range(len(terms)))
     matched = "concat_ws(',', " + ", ".join(f"CASE WHEN h{i} > 0 THEN '{t}' END" for i, t in enumerate(terms)) + ")"

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
-from skein.functions.text import TASK_STOP, has_term, normalized, query_tokens
+from skein.functions.text import TASK_STOP, bases, has_term, normalized, query_tokens, words_in
 from skein.graph import Graph, with_files, written
 from skein.operators.traverse import pagerank
 
+# The most that a map shows, and the folders that have one level more to an area.
 MOST_TERMS, MOST_FILES, MOST_SYMBOLS, MOST_RELATIONS = 16, 20, 3, 12
 TEST_FILE = r"(?i)(?:^|/)(?:__tests__|tests?)(?:/|\.)|\.(?:spec|test)\.[^/]+\z"
 
@@ -22,8 +23,9 @@ def documents(graph: Graph, text: DataFrame) -> DataFrame:
 
 def term_hits(docs: DataFrame, terms: list[str]) -> DataFrame:
     """path and, for each term, 2 where the path has it, 1 where only the text has it, else 0."""
+    found = docs.select("path", *[bases(words_in(F.col(c))).alias(c) for c in ("p", "t")])
     each = [F.when(has_term(F.col("p"), t), 2).when(has_term(F.col("t"), t), 1).otherwise(0).alias(f"h{i}") for i, t in enumerate(terms)]
-    return docs.select("path", *each)
+    return found.select("path", *each)
 
 
 def lexical(docs: DataFrame, query: str) -> tuple[DataFrame, list[str]]:
@@ -79,10 +81,10 @@ def top_symbols(symbols: DataFrame, terms: list[str], most: int = MOST_SYMBOLS)
     """Of each file the symbols whose names have most of the terms."""
     hits = F.lit(0)
     for t in terms:
-        hits = hits + has_term(normalized(F.col("name")), t).cast("int")
+        hits = hits + has_term(F.col("_found"), t).cast("int")
     best = Window.partitionBy("file_path").orderBy(F.desc("hits"), collated("name"), collated("id"))
-    out = symbols.withColumn("hits", hits).withColumn("nth", F.row_number().over(best))
-    return out.where(F.col("nth") <= most)
+    out = symbols.withColumn("_found", bases(words_in(normalized(F.col("name"))))).withColumn("hits", hits)
+    return out.drop("_found").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= most)
 
 
 def task_map(graph: Graph, text: DataFrame, query: str, limit: int | None = None) -> tuple[DataFrame, list[str]]:

@@ -91,7 +91,7 @@ def batches(events: DataFrame, quiet: int = QUIET_MS, longest: int = LONGEST_MS)
         if out := [(root, *x) for x in pending.take()]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    rows = events.select("root", "path", "type", F.unix_millis("ts").alias("ms"), "event_id")
+    rows = events.select("root", "path", "type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"), "event_id")
     rows = rows.repartition("root").sortWithinPartitions("root", "ms", "event_id")
     out = rows.mapInArrow(run, "root string, start long, flush long, path string, type string, events long")
     return out.withColumns({c: F.timestamp_millis(c) for c in ("start", "flush")})

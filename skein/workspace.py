@@ -7,7 +7,7 @@ import json
 import os
 import time
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -18,9 +18,9 @@ from skein.analyze.registry import Registry, relations, symbols
 from skein.export.documents import envelope
 from skein.functions.glob import matches_any
 from skein.graph import Graph, closed, written
-from skein.functions.ordering import page
+from skein.functions.ordering import COMMAND_LIMITS, DEFAULT_LIMIT, page, paged
 from skein.operators import facts, project, refresh, traverse
-from skein.operators.scope import Scope, apply_scope, saved_scope
+from skein.operators.scope import Scope, apply_scope, expanded, saved_scope
 from skein.plans import reports, search, task_map
 from skein.schema import EDGE, NODE, RELATION, SCHEMA_VERSION, SYMBOL, VISIBLE_EDGES
 from skein.sources import cache, discovery
@@ -84,6 +84,20 @@ class Workspace:
         self.settings = Settings.load(f"{self.home}/settings.json")
         self.registry = registry or Registry(builtin())
         self.cache = cache.GraphCache(spark, f"file://{self.home}/cache")
+        self._begun = self._told = False
+
+    def _begin(self) -> None:
+        """Tell plugins once that the workspace is in use."""
+        if not self._begun:
+            self._begun = True
+            self.registry.notify("initialize", switches=self.settings.plugins)
+
+    def _ready(self, version: str | None) -> str | None:
+        """Tell plugins once that there is an index."""
+        if not self._told:
+            self._told = True
+            self.registry.notify("workspace_ready", self.graph(), switches=self.settings.plugins)
+        return version
 
     # ------------------------------------------------------------------ index
 
@@ -165,6 +179,7 @@ class Workspace:
         """Analyse all files and replace the cache; returns its version.
 
         If another writer or a change of the files comes in between, it is done again, ``ATTEMPTS`` times at most."""
+        self._begin()
         for _ in range(ATTEMPTS):
             state, listing = self.cache.state(), self.listing()
             files = written(self.eligible(listing), "eligible")
@@ -178,7 +193,7 @@ class Workspace:
             if not self._as_seen(files, meta):
                 continue
             try:
-                return self.cache.save(expect=(state or {}).get("version"), meta=meta, files=prints, **tables)
+                return self._ready(self.cache.save(expect=(state or {}).get("version"), meta=meta, files=prints, **tables))
             except cache.Overtaken:
                 continue
         raise cache.Overtaken("files, settings or the cache kept changing")
@@ -245,6 +260,7 @@ class Workspace:
         their metrics are written. Else links are resolved again that would try an added or removed path, and derived again is
         what may name a symbol of a changed file. All is analysed anew only if plugins, settings or the format have changed,
         or if a plugin asks for it. What another writer commits meanwhile, or a change of the files, begins it again."""
+        self._begin()
         for _ in range(ATTEMPTS):
             state = self.cache.state()
             if state is None or state["schema"] != SCHEMA_VERSION or any(state["meta"].get(k) != v for k, v in self.signatures().items()):
@@ -254,7 +270,7 @@ class Workspace:
             except cache.Overtaken:
                 continue
             if done is not AGAIN:
-                return done
+                return self._ready(done)
         return self.index()
 
     def _updated(self, state: dict) -> str | None | object:
@@ -343,6 +359,8 @@ class Workspace:
     def switch(self, plugin: str, on: bool) -> str | None:
         """Turn a plugin on or off, and do what it says that this asks for."""
         impact = self.registry.impact(plugin)
+        if not on:
+            self.registry.notify("unload", switches={p.id: p.id == plugin for p in self.registry.plugins})
         self.settings.plugins = {**self.settings.plugins, plugin: on}
         state = self.cache.state()
         if state is None or impact == "requires-full-index":
@@ -398,18 +416,38 @@ class Workspace:
         files = graph.nodes.where("symbol_file is null").select(F.col("id").alias("path"))
         return facts.of_files(state["symbols"], facts.of_active_plugins(state["relations"], active), files)
 
-    def query(self, report: str, patterns: list[str] = (), saved: bool = False, offset: int = 0, limit: int | None = None, as_json: bool = False, **arguments):
+    def query(
+        self, report: str, patterns: list[str] = (), saved: bool = False, offset: int = 0, limit: int | None = None, as_json: bool = False,
+        types: list[str] = (), defaults: bool = False, **arguments,
+    ):
         """One of nodes, edges, relationships, symbols, paths, search, task-map, overview, dependencies, dependents.
 
-        ``saved``: only what the saved scope shows, instead of the complete graph; ``limit``: a page of that many rows;
-        ``as_json``: a JSON text a row, with the report's name."""
+        ``saved``: only what the saved scope shows, instead of the complete graph; ``types``: with it, node types that are
+        shown as well, and what a question about them covers; ``limit``: a page of that many rows, or for task-map of files;
+        ``defaults``: the limits of a command line where none is given; ``as_json``: a JSON text a row, with the report's
+        name. Reports that say more than a table give it beside the table, which is paged all the same: paths (whether they
+        are complete), task-map (the terms used, and tables of links among the files and of their best symbols)."""
         if self.cache.state() is None:
             raise LookupError("graph_cache_not_found")
+        if defaults:
+            limit = limit if limit is not None else COMMAND_LIMITS.get(report)
+            if report == "paths":
+                arguments = {"max_depth": COMMAND_LIMITS["path_depth"], "max_paths": COMMAND_LIMITS["paths"], **arguments}
         g = self.graph(patterns)
         if saved:
-            g = apply_scope(g, self.scope())
+            scope = self.scope()
+            shown = expanded(list(types), scope.types) if types else []
+            g = apply_scope(g, replace(scope, nodes={**scope.nodes, **dict.fromkeys(shown, True)}))
         declared, links = self.facts_for(self.graph(patterns))
         text = lambda: discovery.texts(self.files())
+
+        def task_map_report():
+            best, terms = task_map.task_map(g, text(), limit=limit, **arguments)
+            best = written(best.withColumn("ord", F.monotonically_increasing_id()), "task-map")
+            paths = [r.path for r in best.select("path").collect()]  # MOST_FILES at most
+            own = declared.where(F.col("file_path").isin(paths))
+            return best.orderBy("ord").drop("ord"), terms, task_map.map_relationships(g, paths), task_map.top_symbols(own, terms)
+
         out = {
             "nodes": lambda: reports.nodes_report(g, **arguments),
             "edges": lambda: reports.edges_report(g, **arguments),
@@ -417,15 +455,30 @@ class Workspace:
             "symbols": lambda: reports.symbols_report(g, declared, links, **arguments),
             "paths": lambda: traverse.path_report(g, **arguments),
             "search": lambda: search.search_report(g.nodes, declared, text(), **arguments),
-            "task-map": lambda: task_map.task_map(g, text(), **arguments),
+            "task-map": task_map_report,
             "overview": lambda: reports.overview_report(g, declared, **arguments),
             "dependencies": lambda: reports.dependencies(g, **arguments),
             "dependents": lambda: reports.dependents(g, **arguments),
         }[report]()
-        if not isinstance(out, DataFrame):
-            return out
-        out = page(out, offset, limit) if limit is not None else out
-        return envelope(report, out) if as_json else out
+        table, *more = out if isinstance(out, tuple) else (out,)
+        if isinstance(table, DataFrame):
+            info = None
+            if limit is not None and as_json:
+                table, info = paged(table, offset, limit)
+            elif limit is not None:
+                table = page(table, offset, limit)
+            table = envelope(report, table, info) if as_json else table
+        return (table, *more) if more else table
+
+    def page_of(self, report: str, offset: int = 0, limit: int = DEFAULT_LIMIT, **arguments) -> tuple[DataFrame, dict]:
+        """A page of a report, and its metadata: offset, limit, returned, total, nextOffset."""
+        out = self.query(report, **arguments)
+        return paged(out[0] if isinstance(out, tuple) else out, offset, limit)
+
+    def pending(self, changes: DataFrame) -> DataFrame:
+        """Of told changes (path, mtime in milliseconds; null where unknown) those that the last index doesn't cover."""
+        state = self.cache.state()
+        return cache.pending(changes, state["meta"].get("indexed_at") if state else None)
 
     def status(self) -> tuple[str, list[str]]:
         before = self.cache.load()["files"]

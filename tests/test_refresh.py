@@ -37,9 +37,9 @@ def registry():
     return Registry([*builtin(), Plugin("note", (".note",), notes)])
 
 
-def workspace(spark, root, most=1000):
+def workspace(spark, root, buckets=4):
     w = Workspace(spark, str(root), tempfile.mkdtemp(prefix="skein-home-"), registry())
-    w.settings.max_files = most
+    w.cache.buckets = buckets
     return w
 
 
@@ -140,7 +140,7 @@ def test_random_edits_equal_a_full_index(spark, tmp_path):
 def test_arrival_and_departure_touch_what_asks_for_them(spark, tmp_path):
     files = {f"far{i}.py": f"import os\ndef f{i}():\n    pass\n" for i in range(12)}
     put(tmp_path, **files, **{"a.py": "import lib\n", "b.py": "import other\n"})
-    w = workspace(spark, tmp_path)
+    w = workspace(spark, tmp_path, 32)
     w.index()
     read = []
     analysed = w.analysed

@@ -22,6 +22,7 @@ def test_index_query_update(spark, tmp_path):
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / p).write_text(c)
     w = Workspace(spark, str(tmp_path), tempfile.mkdtemp(prefix="skein-home-"))
+    w.cache.buckets = 8
     assert w.cache.status()[0] == "missing"
     w.index()
     assert w.status() == ("fresh", [])
@@ -37,13 +38,20 @@ def test_index_query_update(spark, tmp_path):
     links = {(r["from"], r["to"]): r for r in w.query("relationships", node_types=["file", "package"]).collect()}
     assert {x.edge_type for x in links["main.py", "lib/util.py"].relationships} >= {"import"} and links["c/a.c", "c/b.h"].edge_types == ["include"]
     related = w.query("symbols", related_to="lib/util.py", edge_type="call")
-    assert [r.id for r in related.collect()] == ["main.py#main:function:()"]
+    assert [r.id for r in related.collect()] == ["lib/util.py#helper:function:()"]  # the symbol that the call leads to
     found, complete = w.query("paths", src="main.py", dst="lib/util.py", expand=True, project=True)
     assert {tuple(r.path) for r in found.collect()} == {("main.py", "lib/util.py")}
     assert {r.path for r in w.query("nodes", saved=True, limit=3).collect()} < set(files)
     assert {r.edge_types[0] for r in w.query("edges", saved=True, node_types=["file", "symbol"]).collect()} == {"import", "include"}
     said = [json.loads(r.value) for r in w.query("nodes", limit=2, as_json=True).collect()]
     assert [x["command"] for x in said] == ["nodes", "nodes"] and said[0]["data"]["node_type"] == "file"
+    assert said[0]["page"]["total"] == len(files) and w.page_of("nodes", limit=4)[1]["nextOffset"] == 4
+    best, terms, between, symbols_ = w.query("task-map", query="what does the helper return", limit=1)
+    assert best.count() == 1 and "helper" in terms and between.count() == 0 and symbols_.count() <= 3
+    assert w.query("paths", src="main.py", dst="lib/util.py", limit=0)[0].count() == 0
+    assert len(w.query("nodes", defaults=True).collect()) == len(files)
+    shown = {r.path for r in w.query("nodes", saved=True, types=["symbol:function"], node_types=["file", "symbol"]).collect()}
+    assert shown >= set(files)
     assert w.doctor()["violations"] == {"edge_source": 0, "edge_target": 0, "node_key": 0}
     (tmp_path / "lib/util.py").write_text("def other():\n    return 2\n")
     assert w.status() == ("stale", ["pending-changed-files"])
@@ -94,7 +102,7 @@ def test_plugins_are_told_and_switched(spark, tmp_path):
     def fails(*_):
         raise ValueError("no")
 
-    hooks = {"pre_analyze": lambda files: heard.append(("pre", files.count())), "files_changed": changed, "post_analyze": fails}
+    hooks = {"pre_analyze": lambda files: heard.append(("pre", files.count())), "files_changed": changed, "post_analyze": fails, "initialize": lambda: heard.append("begun"), "workspace_ready": lambda g: heard.append("ready"), "unload": lambda: heard.append("gone")}
     impact = {"toggle": "reanalyze-plugin-files", "depth": "projection-only", "odd": "nonsense"}
     plugin = Plugin("note", (".note",), note, node_types=(("plugin:note", True), ("made", True)), edge_types=(("notes", True),), hooks=hooks, impact=impact)
     r = Registry([*builtin(), plugin])
@@ -102,13 +110,16 @@ def test_plugins_are_told_and_switched(spark, tmp_path):
     with pytest.raises(ValueError):
         r.notify("other")
     w = Workspace(spark, str(tmp_path), tempfile.mkdtemp(prefix="skein-home-"), r)
+    w.cache.buckets = 4
     w.index()
-    assert heard == [("pre", 3)]
+    assert heard == ["begun", ("pre", 3), "ready"]
     pairs = lambda: {(x["from"], x["to"]): x.edge_types for x in w.query("edges").collect()}
     assert pairs() == {("a.py", "b.py"): ["import"], ("c.note", "b.py"): ["notes"]}
     assert w.scope().edges["notes"] and w.scope().nodes["made"] and not w.scope().nodes["plugin:note"]
     (tmp_path / "b.py").write_text("x = 1\n")
     w.update()
-    assert heard[-1] == ("changed", []) and w.status() == ("fresh", [])
+    assert heard[-2:] == [("changed", []), ("pre", 2)] and w.status() == ("fresh", [])
+    assert heard.count("ready") == 1 and heard.count("begun") == 1 and "gone" not in heard
     w.switch("note", False)
+    assert "gone" in heard
     assert pairs() == {("a.py", "b.py"): ["import"]} and w.status() == ("fresh", [])
