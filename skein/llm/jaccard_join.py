@@ -10,7 +10,8 @@ Equal sets are one representative. The sets under a shingle are a bucket; sets w
 A bucket is a tile, or if it is large is cut into tiles: members go into blocks by size band (sizes within a fifth) and
 hash, and blocks of equal or neighbouring bands are paired. In a tile every two members of near sizes meet by their bitmaps
 of 1,024 bits: each bit in which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap
-from above. Pairs that pass are listed once for all tiles, and their whole sorted arrays are intersected, turn by turn, so
+from above. Pairs that pass are listed once for all tiles; those of large sets meet again by wider bitmaps that grow with
+the set. What is left has its whole sorted arrays intersected, turn by turn, so
 that most pairs of a group of copies are connected before their turn comes. Where more than
 FEW pairs a member pass, at first only those with a band's least member are listed, which connects most of a group of
 copies. Then these buckets go into tiles again, members of one component don't meet any more, and if still too many pairs
@@ -286,6 +287,33 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["leader", "member", "n"]).filter(kept).rename_columns(["leader", "member", "weight"])
 
 
+def wide(units: np.ndarray) -> np.ndarray:
+    """The number of shingles and a bitmap of two to four bits for each (1,024 at least), as 64-bit words."""
+    size = max(BITS, 1 << (2 * len(units) - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(units % np.uint64(size)).astype(np.int64)] = 1
+    return np.concatenate([np.array([len(units)], np.uint64), np.packbits(bits, bitorder="little").view(np.uint64)])
+
+
+def _cleared(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two ``wide`` arrays show that their sets aren't similar; the longer bitmap is folded to the other's length."""
+    m, n = int(x[0]), int(y[0])
+    x, y = sorted((x[1:], y[1:]), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return not similar((m + n - int(np.bitwise_count(x ^ y).sum())) // 2, m, n)
+
+
+def _with_wide_leader(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """Pairs of each chunk's members with their leader that wide bitmaps don't clear."""
+    ids, lead, sets, out = rows.column("doc_id").to_pylist(), rows.column("lead").to_numpy(), _arrays(rows.column("units")), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        at = np.arange(a, b)
+        for i in at[lead[a:b]]:
+            out += [(ids[i], ids[j]) for j in at[~lead[a:b]] if not _cleared(sets[i], sets[j])]
+    return _linked(out)
+
+
 def _with_leader(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
     """Links of each chunk's members with their leader, whose row is marked."""
     ids, lead, units, out = rows.column("doc_id").to_pylist(), rows.column("lead").to_numpy(), _arrays(rows.column("units")), []
@@ -300,14 +328,19 @@ def _bits(rows: pa.Table | pa.RecordBatch, column: str = "bits") -> np.ndarray:
     return np.frombuffer(b"".join(rows.column(column).to_pylist()), np.uint64).reshape(rows.num_rows, -1)
 
 
-def _chunk_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, sets in _sets(batches):
-        kept = [batch.column(c) for c in ("leader", "chunk", "doc_id", "lead")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array([s.tobytes() for s in sets], pa.binary())], names=["leader", "chunk", "doc_id", "lead", "units"])
+def _chunk_units(bitmaps: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches):
+            kept = [batch.column(c) for c in ("leader", "chunk", "doc_id", "lead")]
+            sets = [(wide(s) if bitmaps and len(s) else s).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sets, pa.binary())], names=["leader", "chunk", "doc_id", "lead", "units"])
+
+    return run
 
 
-def with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among the distinct (leader, member, weight) of ``pairs``; ``texts`` has doc_id and text.
+def with_leaders(pairs: DataFrame, texts: DataFrame, bitmaps: bool = False) -> DataFrame:
+    """Links (a, b) among the distinct (leader, member, weight) of ``pairs``, or with ``bitmaps`` the pairs that wide bitmaps
+    don't clear; ``texts`` has doc_id and text.
 
     Members go in chunks of bounded weight, and a leader's shingles are sent once for each chunk. Sets are made where the
     texts are read, and only then shuffled, to their chunk."""
@@ -319,8 +352,9 @@ def with_leaders(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     leaders = placed.select("leader", "chunk", F.col("leader").alias("doc_id"), F.lit(True).alias("lead")).distinct()
     placed = small_side(written(placed.unionByName(leaders), "chunks"))
     rows = texts.join(placed, "doc_id").select("leader", "chunk", "doc_id", "lead", "text")
-    rows = rows.mapInArrow(_chunk_units, "leader long, chunk long, doc_id long, lead boolean, units binary").where("octet_length(units) > 0")
-    return _dealt(rows, "leader", "chunk").mapInArrow(_grouped(["leader", "chunk"], _with_leader), "a long, b long")
+    rows = rows.mapInArrow(_chunk_units(bitmaps), "leader long, chunk long, doc_id long, lead boolean, units binary").where("octet_length(units) > 0")
+    compare = _with_wide_leader if bitmaps else _with_leader
+    return _dealt(rows, "leader", "chunk").mapInArrow(_grouped(["leader", "chunk"], compare), "a long, b long")
 
 
 def _units_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
@@ -332,11 +366,15 @@ def _units_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 def links(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect what the distinct (leader, member) of ``pairs``, leader < member, connect.
 
-    Bitmaps first; of the pairs that they don't clear, each member's with its least partner; then those between components
+    Bitmaps first, of large sets wide ones as well; of the pairs that they don't clear, each member's with its least partner; then those between components
     that are still apart, in the same way, and after ``TURNS`` turns all of them. ``bits`` has doc_id, n and bits."""
     both = pairs.join(bits.toDF("leader", "m", "x"), "leader").join(bits.toDF("member", "n", "y"), "member")
     near = both.select("leader", "member", "m", "n", "x", "y").mapInArrow(_near, "leader long, member long, weight long")
     near = written(near.groupBy("leader", "member").agg(F.max("weight").alias("weight")), "near-pairs")
+    # the narrow bitmaps of large sets are full
+    left = with_leaders(near.where(f"weight > {BITS // 2}"), texts, bitmaps=True).toDF("leader", "member").distinct()
+    large = near.where(f"weight > {BITS // 2}").join(left, ["leader", "member"], "left_semi")
+    near = written(near.where(f"weight <= {BITS // 2}").unionByName(large), "near-pairs")
     found = None
     for turn in range(TURNS + 1):
         now = near

@@ -106,6 +106,14 @@ def test_bit_counts_bound_the_overlap_from_above():
         bits = [np.frombuffer(jj.bitmap(x), np.uint64) for x in (a, b)]
         bound = (len(a) + len(b) - int(np.bitwise_count(bits[0] ^ bits[1]).sum())) // 2
         assert jj._overlap(a, b) == len(np.intersect1d(a, b)) <= bound
+        # wide bitmaps never clear a pair of this or a greater overlap
+        sets = [np.unique(rng.integers(0, 2**63, n, np.uint64))]
+        sets.append(np.concatenate([sets[0][: len(sets[0]) * 9 // 10], np.unique(rng.integers(0, 2**63, n // 20, np.uint64))]))
+        m, k = len(sets[0]), len(np.unique(sets[1]))
+        if jj.similar(len(np.intersect1d(*sets)), m, k):
+            assert not jj._cleared(jj.wide(sets[0]), jj.wide(np.unique(sets[1])))
+        if n > 100:
+            assert jj._cleared(jj.wide(a), jj.wide(b[b > b[len(b) // 3]])) and jj._cleared(jj.wide(a), jj.wide(np.unique(rng.integers(0, 2**63, n * 5 // 4, np.uint64))))
     unlike = [np.frombuffer(jj.bitmap(np.unique(rng.integers(0, 2**63, 200, np.uint64))), np.uint64) for _ in range(2)]
     assert not jj._bound(unlike[0], unlike[1][None], 200, np.array([200]))[0]
 
