@@ -101,7 +101,7 @@ def test_chain_of_reexports_namespaces_folders_and_undeclared_ends(spark, tmp_pa
     found = {(r["from"], r["to"]) for r in w.query("edges", node_types=["file", "symbol"]).collect()}
     assert {("app.ts", "src/impl.ts"), ("lib/c.note#part:intro", "lib/b.note")} <= found
     # another end of the chain
-    put(tmp_path, **{"src/mid.ts": "export { walk as go } from './other'\n", "src/other.ts": "export function walk() {}\n", "lib/d.note": "import b\nimport lib/b.note\nimport b\n"})
+    put(tmp_path, **{"src/mid.ts": "export { walk as go } from './other'\n", "src/other.ts": "export function walk() {}\n", "lib/d.note": "import b\nimport lib/b.note\nimport lib/b\n"})
     shutil.rmtree(tmp_path / "empty")
     w.update()
     assert ("app.ts", "src/other.ts", "call") in {(r.src, r.dst, r.kind) for r in w.graph().edges.collect()}
