@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.graph import written
+
 DEFAULT_LIMIT = 500
 # Limits of a command line.
 COMMAND_LIMITS = {"nodes": 100, "edges": 100, "relationships": 100, "symbols": 100, "search": 20, "task-map": 8, "path_depth": 6, "paths": 5}
@@ -54,6 +56,36 @@ def page_row(df: DataFrame, offset=0, limit=DEFAULT_LIMIT) -> DataFrame:
     return out.withColumn("next_offset", F.when((F.col("returned") > 0) & (end < F.col("total")), end))
 
 
+class Pages:
+    """An ordered report, written once with the place of each row, and the pages that are cut from it.
+
+    A sorted table's partitions are ranges, so a row's place is its partition's number and its own within it. The counts of
+    the partitions (as many as Spark sorts into, at most the shuffle partitions) tell which places a page has; a test of
+    places reaches the scan, where the bounds of row groups leave out what lies before and behind. No task holds what the
+    page skips, and no page sorts the report again."""
+
+    def __init__(self, df: DataFrame):
+        self.columns, at = df.columns, F.col("_at")
+        self.rows = written(df.withColumn("_at", F.monotonically_increasing_id()), "pages")
+        found = self.rows.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
+        self.parts = [(r["part"] << 33, r["n"]) for r in found]
+        self.total = sum(n for _, n in self.parts)
+
+    def page(self, offset=0, limit=DEFAULT_LIMIT) -> DataFrame:
+        skip, left, test = whole(offset, 0), whole(limit, DEFAULT_LIMIT), F.lit(False)
+        for first, n in self.parts:
+            here = min(left, n - skip) if skip < n else 0
+            if here > 0:
+                test = test | F.col("_at").between(first + skip, first + skip + here - 1)
+                left -= here
+            skip = max(0, skip - n)
+        return self.rows.where(test).orderBy("_at").select(*self.columns)
+
+    def info(self, offset=0, limit=DEFAULT_LIMIT) -> dict:
+        return page_info(self.total, offset, limit)
+
+
 def paged(df: DataFrame, offset=0, limit=DEFAULT_LIMIT) -> tuple[DataFrame, dict]:
-    """A page of an ordered report, and its metadata."""
-    return page(df, offset, limit), page_info(df.count(), offset, limit)
+    """A page of an ordered report, and its metadata; the report is made once."""
+    pages = Pages(df)
+    return pages.page(offset, limit), pages.info(offset, limit)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.operators.ranks import ranked
 from skein.operators.scope import NodeType
 
 
@@ -71,7 +72,7 @@ def paired(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     """id and node_id: symbols of one identity (file, name, kind, signature) are paired with its nodes in their order."""
     def counted(df: DataFrame) -> DataFrame:
         df = df.withColumn("signature", F.coalesce("signature", F.lit("")))
-        return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*_IDENTITY).orderBy("ord")))
+        return ranked(df, list(_IDENTITY), ["ord"]).withColumnRenamed("nth", "_nth").drop("of")
 
     own = nodes.select(F.col("id").alias("node_id"), F.col("symbol_file").alias("file_path"), F.col("symbol_name").alias("name"), F.col("symbol_kind").alias("kind"), "signature", "ord")
     both = counted(symbols.select("id", *_IDENTITY, "ord")).drop("ord").join(counted(own).drop("ord"), [*_IDENTITY, "_nth"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
@@ -103,8 +103,9 @@ def canonical_namespaces(symbols: DataFrame, incoming: DataFrame) -> DataFrame:
     header = F.col("file_path").rlike(r"[^/]\.(?:h|hh|hpp|hxx)\z")
     out = symbols.where("kind = 'namespace'").join(incoming.select(F.col("path").alias("file_path"), "n"), "file_path", "left")
     score = F.when(header, 10_000).otherwise(0) + F.coalesce("n", F.lit(0))
-    best = Window.partitionBy("name").orderBy(score.desc(), F.length("file_path"), collated("file_path"))
-    return out.withColumn("nth", F.row_number().over(best)).where("nth = 1").drop("nth", "n")
+    # an aggregate, so the declarations of a very common name are compared before they meet
+    best = F.min_by(F.struct(*symbols.columns), F.struct(-score, F.length("file_path"), collated("file_path"), "file_path"))
+    return out.groupBy(F.col("name").alias("_name")).agg(best.alias("_best")).select("_best.*")
 
 
 def target_name():

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.glob import matches, matches_any
 from skein.functions.paths import ancestors, basename, parent
 from skein.graph import Graph, closed
+from skein.operators.ranks import ranked
 from skein.operators.scope import Scope, apply_scope, node_type
 from skein.schema import ROOT, edge_id
 
@@ -124,7 +125,7 @@ def search(graph: Graph, query: str, **options) -> tuple[Graph, str | None]:
 
 def without_orphans(graph: Graph) -> Graph:
     """Nodes that have an edge; a loop counts."""
-    ends = graph.edges.select("src").union(graph.edges.select("dst")).toDF("_end").distinct()
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("_end")).distinct()  # one pass over the edges
     return Graph(graph.nodes.join(ends, F.col("id") == F.col("_end"), "left_semi"), graph.edges)
 
 
@@ -210,10 +211,8 @@ def bidirectional(edges: DataFrame) -> DataFrame:
 
 def fan_out(edges: DataFrame, most: float = 0.5) -> DataFrame:
     """Edges with their curvature among those of their pair: evenly from -most to most, the last one at most."""
-    pair = [F.least("src", "dst"), F.greatest("src", "dst")]
-    w = Window.partitionBy(*pair).orderBy("ord", "id")
-    every = Window.partitionBy(*pair)
-    i, n = F.row_number().over(w) - 1, F.count("*").over(every)
-    last = F.last("src").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = edges.withColumn("_one", F.least("src", "dst")).withColumn("_other", F.greatest("src", "dst"))
+    rows = ranked(rows, ["_one", "_other"], ["ord", "id"], last="src")
+    i, n = F.col("nth") - 1, F.col("of")
     bend = F.when(n == 1, F.lit(0.0)).when(i == n - 1, F.lit(most)).otherwise(-most + i * 2 * most / (n - 1))
-    return edges.withColumn("curvature", F.when(F.col("src") == last, bend).otherwise(-bend))
+    return rows.select(*edges.columns, F.when(F.col("src") == F.col("_last"), bend).otherwise(-bend).alias("curvature"))

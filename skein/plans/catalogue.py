@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import style
 from skein.functions.glob import matches, matches_any
 from skein.functions.paths import ancestors
-from skein.functions.ordering import page
+from skein.functions.ordering import Pages, page
 from skein.functions.text import SEARCH_STOP, tokens
 from skein.graph import Graph, file_edges
 from skein.operators import project, traverse, visible
@@ -80,6 +80,16 @@ def nodes_by_path_page(spark, d):
     return page(reports.nodes_report(derived.graph(spark, d)), 100, 50).select("path", "node_type")
 
 
+@query("""SELECT id AS path, node_type, row_number() OVER (ORDER BY id) AS place FROM (SELECT id, 'file' AS node_type FROM nodes WHERE symbol_file IS NULL)
+    ORDER BY id LIMIT 75 OFFSET (SELECT count(*) // 2 FROM nodes WHERE symbol_file IS NULL)""")
+def nodes_deep_page(spark, d):
+    """A page from the middle of the report, with each row's place in it."""
+    pages = Pages(reports.nodes_report(derived.graph(spark, d)))
+    half = pages.total // 2
+    out = pages.page(half, 75).select("path", "node_type", F.monotonically_increasing_id().alias("_i"))
+    return out.select("path", "node_type", (F.row_number().over(Window.orderBy("_i")) + half).cast("long").alias("place"))
+
+
 @query("SELECT id FROM nodes WHERE regexp_matches(id, '(?:^|/)r1/(?:.*/)?c[^/]*1$')")
 def nodes_glob(spark, d):
     return derived.nodes(spark, d).where(matches(F.col("id"), "r1/**/c*1")).select("id")

@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.glob import matches
 from skein.functions.ordering import collated, sort_by
 from skein.graph import Graph, closed, file_edges, with_files
+from skein.operators.ranks import ranked
 from skein.operators.scope import NodeType, Scope, _up, node_type
 from skein.operators.visible import search, without_orphans
 from skein.schema import uri_component
@@ -266,6 +267,5 @@ def occurrence_ids(symbols: DataFrame) -> DataFrame:
     """Canonical ids: the base (file, name, kind, encoded signature), and from the second of the same base on its number."""
     signature = F.when(F.col("signature") != "", F.concat(F.lit(":"), uri_component(F.col("signature"))))
     base = F.concat("file_path", F.lit("#"), "name", F.lit(":"), F.lower(F.trim("kind")), F.coalesce(signature, F.lit("")))
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("ord"))
-    out = symbols.withColumn("base", base).withColumn("nth", nth)
+    out = ranked(symbols.withColumn("base", base), ["base"], ["ord", "id"]).drop("of")
     return out.withColumn("canonical_id", F.when(F.col("nth") > 1, F.concat("base", F.lit(":"), "nth")).otherwise(F.col("base")))

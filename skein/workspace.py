@@ -18,7 +18,7 @@ from skein.analyze.registry import Registry, relations, symbols
 from skein.export.documents import envelope
 from skein.functions.glob import matches_any
 from skein.graph import Graph, closed, written
-from skein.functions.ordering import COMMAND_LIMITS, DEFAULT_LIMIT, page, paged
+from skein.functions.ordering import COMMAND_LIMITS, DEFAULT_LIMIT, Pages, page, paged
 from skein.operators import facts, project, refresh, traverse
 from skein.operators.scope import Scope, apply_scope, expanded, saved_scope
 from skein.plans import reports, search, task_map
@@ -470,6 +470,11 @@ class Workspace:
             table = envelope(report, table, info) if as_json else table
         return (table, *more) if more else table
 
+    def pages(self, report: str, **arguments) -> Pages:
+        """A report written once, from which pages are cut at any depth."""
+        out = self.query(report, **arguments)
+        return Pages(out[0] if isinstance(out, tuple) else out)
+
     def page_of(self, report: str, offset: int = 0, limit: int = DEFAULT_LIMIT, **arguments) -> tuple[DataFrame, dict]:
         """A page of a report, and its metadata: offset, limit, returned, total, nextOffset."""
         out = self.query(report, **arguments)
