@@ -7,29 +7,58 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.schema import edge_id
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a table in the folder that ``spark.checkpoint.dir`` names.
+def folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Where it is unset, a new folder serves if driver and executors are one process; on a cluster that is an error, as
     executors don't see each other's disks. Tables are left to whoever clears that folder: a lazy plan may still read them."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+    out = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not out:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        out = "file://" + tempfile.mkdtemp(prefix="skein-")
+        spark.sparkContext.setCheckpointDir(out)
+    return out.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a table in ``folder``."""
+    spark, path = df.sparkSession, f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, name: str) -> DataFrame:
+    """A table written in as many buckets of ``by`` as there are shuffle partitions, sorted in them: joins and aggregates
+    on ``by`` read it as it lies. It is entered in the session's catalogue, and its files are where ``written`` puts them."""
+    return Bucketed(df, by, name).table()
+
+
+class Bucketed:
+    """A bucketed table to which rows may be added."""
+
+    def __init__(self, df: DataFrame, by: str, name: str):
+        self.spark, self.by = df.sparkSession, by
+        self.name = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+        self.path = f"{folder(self.spark)}/{self.name}"
+        self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # one file a bucket: rows come from as many tasks as there are buckets
+        df.repartition(n, self.by).write.bucketBy(n, self.by).sortBy(self.by).format("parquet").option("path", self.path).mode("append").saveAsTable(self.name)
+
+    def table(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
 @dataclass(frozen=True)
 class Graph:
     nodes: DataFrame

@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
-from skein.graph import Graph, closed, written
+from skein.graph import Bucketed, Graph, bucketed, closed, written
 
 
-#: Steps after which the tables of the steps are folded into one.
-FOLD = 4
+#: Steps after which the files of the steps are folded into one for each bucket.
+FOLD = 16
+#: Ids of a frontier that a filter may list; more are joined.
+FEW = 100
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -18,19 +20,32 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def distances(edges: DataFrame, start: DataFrame, most: int) -> DataFrame:
-    """id and depth of all that is reached from ``start`` (id) over ``edges`` (src, dst) in ``most`` steps."""
-    edges = written(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
-    seen = written(start.select("id").distinct().withColumn("depth", F.lit(0)), "reached")
-    front = seen
+    """id and depth of all that is reached from ``start`` (id) over ``edges`` (src, dst) in ``most`` steps.
+
+    Edges lie in buckets of src and what has been reached in buckets of id, so a step shuffles the ends that it finds and
+    nothing else: the last frontier meets the edges, and the new ends what has been reached, as both lie."""
+    edges = bucketed(edges.select("src", "dst").where("src <> dst").distinct(), "src", "edges")
+    seen = Bucketed(start.select("id").distinct().withColumn("depth", F.lit(0)), "id", "reached")
     for step in range(1, most + 1):
-        front = front.join(edges, F.col("id") == F.col("src")).select(F.col("dst").alias("id")).distinct()
-        front = written(front.join(seen, "id", "left_anti").withColumn("depth", F.lit(step)), "front")
-        if front.isEmpty():
+        last = seen.table().where(F.col("depth") == step - 1)
+        few = [r[0] for r in last.select("id").limit(FEW + 1).collect()]
+        if not few:
             break
-        seen = seen.union(front)
+        seen.add(_step(edges, last, seen.table(), few).withColumn("depth", F.lit(step)))
         if step % FOLD == 0:
-            seen = written(seen, "reached")
-    return seen
+            seen = Bucketed(seen.table(), "id", "reached")
+    return seen.table()
+
+
+def _step(edges: DataFrame, last: DataFrame, seen: DataFrame, few: list[str]) -> DataFrame:
+    """id of the ends of edges that begin in ``last`` and aren't ``seen``; ``few``: the ids of ``last``, or ``FEW`` and one of them."""
+    if len(few) <= FEW:  # a list of ids reaches the scan, which opens their buckets alone
+        found = edges.where(F.col("src").isin(few))
+    else:
+        found = edges.join(last.select(F.col("id").alias("src")).hint("merge"), "src", "left_semi")
+    # an outer join, as the optimizer would look for what is seen before ends are made distinct, so a hub's would all be shuffled
+    found = found.select(F.col("dst").alias("id")).distinct().join(seen.select(F.col("id").alias("_seen")).hint("merge"), F.col("id") == F.col("_seen"), "left")
+    return found.where("_seen is null").select("id")
 
 
 def focus(graph: Graph, node: str, depth: int) -> Graph:
@@ -182,20 +197,22 @@ def shortest_path(edges: DataFrame, src: str, dst: str, most: int = 100) -> list
 
 def pagerank(links: DataFrame, weights: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """id and rank over ``links`` (src, dst, weight), which count one way each; ``weights`` (id, weight) lists all nodes
-    and where a walk begins anew, evenly if all are 0. Mass of nodes without links begins anew likewise; ranks sum to 1."""
+    and where a walk begins anew, evenly if all are 0. Mass of nodes without links begins anew likewise; ranks sum to 1.
+
+    Links lie in buckets of src and nodes in buckets of id, so a step shuffles what flows to each node, summed up before."""
     total = weights.agg(F.sum("weight").alias("_total"), F.count("*").alias("_n"))
     start = weights.join(F.broadcast(total)).select("id", F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(1 / F.col("_n")).alias("start"))
     out = links.groupBy("src").agg(F.sum("weight").alias("_sum")).where("_sum > 0")
-    share = written(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("share")), "links")
-    start = written(start.join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("id", "start", F.col("_out").isNull().alias("dangling")), "start")
+    share = bucketed(links.join(out, "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("share")), "src", "links")
+    start = bucketed(start.join(out.select(F.col("src").alias("id"), F.lit(True).alias("_out")), "id", "left").select("id", "start", F.col("_out").isNull().alias("dangling")), "id", "start")
     ranks = start.withColumn("rank", F.col("start"))
     for i in range(iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("_lost"))
-        got = ranks.join(share, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
-        ranks = start.join(got, F.col("id") == F.col("dst"), "left").join(F.broadcast(lost)).select(
+        got = ranks.join(share.hint("merge"), F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
+        ranks = start.join(got.hint("merge"), F.col("id") == F.col("dst"), "left").join(F.broadcast(lost)).select(
             "id", "start", "dangling",
             ((1 - damping + damping * F.col("_lost")) * F.col("start") + damping * F.coalesce("_got", F.lit(0.0))).alias("rank"),
         )
         if i % 4 == 3:
-            ranks = written(ranks, "ranks")
+            ranks = bucketed(ranks, "id", "ranks")
     return ranks.select("id", "rank")

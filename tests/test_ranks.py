@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import Pages, page_info, sort_by
+from skein.graph import Bucketed, bucketed
+from skein.operators import traverse
 from skein.operators.project import canonical_namespaces
 from skein.operators.ranks import ranked
 from skein.operators.visible import fan_out
@@ -74,3 +76,36 @@ def test_namespaces_of_one_name(spark):
     symbols = spark.createDataFrame(rows, "file_path string, name string, kind string")
     incoming = spark.createDataFrame([("deep/a.h", 2), ("b.h", 1)], "path string, n long")
     assert {(r.name, r.file_path) for r in canonical_namespaces(symbols, incoming).collect()} == {("n", "deep/a.h"), ("m", "c.h")}
+
+
+def plain_distances(edges, start, most):
+    near, front = {s: 0 for s in start}, set(start)
+    for step in range(1, most + 1):
+        front = {b for a, b in edges if a in front and b not in near}
+        near.update(dict.fromkeys(front, step))
+    return near
+
+
+def test_distances_over_buckets(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)] + [(f"n{i}", "hub") for i in range(40)] + [("hub", "far"), ("hub", "hub")]
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(5)]
+    df = spark.createDataFrame(edges + chain, "src string, dst string")
+    start = spark.createDataFrame([("n1",), ("n2",), ("c0",), ("c0",)], "id string")
+    for few, fold in ((100, 16), (1, 2)):  # ids in a filter; frontiers joined with the edges, files folded
+        monkeypatch.setattr(traverse, "FEW", few)
+        monkeypatch.setattr(traverse, "FOLD", fold)
+        out = {r.id: r.depth for r in traverse.distances(df, start, 4).collect()}
+        assert out == plain_distances(edges + chain, ["n1", "n2", "c0"], 4)
+    assert {r.id for r in traverse.distances(df.where("false"), start, 3).collect()} == {"n1", "n2", "c0"}
+    assert traverse.distances(df, start.where("false"), 3).count() == 0
+
+
+def test_a_step_shuffles_the_frontier_alone(spark):
+    edges = bucketed(spark.range(3000).selectExpr("cast(id % 50 as string) as src", "cast(id % 700 as string) as dst"), "src", "edges")
+    seen = Bucketed(spark.range(200).selectExpr("cast(id as string) as id", "1 as depth"), "id", "reached")
+    step = traverse._step(edges, seen.table(), seen.table(), [str(i) for i in range(traverse.FEW + 1)])
+    plan = step._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastExchange" not in plan
+    # before it the ends of hubs are made one a task
+    assert plan.rindex("HashAggregate") > plan.index("Exchange hashpartitioning")
