@@ -437,11 +437,32 @@ def phrase_rank(spark, d):
     return search.phrase_documents(derived.source_text(spark, d), "thing ention")
 
 
-@query(_PATHS + r""", l AS (SELECT path, unnest(range(0, len(string_split(content, chr(10))))) AS n, unnest(string_split(content, chr(10))) AS said FROM t)
+#: Lines of texts in which a pattern is found, as the search report shows them.
+_LINES = _PATHS + r""", l AS (SELECT path, unnest(range(0, len(string_split(content, chr(10))))) AS n, unnest(string_split(content, chr(10))) AS said FROM t)
  SELECT path, CAST(n + 1 AS BIGINT) AS line, CAST(a + 1 AS BIGINT) AS "column", CASE WHEN length(said) <= 240 THEN said ELSE (CASE WHEN s > 0 THEN '…' ELSE '' END)
    || substr(said, CAST(s + 1 AS BIGINT), CAST(least(length(said), s + CASE WHEN s > 0 THEN 238 ELSE 239 END) - s AS BIGINT)) || (CASE WHEN s + CASE WHEN s > 0 THEN 238 ELSE 239 END < length(said) THEN '…' ELSE '' END) END AS excerpt,
-   CAST(CASE WHEN regexp_matches(lower(path), '(^|[^\p{L}\p{N}_])license([^\p{L}\p{N}_]|$)') THEN 3 WHEN contains(lower(path), 'license') THEN 4 ELSE 6 END AS INT) AS "rank"
-  FROM (SELECT *, greatest(0, least(a - 80, length(said) - 240)) AS s FROM (SELECT path, n, said, instr(lower(said), 'license') - 1 AS a FROM l WHERE contains(lower(said), 'license')))""", graph=False)
+   CAST(CASE WHEN regexp_matches(lower(path), '(^|[^\p{{L}}\p{{N}}_])({words})([^\p{{L}}\p{{N}}_]|$)') THEN 3 WHEN regexp_matches(lower(path), '{words}') THEN 4 ELSE 6 END AS INT) AS "rank"
+  FROM (SELECT *, greatest(0, least(a - 80, length(said) - 240)) AS s FROM (SELECT path, n, said, {at} - 1 AS a FROM l WHERE {found}))"""
+
+
+def _found_lines(found):
+    return found.select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"), "excerpt", "rank")
+
+
+@query(_LINES.format(words="lic|nse", at="instr(lower(said), regexp_extract(lower(said), 'lic.*nse'))", found="regexp_matches(lower(said), 'lic.*nse')"), graph=False)
+def text_search_wildcard(spark, d):
+    return _found_lines(search.text_matches(derived.source_text(spark, d), "lic*nse"))
+
+
+@query(_LINES.format(words="apache", at="instr(lower(said), 'apache')", found="contains(lower(said), 'apache')"), graph=False)
+def text_search_postings(spark, d):
+    """The texts that hold a pattern's grams are found first; the lines of these alone are looked at."""
+    text = derived.source_text(spark, d)
+    near = search.holding(search.postings(text), "Apache")
+    return _found_lines(search.text_matches(text.join(near, "path", "left_semi"), "Apache"))
+
+
+@query(_LINES.format(words="license", at="instr(lower(said), 'license')", found="contains(lower(said), 'license')"), graph=False)
 def text_search_lines(spark, d):
     return search.text_matches(derived.source_text(spark, d), "license").select("path", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"), "excerpt", "rank")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
-from skein.functions.text import query_tokens, tokens
+from skein.functions.text import grams, grams_of, query_tokens, tokens
 
 EXCERPT = 240
 # Fixed value: extensions of source files.
@@ -69,6 +69,20 @@ def text_matches(text: DataFrame, pattern: str) -> DataFrame:
     return lines.select("path", (F.col("n") + 1).alias("line"), F.col("at").alias("column"), excerpt(F.col("said"), F.col("at") - 1).alias("excerpt"), text_rank(F.col("path"), pattern).alias("rank"))
 
 
+def postings(text: DataFrame) -> DataFrame:
+    """path and gram of texts (path, content): what ``holding`` looks a pattern up in."""
+    return text.select("path", F.explode(grams(F.col("content"))).alias("gram"))
+
+
+def holding(found: DataFrame, pattern: str) -> DataFrame | None:
+    """path of the texts of which ``postings`` hold all grams of a pattern; None if it has none, so that any may match."""
+    wanted = grams_of(pattern)
+    if not wanted:
+        return None
+    each = found.where(F.col("gram").isin(wanted)).groupBy("path").agg(F.count("*").alias("n"))
+    return each.where(F.col("n") == len(wanted)).select("path")
+
+
 def phrase_documents(text: DataFrame, phrase: str) -> DataFrame:
     """path and score of the documents that hold all words of the phrase; only those that hold them in the path, if any do."""
     words = query_tokens(phrase)
@@ -87,8 +101,10 @@ def phrase_documents(text: DataFrame, phrase: str) -> DataFrame:
     return docs.join(F.broadcast(any_path)).where("in_path or not _any").select("path", "score")
 
 
-def search_report(nodes: DataFrame, symbols: DataFrame, text: DataFrame, pattern: str) -> DataFrame:
-    """type, id (of a symbol or node, else the path), line, column, excerpt, rank; best first."""
+def search_report(nodes: DataFrame, symbols: DataFrame, text: DataFrame, pattern: str, near: DataFrame | None = None) -> DataFrame:
+    """type, id (of a symbol or node, else the path), line, column, excerpt, rank; best first.
+
+    ``near``: those of ``text`` whose lines are looked at, where an index tells that others can't have the pattern."""
     p = Pattern(pattern)
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("line", "int"), ("column", "int"), ("excerpt", "string"))]
     key = lambda *cs: F.concat_ws("\x00", *cs)
@@ -97,7 +113,7 @@ def search_report(nodes: DataFrame, symbols: DataFrame, text: DataFrame, pattern
     plain = nodes.where("symbol_file is null")
     n = plain.where(p.found(F.col("id")) | p.found(F.col("label"))).select(
         F.lit("node").alias("type"), "id", *nothing, F.when(p.exact(F.col("id")) | p.exact(F.col("label")), 1).otherwise(3).alias("rank"), key("id", "label").alias("sort"))
-    t = text_matches(text, pattern)
+    t = text_matches(text if near is None else near, pattern)
     t = t.select(F.lit("text").alias("type"), F.col("path").alias("id"), "line", "column", "excerpt", "rank", key("path", F.lpad((F.col("line") - 1).cast("string"), 10, "0"), F.lpad((F.col("column") - 1).cast("string"), 10, "0")).alias("sort"))
     direct = s.unionByName(n).unionByName(t)
     if not p.wild and len(query_tokens(pattern)) > 1 and direct.limit(5).count() < 5:

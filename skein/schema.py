@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SCHEMA_VERSION = 11
+SCHEMA_VERSION = 12
 
 _TYPES = {"string": T.StringType(), "bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType()}
 
@@ -33,6 +33,8 @@ SYMBOL = _struct(**_strings("id name kind file_path signature plugin_id"), start
 FILE = _struct(path="string", mtime="double", size="bigint", content_hash="string", fact_digest="string")
 #: A path (or ``*/`` and the end of one) that an import may mean, by rank, and what asks for it.
 CANDIDATE = _struct(**_strings("path plugin_id from_file specifier imported"), rank="int")
+#: Three characters that stand together in a file's text.
+GRAM = _struct(**_strings("path gram"))
 
 # Fixed values of the vocabulary.
 NODE_TYPES = ("file", "folder", "package", "symbol", "variable")

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from skein.functions.paths import ancestors
 from skein.graph import Graph
-from skein.schema import CANDIDATE, EDGE, FILE, NODE, RELATION, SCHEMA_VERSION, SYMBOL
+from skein.schema import CANDIDATE, EDGE, FILE, GRAM, NODE, RELATION, SCHEMA_VERSION, SYMBOL
 from skein.sources.discovery import included_by_default
 
-#: ``open`` holds the relations that lead to no known file or package, ``candidates`` what each relation would resolve to.
-TABLES = {"files": FILE, "nodes": NODE, "symbols": SYMBOL, "edges": EDGE, "relations": RELATION, "open": RELATION, "candidates": CANDIDATE}
+#: ``open`` holds the relations that lead to no known file or package, ``candidates`` what each relation would resolve to,
+#: ``grams`` what the text of each file holds.
+TABLES = {"files": FILE, "nodes": NODE, "symbols": SYMBOL, "edges": EDGE, "relations": RELATION, "open": RELATION, "candidates": CANDIDATE, "grams": GRAM}
 
 
 def fingerprints(text: DataFrame) -> DataFrame:
@@ -85,7 +86,7 @@ class GraphCache:
         """The file that a row belongs to."""
         return {
             "files": F.col("path"), "nodes": F.coalesce("symbol_file", "id"), "symbols": F.col("file_path"),
-            "edges": F.substring_index("src", "#", 1), "relations": F.col("from_file"), "open": F.col("from_file"), "candidates": F.col("from_file"),
+            "edges": F.substring_index("src", "#", 1), "relations": F.col("from_file"), "open": F.col("from_file"), "candidates": F.col("from_file"), "grams": F.col("path"),
         }[table]
 
     @staticmethod
@@ -133,7 +134,10 @@ class GraphCache:
     def _write(self, table: str, df: DataFrame, version: str) -> dict[str, str]:
         fields = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in TABLES[table].fields]
         out = df.select(*fields).withColumn("bucket", self._bucket(self.place(table)))
-        out.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.folder}/{version}/{table}")
+        out = out.repartition("bucket")
+        if table == "grams":  # a search asks for a few grams of all files: bounds of row groups leave out the others
+            out = out.sortWithinPartitions("bucket", "gram")
+        out.write.partitionBy("bucket").parquet(f"{self.folder}/{version}/{table}")
         return {n.removeprefix("bucket="): version for n in self._names(f"{self.folder}/{version}/{table}") if n.startswith("bucket=")}
 
     def _commit(self, before: dict | None, version: str, tables: dict, meta: dict) -> str:
@@ -168,11 +172,11 @@ class GraphCache:
             now[name] = self._write(name, df, version)
         return self._commit(state, version, now, {**(state["meta"] if same else {}), **(meta or {})})
 
-    def patch(self, gone: DataFrame, meta: dict | None = None, stale: DataFrame | None = None, gone_files: DataFrame | None = None, only: set[str] = frozenset(TABLES), expect: str | None = None, **new: DataFrame) -> str:
+    def patch(self, gone: DataFrame, meta: dict | None = None, stale: DataFrame | None = None, gone_files: DataFrame | None = None, gone_grams: DataFrame | None = None, only: set[str] = frozenset(TABLES), expect: str | None = None, **new: DataFrame) -> str:
         """Drop what belongs to the files of ``gone`` (path) and add rows; only the buckets that these are in are written.
 
         ``stale`` are the candidates (path) that the files had, as their buckets go by other paths; ``gone_files``: what
-        the table of files drops, if that is more; ``only``: the tables to patch, the others stay as they are; ``expect``: the
+        the table of files drops, if that is more; ``gone_grams``: files whose text is another or gone; ``only``: the tables to patch, the others stay as they are; ``expect``: the
         version that must still be in force."""
         state, version = self.state(), uuid.uuid4().hex
         if expect is not None and (state or {}).get("version") != expect:
@@ -182,7 +186,8 @@ class GraphCache:
         now = {t: dict(v) for t, v in state["tables"].items()}
         for name in (t for t in TABLES if t in only):
             more = new.get(name)
-            files = (gone_files if name == "files" and gone_files is not None else gone).select("path").distinct()
+            other = {"files": gone_files, "grams": gone_grams}.get(name)
+            files = (gone if other is None else other).select("path").distinct()
             own = self.buckets_of(files) if name != "candidates" else self.buckets_of(stale) if stale is not None else set()
             own = own | (self.buckets_of(more.select(self.place(name).alias("path"))) if more is not None else set())
             rest = patched(self._read(state, name, own).withColumn("_key", self.key(name)), files.withColumnRenamed("path", "_key"), None, "_key").drop("_key")

@@ -35,13 +35,15 @@ AGAIN = object()
 
 @dataclass
 class Analysis:
-    """Symbols, resolved relations, what these would try, and the digest of each file's facts; ``paths``: all files there are."""
+    """Symbols, resolved relations, what these would try, and the digest of each file's facts; ``paths``: all files there are;
+    ``grams``: what the texts hold, as a search looks them up."""
 
     symbols: DataFrame
     links: DataFrame
     tried: DataFrame
     digests: DataFrame | None = None
     paths: DataFrame | None = None
+    grams: DataFrame | None = None
 
 
 @dataclass
@@ -158,6 +160,7 @@ class Workspace:
     def analysed(self, files: DataFrame, paths: DataFrame) -> Analysis:
         """What the texts of ``files`` (path, size) say; links are resolved among ``paths`` (path)."""
         texts = discovery.texts(discovery.with_content(files, self.root))
+        held = written(search.postings(texts), "grams")
         for more in self.registry.notify("pre_analyze", files, switches=self.settings.plugins):
             # a plugin may give other texts (path, content) for files that are analysed
             if {"path", "content"} <= set(more.columns):
@@ -173,7 +176,7 @@ class Workspace:
         tried = written(refresh.candidates(links, RULES), "candidates")
         links = written(refresh.resolved(links, tried, paths), "relations")
         declared = declared.withColumn("id", F.col("canonical_id")).drop("canonical_id", "base", "nth")
-        return Analysis(declared, links, tried, refresh.fact_digests(found))
+        return Analysis(declared, links, tried, refresh.fact_digests(found), grams=held)
 
     def index(self) -> str:
         """Analyse all files and replace the cache; returns its version.
@@ -193,7 +196,7 @@ class Workspace:
             if not self._as_seen(files, meta):
                 continue
             try:
-                return self._ready(self.cache.save(expect=(state or {}).get("version"), meta=meta, files=prints, **tables))
+                return self._ready(self.cache.save(expect=(state or {}).get("version"), meta=meta, files=prints, grams=own.grams, **tables))
             except cache.Overtaken:
                 continue
         raise cache.Overtaken("files, settings or the cache kept changing")
@@ -257,7 +260,7 @@ class Workspace:
         """Bring the cache up to date with the files as they are: None if nothing has changed.
 
         Read and analysed are only files that are new or of another content. Where their facts are the same as before, only
-        their metrics are written. Else links are resolved again that would try an added or removed path, and derived again is
+        their metrics and grams are written. Else links are resolved again that would try an added or removed path, and derived again is
         what may name a symbol of a changed file. All is analysed anew only if plugins, settings or the format have changed,
         or if a plugin asks for it. What another writer commits meanwhile, or a change of the files, begins it again."""
         self._begin()
@@ -299,7 +302,8 @@ class Workspace:
         if others.isEmpty() and came.isEmpty() and turned.isEmpty():
             if not self._as_seen(files, meta):
                 return AGAIN
-            return self.cache.patch(same, meta=meta, only={"files"}, expect=state["version"], files=prints.join(same, "path", "left_semi"))
+            new = {"files": prints.join(same, "path", "left_semi"), "grams": own.grams.join(same, "path", "left_semi")}
+            return self.cache.patch(same, meta=meta, only=set(new), expect=state["version"], **new)
         return self._patched(state, before, files, now, own, others, digests, moved, meta, folders, turned)
 
     def _patched(self, state, before, files, now, own, others, digests, moved, meta, folders, turned) -> str | object:
@@ -354,7 +358,8 @@ class Workspace:
         stale = refresh.candidates(stored.join(anew, F.col("from_file") == F.col("path"), "left_semi"), RULES)
         # files whose facts are the same have new metrics only
         metrics = written(dropped.unionByName(digests.select("path")).distinct(), "metrics")
-        return self.cache.patch(dropped, meta=meta, stale=stale, gone_files=metrics, expect=state["version"], files=prints, nodes=nodes, **tables)
+        unread = gone.union(digests.select("path")).distinct()
+        return self.cache.patch(dropped, meta=meta, stale=stale, gone_files=metrics, gone_grams=unread, grams=own.grams, expect=state["version"], files=prints, nodes=nodes, **tables)
 
     def switch(self, plugin: str, on: bool) -> str | None:
         """Turn a plugin on or off, and do what it says that this asks for."""
@@ -454,7 +459,7 @@ class Workspace:
             "relationships": lambda: reports.relationships_report(g, links, declared, **arguments),
             "symbols": lambda: reports.symbols_report(g, declared, links, **arguments),
             "paths": lambda: traverse.path_report(g, **arguments),
-            "search": lambda: search.search_report(g.nodes, declared, text(), **arguments),
+            "search": lambda: search.search_report(g.nodes, declared, text(), near=self.near(arguments["pattern"]), **arguments),
             "task-map": task_map_report,
             "overview": lambda: reports.overview_report(g, declared, **arguments),
             "dependencies": lambda: reports.dependencies(g, **arguments),
@@ -470,6 +475,19 @@ class Workspace:
             table = envelope(report, table, info) if as_json else table
         return (table, *more) if more else table
 
+    def near(self, pattern: str) -> DataFrame | None:
+        """Texts (path, content) that may hold a pattern, by the index of grams; None if it can't tell.
+
+        Files that are new or of another size or time than in the index are among them, so what is found is as the files
+        are. Only these texts are read."""
+        state = self.cache.load()
+        found = search.holding(state["grams"], pattern)
+        if found is None:
+            return None
+        files = self.eligible()
+        other = files.select("path", "size", "mtime").join(state["files"].select("path", "size", "mtime"), ["path", "size", "mtime"], "left_anti")
+        return discovery.texts(discovery.with_content(files.join(found.union(other.select("path")).distinct(), "path", "left_semi"), self.root))
+
     def pages(self, report: str, **arguments) -> Pages:
         """A report written once, from which pages are cut at any depth."""
         out = self.query(report, **arguments)

@@ -53,7 +53,7 @@ def content(w):
     relations = sorted(json.dumps({k: v for k, v in r.asDict().items()}, sort_keys=True, default=str) for t in ("relations", "open") for r in tables[t].collect())
     return {
         "nodes": sorted(repr(tuple(r)) for r in g.nodes.collect()), "edges": sorted(map(repr, edges)), "files": files, "symbols": plain("symbols"),
-        "relations": relations, "candidates": sorted(set(plain("candidates"))),
+        "relations": relations, "candidates": sorted(set(plain("candidates"))), "grams": plain("grams"),
     }
 
 
@@ -169,7 +169,7 @@ def test_equal_facts_patch_metrics_alone(spark, tmp_path):
     put(tmp_path, **{"b.py": "def f():\n    pass\n# a longer file\n", "c.txt": "longer"})
     w.update()
     after = versions(w)
-    assert {k for k in after if after[k] != before.get(k)} <= {k for k in after if k[0] == "files"} and after != before
+    assert {k for k in after if after[k] != before.get(k)} <= {k for k in after if k[0] in ("files", "grams")} and after != before
     sizes = {r.id: r.file_size for r in w.graph().nodes.collect()}
     assert sizes["b.py"] == len("def f():\n    pass\n# a longer file\n") and sizes["c.txt"] == 6
     assert w.status() == ("fresh", []) and w.update() is None
