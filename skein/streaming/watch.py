@@ -34,11 +34,11 @@ class _Reader(DataSourceStreamReader):
     Tasks list the folders, one partition for each down to ``SPREAD``. A file that is gone shows as a change of its folder,
     which whoever updates the index compares with it anyway, so the source keeps no listing."""
 
-    def __init__(self, root: str):
-        self.root = root
+    def __init__(self, root: str, since: int | None = None):
+        self.root, self.since = root, since
 
     def initialOffset(self) -> dict:
-        return {"until": int(time.time() * 1000)}
+        return {"until": int(time.time() * 1000) if self.since is None else self.since}
 
     def latestOffset(self) -> dict:
         return {"until": int(time.time() * 1000)}
@@ -73,7 +73,9 @@ class _Reader(DataSourceStreamReader):
 
 
 class FolderEvents(DataSource):
-    """``spark.readStream.format("skein-folder").load(path)``: root, path, type, ts, event_id of what changes below a folder."""
+    """``spark.readStream.format("skein-folder").load(path)``: root, path, type, ts, event_id of what changes below a folder.
+
+    Option ``since``: the time in milliseconds from which a new stream tells changes, by default that of its start."""
 
     @classmethod
     def name(cls) -> str:
@@ -83,7 +85,8 @@ class FolderEvents(DataSource):
         return "root string, path string, type string, ts timestamp, event_id long"
 
     def streamReader(self, schema) -> _Reader:
-        return _Reader(self.options["path"].removeprefix("file://").rstrip("/"))
+        since = self.options.get("since")
+        return _Reader(self.options["path"].removeprefix("file://").rstrip("/"), int(since) if since else None)
 
 
 def shown(paths: list[str]) -> dict:
@@ -128,10 +131,11 @@ def watch(workspace, emit: Callable[[dict], None], checkpoint: str, quiet: int =
     name = f"watch-{time.time_ns()}"
     spark.streams.addListener(Listener(name, root, emit))
     spark.conf.set(*live.STATE_STORE)
+    since = int(time.time() * 1000)  # what changes while the index is made, or before the stream has begun, is told too
     workspace.update()
     emit({"event": "ready", "workspaceRoot": root, "indexedFiles": workspace.cache.counts()["files"]})
     never = [*EXCLUDED, *workspace.settings.filter_patterns]
-    changes = spark.readStream.format("skein-folder").load(root).where(~matches_any(F.col("path"), never, "full"))
+    changes = spark.readStream.format("skein-folder").option("since", since).load(root).where(~matches_any(F.col("path"), never, "full"))
 
     def apply(batch: DataFrame, number: int) -> None:
         # a few paths to show and their number; the update finds out itself what has changed
