@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.glob import matches, matches_any
 from skein.functions.paths import ancestors, basename, parent
-from skein.graph import Graph, closed
+from skein.graph import Graph, closed, firsts, full, slim
 from skein.operators.ranks import ranked
 from skein.operators.scope import Scope, apply_scope, node_type
 from skein.schema import ROOT, edge_id
@@ -141,28 +141,27 @@ def collapse(graph: Graph, folders: list[str]) -> Graph:
     counts = owner.groupBy("_owner").agg(F.count("*").alias("_hidden"))
     shown = nodes.join(owner, "id", "left_anti")
     shown = shown.join(counts, F.col("id") == F.col("_owner"), "left").withColumn("hidden", F.coalesce("_hidden", F.lit(0)).cast("long")).drop("_owner", "_hidden")
-    a, b = owner.toDF("_a", "_a_to"), owner.toDF("_b", "_b_to")
-    edges = graph.edges.join(a, F.col("src") == F.col("_a"), "left").join(b, F.col("dst") == F.col("_b"), "left")
+    edges = slim(graph.edges)
+    for side, end in (("_a", "src"), ("_b", "dst")):
+        edges = edges.join(owner.toDF(side, f"{side}_to"), F.col(end) == F.col(side), "left").drop(side)
     moved = F.col("_a_to").isNotNull() | F.col("_b_to").isNotNull()
     edges = edges.withColumn("src", F.coalesce("_a_to", "src")).withColumn("dst", F.coalesce("_b_to", "dst"))
     edges = edges.where(~moved | (F.col("src") != F.col("dst")))
-    edges = edges.withColumn("id", F.when(moved, edge_id(F.col("src"), F.col("dst"), F.col("kind"))).otherwise(F.col("id"))).select(*graph.edges.columns)
-    return Graph(shown, merge_edges(edges))
+    return Graph(shown, merge_edges(full(edges.withColumn("_said", F.col("_said") & ~moved)).select(*graph.edges.columns)))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
     """One edge for each id: the first one's fields, and the sources of all, each source id once, in order of arrival.
 
     Sources are reduced to one row for each edge and source id before those of an edge meet, so an edge that is said very
-    often costs no more than it has different sources."""
-    each = edges.select("id", F.struct("src", "dst", "kind").alias("_e"), "ord", F.posexplode_outer("sources").alias("_i", "_s"))
+    often costs no more than it has different sources. Edges without sources aren't among them."""
+    each = edges.where("sources is not null").select("id", "ord", F.posexplode("sources").alias("_i", "_s")).where("_s is not null")
     at = F.struct("ord", "_i")
-    one = each.groupBy("id", F.col("_s.id").alias("_source")).agg(
-        F.min_by("_e", "ord").alias("_e"), F.min("ord").alias("ord"), F.min(F.when(F.col("_s").isNotNull(), at)).alias("_at"), F.min_by("_s", F.when(F.col("_s").isNotNull(), at)).alias("_s")
-    )
-    found = F.array_sort(F.collect_list(F.when(F.col("_s").isNotNull(), F.struct(F.col("_at").alias("a"), F.col("_s").alias("s")))))
-    whole = one.groupBy("id").agg(F.min_by("_e", "ord").alias("_e"), F.min("ord").alias("ord"), found.alias("_f"))
-    return whole.select("id", "_e.src", "_e.dst", "_e.kind", F.transform("_f", lambda x: x.s).alias("sources"), "ord")
+    one = each.groupBy("id", F.col("_s.id").alias("_source")).agg(F.min(at).alias("a"), F.min_by("_s", at).alias("s"))
+    of = one.groupBy(F.col("id").alias("_of")).agg(F.array_sort(F.collect_list(F.struct("a", "s"))).alias("_f"))
+    out = firsts(edges.select("id", "src", "dst", "kind", "ord")).join(of, F.col("id").eqNullSafe(F.col("_of")), "left")
+    none = F.array().cast(dict(edges.dtypes)["sources"])
+    return out.select("id", "src", "dst", "kind", F.coalesce(F.transform("_f", lambda x: x.s), none).alias("sources"), "ord")
 
 
 @dataclass(frozen=True)
@@ -206,7 +205,9 @@ def bidirectional(edges: DataFrame) -> DataFrame:
     at = F.instr("id", "#")
     suffix = F.when(at > 0, F.expr("substring(id, instr(id, '#'))")).otherwise(F.concat(F.lit("#"), F.col("kind")))
     out = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), suffix.alias("suffix"), "src")
-    return out.groupBy("a", "b", "suffix").agg((F.count_distinct("src") == 2).alias("both"))
+    # an edge comes from a or from b, so two flags tell whether both do; they are combined before the only shuffle
+    there = out.groupBy("a", "b", "suffix").agg(F.bool_or(F.col("src") == F.col("a")).alias("_from_a"), F.bool_or(F.col("src") == F.col("b")).alias("_from_b"))
+    return there.select("a", "b", "suffix", F.coalesce(F.col("_from_a") & F.col("_from_b") & (F.col("a") != F.col("b")), F.lit(False)).alias("both"))
 
 
 def fan_out(edges: DataFrame, most: float = 0.5) -> DataFrame:
