@@ -212,8 +212,11 @@ def bidirectional(edges: DataFrame) -> DataFrame:
 
 def fan_out(edges: DataFrame, most: float = 0.5) -> DataFrame:
     """Edges with their curvature among those of their pair: evenly from -most to most, the last one at most."""
-    rows = edges.withColumn("_one", F.least("src", "dst")).withColumn("_other", F.greatest("src", "dst"))
-    rows = ranked(rows, ["_one", "_other"], ["ord", "id"], last="src")
+
+    def made(rows: DataFrame) -> DataFrame:
+        return full(rows).withColumns({"_one": F.least("src", "dst"), "_other": F.greatest("src", "dst")})
+
+    rows = ranked(slim(edges), ["_one", "_other"], ["ord", "id"], last="src", made=made)
     i, n = F.col("nth") - 1, F.col("of")
     bend = F.when(n == 1, F.lit(0.0)).when(i == n - 1, F.lit(most)).otherwise(-most + i * 2 * most / (n - 1))
     return rows.select(*edges.columns, F.when(F.col("src") == F.col("_last"), bend).otherwise(-bend).alias("curvature"))

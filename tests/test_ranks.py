@@ -43,6 +43,22 @@ def test_a_hot_key_is_in_several_tasks(spark):
     assert max(sizes) < 4000 * 0.8
 
 
+def test_rows_of_common_keys_are_shuffled_once(spark):
+    # one key is hot, and goes by ranges; the others take one window over what is written
+    df = spark.range(6000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id") % 900).alias("k"), F.col("id").alias("o"))
+    for rows, hot in ((df, True), (df.where("k >= 0"), False)):
+        out = ranked(rows, ["k"], ["o"], last="o")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.o: (r.nth, r["of"], r["_last"]) for r in out.collect()}
+        groups = {}
+        for r in rows.orderBy("o").collect():
+            groups.setdefault(r.k, []).append(r.o)
+        assert got == {o: (i, len(g), g[-1]) for g in groups.values() for i, o in enumerate(g, 1)}
+        assert ("ranges-" in plan) == hot
+        if not hot:
+            assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Window [") == 1
+
+
 def test_pairs_with_many_links(spark):
     rows = [(f"e{i}", *(("a", "b") if i % 3 else ("b", "a")), "k", i) for i in range(101)] + [("x", "c", "d", "k", 7), ("l", "c", "c", "k", 8)]
     got = {r.id: r.curvature for r in fan_out(spark.createDataFrame(rows, "id string, src string, dst string, kind string, ord long")).collect()}
@@ -54,6 +70,13 @@ def test_pairs_with_many_links(spark):
         assert got[f"e{i}"] == pytest.approx(bend if same else -bend)
 
 
+def test_links_of_equal_order_and_without_an_end(spark):
+    rows = [("z", "a", "b", "k", 1), ("b->a#k", "b", "a", "k", 1), (None, "a", "b", "k", 2), ("n", None, "b", "k", 3)]
+    got = {(r.id, r.src, r.dst, r.curvature) for r in fan_out(spark.createDataFrame(rows, "id string, src string, dst string, kind string, ord long")).collect()}
+    # the last of the pair is the one of the greatest ord; "b->a#k", whose id is not written, comes before "z"
+    assert got == {("b->a#k", "b", "a", 0.5), ("z", "a", "b", 0.0), (None, "a", "b", 0.5), ("n", None, "b", 0.0)}
+
+
 def test_pages_at_any_depth(spark):
     rng = random.Random(3)
     names = [f"{rng.choice('abcXYZ')}{rng.randrange(10**6)}" for _ in range(3000)]
