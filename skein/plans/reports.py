@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.glob import matches
 from skein.functions.ordering import collated, sort_by
-from skein.graph import Graph, closed, file_edges, with_files
+from skein.graph import Graph, closed, closed_files, file_edges, with_files
 from skein.operators.ranks import ranked
 from skein.operators.scope import NodeType, Scope, _up, node_type
 from skein.operators.visible import search, without_orphans
@@ -43,9 +43,10 @@ def filter_test(df: DataFrame, filters: dict[str, dict]) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def scoped(graph: Graph, node_types: list[str] | None = None, edge_types: list[str] | None = None, types: tuple[NodeType, ...] = ()) -> Graph:
+def scoped(graph: Graph, node_types: list[str] | None = None, edge_types: list[str] | None = None, types: tuple[NodeType, ...] = (), project: bool = False) -> Graph:
     """Only the named node types (by default files) and edge types (by default all). 'symbol' means every symbol, any other
-    type also the symbols that a definition at or below it matches; ``types`` adds definitions to the core's."""
+    type also the symbols that a definition at or below it matches; ``types`` adds definitions to the core's. ``project``: edges
+    are first moved to the files of their ends."""
     wanted = node_types or ["file"]
     shown = node_type().isin(*wanted)
     if "symbol" in wanted:
@@ -56,7 +57,7 @@ def scoped(graph: Graph, node_types: list[str] | None = None, edge_types: list[s
             shown = shown | t.fits()
     nodes = graph.nodes.where(shown)
     edges = graph.edges.where(F.col("kind").isin(*edge_types)) if edge_types is not None else graph.edges
-    return Graph(nodes, closed(edges, nodes))
+    return Graph(nodes, closed_files(Graph(graph.nodes, edges), nodes) if project else closed(edges, nodes))
 
 
 def observed(graph: Graph) -> DataFrame:
@@ -142,23 +143,31 @@ def dependents(graph: Graph, path: str) -> DataFrame:
     return edges_report(graph, dst=path, node_types=ALL_TYPES, expand=True, project=True)
 
 
-def relationships_report(graph: Graph, relations: DataFrame, symbols: DataFrame, node_types=None, edge_types=None, filters=None) -> DataFrame:
-    """from, to and relationships (kind, plugin, source, symbols) for relations whose file-level edge is visible."""
-    graph = scoped(graph, node_types, edge_types)
-    keys = graph.edges.select("src", "dst", "kind").distinct()
+def relationships(graph: Graph, relations: DataFrame, symbols: DataFrame, node_types=None, edge_types=None, project=False) -> DataFrame:
+    """from, to, relationships (kind, plugin, source, symbols) and edge_types, for relations whose edge is visible.
+
+    ``project``: edges are moved to the files of their ends, loops dropped, before it is asked what is visible. What is said
+    of a pair is brought to one place once, for the three aggregates behind the test against edges."""
+    pair = ["src", "dst"]
+    edges = scoped(graph, node_types, edge_types, project=project).edges.select(*pair, "kind", "ord")
     r = relations.select(F.coalesce("from_node", "from_file").alias("src"), F.coalesce("to_node", "to_file").alias("dst"), "kind", "plugin_id", F.when(F.col("plugin_id").isNotNull(), F.col("source_id")).alias("source_id"), F.coalesce("to_symbol", "from_symbol").alias("_symbol"), "ord")
-    r = r.where("dst is not null").join(keys, ["src", "dst", "kind"], "left_semi")
     s = symbols.select(F.col("id").alias("_symbol"), "name", F.col("kind").alias("_kind"), "start_line", "end_line")
-    r = r.join(s, "_symbol", "left").withColumn("_kind", F.when((F.col("kind") != "type-import") & (F.col("_kind") != ""), F.col("_kind")))
-    nests = graph.edges.where("kind = 'nests'").select("src", "dst", "kind", "ord")
-    r = r.unionByName(nests, allowMissingColumns=True)
+    r = r.where("dst is not null").join(s, "_symbol", "left").drop("_symbol")
+    r = r.withColumn("_kind", F.when((F.col("kind") != "type-import") & (F.col("_kind") != ""), F.col("_kind")))
+    r = r.join(edges.drop("ord"), [*pair, "kind"], "left_semi")
+    r = r.unionByName(edges.where("kind = 'nests'"), allowMissingColumns=True).repartition(*pair)
     each = r.groupBy("src", "dst", "kind", "plugin_id", "source_id", "name", "_kind", "start_line", "end_line").agg(F.min("ord").alias("ord"))
     symbol = F.struct("ord", F.col("name"), F.col("_kind").alias("kind"), "start_line", "end_line")
     inner = each.groupBy("src", "dst", "kind", "plugin_id", "source_id").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), symbol))).alias("symbols"))
     plain = F.transform("symbols", lambda s: F.struct(s["name"].alias("name"), s["kind"].alias("kind"), s["start_line"].alias("start_line"), s["end_line"].alias("end_line")))
     one = F.struct(F.col("kind").alias("edge_type"), F.col("ord"), "plugin_id", "source_id", plain.alias("symbols"))
     out = inner.groupBy(F.col("src").alias("from"), F.col("dst").alias("to")).agg(F.array_sort(F.collect_list(one)).alias("relationships"))
-    out = out.withColumn("edge_types", F.transform("relationships", lambda x: x.edge_type))
+    return out.withColumn("edge_types", F.transform("relationships", lambda x: x.edge_type))
+
+
+def relationships_report(graph: Graph, relations: DataFrame, symbols: DataFrame, node_types=None, edge_types=None, filters=None, project=False) -> DataFrame:
+    """``relationships`` in order."""
+    out = relationships(graph, relations, symbols, node_types, edge_types, project)
     return sort_by(out.where(filter_test(out, filters or {})), [], ["from", "to"])
 
 

@@ -2,8 +2,9 @@
 
 import pytest
 
-from skein.graph import Graph, closed, firsts, full, slim
+from skein.graph import Graph, closed, file_edges, firsts, full, slim
 from skein.operators import scope, traverse, visible
+from skein.plans import reports
 from skein.schema import EDGE, NODE, edge_id
 from skein.sources import derived
 from pyspark.sql import functions as F
@@ -122,3 +123,24 @@ def test_ranks_flow_without_texts(spark, monkeypatch):
     got = {r.id: r.rank for r in traverse.pagerank(links, weights, 1).collect()}
     assert got == pytest.approx({"a": 0.075 + 0.85 * 0.125, "b": 0.075 + 0.85 * 0.5, "c": 0.0})
     assert "string" not in dict(kinds["links"].dtypes).values()
+
+
+def test_relationships_of_projected_edges(spark, no_broadcast):
+    nodes = [("f", None, None), ("g", None, None), ("f#s", "f", "class"), ("f#t", "f", "method"), ("h#s", "h", "class"), ("g#s", "g", "class")]
+    nodes = spark.createDataFrame(nodes, "id string, symbol_file string, symbol_kind string").withColumns({c: F.lit(None).cast("string") for c in ("node_type", "symbol_name", "signature", "language", "source", "plugin_kind")})
+    ends = [("f", "f#s", "contains"), ("f#s", "g", "call"), ("f#t", "g", "call"), ("f#s", "g#s", "nests"), ("f#s", "h#s", "call"), ("f", "gone", "call"), ("gone", "g", "call"), ("g", "f", "use"), ("f#s", "f#t", "call")]
+    edges = spark.createDataFrame([(f"{a}->{b}#{k}", a, b, k, i) for i, (a, b, k) in enumerate(ends)], "id string, src string, dst string, kind string, ord long")
+    said = [("f", "g", "call", "f#s", 1), ("f", "g", "call", "f#t", 2), ("f", "g", "call", "f#s", 3), ("f", "g", "use", None, 4), ("g", "f", "use", None, 5), ("f", "h", "call", "f#s", 6), ("f", None, "call", None, 7), ("f", "f", "call", "f#s", 8)]
+    relations = spark.createDataFrame(said, "from_file string, to_file string, kind string, from_symbol string, ord long")
+    relations = relations.withColumns({c: F.lit(None).cast("string") for c in ("from_node", "to_node", "to_symbol", "plugin_id", "source_id")})
+    symbols = spark.createDataFrame([("f#s", "s", "class"), ("f#t", "t", "method")], "id string, name string, kind string").withColumns({c: F.lit(None).cast("int") for c in ("start_line", "end_line")})
+    graph = Graph(nodes, edges)
+    wanted = reports.relationships(Graph(nodes, file_edges(graph)), relations, symbols)
+    out = reports.relationships(graph, relations, symbols, project=True)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, wanted.collect()))
+    got = {(r["from"], r["to"]): ([x.edge_type for x in r.relationships], [[s.name for s in x.symbols] for x in r.relationships]) for r in out.collect()}
+    assert got == {("f", "g"): (["call", "nests"], [["s", "t"], []]), ("g", "f"): (["use"], [[]])}
+    # ends are looked up once, and the aggregates of a pair share a shuffle
+    again = reports.relationships(graph, relations, symbols, project=True)
+    assert plan(again).count("Exchange hashpartitioning(src") == plan(again).count("Exchange hashpartitioning(src#") <= 8
+    assert plan(again)[: plan(again).index("Exchange ")].count("HashAggregate") == 6
