@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
 from skein.functions.paths import ancestors, basename
-from skein.graph import Graph, written
+from skein.graph import Bucketed, Graph, bucketed, written
 from skein.operators.visible import _node_rows, merge_edges
 from skein.schema import EDGE, NODE, edge_id, package_id
 
@@ -123,32 +125,60 @@ def unique_targets(relations: DataFrame, symbols: DataFrame) -> DataFrame:
     return r.join(one.withColumnRenamed("file_path", "to_file"), ["to_file", "name"]).select("ord", "target_symbol")
 
 
+def _asked(front: DataFrame, by: str) -> DataFrame:
+    """``front`` dealt as a ``Bucketed`` table is by ``by``, so that a join with it leaves the table where it lies."""
+    return front.repartition(int(front.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)
+
+
 def through_reexports(wanted: DataFrame, exports: DataFrame, symbols: DataFrame) -> DataFrame:
     """ord and symbol for each wanted (ord, file, name), following ``exports`` (file, name, to_file, to_name) to the end.
 
-    A null name in exports passes every name on. What has been seen for an ord is kept in one table, so cycles end and
-    branches that meet go on as one; only a single result counts."""
+    A null name in exports passes every name on; only a single result counts. What is followed are the distinct (file, name)
+    that are asked for, however many rows ask: first forth, a step of exports at a time, until no new ones are found; then the
+    symbols found go back over the steps, as one symbol or as null for several. Of each (file, name) this changes twice at
+    most, so cycles end. Exports lie in buckets of their file and steps in buckets of their target: a round shuffles what is
+    new in it alone."""
     own = written(symbols.select(F.col("file_path").alias("file"), "name", F.col("id").alias("symbol")), "reexports-own")
-    exports = written(exports.select("file", "name", "to_file", "to_name"), "exports")
     declared = own.select("file", "name").distinct()
-    front = seen = written(wanted.select("ord", "file", "name").distinct(), "reexports")
-    found, step = None, 0
-    named = exports.where("name is not null").select("file", "name", "to_file", "to_name")
-    passing = exports.where("name is null").select("file", "to_file")
+    key = ["file", "name"]
+    exports = exports.where("file is not null and to_file is not null").select("file", F.col("name").alias("_name"), "to_file", "to_name")
+    exports = bucketed(exports, "file", "exports")
+    wanted = written(wanted.select("ord", *key).where("file is not null and name is not null").distinct(), "reexports-wanted")
+
+    # forth
+    front = written(wanted.select(*key).distinct(), "reexports")
+    seen, steps = Bucketed(front, "file", "reexports-seen"), []
     while not front.isEmpty():
-        step += 1
-        hit = front.join(own, ["file", "name"]).select("ord", "symbol")
-        found = hit if found is None else found.union(hit)
-        on = front.join(declared, ["file", "name"], "left_anti")
-        by_name = on.join(named, ["file", "name"]).select("ord", F.col("to_file").alias("file"), F.coalesce("to_name", "name").alias("name"))
-        by_file = on.join(passing, "file").select("ord", F.col("to_file").alias("file"), "name")
-        front = written(by_name.union(by_file).distinct().join(seen, ["ord", "file", "name"], "left_anti"), "reexports")
-        seen = seen.union(front)
-        if step % 4 == 0:
-            seen, found = written(seen, "reexports-seen"), written(found, "reexports-found")
-    if found is None:
-        return wanted.select("ord", F.lit(None).cast("string").alias("symbol")).where("false")
-    return found.groupBy("ord").agg(F.min("symbol").alias("symbol"), F.count_distinct("symbol").alias("n")).where("n = 1").drop("n")
+        # a file that declares the name hides what it re-exports
+        on = front.join(declared, key, "left_anti")
+        step = _asked(on, "file").join(exports, "file").where("_name is null or _name = name")
+        step = step.select(*key, "to_file", F.when(F.col("_name").isNull(), F.col("name")).otherwise(F.coalesce("to_name", "name")).alias("to_name"))
+        step = written(step, "reexports-step")
+        steps.append(step)
+        ends = step.select(F.col("to_file").alias("file"), F.col("to_name").alias("name"))
+        front = written(_asked(ends, "file").distinct().join(seen.table(), key, "left_anti"), "reexports")
+        seen.add(front)
+
+    # back
+    steps = bucketed(reduce(DataFrame.union, steps), "to_file", "reexports-steps") if steps else None
+    front = own.where("symbol is not null").join(seen.table(), key, "left_semi").groupBy(*key).agg(F.min("symbol").alias("symbol"), F.max("symbol").alias("_most"))
+    front = written(front.select(*key, F.when(F.col("symbol") == F.col("_most"), F.col("symbol")).alias("symbol")), "reexports-found")
+    found = Bucketed(front, "file", "reexports-symbols")
+    while steps is not None and not front.isEmpty():
+        at = _asked(front.select(F.col("file").alias("to_file"), F.col("name").alias("to_name"), "symbol"), "to_file")
+        new = _asked(at.join(steps, ["to_file", "to_name"]).select(*key, "symbol"), "file")
+        known = _one_symbol(found.table()).withColumnRenamed("symbol", "_symbol").withColumn("_known", F.lit(True))
+        new = _one_symbol(new).join(known, key, "left").where("_known is null or (_symbol is not null and not (symbol <=> _symbol))")
+        front = written(new.select(*key, F.when(F.col("_known").isNull(), F.col("symbol")).alias("symbol")), "reexports-found")
+        found.add(front)
+    return _one_symbol(wanted.join(found.table(), key).select("ord", "symbol"), "ord").where("symbol is not null")
+
+
+def _one_symbol(found: DataFrame, *key: str) -> DataFrame:
+    """The symbol of each key where there is but one, else null; null stands for several in ``found`` too."""
+    key = key or ("file", "name")
+    out = found.groupBy(*key).agg(F.min("symbol").alias("_a"), F.max("symbol").alias("_b"), F.count_if(F.col("symbol").isNull()).alias("_n"))
+    return out.select(*key, F.when((F.col("_n") == 0) & (F.col("_a") == F.col("_b")), F.col("_a")).alias("symbol"))
 
 
 def with_target_symbols(relations: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:

@@ -176,6 +176,45 @@ def test_reexports_follow_to_a_single_symbol(spark):
     assert {r.ord: r.symbol for r in project.through_reexports(wanted, exports, symbols).collect()} == {1: "c#f", 3: "e#g"}
 
 
+def test_reexports_of_random_exports(spark, monkeypatch):
+    rng = random.Random(4)
+    files, names = [f"f{i}" for i in range(12)], ["a", "b", "c"]
+    exports = [(rng.choice(files), rng.choice([*names, None]), rng.choice(files), rng.choice([*names, None])) for _ in range(30)]
+    symbols = [(f, n, f"{f}#{n}{k}") for f, n, k in [(rng.choice(files), rng.choice(names), rng.choice("xy")) for _ in range(7)]]
+    # many rows ask for the same; one asks for two names
+    wanted = [(i, files[i % 12], names[i % 3]) for i in range(144)] + [(0, "f5", "b"), (500, None, "a"), (501, "f1", None)]
+
+    def reached(file, name):
+        seen, front, out = set(), [(file, name)], set()
+        while front:
+            at = front.pop()
+            if at in seen:
+                continue
+            seen.add(at)
+            own = {s for f, n, s in symbols if (f, n) == at}
+            out |= own
+            front += [] if own else [(to, at[1] if n is None else m or n) for f, n, to, m in exports if f == at[0] and n in (None, at[1])]
+        return out
+
+    every = {}
+    for ord_, file, name in wanted:
+        every.setdefault(ord_, set()).update(reached(file, name) if file and name else ())
+    sizes, plain = {}, project.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(project, "written", counted)
+    frame = lambda rows, columns: spark.createDataFrame(rows, columns)
+    out = project.through_reexports(frame(wanted, "ord long, file string, name string"), frame(exports, "file string, name string, to_file string, to_name string"), frame(symbols, "file_path string, name string, id string"))
+    assert {r.ord: r.symbol for r in out.collect()} == {o: next(iter(s)) for o, s in every.items() if len(s) == 1}
+    # what is followed are names in files, not the rows that ask
+    assert sizes["reexports"] <= 36
+
+
+
 def test_search_ranks(spark):
     g = graph_of(spark, ["src/runtime.ts", "docs/a.md"], [])
     s = spark.createDataFrame([("src/runtime.ts#runtime", "runtime", "function", "src/runtime.ts")], "id string, name string, kind string, file_path string")
