@@ -8,7 +8,7 @@ from skein.export import documents
 from skein.functions import style
 from skein.functions.ordering import page_row
 from skein.functions.text import TASK_STOP, query_tokens, roots
-from skein.graph import Graph
+from skein.graph import Graph, dealt
 from skein.operators import facts, project, refresh, traverse, visible
 from skein.operators.scope import NodeType, Scope, expanded
 from skein.operators.visible import View
@@ -188,7 +188,8 @@ def page_metadata(spark, d):
 @query("SELECT DISTINCT src || '->' || dst || '#' || kind AS id, concat_ws(',', CASE WHEN kind = 'call' THEN 'calls' END, CASE WHEN regexp_matches(dst, '^part/Brand1[0-9]/p[^/]*5$') AND kind = 'call' THEN 'some' END) AS legends FROM edges")
 def edge_legends(spark, d):
     e = derived.edges(spark, d).select("id", "src", "dst", "kind")
-    return e.select("id", F.array_join(style.legend_ids({"calls": "call", "some": "**->part/Brand1[0-9]/p*5#call"}), ",").alias("legends")).distinct()
+    out = e.select("id", F.array_join(style.legend_ids({"calls": "call", "some": "**->part/Brand1[0-9]/p*5#call"}), ",").alias("legends"))
+    return dealt(out, derived.edges_at_most(spark, d), "id").distinct()
 
 
 @query("SELECT kind, count(*) AS n, CASE kind WHEN 'call' THEN '#111111' WHEN 'import' THEN '#222222' ELSE '#999999' END AS color FROM edges GROUP BY ALL")

@@ -120,6 +120,11 @@ def edges(spark, d) -> DataFrame:
     return _typed(out.withColumn("id", edge_id(F.col("src"), F.col("dst"), F.col("kind"))), EDGE)
 
 
+def edges_at_most(spark, d) -> int:
+    """At least as many as there are edges: one for each order and two for each line, by the files' own counts."""
+    return table(spark, d, "orders").count() + 2 * table(spark, d, "lineitem").count()
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes(spark, sf_dir), edges(spark, sf_dir))
 

@@ -2,9 +2,10 @@
 
 import pytest
 
+from skein import graph as graph_module
 from skein.graph import Graph, closed, file_edges, firsts, full, slim
 from skein.operators import scope, traverse, visible
-from skein.plans import reports
+from skein.plans import catalogue_facts, reports
 from skein.schema import EDGE, NODE, edge_id
 from skein.sources import derived
 from pyspark.sql import functions as F
@@ -144,3 +145,13 @@ def test_relationships_of_projected_edges(spark, no_broadcast):
     again = reports.relationships(graph, relations, symbols, project=True)
     assert plan(again).count("Exchange hashpartitioning(src") == plan(again).count("Exchange hashpartitioning(src#") <= 8
     assert plan(again)[: plan(again).index("Exchange ")].count("HashAggregate") == 6
+
+
+def test_legends_are_dealt_by_their_number(spark, sf, monkeypatch):
+    monkeypatch.setattr(graph_module, "HELD", 1_000)
+    out = catalogue_facts.edge_legends(spark, sf)
+    rows = derived.edges_at_most(spark, sf)
+    assert rows >= derived.edges(spark, sf).count() and -(-rows // 1_000) > 4
+    assert f"{-(-rows // 1_000)}), REPARTITION_BY_NUM" in plan(out)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2_000
