@@ -228,8 +228,10 @@ def symbols_of(nodes: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Distinct neighbours of each node, either way; a loop makes a node its own neighbour."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    return both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    # each pair once, whichever way, goes through the shuffle of texts; its ends are told apart behind it
+    turned = F.coalesce(F.col("src") > F.col("dst"), F.col("src").isNull())
+    pairs = edges.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("b")).distinct()
+    return pairs.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
 def link_degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -155,3 +155,12 @@ def test_legends_are_dealt_by_their_number(spark, sf, monkeypatch):
     assert f"{-(-rows // 1_000)}), REPARTITION_BY_NUM" in plan(out)
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 2_000
+
+
+def test_degrees_shuffle_each_pair_once(spark):
+    rows = [("b", "a"), ("a", "b"), ("a", "a"), ("a", "c"), ("a", "c"), ("a", None), (None, "a"), (None, None), ("é", "a")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    out = reports.degrees(edges)
+    both = {(s, d) for s, d in rows} | {(d, s) for s, d in rows}
+    assert {r.id: r.degree for r in out.collect()} == {x: len({d for s, d in both if s == x}) for x in {s for s, _ in both}}
+    assert "Union" not in plan(out)
