@@ -52,7 +52,7 @@ def file_pairs(spark, d):
 
 @query('''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM edges GROUP BY ALL) GROUP BY 1, 2''')
 def edge_group(spark, d):
-    return reports.grouped(derived.edges(spark, d)).withColumn("edge_types", _joined("edge_types"))
+    return reports.grouped(derived.edges(spark, d).repartition("src", "dst")).withColumn("edge_types", _joined("edge_types"))
 
 
 _FILE_GROUP = '''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM fedges WHERE {} GROUP BY ALL) GROUP BY 1, 2'''

@@ -85,7 +85,8 @@ def nodes_report(graph: Graph, node_types=None, filters=None, query="", sort=(),
 
 
 def grouped(edges: DataFrame) -> DataFrame:
-    """from, to and the kinds between them, first seen first."""
+    """from, to and the kinds between them, first seen first. Edges that lie by an end or by pairs aren't shuffled; others are dealt
+    by pairs before, lest their texts be shuffled for each of the two aggregates."""
     kinds = edges.groupBy("src", "dst", "kind").agg(F.min("ord").alias("ord"))
     kinds = kinds.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct("ord", "kind"))).alias("k"))
     return kinds.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.transform("k", lambda k: k.kind).alias("edge_types"))

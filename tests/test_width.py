@@ -157,6 +157,11 @@ def test_legends_are_dealt_by_their_number(spark, sf, monkeypatch):
     assert max(sizes) < 2_000
 
 
+def shuffles(df):
+    """Exchanges of a plan with all joins as sort-merge joins, each once; what reuses one isn't counted."""
+    return plan(df).count("Exchange hashpartitioning")
+
+
 def test_degrees_shuffle_each_pair_once(spark):
     rows = [("b", "a"), ("a", "b"), ("a", "a"), ("a", "c"), ("a", "c"), ("a", None), (None, "a"), (None, None), ("é", "a")]
     edges = spark.createDataFrame(rows, "src string, dst string")
@@ -164,3 +169,9 @@ def test_degrees_shuffle_each_pair_once(spark):
     both = {(s, d) for s, d in rows} | {(d, s) for s, d in rows}
     assert {r.id: r.degree for r in out.collect()} == {x: len({d for s, d in both if s == x}) for x in {s for s, _ in both}}
     assert "Union" not in plan(out)
+
+
+def test_edges_of_a_pair_are_shuffled_once(spark, sf, no_broadcast):
+    from skein.plans.catalogue import edge_group
+
+    assert shuffles(edge_group(spark, sf)) == shuffles(derived.edges(spark, sf)) + 1
