@@ -171,18 +171,26 @@ def _at_places(edges: DataFrame, where: DataFrame, side: str) -> DataFrame:
     return edges.join(where.select(*[F.col(c).alias(n) for c, n in names.items()]), F.col(end) == F.col(names["id"]), "left").drop(names["id"])
 
 
+def _put(edges: DataFrame, side: str) -> DataFrame:
+    """An end of edges put to its place, but for ``contains``, so that the next join doesn't carry both. _went tells whether this is
+    another one; edges without a kind keep their ends, and _at is the place."""
+    end = {"a": "src", "b": "dst"}[side]
+    at = F.when(F.col(f"{side}_state") == MOVED, F.col(f"{side}_to")).when(F.col(f"{side}_state") == OWN, F.col(end))
+    new = {end: F.when(F.col("kind") != "contains", at).otherwise(F.col(end)), f"{side}_went": F.coalesce(at != F.col(end), F.lit(False)), f"{side}_at": F.when(F.col("kind").isNull(), at)}
+    return edges.withColumns(new).drop(f"{side}_state", f"{side}_to")
+
+
 def _moved(edges: DataFrame) -> DataFrame:
-    """Ends of slim edges put to their places; loops that arise go, loops that were stay. The id keeps what follows its last ``#``."""
-    a, b = [F.when(F.col(f"{side}_state") == MOVED, F.col(f"{side}_to")).when(F.col(f"{side}_state") == OWN, F.col(end)) for side, end in (("a", "src"), ("b", "dst"))]
-    same = (F.col("src") == a) & (F.col("dst") == b)
+    """Slim edges whose ends have been ``_put``; loops that arise go, loops that were stay. The id keeps what follows its last ``#``."""
+    a, b = F.coalesce("a_at", "src"), F.coalesce("b_at", "dst")
+    same = ~(F.col("a_went") | F.col("b_went"))
     edges = edges.where((F.col("kind") == "contains") | same | (a != b))
     goes = (F.col("kind") != "contains") & ~same
     hash_ = F.lit("#")
     suffix = F.when(F.instr("id", "#") > 0, F.concat(hash_, F.substring_index("id", "#", -1))).otherwise(F.concat(hash_, F.col("kind")))
     suffix = F.when(F.col("_said"), suffix).otherwise(F.concat(hash_, F.substring_index("kind", "#", -1)))
     said = F.col("_said") | (goes & (F.instr("kind", "#") > 0))  # a kind with a # makes an id that doesn't say the whole kind
-    new = {"src": F.when(goes, a).otherwise(F.col("src")), "dst": F.when(goes, b).otherwise(F.col("dst")), "_said": F.coalesce(said, F.lit(False)), "id": F.when(goes & said, F.concat(a, F.lit("->"), b, suffix)).otherwise(F.col("id"))}
-    return edges.withColumns(new)
+    return edges.withColumns({"_said": F.coalesce(said, F.lit(False)), "id": F.when(goes & said, F.concat(a, F.lit("->"), b, suffix)).otherwise(F.col("id"))})
 
 
 def projected(edges: DataFrame, nodes: DataFrame, shown: Column) -> DataFrame:
@@ -190,7 +198,7 @@ def projected(edges: DataFrame, nodes: DataFrame, shown: Column) -> DataFrame:
     edge goes. ``contains`` edges pass."""
     where, out = places(nodes, shown), slim(edges)
     for side in ("a", "b"):
-        out = _at_places(out, where, side).where(f"kind = 'contains' or {side}_state > {GONE}")
+        out = _put(_at_places(out, where, side).where(f"kind = 'contains' or {side}_state > {GONE}"), side)
     return full(_moved(out)).select(*edges.columns)
 
 
@@ -231,5 +239,5 @@ def apply_scope(graph: Graph, scope: Scope) -> Graph:
     where, out = places(graph.nodes, shown), slim(edges)
     for side in ("a", "b"):
         # what contains and what is contained must be shown themselves
-        out = _at_places(out, where, side).where(f"{side}_state = {OWN} or ({side}_state = {MOVED} and kind <> 'contains')")
+        out = _put(_at_places(out, where, side).where(f"{side}_state = {OWN} or ({side}_state = {MOVED} and kind <> 'contains')"), side)
     return Graph(graph.nodes.where(shown), _specific(_moved(out), edges.columns))

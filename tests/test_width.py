@@ -1,5 +1,7 @@
 """What joins and shuffles carry: no text twice, none before the last join, and no more edges than are looked at."""
 
+import re
+
 import pytest
 
 from skein import graph as graph_module
@@ -175,3 +177,15 @@ def test_edges_of_a_pair_are_shuffled_once(spark, sf, no_broadcast):
     from skein.plans.catalogue import edge_group
 
     assert shuffles(edge_group(spark, sf)) == shuffles(derived.edges(spark, sf)) + 1
+
+
+def test_moved_ends_go_once_through_the_second_shuffle(spark, no_broadcast):
+    g = scope_graph(spark)
+    none = g.edges.where("src = 'f#x'").withColumns({"kind": F.lit(None).cast("string"), "id": F.lit("x#y")})
+    shown = scope.in_scope(scope.Scope(nodes={"symbol:class": False}))
+    out = scope.projected(g.edges.union(none), g.nodes, shown)
+    got = {(r.id, r.src, r.dst) for r in out.where("kind is null").collect()}
+    assert got == {("x#y", "f#x", "g#z"), ("x#y", "f#x", "f#y"), ("x#y", "f#x", "g")}
+    lines = plan(out).splitlines()
+    at = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(dst" in line)
+    assert not re.search(r"[\[ ](?<!AS )a_to#\d+[,\]]", lines[at + 1])
