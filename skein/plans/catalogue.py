@@ -10,7 +10,7 @@ from skein.functions.glob import matches, matches_any
 from skein.functions.paths import ancestors
 from skein.functions.ordering import Pages, page, sort_by
 from skein.functions.text import SEARCH_STOP, tokens
-from skein.graph import Graph, file_edges
+from skein.graph import Graph, dealt, file_edges
 from skein.operators import project, traverse, visible
 from skein.operators.scope import Scope, apply_scope, in_scope, most_specific, projected
 from skein.plans import reports, search, task_map
@@ -52,7 +52,7 @@ def file_pairs(spark, d):
 
 @query('''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM edges GROUP BY ALL) GROUP BY 1, 2''')
 def edge_group(spark, d):
-    return reports.grouped(derived.edges(spark, d).repartition("src", "dst")).withColumn("edge_types", _joined("edge_types"))
+    return reports.grouped(dealt(derived.edges(spark, d), derived.edges_at_most(spark, d), "src", "dst")).withColumn("edge_types", _joined("edge_types"))
 
 
 _FILE_GROUP = '''SELECT src AS "from", dst AS "to", string_agg(kind, ',' ORDER BY o, kind) AS edge_types FROM (SELECT src, dst, kind, min(ord) AS o FROM fedges WHERE {} GROUP BY ALL) GROUP BY 1, 2'''
