@@ -3,10 +3,11 @@
 A text is the set of its five-word shingles, and two texts link when the Jaccard index of their sets is at least 80
 hundredths, a test in integers. Two such sets of sizes m and n share one of the first m // 5 + 1 and n // 5 + 1 shingles of
 any common order, so each set is entered under those alone, and the join is exact. The order puts shingles that many texts
-have last: tasks count the shingles that repeat among the texts they read, and up to 2**20 of the most frequent are sent
-to all tasks. The order changes the work, never the result.
+have last, by powers of two of their number: tasks count the shingles that repeat among the texts they read, and up to 2**20 of
+the most frequent are sent to all tasks. The order changes the work, never the result.
 
-Equal sets are one representative. The sets under a shingle are a bucket; sets without one of near size in it leave it.
+Equal sets are one representative. The sets under a shingle are a bucket; sets without one of near size in it leave it, as
+do those whose shingles from this one on are too few for a link (of a link's two sets, the first common shingle isn't late).
 A bucket is a tile, or if it is large is cut into tiles: members go into blocks by size band (sizes within a fifth) and
 hash, and blocks of equal or neighbouring bands are paired. In a tile every two members of near sizes meet by their bitmaps
 of 1,024 bits: each bit in which two bitmaps differ is a shingle that only one of them has, so bit counts bound the overlap
@@ -15,7 +16,8 @@ the set. What is left has its whole sorted arrays intersected, turn by turn, so
 that most pairs of a group of copies are connected before their turn comes. Where more than
 FEW pairs a member pass, at first only those with a band's least member are listed, which connects most of a group of
 copies. Then these buckets go into tiles again, members of one component don't meet any more, and if still too many pairs
-pass, members go into tiles with their arrays and pairs that have been connected meanwhile are left out. So nothing is
+pass, members go into tiles with their wide bitmaps, and what these leave with their arrays; pairs that have been connected
+meanwhile are left out. So nothing is
 listed that grows with the square of a bucket, no pair of different components stays uncompared, and a tile's weight is
 bounded, so no bucket must fit in a task.
 
@@ -46,10 +48,12 @@ BITS = 1024
 SLAB, FREQUENT, OFTEN = 2_000_000, 1 << 20, 16
 #: Members of a tile up to which it is compared row by row; pairs for each member up to which they are listed.
 SMALL, FEW = 16, 4
-#: Turns in which each set is compared with one partner, before all that are left are.
-TURNS = 3
+#: Turns in which each set is compared with one partner, before all that are left are; shingles of pairs that need no turns.
+TURNS, AT_ONCE = 3, 1 << 22
 #: Members of a block of bitmaps; shingles of a block of sets, and the least that a set counts for.
 MEMBERS, WEIGHT, LEAST = 2048, 1 << 19, 256
+#: Shingles that a set counts for at least in a block of wide bitmaps (a member of ``MEMBERS``).
+GREAT = 4096
 
 _FACTORS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i in range(SHINGLE)], np.uint64)
 _GOLD = 0x9E3779B97F4A7C15
@@ -169,8 +173,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
-def frequent(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of at most FREQUENT shingles that many texts have."""
+def frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of at most FREQUENT shingles that many texts have, and of each the power of two that its count is over."""
     counts = texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(f"n >= {OFTEN}")
     counts = written(counts, "frequent")
     # by powers of two (64 rows at most), from the most frequent; of the last that the bound allows, a part by hash
@@ -179,18 +183,20 @@ def frequent(texts: DataFrame) -> np.ndarray:
     for at, n in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
         taken |= (level == at) & (F.pmod(F.xxhash64("token"), F.lit(1 << 20)) < int(min(1, left / n) * (1 << 20)))
         left = max(0, left - n)
-    tokens = counts.where(taken).select("token").toArrow().column("token").to_numpy()
-    return np.sort(tokens.astype(np.int64).view(np.uint64))
+    got = counts.where(taken).select("token", level.cast("byte").alias("level")).toArrow()
+    tokens = got.column("token").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], got.column("level").to_numpy().astype(np.int8)[order]
 
 
 _SIGNED = "doc_id long, n long, digest binary, bits binary, prefix array<long>"
 
 
 def _signing(rare: "object"):
-    """``rare``: broadcast of the frequent shingles."""
+    """``rare``: broadcast of the frequent shingles and their counts' powers, by which they stand behind the others."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = rare.value
+        often, level = rare.value
         for batch, sets in _sets(batches):
             n, digest, bits, prefix = [], [], [], []
             for units in sets:
@@ -200,7 +206,7 @@ def _signing(rare: "object"):
                 if len(often) and len(units):
                     at = np.minimum(np.searchsorted(often, units), len(often) - 1)
                     last = often[at] == units
-                    units = np.concatenate([units[~last], units[last]])
+                    units = np.concatenate([units[~last], units[last][np.argsort(level[at[last]], kind="stable")]])
                 prefix.append(units[: len(units) - required(len(units)) + 1].view(np.int64) if len(units) else None)
             columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "digest", "bits", "prefix"])
@@ -363,6 +369,18 @@ def _units_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(some, "doc_id", "left_semi").mapInArrow(_units, "doc_id long, units binary").where("octet_length(units) > 0")
 
 
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, sets in _sets(batches):
+        columns = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([wide(s).tobytes() for s in sets], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "bits"])
+
+
+def _wide_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, n and wide bitmaps of the texts of some documents (doc_id)."""
+    some = small_side(written(ids.distinct(), "compared"))
+    return texts.join(some, "doc_id", "left_semi").mapInArrow(_wide, "doc_id long, n long, bits binary").where("n > 0")
+
+
 def links(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) that connect what the distinct (leader, member) of ``pairs``, leader < member, connect.
 
@@ -377,13 +395,13 @@ def links(pairs: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     near = written(near.where(f"weight <= {BITS // 2}").unionByName(large), "near-pairs")
     found = None
     for turn in range(TURNS + 1):
-        now = near
-        if turn < TURNS:
+        now, last = near, turn == TURNS or (near.agg(F.sum("weight")).first()[0] or 0) <= AT_ONCE
+        if not last:
             least = F.min(F.struct("leader", "weight")).alias("p")
             now = written(near.groupBy("member").agg(least).select("p.leader", "member", "p.weight"), "picked")
         got = written(with_leaders(now, texts), "jaccard-links")
         found = got if found is None else found.union(got)
-        if turn == TURNS:
+        if last:
             break
         roots = small_side(components(found))
         rest = near.join(small_side(now.select("leader", "member")), ["leader", "member"], "left_anti")
@@ -424,17 +442,48 @@ def _sides(side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (whole, whole) if not side.any() else (np.flatnonzero(side == 1), np.flatnonzero(side == 2))
 
 
+def _narrow_test(rows: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """A test whether sets (row numbers x or one, and y) may be similar, by sizes and bitmaps."""
+    bits, n = _bits(rows), rows.column("n").to_numpy()
+    return lambda x, y: _bound(bits[x], bits[y], n[x], n[y])
+
+
+def _wide_test(rows: pa.Table) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The same by ``wide`` bitmaps; pairs of one length each are compared at once, the longer folded to the other's length."""
+    n, maps = rows.column("n").to_numpy(), [m[1:] for m in _arrays(rows.column("bits"))]
+    width, at, of = np.array([len(m) for m in maps]), np.zeros(len(maps), np.int64), {}
+    for w in np.unique(width):
+        same = np.flatnonzero(width == w)
+        at[same], of[w] = np.arange(len(same)), np.stack([maps[i] for i in same])
+
+    def folded(rows: np.ndarray, w: int, to: int) -> np.ndarray:
+        return np.bitwise_or.reduce(of[w][at[rows]].reshape(len(rows), w // to, to), axis=1)
+
+    def test(x, y: np.ndarray) -> np.ndarray:
+        x, out = np.broadcast_to(x, y.shape), 100 * np.minimum(n[x], n[y]) >= PERCENT * np.maximum(n[x], n[y])
+        lengths = width[x] * (1 << 32) + width[y]
+        for both in np.unique(lengths[out]):
+            v, w = int(both) >> 32, int(both) & 0xFFFFFFFF
+            here = np.flatnonzero(out & (lengths == both))
+            for part in np.array_split(here, len(here) * max(v, w) // (1 << 21) + 1):
+                a, b = x[part], y[part]
+                out[part] = _bound(folded(a, v, min(v, w)), folded(b, w, min(v, w)), n[a], n[b])
+        return out
+
+    return test
+
+
 _POSSIBLE = pa.schema([("token", pa.int64()), ("doc_id", pa.int64()), ("other", pa.int64()), ("root", pa.int64()), ("n", pa.int64()), ("band", pa.int32())])
 
 
-def _possible(first: bool):
+def _possible(first: bool, test: Callable[[pa.Table], Callable] = _narrow_test):
     def possible(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         """Pairs (doc_id, other) that the bitmaps of a tile don't clear, where they are few. Where they are many: at first the
         pairs with the least member of a band, and the token; later the members.
 
         Members of small tiles are compared with those that stand one, two, ... rows below, for all tiles at once."""
         root, n, side, token, ids, band = (rows.column(c).to_numpy() for c in ("root", "n", "side", "token", "doc_id", "band"))
-        bits, size = _bits(rows), np.diff(cuts)
+        near, size = test(rows), np.diff(cuts)
         tile = np.repeat(np.arange(len(size)), size)
         lead = np.zeros(len(n), bool)
         lead[np.lexsort((ids, band, tile))[np.concatenate([[True], np.diff(np.sort(tile * 1000 + band)) > 0])] if len(n) else []] = True
@@ -444,7 +493,7 @@ def _possible(first: bool):
             i = np.flatnonzero(small[:-step] & (tile[:-step] == tile[step:]) & (root[:-step] != root[step:]))
             i = i[(side[i] == 0) | (side[i] != side[i + step])]
             for part in np.array_split(i, len(i) // 20_000 + 1):
-                hit = part[_bound(bits[part], bits[part + step], n[part], n[part + step])]
+                hit = part[near(part, part + step)]
                 found.append((hit, hit + step))
         marked, many = np.zeros(len(n), bool), np.zeros(len(size), bool)
         for t in np.flatnonzero(size > SMALL):
@@ -458,7 +507,7 @@ def _possible(first: bool):
                 # only the stretch of near sizes
                 at = order[np.searchsorted(sizes, -(-PERCENT * n[x] // 100)) : np.searchsorted(sizes, n[x] * 100 // PERCENT, "right")]
                 at = at[root[at] != root[x]]
-                hit = at[_bound(bits[x], bits[at], n[x], n[at])] if len(at) else at
+                hit = at[near(x, at)] if len(at) else at
                 total += len(hit)
                 if total > FEW * size[t]:
                     if not many[t]:
@@ -505,53 +554,92 @@ def _certain(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
     return _linked(out)
 
 
+def _reached(rows: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
+    """The members of buckets that have another member within their reach, whose own reach they are within."""
+    n, reach = rows.column("n").to_numpy(), rows.column("reach").to_numpy()
+    bucket = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts)) << 32
+    order = np.lexsort((n, bucket))
+    m, far, bucket = n[order], reach[order], bucket[order]
+    # the greatest reach of 1, 2, 4, ... members in the order of sizes
+    most = [far]
+    while (1 << len(most)) <= int(np.diff(cuts).max(initial=1)):
+        step = 1 << (len(most) - 1)
+        most.append(np.maximum(most[-1], np.concatenate([most[-1][step:], np.zeros(step, far.dtype)])))
+    at, end = np.arange(len(m)), np.searchsorted(m + bucket, far + bucket, "right")
+    kept = np.zeros(len(m), bool)
+    for a, b in ((np.searchsorted(bucket, bucket), np.minimum(at, end)), (at + 1, end)):
+        level = np.log2(np.maximum(b - a, 1)).astype(np.int64)
+        for k in np.unique(level[b > a]):
+            i = np.flatnonzero((b > a) & (level == k))
+            kept[i] |= np.maximum(most[k][a[i]], most[k][b[i] - (1 << k)]) >= m[i]
+    left, columns = np.sort(order[kept]), ("token", "doc_id", "n")
+    return pa.RecordBatch.from_arrays([pa.array(rows.column(c).to_numpy()[left]) for c in columns], names=list(columns))
+
+
 def _several(placed: DataFrame) -> DataFrame:
     """Members (token, doc_id, root, n, band) of the buckets that hold several components."""
     several = placed.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("token")
     return written(placed.join(small_side(written(several, "open-buckets")), "token", "left_semi"), "open-members")
 
 
-def _met(placed: DataFrame, bits: DataFrame, first: bool) -> DataFrame:
-    """What the tiles of ``placed`` (token, doc_id, root, n, band) leave; see ``_possible``."""
-    tiles = _dealt(_tiled(placed.join(bits, ["doc_id", "n"]), MEMBERS, "1"), "token", "tile")
+def _met(placed: DataFrame, bits: DataFrame, first: bool, wide: bool = False) -> DataFrame:
+    """What the tiles of ``placed`` (token, doc_id, root, n, band) leave by ``bits`` (doc_id, n, bits); see ``_possible``."""
+    block, weight, test = (MEMBERS * GREAT, f"greatest(n, {GREAT})", _wide_test) if wide else (MEMBERS, "1", _narrow_test)
+    tiles = _dealt(_tiled(placed, block, weight).join(bits, ["doc_id", "n"]), "token", "tile")
     kept = "token long, doc_id long, other long, root long, n long, band int"
-    return written(tiles.mapInArrow(_grouped(["token", "tile"], _possible(first)), kept).distinct(), "possible")
+    return written(tiles.mapInArrow(_grouped(["token", "tile"], _possible(first, test)), kept).distinct(), "possible")
 
 
 def _listed(met: DataFrame) -> DataFrame:
     return met.where("other is not null").select(F.col("doc_id").alias("leader"), F.col("other").alias("member")).distinct()
 
 
+def _over(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(node, root) of ``roots`` whose roots have been connected by ``more``."""
+    return _rooted(roots, "root", more).union(more.join(roots, "node", "left_anti"))
+
+
 def _finished(placed: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) for the components that share a bucket of ``placed`` (token, doc_id, root, n, band) and have a link."""
-    left = _met(_several(placed), bits, False)
-    found = links(_listed(left), bits, texts)
-    names = placed.select("doc_id", "root").distinct()
-    named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    roots = components(written(named, "jaccard-links"))
-    # buckets in which too many pairs are possible to list them
-    many = left.where("other is null").select("token", "doc_id", "root", "n", "band")
-    if many.isEmpty():
-        return roots
-    many = _several(_rooted(many, "root", small_side(roots)).select("token", "doc_id", "root", "n", "band"))
+    roots = None
+    # buckets in which too many pairs are possible to list them meet again by wide bitmaps, which are some thirtieth of the sets
+    for wide_ in (False, True):
+        members = _several(placed)
+        maps = written(_wide_of(members.select("doc_id"), texts), "wide-bitmaps") if wide_ else bits
+        left = _met(members, maps, False, wide_)
+        found = links(_listed(left), bits, texts)
+        names = members.select("doc_id", "root").distinct()
+        named = found.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        more = components(written(named, "jaccard-links"))
+        roots = more if roots is None else written(_over(roots, more), "jaccard-roots")
+        many = left.where("other is null").select("token", "doc_id", "root", "n", "band")
+        if many.isEmpty():
+            return roots
+        placed = _rooted(many, "root", small_side(more)).select("token", "doc_id", "root", "n", "band")
+    many = _several(placed)
     units = written(_units_of(many.select("doc_id"), texts), "open-sets")
     tiles = _tiled(many, WEIGHT, f"greatest(n, {LEAST})").join(units, "doc_id").select("token", "tile", "side", "doc_id", "root", "units")
     more = _dealt(tiles, "token", "tile").mapInArrow(_grouped(["token", "tile"], _certain), "a long, b long")
-    more = components(written(more, "jaccard-links"))
-    return _rooted(roots, "root", more).union(more.join(roots, "node", "left_anti"))
+    return _over(roots, components(written(more, "jaccard-links")))
 
 
 def _roots(reps: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, root) of the representatives ``reps`` (doc_id, n, bits, prefix) that have links."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int").alias("band")
-    keys = reps.select(F.explode("prefix").alias("token"), "doc_id", "n", band)
-    several = keys.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+    # of two similar sets the first shingle that both have leaves room for the overlap behind it, which bounds the other's size
+    reach = F.floor(((100 + PERCENT) * (F.col("n") - F.col("at")) - PERCENT * F.col("n")) / PERCENT).cast("long").alias("reach")
+    keys = reps.select(F.posexplode("prefix").alias("at", "token"), "doc_id", "n").select("token", "doc_id", "n", reach)
+    several = keys.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token", (F.col("k") > MEMBERS).alias("great"))
     placed = written(keys.join(small_side(written(several, "shared-shingles")), "token"), "jaccard-buckets")
-    # those that share a shingle with a set of their own band or of one beside it
+    few = _dealt(placed.where("not great").select("token", "doc_id", "n", "reach"), "token")
+    few = few.mapInArrow(_grouped(["token"], _reached), "token long, doc_id long, n long").select("token", "doc_id", "n", band)
+    # in larger buckets those that share a shingle with a set of their own band or of one beside it
+    placed = placed.where("great").select("token", "doc_id", "n", band)
     around = placed.groupBy("token", "band").agg(F.count("*").alias("k"))
     around = around.select("token", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"), "k")
     around = around.groupBy("token", "band").agg(F.sum("k").alias("k")).where("k > 1").select("token", "band")
-    placed = written(placed.join(around, ["token", "band"], "left_semi").withColumn("root", F.col("doc_id")), "jaccard-near")
+    placed = few.unionByName(placed.join(around, ["token", "band"], "left_semi"))
+    placed = written(placed.withColumn("root", F.col("doc_id")), "jaccard-near")
     bits = reps.join(small_side(written(placed.select("doc_id").distinct(), "jaccard-members")), "doc_id", "left_semi").select("doc_id", "n", "bits")
     met = _met(placed.select("token", "doc_id", "root", "n", "band"), bits, True)
     roots = components(links(_listed(met), bits, texts))
@@ -561,7 +649,7 @@ def _roots(reps: DataFrame, texts: DataFrame) -> DataFrame:
     # buckets of which only the pairs with a band's least member have been compared
     rest = _rooted(placed.join(small_side(open_), "token", "left_semi"), "root", small_side(roots))
     joined = written(_finished(rest.select("token", "doc_id", "root", "n", "band"), bits, texts), "jaccard-roots")
-    return written(_rooted(roots, "root", joined).union(joined.join(roots, "node", "left_anti")), "jaccard-roots")
+    return written(_over(roots, joined), "jaccard-roots")
 
 
 def joined(docs: DataFrame) -> DataFrame:

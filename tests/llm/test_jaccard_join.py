@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.llm import jaccard_join as jj
@@ -143,3 +144,51 @@ def test_words_over_blocks(monkeypatch):
     assert (again == whole).all() and (counts_ == counts).all()
     sets = jj.shingle_sets(whole, counts)
     assert [len(s) for s in sets] == [len(sets_of(t)) for t in texts]
+
+
+def test_members_that_no_other_reaches_leave_their_bucket():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        size = rng.integers(1, 40, rng.integers(1, 30))
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        token, n = np.repeat(np.arange(len(size)), size), rng.integers(1, 60, cuts[-1])
+        reach = (180 * (n - rng.integers(0, 1 + n // 5)) - 80 * n) // 80
+        out = jj._reached(pa.table({"token": token, "doc_id": np.arange(len(n)), "n": n, "reach": reach}), cuts)
+        meet = (token[:, None] == token) & (n <= reach[:, None]) & (n[:, None] <= reach) & ~np.eye(len(n), dtype=bool)
+        assert out.column("doc_id").to_pylist() == np.flatnonzero(meet.any(1)).tolist()
+
+
+def test_frequent_shingles_stand_behind_rarer_ones():
+    texts = [" ".join(f"w{i}" for i in range(24))]
+    often = jj.shingle_sets(*jj.word_hashes(np.frombuffer(texts[0].encode(), np.uint8), np.array([len(texts[0])])))[0]
+    level = np.arange(len(often), dtype=np.int8)[::-1]
+    sign = jj._signing(type("B", (), {"value": (often, level)}))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(texts)], names=["doc_id", "text"])
+    prefix = next(sign(iter([batch]))).column("prefix")[0].as_py()
+    assert prefix == often[::-1].view(np.int64)[: len(prefix)].tolist() and len(prefix) == 20 - jj.required(20) + 1
+
+
+def test_wide_bitmaps_in_tiles_clear_what_they_clear_in_pairs():
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 2**63, 3000, np.uint64))
+    sets = [np.unique(np.concatenate([base[: rng.integers(300, 3000)], rng.integers(0, 2**63, rng.integers(1, 400), np.uint64)])) for _ in range(30)]
+    n = np.array([len(s) for s in sets])
+    test = jj._wide_test(pa.table({"n": n, "bits": pa.array([jj.wide(s).tobytes() for s in sets], pa.binary())}))
+    x, y = (i.ravel() for i in np.meshgrid(np.arange(30), np.arange(30)))
+    near = 100 * np.minimum(n[x], n[y]) >= 80 * np.maximum(n[x], n[y])
+    assert test(x, y).tolist() == [bool(k and not jj._cleared(jj.wide(sets[i]), jj.wide(sets[j]))) for i, j, k in zip(x, y, near)]
+    assert test(3, y[:5]).tolist() == test(np.full(5, 3), y[:5]).tolist()
+
+
+def test_unlike_long_texts_with_a_common_passage_send_no_arrays(spark, monkeypatch):
+    # their bitmaps of 1,024 bits are full, so every two of them pass these
+    for name, value in (("SMALL", 4), ("FEW", 1)):
+        monkeypatch.setattr(jj, name, value)
+    monkeypatch.setattr(jj, "frequent", lambda texts: (np.zeros(0, np.uint64), np.zeros(0, np.int8)))
+    asked, plain = [], jj._units_of
+    monkeypatch.setattr(jj, "_units_of", lambda ids, texts: asked.append(1) or plain(ids, texts))
+    passage = " ".join(f"p{i}" for i in range(800))
+    rows = [(i, passage + " " + " ".join(f"x{i}y{j}" for j in range(2200))) for i in range(40)]
+    rows.append((40, rows[0][1] + " end"))
+    assert got(jj.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == {i: (2996 + (i == 40), i % 40) for i in range(41)}
+    assert not asked
