@@ -189,3 +189,11 @@ def test_moved_ends_go_once_through_the_second_shuffle(spark, no_broadcast):
     lines = plan(out).splitlines()
     at = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(dst" in line)
     assert not re.search(r"[\[ ](?<!AS )a_to#\d+[,\]]", lines[at + 1])
+
+
+def test_the_sort_of_all_edges_runs_no_join_twice(spark):
+    g = scope_graph(spark)
+    out = reports.edges_report(g, node_types=reports.ALL_TYPES)
+    assert "Join" not in plan(out) and "Aggregate" not in plan(out)
+    got = [(r["from"], r["to"], r.edge_types) for r in out.collect()]
+    assert got and sorted(got) == sorted((r["from"], r["to"], r.edge_types) for r in reports.grouped(closed(g.edges, g.nodes)).collect())
