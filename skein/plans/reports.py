@@ -1,5 +1,5 @@
-"""The reports on a graph: nodes, edges, relationships, symbols, overview. Each is one lazy plan and returns all rows in
-order; ``ordering.page`` cuts a page from it."""
+"""The reports on a graph: nodes, edges, relationships, symbols, overview. Each is one lazy plan (that of all edges
+writes its pairs first) and returns all rows in order; ``ordering.page`` cuts a page from it."""
 
 from __future__ import annotations
 
