@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions.ordering import collated
@@ -234,29 +234,40 @@ def shortest_path(edges: DataFrame, src: str, dst: str, most: int = 100) -> list
 
 def pagerank(links: DataFrame, weights: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """id and rank over ``links`` (src, dst, weight), which count one way each; ``weights`` (id, weight) lists all nodes
-    and where a walk begins anew, evenly if all are 0. Mass of nodes without links begins anew likewise; ranks sum to 1.
-
-    Nodes are numbered, so that what flows is a number and a share and no texts. Links lie in buckets of src and nodes in
-    buckets of their number, so a step shuffles what flows to each node, summed up before."""
-    total = weights.agg(F.sum("weight").alias("_total"), F.count("*").alias("_n"))
-    start = weights.join(F.broadcast(total)).select("id", F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(1 / F.col("_n")).alias("start"))
-    names = bucketed(start.withColumn("n", F.monotonically_increasing_id()), "id", "names")
+    and where a walk begins anew, evenly if all are 0. Mass of nodes without links begins anew likewise; ranks sum to 1."""
+    names = numbered(weights)
     number = names.select(F.col("id").alias("_id"), "n")
     flows = links.where("weight is not null").join(number, F.col("src") == F.col("_id")).select(F.col("n").alias("_src"), "dst", "weight")
     # what flows to ends that are no nodes is lost, but counts among what its start gives away
     flows = flows.join(number, F.col("dst") == F.col("_id"), "left").select(F.col("_src").alias("src"), F.col("n").alias("dst"), "weight")
-    flows = bucketed(flows, "src", "links")
-    out = flows.groupBy("src").agg(F.sum("weight").alias("_sum")).where("_sum > 0")
-    share = flows.where("dst is not null").join(out.hint("merge"), "src").select("src", "dst", (F.col("weight") / F.col("_sum")).alias("share"))
-    start = bucketed(names.join(out.select(F.col("src").alias("n"), F.lit(True).alias("_out")), "n", "left").select("n", "start", F.col("_out").isNull().alias("dangling")), "n", "start")
-    ranks = start.withColumn("rank", F.col("start"))
-    for i in range(iterations):
+    return flowed(flows, names, iterations, damping)
+
+
+def numbered(weights: DataFrame) -> DataFrame:
+    """id, its number n and start, the share of walks that begin there, in buckets of id."""
+    total = weights.agg(F.sum("weight").alias("_total"), F.count("*").alias("_n"))
+    start = weights.join(F.broadcast(total)).select("id", F.when(F.col("_total") > 0, F.col("weight") / F.col("_total")).otherwise(1 / F.col("_n")).alias("start"))
+    return bucketed(start.withColumn("n", F.monotonically_increasing_id()), "id", "names")
+
+
+def flowed(flows: DataFrame, names: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
+    """``pagerank`` over numbers: ``flows`` (src, dst, weight; links from one node to another add up) between ``numbered`` names.
+
+    What flows is a number and a share and no texts. Links lie in buckets of src and nodes in buckets of their number, so a step
+    shuffles what flows to each node, summed up before. Its ranks are written, and what it shuffled goes before the next step."""
+    flows = bucketed(flows, "src", "links").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    share = flows.withColumn("_sum", F.sum("weight").over(Window.partitionBy("src"))).where("_sum > 0")
+    share = Bucketed(share.select("src", "dst", (F.col("weight") / F.col("_sum")).alias("share")), "src", "shares", lies=True).table()
+    out, share = share.select(F.col("src").alias("_from")).distinct(), share.where("dst is not null")
+    start = names.select("n", "start").join(out, F.col("n") == F.col("_from"), "left")
+    start = bucketed(start.select("n", "start", F.col("_from").isNull().alias("dangling")), "n", "start")
+    ranks = start.select("n", "dangling", F.col("start").alias("rank"))
+    for _ in range(iterations):
         lost = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("_lost"))
         got = ranks.join(share.hint("merge"), F.col("n") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("_got"))
-        ranks = start.join(got.hint("merge"), F.col("n") == F.col("dst"), "left").join(F.broadcast(lost)).select(
-            "n", "start", "dangling",
+        new = start.join(got.hint("merge"), F.col("n") == F.col("dst"), "left").join(F.broadcast(lost)).select(
+            "n", "dangling",
             ((1 - damping + damping * F.col("_lost")) * F.col("start") + damping * F.coalesce("_got", F.lit(0.0))).alias("rank"),
         )
-        if i % 4 == 3:
-            ranks = bucketed(ranks, "n", "ranks")
+        ranks = Bucketed(new, "n", "ranks", lies=True).table()
     return names.select("id", "n").join(ranks.select("n", "rank"), "n").select("id", "rank")

@@ -328,9 +328,8 @@ def _ranks_sql(steps: int = 20) -> str:
  start0 AS MATERIALIZED (SELECT id, CAST(file_size AS DOUBLE) AS weight FROM nodes WHERE symbol_file IS NULL)""" + _ranks_sql() + """ SELECT id, round(r, 9) AS "rank" FROM r20""")
 def pagerank_20(spark, d):
     g = derived.graph(spark, d)
-    files = g.nodes.where("symbol_file is null").select(F.col("id").alias("path"), "file_size")
-    links = task_map.file_links(g, files)
-    out = traverse.pagerank(links, files.select(F.col("path").alias("id"), F.col("file_size").cast("double").alias("weight")))
+    files = g.nodes.where("symbol_file is null").select("id", F.col("file_size").cast("double").alias("weight"))
+    out = task_map.file_ranks(g, files)
     return out.select("id", F.round("rank", 9).alias("rank"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions.ordering import collated
 from skein.functions.text import TASK_STOP, bases, has_term, normalized, query_tokens, words_in
 from skein.graph import Graph, with_files, written
-from skein.operators.traverse import pagerank
+from skein.operators.traverse import flowed, numbered, pagerank
 
 # The most that a map shows, and the folders that have one level more to an area.
 MOST_TERMS, MOST_FILES, MOST_SYMBOLS, MOST_RELATIONS = 16, 20, 3, 12
@@ -58,6 +58,21 @@ def file_links(graph: Graph, paths: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
 
 
+def file_ranks(graph: Graph, weights: DataFrame, iterations: int = 20) -> DataFrame:
+    """``pagerank`` over the ``file_links`` of the files of ``weights`` (id, weight).
+
+    Ends of edges become numbers as they are met, a symbol's the one of its file, so links are never texts."""
+    names = numbered(weights)
+    files = names.select(F.col("id").alias("_f"), F.col("n").alias("_n"))
+    symbols = graph.nodes.where("symbol_file is not null").select(F.col("id").alias("_id"), "symbol_file")
+    places = symbols.join(files, F.col("symbol_file") == F.col("_f")).select("_id", "_n").union(files)
+    flows = graph.edges.where("kind <> 'contains'").select("src", "dst", edge_weight(F.col("kind")).alias("weight"))
+    for end in ("src", "dst"):
+        flows = flows.join(places, F.col(end) == F.col("_id")).withColumn(end, F.col("_n")).drop("_id", "_n")
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return flowed(flows.where("src <> dst").select(F.explode(ways).alias("_way"), "weight").select("_way.*", "weight"), names, iterations)
+
+
 def source_area(path: Column) -> Column:
     """The part of a path that names its area: up to one folder below src or tests, else its first four parts."""
     parts = F.split(path, "/")

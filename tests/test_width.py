@@ -1,6 +1,8 @@
 """What joins and shuffles carry: no text twice, none before the last join, and no more edges than are looked at."""
 
+import os
 import re
+import time
 
 import pytest
 
@@ -197,3 +199,50 @@ def test_the_sort_of_all_edges_runs_no_join_twice(spark):
     assert "Join" not in plan(out) and "Aggregate" not in plan(out)
     got = [(r["from"], r["to"], r.edge_types) for r in out.collect()]
     assert got and sorted(got) == sorted((r["from"], r["to"], r.edge_types) for r in reports.grouped(closed(g.edges, g.nodes)).collect())
+
+
+def shuffle_files(spark):
+    out = []
+    for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString():
+        out += [os.path.join(r, f) for r, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")]
+    return out
+
+
+def left_behind(spark, run):
+    """Shuffle files that ``run`` leaves, some time after it."""
+    before, _ = set(shuffle_files(spark)), run()
+    for _ in range(50):
+        if not (left := set(shuffle_files(spark)) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark):
+    df = spark.range(10_000).groupBy((F.col("id") % 97).alias("n")).count()
+    assert left_behind(spark, lambda: df.write.format("noop").mode("overwrite").save())
+    for step in (lambda: graph_module.written(df, "sums"), lambda: graph_module.bucketed(df, "n", "sums")):
+        assert not left_behind(spark, step)
+    assert spark.conf.get(graph_module.FREED, "false") == "false"
+    assert sorted(r["count"] for r in graph_module.written(df, "sums").collect()) == sorted(r["count"] for r in df.collect())
+
+
+def test_steps_of_ranks_leave_no_shuffle_files(spark, sf):
+    from skein.plans import task_map
+
+    g, out = derived.graph(spark, sf), []
+    files = g.nodes.where("symbol_file is null").select("id", F.col("file_size").cast("double").alias("weight"))
+    assert not left_behind(spark, lambda: out.append(task_map.file_ranks(g, files, 6)))
+    links = task_map.file_links(g, files.withColumnRenamed("id", "path"))
+    wanted = {r.id: r.rank for r in traverse.pagerank(links, files, 6).collect()}
+    assert {r.id: r.rank for r in out[0].collect()} == pytest.approx(wanted)
+
+
+def test_ranks_of_files_by_numbers(spark):
+    from skein.plans import task_map
+
+    g = scope_graph(spark)
+    files = spark.createDataFrame([("f", 1.0), ("g", 0.0), ("alone", 0.5)], "id string, weight double")
+    wanted = traverse.pagerank(task_map.file_links(g, files.withColumnRenamed("id", "path")), files, 3)
+    got = task_map.file_ranks(g, files, 3)
+    assert {r.id: r.rank for r in got.collect()} == pytest.approx({r.id: r.rank for r in wanted.collect()})
