@@ -1,6 +1,7 @@
 """What joins and shuffles carry: no text twice, none before the last join, and no more edges than are looked at."""
 
 import os
+import random
 import re
 import time
 
@@ -246,3 +247,50 @@ def test_ranks_of_files_by_numbers(spark):
     wanted = traverse.pagerank(task_map.file_links(g, files.withColumnRenamed("id", "path")), files, 3)
     got = task_map.file_ranks(g, files, 3)
     assert {r.id: r.rank for r in got.collect()} == pytest.approx({r.id: r.rank for r in wanted.collect()})
+
+
+def pairs_graph(spark, odd=()):
+    rng = random.Random(3)
+    names = [f"f{i}" for i in range(4)] + [f"f{i}#s{j}" for i in range(4) for j in range(3)]
+    nodes = [(n, n.split("#")[0] if "#" in n else None, rng.choice(["class", "function"]) if "#" in n else None) for n in names]
+    nodes = spark.createDataFrame(nodes, "id string, symbol_file string, symbol_kind string")
+    nodes = nodes.select(*[(F.col(f.name) if f.name in nodes.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in NODE.fields])
+    rows = [(rng.choice([*names, "lost"]), rng.choice([*names, "lost"]), rng.choice(["call", "type-import", "contains"])) for _ in range(400)] + list(odd)
+    edges = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "src string, dst string, kind string, ord long").repartition(5)
+    edges = edges.withColumn("id", edge_id(F.col("src"), F.col("dst"), F.col("kind"))).withColumn("sources", F.when(F.col("ord") % 3 == 0, F.array(F.struct(F.col("ord").cast("string").alias("id"), *[F.lit("x").alias(c) for c in ("plugin_id", "source_id", "label")]))).cast(PARTS))
+    return Graph(nodes, edges.select(*[f.name for f in EDGE.fields]))
+
+
+ODD = [("f0->f1", "f2", "call"), ("f0", "f1->f2", "call"), ("f0", "f1", "a#call"), ("f0", "f1#a", "call"), (None, "f1", "call"), ("f0", "f1", None)]
+
+
+@pytest.mark.parametrize("odd", [(), ODD])
+def test_edges_dealt_by_pairs_are_those_of_aggregates(spark, monkeypatch, odd):
+    g, even, seen = pairs_graph(spark, odd), scope._even, []
+    asked = lambda half: seen.append(even(half)) or seen[-1]
+    s = scope.Scope(nodes={"symbol:class": False})
+    runs = (lambda: scope.most_specific(g.edges, g.nodes), lambda: scope.apply_scope(g, s).edges)
+    for run in runs:
+        monkeypatch.setattr(scope, "_even", asked)
+        got = sorted(map(repr, run().collect()))
+        monkeypatch.setattr(scope, "_even", lambda half: False)
+        assert got and got == sorted(map(repr, run().collect()))
+    assert seen[0] == (not odd)
+
+
+def test_ends_are_looked_up_in_steps(spark, no_broadcast, monkeypatch):
+    g, names, plain = pairs_graph(spark), [], scope.written
+    monkeypatch.setattr(scope, "written", lambda df, name: names.append(name) or plain(df, name))
+    for run in (lambda: scope.most_specific(g.edges, g.nodes), lambda: scope.apply_scope(g, scope.Scope()).edges):
+        out = []
+        assert not left_behind(spark, lambda: out.append(run()))
+        assert names == ["places", "half-placed"] and not names.clear()
+        # what is left to do: the join at dst, and one shuffle by pairs
+        assert shuffles(out[0]) == 3 and "Aggregate" not in plan(out[0])
+
+
+def test_a_file_with_very_many_edges_is_not_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(scope, "HELD", 50)
+    g = pairs_graph(spark, [("f0", f"f{i % 4}", "call") for i in range(400)])
+    half = scope._half(scope._with_files(slim(g.edges), scope.places(g.nodes, F.lit(True)), "a"))
+    assert not scope._even(half) and scope._even(half.where("ord < 150"))
