@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import IllegalArgumentException
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.glob import matches, matches_any
 from skein.functions.paths import ancestors, basename, parent
-from skein.graph import Graph, closed, firsts, full, slim
+from skein.graph import Graph, closed, firsts, full, slim, written
 from skein.operators.ranks import ranked
 from skein.operators.scope import Scope, apply_scope, node_type
 from skein.schema import ROOT, edge_id
@@ -45,10 +46,11 @@ def nearest_package(files: DataFrame, roots: DataFrame) -> DataFrame:
     return up.groupBy("id").agg(F.max_by("root", depth).alias("root"))
 
 
-def structural(graph: Graph, scope: Scope, source: Graph | None = None) -> Graph:
+def structural(graph: Graph, scope: Scope, source: Graph | None = None, whole: bool = False) -> Graph:
     """Folder and workspace-package nodes with ``nests`` edges, if the scope shows them.
 
-    Folders come from all files of ``source``, the graph before scope; edges lead only to visible files."""
+    Folders come from all files of ``source``, the graph before scope; edges lead only to visible files. ``whole``: edges of the
+    graph have both ends among its nodes, or are looked at later, so that only the new ones are looked at here."""
     folders, packages = scope.nodes.get("folder", False), scope.nodes.get("package", False)
     if not folders and not packages:
         return graph
@@ -71,24 +73,31 @@ def structural(graph: Graph, scope: Scope, source: Graph | None = None) -> Graph
         pairs.append(near.select(F.concat(F.lit("pkg:workspace:"), "root").alias("src"), F.col("id").alias("dst")))
     edges = graph.edges
     if scope.edges.get("nests", True):
-        for p in pairs:
-            edges = edges.unionByName(_nests(p))
-    return Graph(nodes, closed(edges, nodes))
+        nests = reduce(DataFrame.unionByName, [_nests(p) for p in pairs])
+        edges = edges.unionByName(closed(nests, nodes) if whole else nests)
+    return Graph(nodes, edges if whole else closed(edges, nodes))
 
 
 def filter_patterns(graph: Graph, patterns: list[str], dialect: str = "classes") -> Graph:
     """Drop nodes whose id or symbol's file matches a pattern, and edges that match one which may name edges."""
     if not patterns:
         return graph
-    hit = matches_any(F.col("id"), patterns, dialect) | F.coalesce(matches_any(F.col("symbol_file"), patterns, dialect), F.lit(False))
-    nodes = graph.nodes.where(~hit)
-    edges = closed(graph.edges, nodes)
+    nodes = graph.nodes.where(~_hit(patterns, dialect))
+    return Graph(nodes, _unnamed(closed(graph.edges, nodes), patterns, dialect))
+
+
+def _hit(patterns: list[str], dialect: str) -> Column:
+    return matches_any(F.col("id"), patterns, dialect) | F.coalesce(matches_any(F.col("symbol_file"), patterns, dialect), F.lit(False))
+
+
+def _unnamed(edges: DataFrame, patterns: list[str], dialect: str) -> DataFrame:
+    """Edges that match no pattern which may name edges."""
     direct = [p for p in patterns if "->" in p or "#" in p or ("*" not in p and "/" not in p)]
     for p in direct:
         plain = F.concat("src", F.lit("->"), "dst")
         forms = (F.col("id"), F.col("kind"), plain, F.concat(plain, F.lit("#"), F.col("kind")))
         edges = edges.where(~(matches(forms[0], p, dialect) | matches(forms[1], p, dialect) | matches(forms[2], p, dialect) | matches(forms[3], p, dialect)))
-    return Graph(nodes, edges)
+    return edges
 
 
 _FIELDS = ("label", "id", "symbol_name", "symbol_kind", "plugin_kind", "signature", "symbol_file", "language", "source")
@@ -123,31 +132,46 @@ def search(graph: Graph, query: str, **options) -> tuple[Graph, str | None]:
     return Graph(nodes, closed(graph.edges, nodes)), error
 
 
+def filtered_search(graph: Graph, patterns: list[str], query: str, dialect: str = "classes", **options) -> tuple[Graph, str | None]:
+    """``search`` in what ``filter_patterns`` leaves; edges meet the nodes that both leave once."""
+    if not patterns:
+        return search(graph, query, **options)
+    test, error = search_test(query, **options) if query.strip() else (F.lit(True), None)
+    nodes = graph.nodes.where(~_hit(patterns, dialect) & test)
+    return Graph(nodes, closed(_unnamed(graph.edges, patterns, dialect), nodes)), error
+
+
 def without_orphans(graph: Graph) -> Graph:
     """Nodes that have an edge; a loop counts."""
     ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("_end")).distinct()  # one pass over the edges
     return Graph(graph.nodes.join(ends, F.col("id") == F.col("_end"), "left_semi"), graph.edges)
 
 
-def collapse(graph: Graph, folders: list[str]) -> Graph:
-    """Hide what lies below the collapsed folders; edges move to the topmost such folder and merge."""
+def collapse(graph: Graph, folders: list[str], closing: bool = False) -> Graph:
+    """Hide what lies below the collapsed folders; edges move to the topmost such folder and merge.
+
+    ``closing``: edges that lack an end among the nodes go, which is seen where the folder of an end is looked up. Those of a whole
+    graph are written after the first end, lest the shuffles for both take the disk at once."""
     if not folders:
-        return graph
+        return graph.closed() if closing else graph
     nodes = graph.nodes
     chosen = nodes.where((node_type() == "folder") & F.col("id").isin(folders)).select(F.col("id").alias("_owner"))
     path = F.coalesce("symbol_file", "id")
     up = nodes.select("id", F.explode(F.concat(F.when(path.contains("/"), F.array()).otherwise(F.array(F.lit(ROOT))).cast("array<string>"), ancestors(path))).alias("_owner"))
     owner = up.join(F.broadcast(chosen), "_owner").where("id <> _owner").groupBy("id").agg(F.min_by("_owner", F.length("_owner")).alias("_owner"))
+    owner = written(owner, "owners")  # read for nodes, counts and each end
     counts = owner.groupBy("_owner").agg(F.count("*").alias("_hidden"))
     shown = nodes.join(owner, "id", "left_anti")
     shown = shown.join(counts, F.col("id") == F.col("_owner"), "left").withColumn("hidden", F.coalesce("_hidden", F.lit(0)).cast("long")).drop("_owner", "_hidden")
-    edges = slim(graph.edges)
-    for side, end in (("_a", "src"), ("_b", "dst")):
-        edges = edges.join(owner.toDF(side, f"{side}_to"), F.col(end) == F.col(side), "left").drop(side)
-    moved = F.col("_a_to").isNotNull() | F.col("_b_to").isNotNull()
-    edges = edges.withColumn("src", F.coalesce("_a_to", "src")).withColumn("dst", F.coalesce("_b_to", "dst"))
-    edges = edges.where(~moved | (F.col("src") != F.col("dst")))
-    return Graph(shown, merge_edges(full(edges.withColumn("_said", F.col("_said") & ~moved)).select(*graph.edges.columns)))
+    places = written(nodes.select("id").join(owner, "id", "left"), "places") if closing else owner
+    edges, went = slim(graph.edges), F.lit(False)
+    for end in ("src", "dst"):
+        edges = edges.join(places.toDF("_id", "_to"), F.col(end) == F.col("_id"), "inner" if closing else "left")
+        # an end that is moved replaces the one before it, which the next shuffle doesn't carry
+        edges = edges.withColumn("_went", went | F.col("_to").isNotNull()).withColumn(end, F.coalesce("_to", end)).drop("_id", "_to")
+        edges, went = written(edges, "half-collapsed") if closing and end == "src" else edges, F.col("_went")
+    edges = edges.where(~went | (F.col("src") != F.col("dst")))
+    return Graph(shown, merge_edges(full(edges.withColumn("_said", F.col("_said") & ~went)).select(*graph.edges.columns)))
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:
@@ -180,13 +204,18 @@ def visible(graph: Graph, view: View) -> tuple[Graph, str | None]:
     """The visible graph, and the error of a search expression.
 
     Each step reads nodes and edges several times, so what a step leaves is written before the next."""
-    out, error = structural(apply_scope(graph, view.scope), view.scope, graph).settled("shown"), None
+    scoped = apply_scope(graph, view.scope)
+    if any(view.scope.nodes.get(t, False) for t in ("folder", "package")):
+        # these edges have both ends already, and nodes are read for each kind of structure
+        scoped = Graph(written(scoped.nodes, "scoped-nodes"), scoped.edges)
+    out, error = structural(scoped, view.scope, graph, whole=True).settled("shown"), None
     if view.patterns or view.query.strip():
-        out, error = search(filter_patterns(out, list(view.patterns)), view.query, match_case=view.match_case, whole_word=view.whole_word, regex=view.regex)
-        out = out.settled("found")
+        out, error = filtered_search(out, list(view.patterns), view.query, match_case=view.match_case, whole_word=view.whole_word, regex=view.regex)
+        nodes = written(out.nodes, "found-nodes")
+        out = Graph(nodes, written(out.edges, "found-edges"))
     if not view.show_orphans:
         out = without_orphans(out)
-        out = out.settled("linked") if view.collapsed else out
+        out = Graph(written(out.nodes, "linked-nodes"), out.edges) if view.collapsed else out
     return collapse(out, list(view.collapsed)), error
 
 

@@ -294,3 +294,62 @@ def test_a_file_with_very_many_edges_is_not_dealt_by_pairs(spark, monkeypatch):
     g = pairs_graph(spark, [("f0", f"f{i % 4}", "call") for i in range(400)])
     half = scope._half(scope._with_files(slim(g.edges), scope.places(g.nodes, F.lit(True)), "a"))
     assert not scope._even(half) and scope._even(half.where("ord < 150"))
+
+
+def test_found_edges_meet_nodes_once(spark, no_broadcast):
+    g = pairs_graph(spark)
+    for patterns, query in ((["f1*", "call"], "2"), ([], "s1"), (["f2"], " ")):
+        left = visible.filter_patterns(g, patterns)
+        wanted, _ = visible.search(left, query)
+        got, error = visible.filtered_search(g, patterns, query)
+        assert error is None
+        for a, b in ((got.nodes, wanted.nodes), (got.edges, wanted.edges)):
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+        # once at each end
+        assert plan(visible.filtered_search(g, patterns, query)[0].edges).count("LeftSemi") == 2
+    assert visible.filtered_search(g, ["f1*"], "(", regex=True)[1] and visible.filtered_search(g, ["f1*"], "(", regex=True)[0].nodes.count() == 0
+
+
+def test_scoped_edges_are_not_looked_up_again(spark, no_broadcast, monkeypatch):
+    g, sizes, plain = scope_graph(spark), {}, visible.closed
+    monkeypatch.setattr(visible, "closed", lambda edges, nodes: sizes.update(n=edges.count()) or plain(edges, nodes))
+    s = scope.Scope(nodes={"folder": True})
+    scoped = scope.apply_scope(g, s)
+    whole = visible.structural(scoped, s, g, whole=True)
+    assert sizes.pop("n") == whole.nodes.count() - scoped.nodes.where("symbol_file is not null").count() - 1
+    wanted = visible.structural(scoped, s, g)
+    assert sizes["n"] > scoped.edges.count() > 0
+    assert sorted(map(repr, whole.edges.collect())) == sorted(map(repr, wanted.edges.collect()))
+    monkeypatch.setattr(visible, "closed", plain)
+    out, names = [], []
+    written = visible.written
+    monkeypatch.setattr(visible, "written", lambda df, name: names.append(name) or written(df, name))
+    view = visible.View(scope=s, patterns=("h*",), show_orphans=False, collapsed=("(root)",))
+    assert not left_behind(spark, lambda: out.append(visible.visible(g, view)[0]))
+    assert names.count("found-edges") == 1 and "linked-edges" not in names
+
+
+def test_edges_are_closed_as_they_collapse(spark, no_broadcast, monkeypatch):
+    g, names, plain, out = pairs_graph(spark, ODD), [], visible.written, []
+    s = scope.Scope(nodes={"folder": True}, edges={"nests": False})
+    g = Graph(g.nodes.withColumn("id", F.concat(F.lit("top/"), "id")).withColumn("symbol_file", F.concat(F.lit("top/"), "symbol_file")), g.edges)
+    g = Graph(g.nodes, g.edges.withColumns({c: F.concat(F.lit("top/"), c) for c in ("src", "dst")}))
+    g = Graph(g.nodes.union(pairs_graph(spark).nodes), g.edges.union(pairs_graph(spark).edges).withColumn("ord", F.xxhash64("src", "dst", "kind", "ord")))
+    for folders in (["top"], ["(root)"], []):
+        wanted = visible.collapse(visible.structural(g, s), folders)
+        monkeypatch.setattr(visible, "written", lambda df, name: names.append(name) or plain(df, name))
+        assert not left_behind(spark, lambda: out.append(visible.collapse(visible.structural(g, s, whole=True), folders, closing=True)))
+        monkeypatch.setattr(visible, "written", plain)
+        got = out.pop()
+        for a, b in ((got.nodes, wanted.nodes), (got.edges, wanted.edges)):
+            assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+        assert names == (["owners", "places", "half-collapsed"] if folders else []) and not names.clear()
+
+
+def test_relationships_meet_edges_in_steps(spark, sf, no_broadcast):
+    from skein.plans import catalogue
+
+    out = []
+    assert not left_behind(spark, lambda: out.append(catalogue.relationships_grouped(spark, sf)))
+    # what is left is the sort of what is written
+    assert "Exchange rangepartitioning" in plan(out[0]) and shuffles(out[0]) == 0
