@@ -151,16 +151,21 @@ def dependents(graph: Graph, path: str) -> DataFrame:
 def relationships(graph: Graph, relations: DataFrame, symbols: DataFrame, node_types=None, edge_types=None, project=False) -> DataFrame:
     """from, to, relationships (kind, plugin, source, symbols) and edge_types, for relations whose edge is visible.
 
-    ``project``: edges are moved to the files of their ends, loops dropped, before it is asked what is visible. What is said
-    of a pair is brought to one place once, for the three aggregates behind the test against edges."""
+    ``project``: edges are moved to the files of their ends, loops dropped, before it is asked what is visible. Visible edges are
+    written, and relations with what they say of symbols. Then what is said of a pair is brought to one place once, for the test
+    against the kinds of its edges and the three aggregates behind that."""
     pair = ["src", "dst"]
-    edges = scoped(graph, node_types, edge_types, project=project).edges.select(*pair, "kind", "ord")
+    # of edges that are asked about, the order of nests alone is told
+    asked = Graph(graph.nodes, graph.edges.withColumn("ord", F.when(F.col("kind") == "nests", F.col("ord"))).drop("sources"))
+    edges = written(scoped(asked, node_types, edge_types, project=project).edges.select(*pair, "kind", "ord"), "shown-edges")
     r = relations.select(F.coalesce("from_node", "from_file").alias("src"), F.coalesce("to_node", "to_file").alias("dst"), "kind", "plugin_id", F.when(F.col("plugin_id").isNotNull(), F.col("source_id")).alias("source_id"), F.coalesce("to_symbol", "from_symbol").alias("_symbol"), "ord")
     s = symbols.select(F.col("id").alias("_symbol"), "name", F.col("kind").alias("_kind"), "start_line", "end_line")
     r = r.where("dst is not null").join(s, "_symbol", "left").drop("_symbol")
     r = r.withColumn("_kind", F.when((F.col("kind") != "type-import") & (F.col("_kind") != ""), F.col("_kind")))
-    r = r.join(edges.drop("ord"), [*pair, "kind"], "left_semi")
-    r = r.unionByName(edges.where("kind = 'nests'"), allowMissingColumns=True).repartition(*pair)
+    r = written(r, "named-relations").unionByName(edges.where("kind = 'nests'"), allowMissingColumns=True).repartition(*pair)
+    # kinds of a pair are few
+    kinds = edges.groupBy(*[F.col(c).alias(f"_{c}") for c in pair]).agg(F.collect_set("kind").alias("_kinds"))
+    r = r.join(kinds, (F.col("src") == F.col("_src")) & (F.col("dst") == F.col("_dst")) & F.array_contains("_kinds", F.col("kind")), "left_semi")
     each = r.groupBy("src", "dst", "kind", "plugin_id", "source_id", "name", "_kind", "start_line", "end_line").agg(F.min("ord").alias("ord"))
     symbol = F.struct("ord", F.col("name"), F.col("_kind").alias("kind"), "start_line", "end_line")
     inner = each.groupBy("src", "dst", "kind", "plugin_id", "source_id").agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), symbol))).alias("symbols"))
@@ -173,7 +178,8 @@ def relationships(graph: Graph, relations: DataFrame, symbols: DataFrame, node_t
 def relationships_report(graph: Graph, relations: DataFrame, symbols: DataFrame, node_types=None, edge_types=None, filters=None, project=False) -> DataFrame:
     """``relationships`` in order."""
     out = relationships(graph, relations, symbols, node_types, edge_types, project)
-    return sort_by(out.where(filter_test(out, filters or {})), [], ["from", "to"])
+    # written, as a sort runs what it sorts twice
+    return sort_by(written(out.where(filter_test(out, filters or {})), "relationships"), [], ["from", "to"])
 
 
 #: Columns of a symbol that come from its metadata, and their keys there.
